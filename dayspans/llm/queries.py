@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op1_mixing
+from .pii import op2_pii
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii}
 ORACLE: dict[str, str] = {}
