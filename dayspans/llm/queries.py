@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .mixing import op1_mixing
+from .packing import op7_packing
 from .pii import op2_pii
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op7_packing": op7_packing}
 ORACLE: dict[str, str] = {}
