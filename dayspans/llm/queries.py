@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .exact_topk import OP10_SQL, op10_exact_topk
 from .html_extraction import op4_html_extraction
 from .jaccard_join import op5_jaccard_join
 from .mixing import op1_mixing
@@ -11,5 +12,5 @@ from .quality_rules import op6_quality_rules
 from .toxicity import op9_toxicity
 from .warc import OP8_SQL, op8_warc
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op4_html_extraction": op4_html_extraction, "op5_jaccard_join": op5_jaccard_join, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity}
-ORACLE: dict[str, str] = {"op8_warc": OP8_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op4_html_extraction": op4_html_extraction, "op5_jaccard_join": op5_jaccard_join, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
+ORACLE: dict[str, str] = {"op8_warc": OP8_SQL, "op10_exact_topk": OP10_SQL}
