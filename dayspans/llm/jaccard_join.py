@@ -33,7 +33,7 @@ HEAVY = 8
 #: Members of one block in the exact search.
 BLOCK = 512
 #: DivideSkip's weight: the larger, the fewer long lists are left to binary probes.
-MU = 0.01
+MU = 0.001
 
 PACKED = "part long, chunk long, a binary, b binary, c binary"
 
@@ -222,7 +222,7 @@ def occurrence_search(percent: int):
                 continue
             lo, hi = np.searchsorted(all_, sets[x]), np.searchsorted(all_, sets[x], "right")
             lists = sorted((own for own in (docs[a:b][fits[docs[a:b]]] for a, b in zip(lo, hi)) if len(own)), key=len)
-            need = -(-percent * n[x] // 100)
+            need = -(-percent * (n[x] + n[fits].min()) // (100 + percent))
             if len(lists) < need:
                 continue
             # The longest lists are left to binary probes; never all that are needed, so that a partner shows in a short one.
@@ -273,11 +273,10 @@ def linked(near: DataFrame, percent: int) -> DataFrame:
     # Lists that still have members of several components.
     at = prefix.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("comp", F.coalesce("root", "k"))
     split = at.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    open_ = stash(at.join(split, "h").groupBy("k", "comp").agg(F.min("low").alias("low"), F.max("low").alias("also")), "join-open")
+    open_ = stash(at.join(split, "h").select("k", "comp").distinct(), "join-open")
     if open_.isEmpty():
         return roots.select(F.col("node").alias("k"), "root")
-    bridge = open_.select(F.col("comp").alias("a"), F.col("low").alias("b")).union(open_.select(F.col("comp").alias("a"), F.col("also").alias("b")))
-    bridge = bridge.union(at.join(split, "h").select(F.col("comp").alias("a"), F.col("low").alias("b"))).distinct()
+    bridge = at.join(split, "h").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
     clusters = stash(components(bridge), "join-clusters")
     m = open_.join(clusters.select(F.col("node").alias("comp"), F.col("root").alias("cluster")), "comp").select("k", "comp", "cluster")
     per_comp = m.groupBy("cluster", "comp").agg(F.count("*").alias("in_comp"))
@@ -295,20 +294,15 @@ def linked(near: DataFrame, percent: int) -> DataFrame:
     asked = m.alias("m").join(first.union(second).alias("t"), F.expr("m.cluster = t.cluster and m.no = t.no and m.pure <=> t.pure")).select("m.k", "comp", "m.cluster", "block", "block2", "side")
     asked = asked.join(s.select("k", "n", "shared"), "k")
     more = asked.groupBy("cluster", "block", "block2").applyInPandas(occurrence_search(percent), "a binary, b binary")
-    # The exact search may find links between members of components that the stars made: all links together decide.
-    every = stars.union(stash(more, "join-more"))
+    more = stash(more, "join-more")
+    if more.isEmpty():
+        return roots.select(F.col("node").alias("k"), "root")
+    every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     return components(every).select(F.col("node").alias("k"), "root")
 
 
-def similarity_join(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, n_shingles, component_id, the smallest id reachable by links.
-
-    Two rows link when their sets of word n-grams overlap in ``percent`` of their union or more; with fewer words than
-    ``width`` the whole sequence is the one n-gram. Null, empty and wordless texts have no n-grams and link with
-    nothing, not even with each other: their component is their own id. Equal texts are one class and are compared
-    once. Null ids take part but never name a component, unless all of it have none. An empty table gives no rows.
-    Other columns are not read.
-    """
+def grouped(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id, k (key of its text), n_shingles, root (key of its component), component_id; see ``similarity_join``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.octet_length(text).cast("long").alias("chars")), "join-rows")
@@ -322,8 +316,42 @@ def similarity_join(docs: DataFrame, *, width: int = 4, percent: int = 85, id_co
     info = near.select("k", "n").join(classes.select("k", "rep"), "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     info = stash(info, "join-info")
     least = info.where("n > 0").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = info.join(least, "root", "left").select("k", "n", F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
-    return rows.join(named, "k", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = info.join(least, "root", "left").select("k", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
+    return rows.join(named, "k", "left").select("doc_id", "k", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similarity_join(docs: DataFrame, **options) -> DataFrame:
+    """Per input row: doc_id, n_shingles, component_id, the smallest id reachable by links.
+
+    Two rows link when their sets of word n-grams overlap in ``percent`` of their union or more; with fewer words than
+    ``width`` the whole sequence is the one n-gram. Null, empty and wordless texts have no n-grams and link with
+    nothing, not even with each other: their component is their own id. Equal texts are one class and are compared
+    once. Null ids take part but never name a component, unless all of it have none. An empty table gives no rows.
+    Other columns are not read.
+    """
+    return grouped(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id stays, wordless ones all do.
+
+    Columns as in ``docs``. Of repeated rows of that id one stays.
+    """
+    found = stash(grouped(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    own = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("first"))
+    is_first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k").eqNullSafe(F.col("first"))
+    judged = found.where("n_shingles > 0").join(first, "root")
+    leave = stash(judged.where(~is_first).select("doc_id", "k").distinct(), "groups-leave")
+    again = stash(judged.where(is_first).groupBy("doc_id", "k").count().where("count > 1").select("doc_id", "k"), "groups-again")
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    d = docs.withColumn("_k", key)
+    same = lambda other: d[id_col].eqNullSafe(other["doc_id"]) & (d["_k"] == other["k"])
+    kept = d.join(maybe_broadcast(leave, leave.count()), same(leave), "left_anti")
+    if not again.isEmpty():  # repeated rows
+        d = kept
+        kept = d.join(again, same(again), "left_anti").unionByName(d.join(again, same(again), "left_semi").dropDuplicates([id_col, "_k"]))
+    return kept.select(*docs.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
