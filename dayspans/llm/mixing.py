@@ -116,6 +116,22 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     return Mix(out, schedule, sources)
 
 
+def mixed_documents(docs: DataFrame, *, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix, each as often as the mix takes it, in whole copies; columns as in ``docs``.
+
+    A source's last document, of which the mix takes a part, comes whole. Documents without words are in no mix.
+    Repeated rows, equal in id, source and text, come as often as the mix takes all of them.
+    """
+    m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options).documents
+    per = m.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    per = stash(per, "mix-copies")
+    d = docs.withColumn("_n", n_words(F.col(text_col)))
+    found = d.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    if not per.where("_rows > 1").isEmpty():  # several rows of one id, source and size share their copies
+        own = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col))
+        found = found.withColumn("_all", F.expr("_all div _rows") + F.when(F.row_number().over(own) <= F.expr("_all % _rows"), 1).otherwise(0))
+    return found.withColumn("_copy", F.explode(F.expr("sequence(1, greatest(int(_all), 0))"))).where("_copy <= _all and _copy > 0").select(*docs.columns)
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 3, 1, 2: what the mix takes of each."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).documents
