@@ -161,7 +161,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, np.nd
         if x:
             yield pd.DataFrame({"w": [fit(np.array(x), np.array(p)).tolist()]})
 
-    row = sample.coalesce(1).mapInPandas(run, "w array<double>").first()
+    row = sample.repartition(1).mapInPandas(run, "w array<double>").first()
     return np.array(row["w"]) if row else np.zeros(DIMS + 1), share, table
 
 

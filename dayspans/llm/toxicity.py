@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             w = fit_logistic((x - mean) / sd, y)
         yield pa.RecordBatch.from_pydict({"toxic": [toxic], "ordinary": [ordinary], "weights": [w.tolist()], "means": [mean.tolist()], "scales": [sd.tolist()]})
 
-    row = sample.coalesce(1).mapInArrow(run, "toxic binary, ordinary binary, weights array<double>, means array<double>, scales array<double>").first()
+    row = sample.repartition(1).mapInArrow(run, "toxic binary, ordinary binary, weights array<double>, means array<double>, scales array<double>").first()
     if row is None:
         return Model(dictionary(), dictionary(), (0.0,) * 4 + (-1.0,), (0.0,) * 4, (1.0,) * 4)
     return Model(bytes(row["toxic"]), bytes(row["ordinary"]), tuple(row["weights"]), tuple(row["means"]), tuple(row["scales"]))
