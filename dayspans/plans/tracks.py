@@ -69,7 +69,7 @@ def _(v):
 
 
 @query("ge8_day_gate", """WITH d AS (SELECT user_id, date, epoch_us(tracked_at) AS us, epoch_us(tracked_at) - epoch_us(lag(tracked_at) OVER (PARTITION BY user_id, date ORDER BY tracked_at, event_id)) AS gap FROM v_gps),
-g AS (SELECT user_id, date, count(*) AS n_points, max(us) - min(us) AS span_us, count_if(gap > 360 * 60000000::BIGINT) AS n_gaps, round(quantile_cont(gap, 0.5) / 1000000, 4) AS median_gap_s FROM d GROUP BY user_id, date)
+g AS (SELECT user_id, date, count(*) AS n_points, max(us) - min(us) AS span_us, coalesce(count_if(gap > 360 * 60000000::BIGINT), 0) AS n_gaps, round(quantile_cont(gap, 0.5) / 1000000, 4) AS median_gap_s FROM d GROUP BY user_id, date)
 SELECT *, CASE WHEN n_points < 3 THEN 'too_few_points' WHEN span_us < 3600000000 THEN 'too_short' WHEN n_gaps / (n_points - 1) > 0.6 THEN 'too_many_gaps' ELSE 'ok' END AS reason FROM g""")
 def _(v):
     return track.day_gate(v.gps, min_points=3, gap_min=360).withColumn("median_gap_s", F.round("median_gap_s", 4))
