@@ -29,7 +29,7 @@ def fragmentation_index(episodes: DataFrame, keys: list[str], minutes: Column, *
     good = status == "success"
     val = lambda x, digits=6: F.round(F.when(good, x), digits)
     index = F.when(n == 1, 0.0).otherwise(F.col("_h") / F.log(F.when(n > 1, n)))
-    return g.select(*keys, val(index).alias("fragmentation_index"), n.alias("episode_count"), val(F.col("total_duration"), 8).alias("total_duration"), val(F.col("mean_duration"), 8).alias("mean_duration"), val(F.col("std_duration")).alias("std_duration"), val(F.col("std_duration") / F.col("mean_duration")).alias("cv"), status.alias("status"))
+    return g.select(*keys, val(index).alias("fragmentation_index"), n.alias("episode_count"), val(F.col("total_duration"), 10).alias("total_duration"), val(F.col("mean_duration"), 10).alias("mean_duration"), val(F.col("std_duration")).alias("std_duration"), val(F.col("std_duration") / F.col("mean_duration")).alias("cv"), status.alias("status"))
 
 
 def delta(home: Column, overlap: Column, reverse: bool = False) -> Column:

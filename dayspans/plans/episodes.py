@@ -262,7 +262,7 @@ def index_sql(source: str, keys: str = "user_id, date", least: int = 1, most: st
 {name}4 AS (SELECT *, k / sum(k) OVER (PARTITION BY {keys}) AS p FROM {name}3),
 {name}5 AS (SELECT {keys}, max(n) AS n, count(k) AS episode_count, sum(k) AS total, avg(k) AS mean, coalesce(stddev_samp(k), 0) AS sd, sum(-p * ln(p)) AS h FROM {name}4 GROUP BY {keys}),
 {name}6 AS (SELECT *, CASE WHEN n = 0 THEN 'no_valid_episodes' WHEN n < {least} THEN 'insufficient_episodes_' || n WHEN episode_count < {least} THEN 'insufficient_episodes_after_outlier_removal' ELSE 'success' END AS status FROM {name}5),
-{name} AS (SELECT {keys}, CASE WHEN status = 'success' THEN round(CASE WHEN episode_count = 1 THEN 0 ELSE h / ln(episode_count) END, 6) END AS fragmentation_index, episode_count, CASE WHEN status = 'success' THEN round(total, 8) END AS total_duration, CASE WHEN status = 'success' THEN round(mean, 8) END AS mean_duration, CASE WHEN status = 'success' THEN round(sd, 6) END AS std_duration, CASE WHEN status = 'success' THEN round(sd / mean, 6) END AS cv, status FROM {name}6)"""
+{name} AS (SELECT {keys}, CASE WHEN status = 'success' THEN round(CASE WHEN episode_count = 1 THEN 0 ELSE h / ln(episode_count) END, 6) END AS fragmentation_index, episode_count, CASE WHEN status = 'success' THEN round(total, 10) END AS total_duration, CASE WHEN status = 'success' THEN round(mean, 10) END AS mean_duration, CASE WHEN status = 'success' THEN round(sd, 6) END AS std_duration, CASE WHEN status = 'success' THEN round(sd / mean, 6) END AS cv, status FROM {name}6)"""
 
 
 MINUTES = (c("end_us") - c("start_us")) / 60_000_000

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import cleaning, cohorts, episodes, statistics, tracks  # noqa: E402, F401
+from . import cleaning, cohorts, episodes, scans, statistics, tracks  # noqa: E402, F401

@@ -1 +1,198 @@
+"""Queries of the statistics operators. DuckDB has no tail functions: p-values are tested apart, in tests/."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import labels
+from ..operators import fragmentation as fr
+from ..operators import questionnaires as qn
+from ..operators import statistics as st
+from .registry import query
+
+c = F.col
+
+
+def r6(x, name):
+    return F.round(x, 6).alias(name)
+
+
+JOINED = "(SELECT d.*, CASE gender_raw WHEN 'F' THEN 'female' WHEN 'M' THEN 'male' END AS gender, centre_raw, class_name FROM v_daily d JOIN v_demo m USING (user_id))"
+
+
+def joined(v):
+    gender = labels.recode(c("gender_raw"), {"F": "female", "M": "male"})
+    return v.daily.join(v.demo.select("user_id", gender.alias("gender"), "centre_raw", "class_name"), "user_id")
+
+
+def groups_sql(source: str, group: str, value: str, key: str = "") -> str:
+    k = f"{key}, " if key else ""
+    by = f"GROUP BY {key}" if key else ""
+    return f"""mo AS (SELECT {k}{group} AS g, count({value}) AS n, avg({value}) AS mean, var_samp({value}) AS var, var_pop({value}) AS var0 FROM {source} WHERE {group} IS NOT NULL GROUP BY {k}{group}),
+rk AS (SELECT *, row_number() OVER ({f'PARTITION BY {key} ' if key else ''}ORDER BY g) AS r FROM mo WHERE n > 0),
+tw AS (SELECT {k}max(n) FILTER (WHERE r = 1) AS n1, max(n) FILTER (WHERE r = 2) AS n2, max(mean) FILTER (WHERE r = 1) AS m1, max(mean) FILTER (WHERE r = 2) AS m2, max(var) FILTER (WHERE r = 1) AS v1, max(var) FILTER (WHERE r = 2) AS v2, max(var0) FILTER (WHERE r = 1) AS p1, max(var0) FILTER (WHERE r = 2) AS p2 FROM rk {by})"""
+
+
+WELCH = "n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df, round(abs(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d"
+
+
+def welch_columns(d, *keys):
+    return d.select(*keys, c("g1_n").alias("n1"), c("g2_n").alias("n2"), r6(c("t"), "t"), F.round("df", 4).alias("df"), r6(c("d"), "d"))
+
+
+@query("st1_student", f"WITH {groups_sql(JOINED, 'gender', 'total_value')} SELECT n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)), 6) AS t, CAST(n1 + n2 - 2 AS DOUBLE) AS df, round((m1 - m2) / sqrt((p1 + p2) / 2), 6) AS d FROM tw")
+def _(v):
+    return st.student(joined(v), [], "gender", "total_value").select(c("g1_n").alias("n1"), c("g2_n").alias("n2"), r6(c("t"), "t"), "df", r6(c("d"), "d"))
+
+
+@query("st1_student_p")
+def _(v):
+    return st.student(joined(v), [], "gender", "total_value").select(r6(c("t"), "t"), r6(c("p"), "p"))
+
+
+@query("st2_anova", f"""WITH mo AS (SELECT class_name, count(total_value) AS n, avg(total_value) AS mean, var_pop(total_value) AS var0 FROM {JOINED} GROUP BY class_name),
+s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * mean) / sum(n) AS grand, sum(n * var0) AS ssw FROM mo), b AS (SELECT sum(n * pow(mean - (SELECT grand FROM s), 2)) AS ssb FROM mo)
+SELECT k, CAST(n AS BIGINT) AS n, round((ssb / (k - 1)) / (ssw / (n - k)), 5) AS f, round(ssb / (ssb + ssw), 6) AS eta2 FROM s, b""")
+def _(v):
+    return st.anova(joined(v), [], "class_name", "total_value").select("k", "n", F.round("f", 5).alias("f"), r6(c("eta2"), "eta2"))
+
+
+@query("st3_welch", f"WITH {groups_sql(JOINED, 'centre_raw', 'total_value')} SELECT {WELCH} FROM tw")
+def _(v):
+    return welch_columns(st.welch(joined(v), [], "centre_raw", "total_value"))
+
+
+MEANS = f"(SELECT user_id, gender, avg(total_value) AS total_value FROM {JOINED} GROUP BY user_id, gender)"
+
+
+@query("st4_participant_means", f"WITH {groups_sql(MEANS, 'gender', 'total_value')} SELECT {WELCH} FROM tw")
+def _(v):
+    means = joined(v).groupBy("user_id", "gender").agg(F.avg("total_value").alias("total_value"))
+    return welch_columns(st.welch(means, [], "gender", "total_value", min_n=3))
+
+
+TESTS = f"(SELECT metric || '~' || demo AS test, grp, x FROM (SELECT 'total_value' AS metric, total_value AS x, gender, centre_raw FROM {JOINED} UNION ALL SELECT 'outcome', outcome, gender, centre_raw FROM {JOINED}) m, LATERAL (SELECT 'gender' AS demo, gender AS grp UNION ALL SELECT 'centre', centre_raw) g)"
+
+
+@query("st5_all_tests", f"WITH {groups_sql(TESTS, 'grp', 'x', 'test')} SELECT test, {WELCH} FROM tw")
+def _(v):
+    d = joined(v).select("gender", c("centre_raw").alias("centre"), "total_value", "outcome")
+    d = d.unpivot(["gender", "centre"], ["total_value", "outcome"], "metric", "x").unpivot(["metric", "x"], ["gender", "centre"], "demo", "grp")
+    return welch_columns(st.welch(d.withColumn("test", F.concat_ws("~", "metric", "demo")), ["test"], "grp", "x"), "test")
+
+
+SPLIT = "(SELECT CASE WHEN total_value > (SELECT median(total_value) FROM v_daily) THEN 'high' ELSE 'low' END AS level, outcome FROM v_daily)"
+
+
+@query("st6_median_split", f"WITH {groups_sql(SPLIT, 'level', 'outcome')} SELECT {WELCH} FROM tw")
+def _(v):
+    return welch_columns(st.welch(labels.high_low(v.daily, "total_value", "level"), [], "level", "outcome"))
+
+
+PAIRS = [("total_value", "outcome"), ("total_value", "n_events"), ("n_types", "outcome")]
+CORR = "c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM v_daily" for a, b in PAIRS) + ")"
+
+
+@query("st7_pearson", f"WITH {CORR} SELECT a, b, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t, CASE WHEN abs(r) < 0.1 THEN 'Negligible' WHEN abs(r) < 0.3 THEN 'Small' WHEN abs(r) < 0.5 THEN 'Medium' ELSE 'Large' END AS effect FROM c")
+def _(v):
+    return st.pearson(v.daily, PAIRS).select("a", "b", "n", r6(c("r"), "r"), F.round("t", 5).alias("t"), labels.effect_words(c("r")).alias("effect"))
+
+
+@query("st8_result_summary", f"WITH {CORR} SELECT count(*) AS tests, count(*) FILTER (WHERE abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9605) AS significant, max(round(abs(r), 6)) AS top_r FROM c")
+def _(v):
+    p = st.pearson(v.daily, PAIRS)
+    return p.agg(F.count("*").alias("tests"), F.count_if(c("p") < 0.05).alias("significant"), F.max(F.round(F.abs("r"), 6)).alias("top_r"))
+
+
+@query("st9_ols", "SELECT round(regr_slope(outcome, total_value), 7) AS coef, round(regr_r2(outcome, total_value), 6) AS r2, count(*) AS n FROM v_daily")
+def _(v):
+    return st.ols(v.daily, "outcome", ["total_value"]).where("term = 'total_value'").select(F.round("coef", 7).alias("coef"), r6(c("r2"), "r2"), "n")
+
+
+STEPS = [["total_value"], ["n_events"], ["n_types"]]
+
+
+@query("st10_nested_models")
+def _(v):
+    m = st.nested_models(v.daily, "outcome", STEPS)
+    return m.select("step", "term", *[r6(c(x), x) for x in ("coef", "se", "t", "p", "r2", "adj_r2")], F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
+
+
+@query("st11_step_pivot")
+def _(v):
+    m = st.nested_models(v.daily, "outcome", STEPS).where("term <> 'intercept'")
+    return m.groupBy("term").pivot("step", [1, 2, 3]).agg(F.round(F.first("coef"), 6)).withColumnsRenamed({str(i): f"step_{i}" for i in (1, 2, 3)})
+
+
+@query("st12_decomposition", "SELECT user_id, date, round(avg(total_value) OVER (PARTITION BY user_id), 6) AS person_mean, round(total_value - avg(total_value) OVER (PARTITION BY user_id), 6) AS deviation, round(outcome - avg(outcome) OVER (), 6) AS centred FROM v_daily")
+def _(v):
+    grand = v.daily.agg(F.avg("outcome").alias("g"))
+    own = F.avg("total_value").over(Window.partitionBy("user_id"))
+    return v.daily.crossJoin(F.broadcast(grand)).select("user_id", "date", r6(own, "person_mean"), r6(c("total_value") - own, "deviation"), r6(c("outcome") - c("g"), "centred"))
+
+
+@query("st13_random_intercept")
+def _(v):
+    m = st.random_intercept(v.daily, "outcome", ["total_value"], "user_id")
+    return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se", "z", "p", "group_var", "residual_var", "icc")])
+
+
+@query("st14_icc")
+def _(v):
+    return st.random_intercept(v.daily, "outcome", [], "user_id").select(F.round("icc", 6).alias("icc"), "n", "n_groups")
+
+
+@query("st15_interaction_model")
+def _(v):
+    d = joined(v).withColumn("female", (c("gender") == "female").cast("int")).withColumn("female_x_value", c("female") * c("total_value"))
+    m = st.random_intercept(d, "outcome", ["total_value", "female", "female_x_value"], "user_id")
+    return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se", "p")], F.round(c("coef") - 1.96 * c("se"), 5).alias("low"), F.round(c("coef") + 1.96 * c("se"), 5).alias("high"))
+
+
+ARTICLE = "g AS (SELECT source, avg(total_value) AS m1, stddev_samp(total_value) AS s1, avg(n_events) AS m2, stddev_samp(n_events) AS s2 FROM v_daily GROUP BY source)"
+
+
+@query("st16_article_table", f"WITH {ARTICLE} SELECT 'total_value' AS parameter, max(CASE WHEN source = 'studyA' THEN printf('%.2f (%.2f)', m1, s1) END) AS \"studyA\", max(CASE WHEN source = 'studyB' THEN printf('%.2f (%.2f)', m1, s1) END) AS \"studyB\" FROM g UNION ALL SELECT 'n_events', max(CASE WHEN source = 'studyA' THEN printf('%.2f (%.2f)', m2, s2) END), max(CASE WHEN source = 'studyB' THEN printf('%.2f (%.2f)', m2, s2) END) FROM g")
+def _(v):
+    d = v.daily.select("source", "total_value", c("n_events").cast("double").alias("n_events")).unpivot(["source"], ["total_value", "n_events"], "parameter", "x")
+    return d.groupBy("parameter").pivot("source", ["studyA", "studyB"]).agg(labels.mean_sd(F.avg("x"), F.stddev_samp("x")))
+
+
+@query("st17_simple_slopes", "SELECT source, count(*) AS n, round(regr_slope(outcome, total_value), 7) AS slope, round(regr_intercept(outcome, total_value), 6) AS intercept, round(sqrt((regr_syy(outcome, total_value) - regr_slope(outcome, total_value) * regr_sxy(outcome, total_value)) / (count(*) - 2) / regr_sxx(outcome, total_value)), 7) AS se FROM v_daily GROUP BY source")
+def _(v):
+    s = st.simple_slopes(v.daily, "source", "total_value", "outcome")
+    return s.select("source", "n", F.round("slope", 7).alias("slope"), r6(c("intercept"), "intercept"), F.round("se", 7).alias("se"))
+
+
+@query("st18_marginal_effects", "WITH s AS (SELECT source, regr_slope(outcome, total_value) AS b, sqrt((regr_syy(outcome, total_value) - regr_slope(outcome, total_value) * regr_sxy(outcome, total_value)) / (count(*) - 2) / regr_sxx(outcome, total_value)) AS se FROM v_daily GROUP BY source), w AS (SELECT max(b) FILTER (WHERE source = 'studyA') AS b1, max(b) FILTER (WHERE source = 'studyB') AS b2, max(se) FILTER (WHERE source = 'studyA') AS s1, max(se) FILTER (WHERE source = 'studyB') AS s2 FROM s) SELECT round(b1, 7) AS ref, round(b2 - b1, 7) AS change, round(b2 - b1 - 1.96 * sqrt(s1 * s1 + s2 * s2), 7) AS low, round(b2 - b1 + 1.96 * sqrt(s1 * s1 + s2 * s2), 7) AS high FROM w")
+def _(v):
+    s = st.simple_slopes(v.daily, "source", "total_value", "outcome")
+    pick = lambda x, name: F.max(F.when(c("source") == name, c(x)))
+    w = s.agg(pick("slope", "studyA").alias("b1"), pick("slope", "studyB").alias("b2"), pick("se", "studyA").alias("s1"), pick("se", "studyB").alias("s2"))
+    diff, se = c("b2") - c("b1"), F.sqrt(c("s1") * c("s1") + c("s2") * c("s2"))
+    return w.select(F.round("b1", 7).alias("ref"), F.round(diff, 7).alias("change"), F.round(diff - 1.96 * se, 7).alias("low"), F.round(diff + 1.96 * se, 7).alias("high"))
+
+
+@query("st19_collinearity", "WITH c AS (SELECT 'total_value' AS a, 'outcome' AS b, corr(total_value, outcome) AS r FROM v_daily UNION ALL SELECT 'total_value', 'n_events', corr(total_value, n_events) FROM v_daily UNION ALL SELECT 'outcome', 'n_events', corr(outcome, n_events) FROM v_daily) SELECT a, b, round(r, 6) AS r FROM c WHERE abs(r) > 0.3")
+def _(v):
+    return fr.correlations(v.daily, ["total_value", "outcome", "n_events"]).where(F.abs("r") > 0.3).select("a", "b", "r")
+
+
+@query("st20_descriptive_groups", "SELECT round(avg(total_value) FILTER (WHERE source = 'studyA'), 6) AS mean_a, round(avg(total_value) FILTER (WHERE source = 'studyB'), 6) AS mean_b, round(stddev_samp(total_value) FILTER (WHERE source = 'studyA') / stddev_samp(total_value) FILTER (WHERE source = 'studyB'), 6) AS sd_ratio, round(avg(total_value) FILTER (WHERE source = 'studyA') - avg(total_value) FILTER (WHERE source = 'studyB'), 6) AS mean_diff FROM v_daily")
+def _(v):
+    x = lambda s: F.when(c("source") == s, c("total_value"))
+    a, b = x("studyA"), x("studyB")
+    return v.daily.agg(r6(F.avg(a), "mean_a"), r6(F.avg(b), "mean_b"), r6(F.stddev_samp(a) / F.stddev_samp(b), "sd_ratio"), r6(F.avg(a) - F.avg(b), "mean_diff"))
+
+
+@query("st21_check_standardisation", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_samp(total_value) OVER () AS z FROM v_daily) SELECT user_id, count(z) AS n, round(avg(z), 6) AS mean, round(stddev_samp(z), 6) AS sd FROM z GROUP BY user_id HAVING count(z) > 1 AND (abs(avg(z)) > 0.1 OR abs(stddev_samp(z) - 1) > 0.1)")
+def _(v):
+    z = qn.zscore(v.daily, "total_value", [], "z", ddof=1)
+    return st.check_standardisation(z, "user_id", "z").select("user_id", "n", r6(c("mean"), "mean"), r6(c("sd"), "sd"))
+
+
+@query("st22_two_standardisations", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_pop(total_value) OVER () AS zp, CASE WHEN coalesce(stddev_samp(total_value) OVER w, 0) = 0 THEN 0 ELSE (total_value - avg(total_value) OVER w) / stddev_samp(total_value) OVER w END AS zi FROM v_daily WINDOW w AS (PARTITION BY user_id)) SELECT user_id, round(avg(zp), 6) AS population, abs(avg(zi)) < 0.000001 AS person_is_zero FROM z GROUP BY user_id")
+def _(v):
+    z = qn.zscore(qn.zscore(v.daily, "total_value", [], "zp", ddof=0), "total_value", ["user_id"], "zi")
+    return z.groupBy("user_id").agg(r6(F.avg("zp"), "population"), (F.abs(F.avg("zi")) < 0.000001).alias("person_is_zero"))

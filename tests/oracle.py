@@ -26,7 +26,7 @@ def plain(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return f"{float(v):.9g}"
+        return f"{float(v):.12g}"
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(plain, v)) + "]"
     return str(v)
