@@ -119,18 +119,24 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
 def mixed_documents(docs: DataFrame, *, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it, in whole copies; columns as in ``docs``.
 
-    A source's last document, of which the mix takes a part, comes whole. Documents without words are in no mix.
-    Repeated rows, equal in id, source and text, come as often as the mix takes all of them.
+    A source's last document, of which the mix takes a part, comes whole; if it is one of several equal rows, all of
+    them come. Documents without words are in no mix.
     """
-    m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options).documents
-    per = m.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    # The mix takes a source's stream from its start: some whole laps, then all up to one document. So a row per source
+    # tells each document its copies, and no text is shuffled.
+    place = lambda i, n: F.struct(F.expr(f"pmod(_key, (n_docs + {BUCKET_DOCS - 1}) div {BUCKET_DOCS})").alias("bucket"), F.col("_key").alias("key"), F.col(i).alias("id"), F.col(n).alias("size"))
+    key = lambda i, n: F.xxhash64(F.lit(seed), i, n)
+    laps = m.sources.select(F.col("source").alias("_source"), "n_docs", F.expr("coalesce(try_divide(take - take % source_size, source_size), 0)").cast("int").alias("laps"))
+    d = m.documents.where("copies > 0").withColumn("_key", key("doc_id", "size")).join(laps, F.col("source").eqNullSafe(F.col("_source")))
+    last = d.where("copies > laps").groupBy("_source").agg(F.max(place("doc_id", "size")).alias("last"))
+    per = laps.alias("l").join(last.alias("c"), F.col("l._source").eqNullSafe(F.col("c._source")), "left").select(F.col("l._source").alias("_source"), "n_docs", "laps", "last")
     per = stash(per, "mix-copies")
-    d = docs.withColumn("_n", n_words(F.col(text_col)))
-    found = d.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    if not per.where("_rows > 1").isEmpty():  # several rows of one id, source and size share their copies
-        own = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col))
-        found = found.withColumn("_all", F.expr("_all div _rows") + F.when(F.row_number().over(own) <= F.expr("_all % _rows"), 1).otherwise(0))
-    return found.withColumn("_copy", F.explode(F.expr("sequence(1, greatest(int(_all), 0))"))).where("_copy <= _all and _copy > 0").select(*docs.columns)
+    out = docs.withColumn("_n", n_words(F.col(text_col))).withColumn("_key", key(F.col(id_col), F.col("_n")))
+    out = out.join(maybe_broadcast(per, per.count()), F.col(source_col).eqNullSafe(F.col("_source"))).where("_n > 0")
+    more = F.coalesce(place(id_col, "_n") <= F.col("last"), F.lit(False)).cast("int")
+    return out.withColumn("_all", F.col("laps") + more).where("_all > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _all)"))).select(*docs.columns)
+
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 3, 1, 2: what the mix takes of each."""

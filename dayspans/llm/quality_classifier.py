@@ -31,7 +31,7 @@ LABELLERS = (
     ("lines", "dup_line_share", -1.0, 0.0, 0.2, 0.5),
 )
 #: Hashed features of a text; rows that train the scorer, about, chosen by a hash of the text; rounds of EM and of the fit.
-DIMS, TRAIN_ROWS, EM_ROUNDS, FIT_ROUNDS = 2_048, 12_000, 50, 200
+DIMS, TRAIN_ROWS, EM_ROUNDS, FIT_ROUNDS = 1_024, 8_000, 50, 500
 
 
 def statistics(text: str | None) -> dict[str, float]:
@@ -81,7 +81,7 @@ def features(text: str | None):
         out[:half] = np.sqrt(n / len(code))
     for i, v in enumerate(statistics(text).values()):
         step = int(np.floor(np.log2(v + 2.0**-10) * 2)) if v >= 0 else -40
-        out[half + (i * 7919 + step * 104729) % half] += 0.3
+        out[half + (i * 7919 + step * 104729) % half] += 0.7
     return out
 
 
@@ -120,7 +120,7 @@ def posteriors(share: np.ndarray, table: np.ndarray, v: np.ndarray) -> np.ndarra
     return p / p.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, p: np.ndarray, ridge: float = 1e-4, rate: float = 2.0) -> np.ndarray:
+def fit(x: np.ndarray, p: np.ndarray, ridge: float = 1e-4, rate: float = 0.5) -> np.ndarray:
     """Weights (bias last) of a logistic regression on soft labels, by accelerated gradient steps."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = last = np.zeros(x1.shape[1])

@@ -1,0 +1,474 @@
+"""The training-data operators on small fixtures: brute force, round trips, and odd rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dayspans.llm import components, exact_topk, html_extraction, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, toxicity, warc
+from dayspans.llm._common import stash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, k string, idx int, votes string, score double"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DATA = "/root/testdata/sf0.001"
+
+
+def odd_rows():
+    """Nulls everywhere, empty and long texts, repeats, ties, words of all kinds, and columns that clash with inner names."""
+    rng = random.Random(7)
+    words = ["alpha", "beta", "Gamma", "delta", "épsilon", "zeta", "a.b@c.de", "+1 (988) 555-2485", "4111 1111 1111 1111", "10.0.0.300", "1.2.3.4", "#tag", "x|y"]
+    base = " ".join(rng.choice(words) for _ in range(80))
+    texts = [None, "", "   \n\t ", "one", "One", "a b c", base, base, base.upper(), base + " more", base.replace("alpha", "omega", 1), "x " * 3000, "\x1c odd\x85 space  here", "<|endoftext|> text", "퟿ é 😀 " * 20]
+    texts += [" ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    rows = [(i if i % 11 else None, t, "en", f"s{i % 4}" if i % 5 else None, 1, 5, "r", "k", 3, "v", 0.5) for i, t in enumerate(texts)]
+    return rows + rows[6:9] + rows[20:22]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return stash(spark.createDataFrame(odd_rows(), SCHEMA).repartition(3), "odd")
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def n_words(t):
+    return len(WORD.findall(t or ""))
+
+
+# 1 Mixing
+
+
+def water_fill(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    out, free, left = {}, set(names), share * sum(sizes.values())
+    while free:
+        total = sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / total > cap * sizes[s]]
+        if not over:
+            return out | {s: left * w[s] / total for s in free}
+        for s in over:
+            out[s] = cap * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= set(over)
+    return out
+
+
+def test_mix_meets_its_targets(docs):
+    m = mixing.mix(docs, block_words=16)
+    got = m.documents.collect()
+    sizes = defaultdict(int)
+    for r in odd_rows():
+        sizes[r[3]] += n_words(r[1])
+    want = water_fill(sizes)
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert abs(r["target"] - want[r["source"]]) < 1e-6
+        taken[r["source"]] += r["taken"]
+    assert len(got) == len(odd_rows())
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    slots = m.schedule.groupBy("slot", "idx", "rank").agg(F.sum("words").alias("n")).collect()
+    assert all(r["n"] <= 16 for r in slots) and sum(r["n"] < 16 for r in slots) <= len(sizes)
+
+
+def test_mix_interleaves_sources_evenly(docs):
+    order = [r["idx"] for r in mixing.mix(docs, block_words=4).schedule.select("slot", "idx").distinct().orderBy("slot").collect()]
+    share = Counter(order)
+    for n in range(20, len(order), 20):
+        head = Counter(order[:n])
+        assert all(abs(head[s] - n * share[s] / len(order)) <= 5 for s in share)
+
+
+def test_ranks_of_points(spark):
+    bits = mixing.BITS
+    point = lambda i: int(f"{i:0{bits}b}"[::-1], 2)
+    lo, hi = int(0.21 * 2**bits), int(0.37 * 2**bits)
+    d = spark.range(200).withColumn("u", F.expr(mixing.point("id"))).select("id", "u", F.expr(mixing.points_below("id", "u", f"{hi}L")).alias("h"), F.expr(mixing.points_below("id", "u", f"{lo}L")).alias("l"))
+    for r in d.collect():
+        assert r["u"] == point(r["id"])
+        assert r["h"] - r["l"] == sum(lo <= point(j) < hi for j in range(r["id"]))
+
+
+def test_mix_reruns_agree_and_empty(docs, nothing):
+    rows = lambda: sorted(map(str, mixing.mix(docs).documents.select("doc_id", "size", "taken").collect()))
+    assert rows() == rows()
+    assert mixing.mix(nothing).documents.count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_mixed_documents(docs):
+    m = mixing.mixed_documents(docs)
+    assert m.columns == docs.columns
+    assert m.count() == mixing.mix(docs).documents.agg(F.sum("copies")).first()[0]
+
+
+# 2 PII
+
+
+def base_spans(t):
+    out = []
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for rank, (k, p) in enumerate(kinds.items()):
+        for m in re.finditer(p, t or ""):
+            v, d = m.group(), re.sub("[^0-9]", "", m.group())
+            if k == "ip" and any(int(x) > 255 for x in v.split(".")) or k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            if k == "card" and (not 12 <= len(d) <= 19 or sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d))) % 10):
+                continue
+            out.append((m.start(), rank, m.end(), k))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_pii_matches_brute_force(spark, docs, nothing):
+    more = ["a@b.c@d.e", "a@b.c_d@e.f x@y", "1.2.3.4.5 999.1.1.1 0001.002.3.0255", "é😀 4111-1111-1111-1111 +1 +2", "a@b" + ".c" * 3000, "9" * 4000, "x" * 9000, "a@b.co " * 400, "12 34-56 78 90 12 34 56"]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(900 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    found = pii.detect(d).select("text", pii.joined(F.filter("pii", lambda s: s["rank"] < 4)).alias("b")).collect()
+    assert [r["b"] for r in found] == [base_spans(r["text"]) for r in found]
+    assert pii.detect(nothing).count() == 0
+
+
+def test_pii_added_kinds_and_mask(spark):
+    d = spark.createDataFrame([(1, "é my iban GB82 WEST 1234 5698 7654 32, call +1 (269) 555-3296 4524132264652876 ok"), (2, "serial GB82 WEST 1234 5698 7654 33"), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert rows[3] is None and rows[2] == "serial GB82 WEST 1234 5698 7654 33"
+    assert rows[1].startswith("é my iban <IBAN>, call <TEL> ") and "3296" not in rows[1]
+
+
+# 4 HTML
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (None, ""), ("", ""), ("<p>", ""), ("a &amp b &am", "a & b &am"),
+    ("<nav>menu</nav><article><h1>T</h1><p><b>One.<br><p>Two,  three\n<i>four</i>.</p><form>f</form><div class='comments'><p>c</p></div></article><footer>x</footer>", "T\nOne.\nTwo, three four."),
+    ("<body><div id=sidebar>s</div><div><p>Long text, with commas. And more of it.</p><p>On.</p><script>var t='</p>';</script></div><div class=ad>buy</div>", "Long text, with commas. And more of it.\nOn."),
+    ("<main><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></main>", "a\nb\n1\n2"),
+])
+def test_main_text(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_extract_reads_given_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    import html as entities
+
+    for r in html_extraction.extract(pages).collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1)
+        parts = (" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        assert r["text"] == "\n".join(x for x in parts if x)
+
+
+def test_extract_deep_and_broken_pages():
+    for page in ("<div>" * 5000 + "x", "<p" * 3000, '<p a="' * 300, "<b>x" * 3000, "</div>" * 3000, "<!--" * 1000):
+        html_extraction.main_text(page)
+
+
+# 5 Jaccard join
+
+
+def brute_components(rows, width, percent):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        k = min(width, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            o = len(a & sets[j])
+            if o and 100 * o >= percent * (len(a) + len(sets[j]) - o):
+                up[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[find(i)].append(d)
+    return [(d, len(s), min(ids[find(i)], default=None) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def near_copies(rng, n_groups=12, n_each=12):
+    words = [f"w{i}" for i in range(400)]
+    rows, shared = [], [rng.choice(words) for _ in range(60)]
+    for g in range(n_groups):
+        base = [rng.choice(words) for _ in range(rng.randrange(30, 120))] + shared * (g % 3)
+        for _ in range(n_each):
+            t = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (1, 50)])
+def test_similarity_join_matches_brute_force(spark, docs, width, percent):
+    rows = near_copies(random.Random(width)) + [(10_000 + i if r[0] is not None else None, r[1]) for i, r in enumerate(odd_rows())]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.similarity_join(d, width=width, percent=percent).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_components(rows, width, percent))
+
+
+def test_exact_search_in_small_blocks(spark, monkeypatch):
+    """With tiny blocks and chunks, the same result: heavy lists, block pairs and pure blocks all come into play."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 500)
+    monkeypatch.setattr(jaccard_join, "RANGE", 100)
+    rows = near_copies(random.Random(3), 6, 30)
+    got = jaccard_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2, percent=70).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_components(rows, 2, 70))
+
+
+def test_occurrence_search_finds_every_component():
+    import pandas as pd
+
+    rng = random.Random(1)
+    sets = [set(rng.sample(range(60), 40)) for _ in range(40)]
+    group = pd.DataFrame({"k": [bytes([i]) for i in range(40)], "n": [40] * 40, "shared": [np.array(sorted(s)) for s in sets], "comp": [bytes([i]) for i in range(40)], "side": 1})
+    links = jaccard_join.occurrence_search(60)(group)
+    up = {bytes([i]): bytes([i]) for i in range(40)}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links.itertuples(index=False):
+        up[find(a)] = find(b)
+    for i in range(40):
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            if 100 * o >= 60 * (80 - o):
+                assert find(bytes([i])) == find(bytes([j]))
+
+
+def test_one_per_group(spark, docs, nothing):
+    kept = jaccard_join.one_per_group(docs, width=5, percent=80)
+    assert kept.columns == docs.columns
+    groups = Counter(c for _, n, c in brute_components([(r[0], r[1]) for r in odd_rows()], 5, 80) if n)
+    worded = [r for r in kept.collect() if n_words(r["text"])]
+    named = [g for g in groups if g is not None]
+    assert sorted(r["doc_id"] for r in worded if r["doc_id"] is not None) == sorted(named)
+    assert kept.where(F.coalesce(F.trim("text"), F.lit("")) == "").count() == docs.where(F.coalesce(F.trim("text"), F.lit("")) == "").count()
+    assert jaccard_join.similarity_join(nothing).count() == 0 and jaccard_join.one_per_group(nothing).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(30)] + [(100 + i, 100) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    up = {n: n for e in edges for n in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
+# 3 and 6 Quality
+
+
+def test_quality_rules_match_brute_force(docs, nothing):
+    for r in quality_rules.assess(docs).collect():
+        t, m = r["text"] or "", r["rules"]
+        w = WORD.findall(t)
+        win = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        rep = {j for i in range(len(w) - 7) if win[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep))
+        assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == want
+        assert m["base_failed"] == (len(w) < 20 or 100 * len(rep) > 30 * len(w)) and not (m["kept"] and m["base_failed"])
+    assert quality_rules.assess(nothing).count() == 0
+
+
+def test_quality_rules_keep_prose(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("quality = 1")
+    m = quality_rules.assess(d).select("rules.*").where("not base_failed")
+    assert m.where("kept").count() >= 0.98 * m.count()
+
+
+def test_quality_classifier_agrees_with_labels(spark, nothing):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000")
+    w, share, table = quality_classifier.train(d)
+    assert abs(share.sum() - 1) < 1e-9 and np.allclose(table.sum(2), 1, atol=1e-2)
+    p = quality_classifier.score(d, w).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("quality", "quality_score").toPandas()
+    assert (p[p.quality == 1].quality_score >= 0.5).mean() > 0.97 and (p[p.quality == 0].quality_score < 0.5).mean() > 0.8
+    assert quality_classifier.score(nothing, quality_classifier.train(nothing)[0]).count() == 0
+
+
+def test_quality_classifier_odd_rows(docs):
+    w, _, _ = quality_classifier.train(docs)
+    assert all(0 <= r["quality_score"] <= 1 for r in quality_classifier.score(docs, w).collect())
+
+
+# 7 Packing
+
+
+@pytest.fixture(scope="module")
+def files():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_both_encoders_agree(spark, files):
+    slow, fast = packing.encoder(files[0]), packing.encoder(*files)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()] + [r[1] or "" for r in odd_rows()]
+    assert all(np.array_equal(slow(t), fast(t)) for t in texts)
+
+
+def test_pack_round_trip(docs, nothing, files):
+    got = packing.pack(docs, tokenizer=files[0], ranks=files[1], most=64).collect()
+    bins = defaultdict(list)
+    for r in got:
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        bins[r["sequence_id"]].append(r)
+    for own in bins.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    encode, want = packing.encoder(files[0]), Counter()
+    for r in odd_rows():
+        ids = [*encode(r[1] or "").tolist(), packing.END]
+        for p, (s, n) in enumerate(packing.cut(len(ids), 64)):
+            want[(r[0], p, s, tuple(ids[s : s + n]))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], tuple(r["ids"])) for r in got) == want
+    assert packing.pack(nothing, tokenizer=files[0]).count() == 0
+
+
+def test_fullest_matches_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        counts = {rng.randrange(1, 30): rng.randrange(1, 4) for _ in range(rng.randrange(1, 6))}
+        room, sums = rng.randrange(0, 60), {0}
+        for k, n in counts.items():
+            for _ in range(n):
+                sums |= {s + k for s in sums if s + k <= room}
+        got = packing.fullest(counts, room)
+        assert sum(got) == max(sums) and all(got.count(k) <= counts[k] for k in set(got))
+
+
+def test_fill_uses_every_piece_and_few_bins():
+    rng = random.Random(4)
+    h = Counter(rng.randrange(1, 1025) for _ in range(5000))
+    out = packing.fill(dict(h), 1024)
+    used = Counter()
+    for items, times in out:
+        assert sum(items) <= 1024
+        for k in items:
+            used[k] += times
+    assert used == h and sum(t for _, t in out) <= 1.02 * sum(k * n for k, n in h.items()) / 1024
+
+
+# 8 WARC
+
+
+def test_warc_round_trip(spark):
+    evil = "dup\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
+    rows = [(1, "http://www.A.com:80/x?q=1", "one"), (2, "https://a.com/x", evil), (3, None, evil), (4, "u\r\nX: y", None), (5, "u", ""), (9, "u", "é😀"), (7, "u", "é😀"), (7, "u", "é😀"), (None, "v", "n"), (None, "w", "n"), (11, "http://b.org/", "long " * 50_000)]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, bytes int")
+    got = warc.capture_histories(pages).collect()
+    assert len(got) == len(rows)
+    b32 = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == Counter((i, len((t or "").encode()), b32(t)) for i, _, t in rows)
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
+    assert kinds == Counter({(1, "response", None): 1, (2, "response", None): 1, (3, "revisit", 2): 1, (4, "response", None): 1, (5, "revisit", 4): 1, (7, "response", None): 1, (7, "revisit", 7): 1, (9, "revisit", 7): 1, (None, "response", None): 1, (None, "revisit", None): 1, (11, "response", None): 1})
+    keys = [(r["url_key"], r["captured_at"]) for r in got]
+    assert keys == sorted(keys)
+    assert warc.capture_histories(pages.where("false")).count() == 0
+
+
+def test_loser_tree():
+    rng = random.Random(0)
+    for k in range(0, 9):
+        runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(0, 20))) for _ in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+# 9 Toxicity
+
+
+def test_toxicity_learns_planted_words(spark, nothing):
+    rng = random.Random(9)
+    plain, bad = [f"wo{i}rd" for i in range(300)], ["idiot", "scumbag", "loserling"]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(plain) for _ in range(rng.randrange(10, 120))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % toxicity.FOLDS == 0]
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.95 * len(held)
+    assert toxicity.score(nothing, model).count() == 0
+    flat = toxicity.train(nothing, known)
+    assert all(r["toxicity"] < 0.5 for r in toxicity.score(docs.limit(5), flat).collect())
+
+
+def test_toxicity_odd_rows(spark, docs):
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, known)).collect()
+    assert len(got) == len(odd_rows()) and all(0 <= r["toxicity"] <= 1 for r in got)
+
+
+# 10 Top-k
+
+
+def brute_topk(rows, k, every):
+    import math
+
+    ok = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    dims = max((len(v) for _, v in ok), default=0)
+    ok = [(i, v + [0] * (dims - len(v))) for i, v in ok]
+    out = Counter()
+    for q in sorted({i for i, _ in ok if i is not None and i % every == 0}):
+        best = []
+        for _, v in (r for r in ok if r[0] == q):
+            best += [(-sum(a * b for a, b in zip(v, c)), i is None, i) for i, c in ok if i != q]
+        for n, (s, _, i) in enumerate(sorted(best, key=lambda x: (x[0], x[1], x[2] or 0))[:k]):
+            out[(q, n + 1, i, -s)] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [8, 8192])
+def test_topk_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(exact_topk, "BLOCK", block)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 3])).astype("f4").tolist()) for i in range(60)]
+    rows += [(60, None), (61, [1.0, None]), (62, [float("nan")] * 6), (63, [float("inf")] * 6), (64, [1.0, 2.0]), (65, []), (None, [5.0] * 6), (None, [5.0] * 6), (66, rows[3][1]), (67, rows[3][1]), (68, [0.0] * 6)]
+    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, norm int, x string")
+    got = Counter(map(tuple, exact_topk.top_k(d, k=4, every=5).collect()))
+    assert got == brute_topk(rows, 4, 5)
+
+
+def test_topk_without_rows(spark):
+    d = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert exact_topk.top_k(d).count() == 0
+    one = spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")
+    assert exact_topk.top_k(one).count() == 0

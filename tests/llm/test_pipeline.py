@@ -1,0 +1,42 @@
+"""The pipeline's stages on odd rows and on a given table."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from dayspans.llm import pii, toxicity
+from dayspans.llm._common import stash
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_in_order(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names, kept = [n for n, _ in corpus_pipeline.STAGES], {}
+    assert len(names) == 5
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stash(stage(spark, docs, DATA), "stage")
+        kept[name] = docs
+        if name != names[-1]:
+            assert docs.dtypes == before.dtypes
+    model = toxicity.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert toxicity.score(kept[names[0]], model).where("toxicity >= 0.5").count() == 0
+    assert pii.detect(kept["PII"]).where(F.size("pii") > 0).count() == 0
+    masked = kept["PII"].where("text like '%<EMAIL>%'").collect()
+    assert all(not re.search(r"\w+@\w+\.\w", r["text"]) for r in masked)
+    assert kept[names[3]].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    packed = kept[names[4]]
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    assert packed.where("piece = 0").count() == kept[names[3]].count()
+
+
+def test_stages_take_odd_and_no_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b a@b.co", None, "s", 1), (2, "a b a@b.co", None, "s", 1), (3, "word " * 3000, "en", "t", None)]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stash(stage(spark, docs, DATA), "stage")
