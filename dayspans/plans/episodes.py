@@ -265,34 +265,35 @@ def index_sql(source: str, keys: str = "user_id, date", least: int = 1, most: st
 {name} AS (SELECT {keys}, CASE WHEN status = 'success' THEN round(CASE WHEN episode_count = 1 THEN 0 ELSE h / ln(episode_count) END, 6) END AS fragmentation_index, episode_count, CASE WHEN status = 'success' THEN round(total, 10) END AS total_duration, CASE WHEN status = 'success' THEN round(mean, 10) END AS mean_duration, CASE WHEN status = 'success' THEN round(sd, 6) END AS std_duration, CASE WHEN status = 'success' THEN round(sd / mean, 6) END AS cv, status FROM {name}6)"""
 
 
-MINUTES = (c("end_us") - c("start_us")) / 60_000_000
+def minutes():
+    return (c("end_us") - c("start_us")) / 60_000_000
 
 
 @query("fr1_fragmentation_index", f"WITH {DIGITAL}, {index_sql('dig')} SELECT * FROM fi")
 def _(v):
-    return fr.fragmentation_index(digital(v), UD, MINUTES)
+    return fr.fragmentation_index(digital(v), UD, minutes())
 
 
 @query("fr2_unguarded_trim", f"WITH {DIGITAL}, {index_sql('dig', 'user_id', 3, 'AND ' + '(end_us - start_us) / ' + MIN + ' <= 720', 0)} SELECT * FROM fi")
 def _(v):
-    return fr.fragmentation_index(digital(v), ["user_id"], MINUTES, min_episodes=3, max_minutes=720, trim_above=0)
+    return fr.fragmentation_index(digital(v), ["user_id"], minutes(), min_episodes=3, max_minutes=720, trim_above=0)
 
 
 @query("fr3_digital_at_home", f"WITH {DIGITAL}, {HOME_SQL}, mov AS (SELECT * FROM runs), {OVERLAP}, {index_sql('ovl')} SELECT * FROM fi")
 def _(v):
-    return fr.fragmentation_index(ep.intersect_intervals(digital(v), at_home(v), UD), UD, MINUTES)
+    return fr.fragmentation_index(ep.intersect_intervals(digital(v), at_home(v), UD), UD, minutes())
 
 
 @query("fr4_digital_in_motion", f"WITH {BOTH}, {OVERLAP}, {index_sql('ovl')} SELECT * FROM fi")
 def _(v):
-    return fr.fragmentation_index(ep.intersect_intervals(digital(v), moving(v), UD), UD, MINUTES)
+    return fr.fragmentation_index(ep.intersect_intervals(digital(v), moving(v), UD), UD, minutes())
 
 
 TYPES = f"{TIMELINE}, {index_sql('tl', 'user_id, date, episode_type')}"
 
 
 def per_type(v):
-    return fr.fragmentation_index(typed(v), [*UD, "episode_type"], MINUTES).withColumnRenamed("episode_type", "type")
+    return fr.fragmentation_index(typed(v), [*UD, "episode_type"], minutes()).withColumnRenamed("episode_type", "type")
 
 
 @query("fr5_delta", f"WITH {TYPES} SELECT user_id, date, round(max(CASE WHEN episode_type = 'digital' THEN fragmentation_index END) - max(CASE WHEN episode_type = 'moving' THEN fragmentation_index END), 6) AS delta FROM fi GROUP BY user_id, date")
@@ -303,7 +304,7 @@ def _(v):
 
 @query("fr6_minutes_by_place", f"WITH {PLACES} SELECT user_id, date, round(sum(CASE WHEN place = 'home' THEN (end_us - start_us) / {MIN} ELSE 0 END), 8) AS home_duration, round(sum(CASE WHEN place = 'out_of_home' THEN (end_us - start_us) / {MIN} ELSE 0 END), 8) AS out_of_home_duration FROM plc GROUP BY user_id, date")
 def _(v):
-    return fr.minutes_by(places(v), UD, "place", ["home", "out_of_home"], MINUTES)
+    return fr.minutes_by(places(v), UD, "place", ["home", "out_of_home"], minutes())
 
 
 @query("fr7_wide", f"WITH {TYPES} SELECT user_id, date, max(CASE WHEN episode_type = 'digital' THEN fragmentation_index END) AS digital_fragmentation_index, max(CASE WHEN episode_type = 'digital' THEN episode_count END) AS digital_episode_count, max(CASE WHEN episode_type = 'moving' THEN fragmentation_index END) AS moving_fragmentation_index, max(CASE WHEN episode_type = 'moving' THEN episode_count END) AS moving_episode_count FROM fi GROUP BY user_id, date")
@@ -313,7 +314,7 @@ def _(v):
 
 @query("fr8_participant_summary", f"WITH {DIGITAL}, {index_sql('dig')} SELECT user_id, count(*) AS days_processed, round(avg(fragmentation_index), 5) AS mean_index, min(fragmentation_index) AS min_index, max(fragmentation_index) AS max_index, sum(episode_count) AS episodes FROM fi GROUP BY user_id")
 def _(v):
-    d = fr.fragmentation_index(digital(v), UD, MINUTES)
+    d = fr.fragmentation_index(digital(v), UD, minutes())
     return d.groupBy("user_id").agg(F.count("*").alias("days_processed"), F.round(F.avg("fragmentation_index"), 5).alias("mean_index"), F.min("fragmentation_index").alias("min_index"), F.max("fragmentation_index").alias("max_index"), F.sum("episode_count").alias("episodes"))
 
 
