@@ -148,7 +148,7 @@ def day_statistics(episodes: DataFrame, keys: list[str], types: list[str]) -> Da
 def episode_summary(episodes: DataFrame, keys: list[str]) -> DataFrame:
     """EP18: per key and type number, total, mean and median minutes, first start and last end."""
     us = F.col("end_us") - F.col("start_us")
-    return episodes.groupBy(*keys, "episode_type").agg(F.count("*").alias("num_episodes"), F.round(F.sum(us) / MINUTE, 8).alias("total_minutes"), F.round(F.sum(us) / F.count("*") / MINUTE, 8).alias("mean_minutes"), F.round(F.percentile(us, F.lit(0.5)) / MINUTE, 8).alias("median_minutes"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
+    return episodes.groupBy(*keys, "episode_type").agg(F.count("*").alias("num_episodes"), F.round(F.sum(us) / MINUTE, 8).alias("total_minutes"), F.round(F.sum(us) / F.count("*") / MINUTE, 10).alias("mean_minutes"), F.round(F.percentile(us, F.lit(0.5)) / MINUTE, 10).alias("median_minutes"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
 
 
 def screen_events(screen: DataFrame, on: str = "ON", off: str = "OFF") -> DataFrame:

@@ -173,7 +173,7 @@ def _(v):
     return d.groupBy("user_id").agg(F.count("*").alias("days"), F.count_if(c("n") >= 2).alias("valid_days"), F.round(F.avg(F.when(c("n") >= 2, 100.0).otherwise(0.0)), 6).alias("pct_valid"), F.round(F.avg("n"), 6).alias("mean_episodes"))
 
 
-@query("ep18_episode_summary", f"WITH {TIMELINE}, m AS (SELECT *, end_us - start_us AS m FROM tl) SELECT user_id, date, episode_type, count(*) AS num_episodes, round(sum(m) / {MIN}, 8) AS total_minutes, round(sum(m) / CAST(count(*) AS DOUBLE) / {MIN}, 8) AS mean_minutes, round(median(m) / {MIN}, 8) AS median_minutes, min(start_us) AS first_us, max(end_us) AS last_us FROM m GROUP BY user_id, date, episode_type")
+@query("ep18_episode_summary", f"WITH {TIMELINE}, m AS (SELECT *, end_us - start_us AS m FROM tl) SELECT user_id, date, episode_type, count(*) AS num_episodes, round(sum(m) / {MIN}, 8) AS total_minutes, round(sum(m) / CAST(count(*) AS DOUBLE) / {MIN}, 10) AS mean_minutes, round(median(m) / {MIN}, 10) AS median_minutes, min(start_us) AS first_us, max(end_us) AS last_us FROM m GROUP BY user_id, date, episode_type")
 def _(v):
     return ep.episode_summary(typed(v), UD)
 
