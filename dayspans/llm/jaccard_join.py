@@ -27,7 +27,7 @@ from ._common import maybe_broadcast, stash
 from .components import components
 
 #: N-grams of one packed chunk of documents, and of one range of hashes, about.
-CHUNK, RANGE = 2_000_000, 2_000_000
+CHUNK, RANGE = 1_000_000, 1_000_000
 #: A chunk's n-gram that so many of its documents have travels as a count; its list stays with the chunk.
 HEAVY = 8
 #: Members of one block in the exact search.

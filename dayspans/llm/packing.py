@@ -34,6 +34,7 @@ def encoder(path: str, ranks: str | None = None):
     same ids several times faster; a test holds both equal over whole tables. Without it the JSON tokenizer does all.
     """
     import base64
+    import json
     import os
     import re
 
@@ -43,13 +44,14 @@ def encoder(path: str, ranks: str | None = None):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    whole = Tokenizer.from_file(path)
-    slow = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # read when a text needs it
+    slow = lambda text: np.array(whole().encode(text, add_special_tokens=False).ids, "<u4")
     if not ranks:
         return slow
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast, unsure = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special), re.compile(UNSURE)
     return lambda text: slow(text) if unsure.search(text) else fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
@@ -74,7 +76,7 @@ def tokenized(docs: DataFrame, tokenizer: str, ranks: str | None, most: int, kee
                 data = encode(text.as_py() or "").tobytes() + end
                 for p, (s, n) in enumerate(cut(len(data) // 4, most)):
                     own = data[4 * s : 4 * (s + n)]
-                    rows.append((i, p, s, n, zlib.crc32(own), own))
+                    rows.append((i, p, s, n, zlib.crc32(own), own if keep_ids else None))
             cols = list(zip(*rows)) or [()] * 6
             out = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64())]
             if keep_ids:
