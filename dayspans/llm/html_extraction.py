@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a root-to-leaf tag path. Per path the text length and the punctuation are summed over the page's
-nodes, both are smoothed over neighbouring nodes in page order, fused to one score, and paths above a threshold are
-content. The page's main container is the element that holds most of the content; what it holds is the article, apart
-from parts that are marked as something else (menus, adverts, forms, comments and the like).
+Every text has a root-to-leaf tag path, and an article element starts paths of its own. Per path the text length and the
+punctuation are taken per block, smoothed over neighbouring blocks in page order and fused to one score, which is raised
+inside article and main elements; paths above a threshold are content. Content blocks are kept, and with them the text of
+their common ancestor, apart from containers without any content (teasers, cards) and from parts that are marked as
+something else (menus, adverts, forms, comments and the like).
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?![=-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？;]")
-#: Neighbours on either side that smooth a node's ratios; part of the mean score that a content path needs.
+#: Neighbours on either side that smooth a block's ratios; part of the mean score of a character that a content path needs.
 SMOOTH, THRESHOLD = 1, 0.3
+#: Factor of the score inside article and main elements.
+NAMED = 1.5
 #: Depth to which elements nest.
 DEPTH = 256
 
@@ -92,60 +95,67 @@ def nodes(page: str) -> Iterator[tuple]:
         yield page[at:], tuple(stack), block
 
 
-def smooth(values: list[float]) -> list[float]:
-    """Mean over each value and its neighbours."""
-    return [sum(own) / len(own) for own in (values[max(0, i - SMOOTH) : i + SMOOTH + 1] for i in range(len(values)))]
+def smooth(values: list[float], groups: list[int]) -> list[float]:
+    """Mean over each value and its neighbours of the same group."""
+    out = []
+    for i, g in enumerate(groups):
+        own = [values[j] for j in range(max(0, i - SMOOTH), min(len(values), i + SMOOTH + 1)) if groups[j] == g]
+        out.append(sum(own) / len(own))
+    return out
 
 
 def content_nodes(found: list[tuple]) -> set[int]:
-    """Indexes of the nodes whose paths are content, by fused and smoothed tag-path ratios."""
-    size, marks, count = {}, {}, {}
-    paths = ["/".join(x[0] for x in stack if x[0] not in INLINE) for _, stack, _ in found]
-    for path, (text, _, _) in zip(paths, found):
-        size[path] = size.get(path, 0) + len(text.strip())
-        marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
-        count[path] = count.get(path, 0) + 1
-    text_ratio = smooth([size[p] / count[p] for p in paths])
-    mark_ratio = smooth([marks[p] / count[p] for p in paths])
-    fused = [t * (1 + m) for t, m in zip(text_ratio, mark_ratio)]
-    best: dict[str, float] = {}
-    for p, v in zip(paths, fused):
-        best[p] = max(best.get(p, 0.0), v)
-    least = THRESHOLD * sum(fused) / max(len(fused), 1)
-    return {i for i, p in enumerate(paths) if best[p] >= least}
+    """Indexes of the nodes whose paths are content, by fused and smoothed tag-path ratios.
+
+    The texts of one path in one block, such as those around a link, count as one.
+    """
+    units: list[list] = []
+    for i, (text, stack, block) in enumerate(found):
+        if not text.strip():
+            continue
+        path = "/".join(x[0] for x in stack if x[0] not in INLINE)
+        article = next((number for tag, number, _ in reversed(stack) if tag == "article"), 0)
+        if not units or units[-1][:3] != [article, path, block]:
+            units.append([article, path, block, 0, 0, [], any(x[0] in ("article", "main") for x in stack)])
+        units[-1][3] += len(text.strip())
+        units[-1][4] += len(PUNCTUATION.findall(text))
+        units[-1][5].append(i)
+    paths, groups = [(u[0], u[1]) for u in units], [u[0] for u in units]
+    size, marks, count, total = {}, {}, {}, {}
+    for p, u in zip(paths, units):
+        size[p] = size.get(p, 0) + u[3]
+        marks[p] = marks.get(p, 0) + u[4]
+        count[p] = count.get(p, 0) + 1
+    text_ratio = smooth([size[p] / count[p] for p in paths], groups)
+    mark_ratio = smooth([marks[p] / count[p] for p in paths], groups)
+    for p, u, t, m in zip(paths, units, text_ratio, mark_ratio):
+        total[p] = total.get(p, 0.0) + t * (1 + m) * (NAMED if u[6] else 1)
+    score = {p: total[p] / count[p] for p in total}
+    least = THRESHOLD * sum(score[p] * size[p] for p in score) / max(sum(size.values()), 1)
+    return {i for p, u in zip(paths, units) if score[p] >= least for i in u[5]}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, white space inside a block as one space, joined by line ends.
 
-    A page that says where its article is (article or main elements) is taken at its word. Else the container is the
-    deepest element with most of the content nodes' text. A page without content gives an empty text.
+    Kept are the content nodes, what else is in the containers that hold them, and what lies between these containers
+    and the common ancestor of all content. An article element without content goes wherever it stands. A page without
+    text gives an empty text.
     """
     found = [x for x in nodes(page or "") if not any(marked for _, _, marked in x[1])]
-    if not any(text.strip() for text, _, _ in found):
+    chosen = content_nodes(found)
+    if not chosen:
         return ""
-    named = {}
-    for text, stack, _ in found:
-        for tag, number, _ in stack:
-            if tag in ("article", "main"):
-                named[(tag, number)] = named.get((tag, number), 0) + len(text.strip())
-                if tag == "article":
-                    break
-    articles = {k: v for k, v in named.items() if k[0] == "article"} or named
-    if articles and max(articles.values()):
-        home = max(articles, key=lambda k: (articles[k], -k[1]))[1]
-    else:
-        chosen = content_nodes(found)
-        weight = {0: sum(len(found[i][0].strip()) for i in chosen)}
-        for i in chosen:
-            for tag, number, _ in found[i][1]:
-                if tag in CONTAINERS:
-                    weight[number] = weight.get(number, 0) + len(found[i][0].strip())
-        most = max(weight.values(), default=0)
-        home = max((n for n, w in weight.items() if w >= 0.7 * most), default=0)
+    boxes = [[(0, "")] + [(number, tag) for tag, number, _ in stack if tag in CONTAINERS] for _, stack, _ in found]
+    holders = {boxes[i][-1][0] for i in chosen}
+    above = {number for i in chosen for number, _ in boxes[i]}
+    common = set.intersection(*({number for number, _ in boxes[i]} for i in chosen))
+    home = max(common)
     blocks: dict[int, list[str]] = {}
-    for text, stack, block in found:
-        if not home or any(number == home for _, number, _ in stack):
+    for i, (text, _, block) in enumerate(found):
+        own = [number for number, _ in boxes[i]]
+        held = home in own and (own[-1] in above or any(n in holders for n in own))
+        if i in chosen or held and all(n in above for n, tag in boxes[i] if tag == "article"):
             blocks.setdefault(block, []).append(entities.unescape(text))
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)

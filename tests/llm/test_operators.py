@@ -168,6 +168,35 @@ def test_extract_reads_given_pages(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
+STORY = [f"Paragraph {i} of the story is long, has commas, and says several things. It goes on for a while; then, at last, it ends." for i in range(4)]
+TEASERS = "".join(f"<article><h3>Teaser {i}</h3><p>Read more here.</p></article>" for i in range(6))
+
+
+def paragraphs(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+@pytest.mark.parametrize(("page", "lines"), [
+    (f"<body><div><h1>Title</h1>{paragraphs(STORY)}</div><div>{TEASERS}</div></body>", ["Title", *STORY]),
+    (f"<body><div>{TEASERS}</div>\n<div>\n<h1>Title</h1>\n{paragraphs(STORY)}</div></body>", ["Title", *STORY]),
+    (f"<body><div><h1>Title</h1>{paragraphs(STORY[:2])}<article><h3>Card</h3><p>Buy.</p></article>{paragraphs(STORY[2:])}</div></body>", ["Title", *STORY]),
+    (f"<body><article><h1>A</h1>{paragraphs(STORY[:3])}</article><article><h1>B</h1>{paragraphs(STORY[3:])}</article></body>", ["A", *STORY[:3], "B", STORY[3]]),
+    (f"<body><article><h1>A</h1>{paragraphs(STORY)}</article>{TEASERS}</body>", ["A", *STORY]),
+    (f"<body><main><article><h1>A</h1>{paragraphs(STORY)}</article><div><div>Short.</div></div></main></body>", ["A", *STORY]),
+    (f"<body><div><div><h1>A</h1>{paragraphs(STORY[:1])}</div><ul><li>one<li>two</ul><section>{paragraphs(STORY[1:])}<div>Note.</div></section></div><div>Top</div></body>", ["A", STORY[0], "one", "two", *STORY[1:], "Note."]),
+    (f"<body><div>{paragraphs(x.replace('story', '<a>st</a>o<b>r</b>y') for x in STORY)}</div>{TEASERS}</body>", STORY),
+])
+def test_main_text_is_selected_by_path_ratios(page, lines):
+    assert html_extraction.main_text(page).split("\n") == lines
+
+
+def test_path_ratios_run_on_pages_with_an_article(monkeypatch):
+    seen = []
+    run = html_extraction.content_nodes
+    monkeypatch.setattr(html_extraction, "content_nodes", lambda found: seen.append(1) or run(found))
+    assert html_extraction.main_text(f"<article>{paragraphs(STORY)}</article>") == "\n".join(STORY) and seen
+
+
 def test_extract_deep_and_broken_pages():
     for page in ("<div>" * 5000 + "x", "<p" * 3000, '<p a="' * 300, "<b>x" * 3000, "</div>" * 3000, "<!--" * 1000):
         html_extraction.main_text(page)
