@@ -65,15 +65,32 @@ def two_pass_lookup(df: DataFrame, text: Column, lookup: DataFrame, into: str) -
 
 
 def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
-    """JN11: pairs of distinct short texts whose Levenshtein similarity is at least ``least``.
+    """JN11: pairs of distinct short texts whose Levenshtein similarity (six digits) is at least ``least``, above 0.
 
-    Texts can only be as similar if their lengths are close, so they meet by length bands, not all with all.
+    Two lengths allow k edits at most. Of k + 1 pieces of the right text one is then unedited, and stands in the left text
+    shifted by no more than the edits before and after it allow. Texts meet by lengths and such a piece; no pair is lost.
     """
-    band = lambda c: F.explode(F.sequence(F.floor(F.length(c) * F.lit(least)).cast("int"), F.ceil(F.length(c) / F.lit(least)).cast("int")))
-    l = left.select(F.col(left.columns[0]).alias("a")).distinct().withColumn("_n", band("a"))
-    r = right.select(F.col(right.columns[0]).alias("b")).distinct().withColumn("_n", F.length("b"))
+    n, m = F.col("_n"), F.col("_m")
+    most = F.floor(F.greatest(n, m) * F.lit(1 - least + 5e-7) + F.lit(1e-9)).cast("int")
+    start = lambda i: F.floor(i * m / (F.col("_k") + 1)).cast("int")
+
+    def pieces(d: DataFrame, own: str, other: str) -> DataFrame:
+        near = F.sequence(F.floor(F.col(own) * F.lit(least)).cast("int"), F.ceil(F.col(own) / F.lit(least)).cast("int"))
+        d = d.withColumn(other, F.explode(near)).withColumn("_k", most).where(F.abs(n - m) <= F.col("_k"))
+        d = d.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+        return d.withColumns({"_from": start(F.col("_i")), "_size": start(F.col("_i") + 1) - start(F.col("_i"))})
+
+    distinct = lambda d, into, size: d.select(F.col(d.columns[0]).alias(into)).distinct().withColumn(size, F.length(into))
+    l, r = pieces(distinct(left, "a", "_n"), "_n", "_m"), pieces(distinct(right, "b", "_m"), "_m", "_n")
+    low = F.greatest(F.ceil((n - m - F.col("_k")) / 2).cast("int"), -F.col("_from"))
+    high = F.least(F.floor((n - m + F.col("_k")) / 2).cast("int"), n - F.col("_size") - F.col("_from"))
+    l = l.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
+    l = l.withColumn("_piece", F.substring("a", F.col("_from") + F.col("_at") + 1, F.col("_size")))
+    r = r.withColumn("_piece", F.substring("b", F.col("_from") + 1, F.col("_size")))
+    keys = ["_n", "_m", "_i", "_piece"]
+    near = l.select("a", *keys).distinct().join(r.select("b", *keys), keys).select("a", "b").distinct()
     ratio = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    return l.join(r, "_n").select("a", "b", F.round(ratio, 6).alias("similarity")).where(F.col("similarity") >= least)
+    return near.select("a", "b", F.round(ratio, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def window_join(points: DataFrame, responses: DataFrame, key: str, us: str, lo: str, hi: str) -> DataFrame:

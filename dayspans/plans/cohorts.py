@@ -108,6 +108,12 @@ def _(v):
     return jn.similar_texts(p.where("p_partkey <= 300").select("p_name"), p.where("p_partkey > 300 and p_partkey <= 700").select("p_name"), 0.8)
 
 
+@query("jn11_similar_texts_whole", "WITH a AS (SELECT DISTINCT p_name AS a FROM part), s AS (SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / CAST(greatest(length(x.a), length(y.a), 1) AS DOUBLE), 6) AS similarity FROM a x, a y) SELECT * FROM s WHERE similarity >= 0.8")
+def _(v):
+    p = v.table("part").select("p_name")
+    return jn.similar_texts(p, p, 0.8)
+
+
 @query("jn12_metric_joins", "WITH a AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n_on FROM v_screen WHERE action LIKE '%ON' GROUP BY ALL), b AS (SELECT user_id, CAST(response_time AS DATE) AS date, max(q1) AS q1 FROM v_ema_wide GROUP BY ALL) SELECT d.user_id, d.date, n_events, n_on, q1 FROM v_daily d LEFT JOIN a USING (user_id, date) LEFT JOIN b USING (user_id, date)")
 def _(v):
     a = v.screen.where("action like '%ON'").groupBy("user_id", "date").agg(F.count("*").alias("n_on"))

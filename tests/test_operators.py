@@ -216,6 +216,48 @@ def test_joins(spark):
     assert [(r["a"], r["b"]) for r in near] == [("how are you", "how are you?")]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [1.0, 0.8, 0.75, 0.6, 0.3])
+def test_similar_texts_matches_brute_force(spark, least):
+    rng = random.Random(7)
+    texts = ["", "a", "é", "日本語"]
+    for _ in range(25):
+        t = "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 25)))
+        for _ in range(3):
+            texts.append(t)
+            cut = rng.randrange(len(t) + 1)
+            t = t[:cut] + rng.choice(["", "x", "ab"]) + t[cut + rng.randrange(2) :]
+    want = {(a, b) for a in texts for b in texts[::2] if round(1 - edits(a, b) / max(len(a), len(b), 1), 6) >= least}
+    f = lambda rows: spark.createDataFrame([(x,) for x in [*rows, None]], "x string")
+    got = [(r["a"], r["b"]) for r in joins.similar_texts(f(texts), f(texts[::2]), least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_texts_compares_few_pairs_of_one_length(spark):
+    rng = random.Random(8)
+    d = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(20)),) for _ in range(1000)], "x string").cache()
+    seen = joins.similar_texts(d, d)
+    assert seen.count() == d.distinct().count()
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "_piece" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_similar_texts_of_all_rows(spark, tmp_path):
+    from dayspans.plans import registry
+
+    spark.createDataFrame([(1, "small ring"), (900, "small rings"), (901, "tall tree")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["a"], r["b"]) for r in registry.QUERIES["jn11_similar_texts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("small ring", "small ring"), ("small ring", "small rings"), ("small rings", "small ring"), ("small rings", "small rings"), ("tall tree", "tall tree")}
+
+
 def test_questionnaires(spark):
     assert one(spark, lambda c: questionnaires.reverse_scale(c, 5), "2") == "4" and one(spark, lambda c: questionnaires.reverse_scale(c, 5), "x") == "x"
     assert one(spark, lambda c: questionnaires.map_codes(c, questionnaires.TRAFFIC_4), "5") is None
