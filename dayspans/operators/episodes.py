@@ -116,12 +116,17 @@ def fill_day(stays: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hourly_default(days: DataFrame, fixes: DataFrame, minutes: int = 30) -> DataFrame:
-    """EP13: an hour is home if a fix within ``minutes`` of it is. ``fixes``: user_id, date, us, near."""
-    h = days.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("start_us", day_us(F.col("date")) + F.col("hour").cast("long") * 60 * MINUTE)
-    f = fixes.select(F.col("user_id").alias("_u"), F.col("date").alias("_d"), "us", "near")
-    j = h.join(f, (F.col("user_id") == F.col("_u")) & (F.col("date") == F.col("_d")), "left")
-    close = (F.col("us") >= F.col("start_us") - F.lit(minutes * MINUTE)) & (F.col("us") < F.col("start_us") + F.lit((60 + minutes) * MINUTE))
-    g = j.groupBy("user_id", "date", "hour").agg(F.max(F.when(close, F.col("near"))).alias("n"))
+    """EP13: an hour is home if a fix within ``minutes`` of it is. ``fixes``: user_id, date, us, near.
+
+    Each fix goes to the hours of its date that it is close to, one row is left per hour, and days join by the hour.
+    """
+    at = F.col("us") - day_us(F.col("date"))
+    first = F.greatest(F.floor((at - F.lit((60 + minutes) * MINUTE)) / F.lit(60 * MINUTE)) + 1, F.lit(0))
+    last = F.least(F.floor((at + F.lit(minutes * MINUTE)) / F.lit(60 * MINUTE)), F.lit(23))
+    f = fixes.withColumns({"_first": first.cast("int"), "_last": last.cast("int")}).where("us is not null and _first <= _last")
+    f = f.withColumn("hour", F.explode(F.sequence("_first", "_last"))).groupBy("user_id", "date", "hour").agg(F.max("near").alias("n"))
+    h = days.select("user_id", "date").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    g = h.join(f, ["user_id", "date", "hour"], "left")
     return g.select("user_id", "date", "hour", F.when(F.coalesce("n", F.lit(False)), "home").otherwise("out_of_home").alias("location_type"))
 
 

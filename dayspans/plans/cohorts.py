@@ -354,7 +354,7 @@ def _(v):
 
 @query("se3_unordered_pairs", "SELECT DISTINCT least(a.event_type, b.event_type) AS a, greatest(a.event_type, b.event_type) AS b FROM (SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 30) a JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 30) b ON a.user_id = b.user_id AND a.event_type <> b.event_type")
 def _(v):
-    e = v.events.where("user_id < 30").select("user_id", "event_type").distinct()
+    e = v.events.select("user_id", "event_type").distinct()
     j = e.join(e.select("user_id", c("event_type").alias("other")), "user_id").where("event_type <> other")
     return j.select(F.least("event_type", "other").alias("a"), F.greatest("event_type", "other").alias("b")).dropDuplicates(["a", "b"])
 

@@ -137,12 +137,22 @@ def _(v):
     return ep.fill_day(places(v), UD)
 
 
+def hourly(v, days):
+    return ep.hourly_default(days.select("user_id", "date").distinct(), points(v).select("user_id", "date", "us", (c("place") == "~Home").alias("near")))
+
+
 @query("ep13_hourly_default", """WITH d AS (SELECT DISTINCT user_id, date FROM v_points WHERE user_id <= 20), h AS (SELECT *, unnest(range(0, 24)) AS hour FROM d),
 j AS (SELECT h.user_id, h.date, h.hour, bool_or(p.place = '~Home') FILTER (WHERE epoch_us(p.ts) >= epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 - 1800000000 AND epoch_us(p.ts) < epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 + 5400000000) AS n FROM h LEFT JOIN v_points p ON p.user_id = h.user_id AND p.date = h.date GROUP BY ALL)
 SELECT user_id, date, CAST(hour AS INT) AS hour, CASE WHEN coalesce(n, false) THEN 'home' ELSE 'out_of_home' END AS location_type FROM j""")
 def _(v):
-    days = v.points.where("user_id <= 20").select("user_id", "date").distinct()
-    return ep.hourly_default(days, points(v).select("user_id", "date", "us", (c("place") == "~Home").alias("near")))
+    return hourly(v, v.points.where("user_id <= 20"))
+
+
+@query("ep13_hourly_default_whole", """WITH d AS (SELECT DISTINCT user_id, date FROM v_points), h AS (SELECT *, unnest(range(0, 24)) AS hour FROM d),
+j AS (SELECT h.user_id, h.date, h.hour, bool_or(p.place = '~Home') FILTER (WHERE epoch_us(p.ts) >= epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 - 1800000000 AND epoch_us(p.ts) < epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 + 5400000000) AS n FROM h LEFT JOIN v_points p ON p.user_id = h.user_id AND p.date = h.date GROUP BY ALL)
+SELECT user_id, date, CAST(hour AS INT) AS hour, CASE WHEN coalesce(n, false) THEN 'home' ELSE 'out_of_home' END AS location_type FROM j""")
+def _(v):
+    return hourly(v, v.points)
 
 
 @query("ep14_stationary", f"WITH {HOME_SQL} SELECT user_id, date, start_us, end_us, 'stationary' AS movement_state FROM runs WHERE end_us - start_us >= 15 * 60000000")

@@ -258,6 +258,31 @@ def test_similar_texts_of_all_rows(spark, tmp_path):
     assert got == {("small ring", "small ring"), ("small ring", "small rings"), ("small rings", "small ring"), ("small rings", "small rings"), ("tall tree", "tall tree")}
 
 
+def test_hourly_default_matches_brute_force(spark):
+    rng, hour, day = random.Random(9), 3_600_000_000, 19_700 * 86_400_000_000
+    edges = [h * hour + x for h in range(24) for x in (-hour // 2, hour // 2 - 1, hour // 2)]
+    rows = [(rng.randrange(25), rng.choice([*edges, rng.randrange(24 * hour)]), rng.choice([True, False, None])) for _ in range(150)]
+    f = spark.createDataFrame([(u, day + t, n) for u, t, n in [*rows, (3, None, True)] if t is not None], "user_id int, us long, near boolean")
+    f = f.withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), 19_700))
+    f = f.unionByName(f.limit(1).withColumns({"us": F.lit(None).cast("long"), "near": F.lit(True)}))
+    got = episodes.hourly_default(f.select("user_id", "date"), f)
+    want = {(u, h): any(n and v == u and h * hour - hour // 2 <= t < h * hour + 3 * hour // 2 for v, t, n in rows) for u in {r[0] for r in rows} for h in range(24)}
+    found = got.collect()
+    assert len(found) == len(want) and {(r["user_id"], r["hour"]): r["location_type"] == "home" for r in found} == want
+    joins_made = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins_made and all("hour" in x for x in joins_made)
+
+
+def test_hours_and_pairs_of_all_users(spark, tmp_path):
+    from dayspans.plans import registry
+
+    rows = [(i, u, "2024-01-02 10:40:00", e, 1.0, '{"k": 3}') for i, (u, e) in enumerate([(1, "view"), (1, "click"), (900, "view"), (900, "error")])]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    hours = registry.QUERIES["ep13_hourly_default_whole"](spark, str(tmp_path)).where("location_type = 'home'").collect()
+    assert {(r["user_id"], r["hour"]) for r in hours} == {(u, h) for u in (1, 900) for h in (10, 11)}
+    assert {(r["a"], r["b"]) for r in registry.QUERIES["se3_unordered_pairs"](spark, str(tmp_path)).collect()} == {("click", "view"), ("error", "view")}
+
+
 def test_questionnaires(spark):
     assert one(spark, lambda c: questionnaires.reverse_scale(c, 5), "2") == "4" and one(spark, lambda c: questionnaires.reverse_scale(c, 5), "x") == "x"
     assert one(spark, lambda c: questionnaires.map_codes(c, questionnaires.TRAFFIC_4), "5") is None
