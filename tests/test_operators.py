@@ -283,6 +283,21 @@ def test_hours_and_pairs_of_all_users(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in registry.QUERIES["se3_unordered_pairs"](spark, str(tmp_path)).collect()} == {("click", "view"), ("error", "view")}
 
 
+def test_skipped_margins_of_many_files(spark, tmp_path):
+    import glob
+
+    from dayspans.plans import registry, scans
+
+    spark.range(5000).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("a").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.QUERIES["sc3_csv_skip_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == 5000 and {r["user_id"] for r in got} == set(range(5000)) and {r["gender_raw"] for r in got} == {"F", "M", "n/a"}
+    d = spark.range(300).select(F.col("id").alias("user_id"), F.lit("F").alias("gender_raw"))
+    scans.with_margins(d, f"{tmp_path}/txt", 5)
+    written = [open(x).read().splitlines() for x in glob.glob(f"{tmp_path}/txt/f=*/part-*")]
+    assert len(written) == 5 and all(x[:6] == ["head"] * 6 and x[-1] == "foot" and "head" not in x[6:] and "foot" not in x[:-1] for x in written)
+    assert sorted(int(y.split(";")[0]) for x in written for y in x[6:-1]) == list(range(300))
+
+
 def test_questionnaires(spark):
     assert one(spark, lambda c: questionnaires.reverse_scale(c, 5), "2") == "4" and one(spark, lambda c: questionnaires.reverse_scale(c, 5), "x") == "x"
     assert one(spark, lambda c: questionnaires.map_codes(c, questionnaires.TRAFFIC_4), "5") is None
