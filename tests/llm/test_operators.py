@@ -334,6 +334,31 @@ def test_quality_rules_keep_prose(spark):
     assert m.where("kept").count() >= 0.98 * m.count()
 
 
+def test_quality_rules_reject_what_is_random_or_repeats(spark):
+    import base64
+
+    rng = random.Random(11)
+
+    def lines(text, width):
+        return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+    rows = [(f"base64 {n}", lines(base64.b64encode(rng.randbytes(n * 3 // 4)).decode(), 76)) for n in (1700, 2500, 4000, 7000, 30_000)]
+    rows += [(f"hex {n}", lines(rng.randbytes(n // 2).hex(), 64)) for n in (3500, 7000, 30_000)]
+    rows += [(f"phrase {n}", " ".join(f"{rng.choice(['we', 'you'])} are very happy to see you all" for _ in range(n // 32))) for n in (1000, 4000, 30_000)]
+    prose = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("quality = 1").select("text").collect()
+    long = "\n".join(r["text"] for r in prose if 400 < len(r["text"]) < 3000)
+    rows.append(("half base64", long[:8192] + "\n" + lines(base64.b64encode(rng.randbytes(7000)).decode(), 76)))
+    m = {r["name"]: r["rules"] for r in quality_rules.assess(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert not [k for k, r in m.items() if r["kept"]]
+    assert not m["base64 4000"]["base_failed"] and not m["hex 7000"]["base_failed"]
+
+
+def test_quality_rules_keep_prose_of_every_length(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("quality = 1")
+    m = quality_rules.assess(d).where("not rules.base_failed").withColumn("band", F.floor(F.log2(F.octet_length("text"))))
+    assert all(r["n"] < 20 or r["kept"] >= 0.98 * r["n"] for r in m.groupBy("band").agg(F.count("*").alias("n"), F.count_if("rules.kept").alias("kept")).collect())
+
+
 def test_quality_classifier_agrees_with_labels(spark, nothing):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000")
     w, share, table = quality_classifier.train(d)
