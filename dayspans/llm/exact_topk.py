@@ -28,7 +28,7 @@ SLACK = 1e-6
 def prepared(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, x, norm): whole-number vectors and their squared lengths, without null or non-finite ones."""
     whole = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale))
-    fine = F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(1 << 40)))
+    fine = F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     v = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("x"))
     return v.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
@@ -128,16 +128,20 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     own id are no candidates; ties go to the smaller id, null ids last. Vectors that are null or hold null or
     non-finite components take no part; shorter vectors count as filled up with zeros. Repeated rows are candidates
     each; a query id that occurs twice is asked once for each row and returns the best of both. Empty tables and
-    tables without queries give no rows. Other columns are not read.
+    tables without queries give no rows. Other columns are not read. Vectors so long that a score may not fit a long raise
+    a ValueError.
     """
     import numpy as np
 
     spark = vectors.sparkSession
     v = stash(prepared(vectors, id_col, vector_col, scale), "topk-vectors")
-    n, dims = v.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    longest = F.coalesce(F.sqrt(F.max("norm")), F.lit(0.0)), F.coalesce(F.sqrt(F.max(F.when(F.col("vec_id") % every == 0, F.col("norm")))), F.lit(0.0))
+    n, dims, most, most_asked = v.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0)), *longest).first()
     schema = "query_id long, vec_id long, score long"
     if not n or not dims:
         return best(spark.createDataFrame([], schema), k).select("query_id", "rank", "vec_id", "score")
+    if most * most_asked * (1 + SLACK) >= 2.0**63:
+        raise ValueError(f"scores may not fit a long: the longest vector has length {most:.6g}, the longest query {most_asked:.6g}, after scaling by {scale}")
     u, _, _ = np.linalg.svd(moments(v, dims))
     rotation = np.ascontiguousarray(u)
     parts = max(1, -(-n // BLOCK))

@@ -521,6 +521,16 @@ def test_topk_matches_brute_force(spark, monkeypatch, block):
     assert got == brute_topk(rows, 4, 5)
 
 
+def test_topk_takes_large_vectors_or_says_so(spark):
+    rows = [(0, [1 / 1024, 0.0]), (1, [float(1 << 41), 0.0]), (2, [-float(1 << 40), 3.0]), (3, [1.0, 1.0])]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, exact_topk.top_k(frame(rows), k=4, every=100).collect()))
+    assert got == brute_topk(rows, 4, 100) and (0, 1, 1, 1 << 51) in got
+    for big in (float(1 << 60), 1e300):
+        with pytest.raises(ValueError, match="may not fit a long"):
+            exact_topk.top_k(frame([*rows, (100, [big, 0.0])]))
+
+
 def test_topk_without_rows(spark):
     d = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_topk.top_k(d).count() == 0
