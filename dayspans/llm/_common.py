@@ -58,6 +58,13 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sampled(hashed: Column, most: int, n: int) -> Column:
+    """Whether a row is among about ``most`` of ``n``, by its 64-bit hash; all are if there are no more. Never none, however many rows."""
+    if n <= most:
+        return F.lit(True)
+    return hashed.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(max(1, (most << 63) // n))
+
+
 def running(df: DataFrame, keys: list[str], bucket: str, order: list, amount: Column, name: str) -> DataFrame:
     """Exclusive running sum of ``amount`` within ``keys``, in order of (``bucket``, ``order``).
 

@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
 Texts are written as fixed-width codes: every word as four 64-bit hashes, of its first four, five and six bytes and of
-the whole. Two zstandard dictionaries are trained on the codes of toxic and of ordinary text. They share the codes that
-are frequent in both, so that the difference of a window's two compressed lengths shows only what sets the classes
-apart; a known insult, or a known stem with a new ending, is worth the same number of bytes in any language. The
-differences of a text's windows are held against thresholds that are calibrated on labelled texts of their own.
+the whole, so that a known insult, or a known stem with a new ending, is worth the same number of bytes in any language.
+zstandard trains a dictionary on the codes that set toxic texts apart, one on those that set ordinary texts apart, and
+one on the codes that both share. Every window of a text is compressed twice, with the toxic and with the ordinary
+dictionary, each beside the shared one, so that the difference of the two lengths shows only what sets the classes
+apart. The bytes by which a text's windows exceed a calibrated threshold are held against a second one, calibrated for
+texts of that many windows on labelled texts that train no dictionary.
 """
 
 from __future__ import annotations
@@ -17,30 +19,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import sampled
+
 #: Labelled rows of each class that are used for training, about.
 TRAIN_TOXIC, TRAIN_ORDINARY = 4_000, 8_000
-#: One in so many training rows calibrates the thresholds and builds no dictionary.
+#: One in so many training rows calibrates the thresholds and trains no dictionary.
 CALIBRATE = 3
 #: Folds by checksum of the id; fold 0 is held out.
 FOLDS = 5
 #: Words of one window; prefixes that have a code of their own.
 WINDOW, PREFIXES = 16, (4, 5, 6)
-#: Codes shared by both dictionaries, and codes of each class alone.
-COMMON, OWN = 2_000, 3_000
-#: A code is a class's own if it is in so many of its training texts (at least so many, and this share of them), so many times likelier than in the other's.
+#: Bytes of the dictionary of what both classes share, and of each class's own; texts that train the shared one.
+COMMON_BYTES, OWN_BYTES, COMMON_TEXTS = 16_000, 24_000, 1_000
+#: A code sets a class apart if it is in so many of its training texts (at least so many, and this share of them), so many times likelier than in the other's.
 LEAST, LEAST_SHARE, RATIO = 3, 0.004, 30.0
-#: Bytes by which a window's lengths differ by chance.
-CHANCE = 5
+#: Share of ordinary windows whose lengths differ by no more than the windows' threshold.
+QUIET = 0.999
+#: Windows of a text up to which each of the texts' thresholds holds; rows of a class that calibrate one, at least.
+BANDS, BAND_ROWS = (4, 16, 64, 1 << 62), 5
 #: A level that looks a match up at every byte; faster ones skip ahead where nothing matched.
 LEVEL = 6
 
 
 class Model(NamedTuple):
+    """Dictionaries, the windows' threshold, and the texts' thresholds by BANDS."""
+
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, ...]
-    means: tuple[float, ...]
-    scales: tuple[float, ...]
+    quiet: float
+    least: tuple[float, ...]
 
 
 def codes(text: str | None):
@@ -68,132 +75,147 @@ def codes(text: str | None):
     return np.stack(out, axis=1)
 
 
-def dictionary(*parts):
-    """A zstandard dictionary of codes, the most valuable last, where they are cheapest to refer to."""
+def trained(texts: list, keep, size: int) -> bytes:
+    """A zstandard dictionary trained on those codes of the texts that are in ``keep``; too few to train on stand as they are."""
     import numpy as np
+    import zstandard
 
-    return np.concatenate(parts)[::-1].astype("<u8").tobytes() if sum(map(len, parts)) else b"\0" * 8
+    own = [t[np.isin(t, keep)] for t in texts]
+    samples = [t.astype("<u8").tobytes() for t in own if len(t)]
+    try:
+        return zstandard.train_dictionary(size, samples, k=8, d=8).as_bytes()
+    except zstandard.ZstdError:
+        found = np.unique(np.concatenate([np.empty(0, np.uint64), *own]))
+        return found[: size // 8].astype("<u8").tobytes()
 
 
 def train_dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
-    """Dictionaries of the two classes from lists of texts' code sets."""
+    """The dictionaries to compress with, of the two classes, from lists of texts' code sets."""
     import numpy as np
 
     def counts(sets):
-        values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-        return values, n / max(len(sets), 1), n
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
 
-    (tv, tp, tn), (ov, op, on) = counts(toxic), counts(ordinary)
+    def rate(values, known, n, texts):
+        at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+        return (np.where(known[at] == values, n[at], 0) + 0.5) / max(texts, 1) if len(known) else np.full(len(values), 0.5 / max(texts, 1))
 
-    def rate(values, in_values, p, least):
-        at = np.minimum(np.searchsorted(in_values, values), max(len(in_values) - 1, 0))
-        hit = in_values[at] == values if len(in_values) else np.zeros(len(values), bool)
-        return np.where(hit, p[at] if len(p) else 0.0, 0.0) + least
+    def apart(mine, n, texts, other, other_n, other_texts):
+        likelier = n / max(texts, 1) / rate(mine, other, other_n, other_texts)
+        return mine[(n >= LEAST) & (n >= LEAST_SHARE * texts) & (likelier >= RATIO)]
 
-    t_ratio, o_ratio = tp / rate(tv, ov, op, 0.5 / max(len(ordinary), 1)), op / rate(ov, tv, tp, 0.5 / max(len(toxic), 1))
-    best = lambda values, worth, keep, most: values[keep][np.argsort(-worth[keep], kind="stable")][:most]
-    mine = best(tv, tp * np.log(np.maximum(t_ratio, 1)), (tn >= LEAST) & (tp >= LEAST_SHARE) & (t_ratio >= RATIO), OWN)
-    other = best(ov, op * np.log(np.maximum(o_ratio, 1)), (on >= LEAST) & (op >= LEAST_SHARE) & (o_ratio >= RATIO), OWN)
-    common = best(ov, op, (on >= LEAST) & (o_ratio < RATIO), COMMON)
-    common = common[~np.isin(common, mine)]
-    return dictionary(mine, common), dictionary(other, common)
+    (tv, tn), (ov, on) = counts(toxic), counts(ordinary)
+    t_own, o_own = apart(tv, tn, len(toxic), ov, on, len(ordinary)), apart(ov, on, len(ordinary), tv, tn, len(toxic))
+    shared = (on >= LEAST) & ~np.isin(ov, t_own) & ~np.isin(ov, o_own)
+    shared = ov[shared][np.argsort(-on[shared], kind="stable")][: COMMON_BYTES // 8]
+    common = trained(ordinary[:COMMON_TEXTS], shared, COMMON_BYTES)
+    return trained(toxic, t_own, OWN_BYTES) + common, trained(ordinary, o_own, OWN_BYTES) + common
 
 
 def comparer(toxic: bytes, ordinary: bytes):
-    """Text -> features: of the windows' differences the largest; of what exceeds chance the sum, and the sum over the root of the windows; the share of windows with any."""
+    """Text -> per window, the bytes by which the toxic dictionary makes it shorter than the ordinary one."""
     import numpy as np
     import zstandard
 
-    make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
     a, b = make(toxic), make(ordinary)
 
-    def features(text: str | None) -> list[float]:
+    def differences(text: str | None):
         rows = codes(text)
         data, step = rows.astype("<u8").tobytes(), WINDOW * rows.shape[1] * 8
-        d = np.array([len(b.compress(data[i : i + step])) - len(a.compress(data[i : i + step])) for i in range(0, len(data), step)] or [0], float)
-        over = np.maximum(d - CHANCE, 0)
-        return [np.log1p(max(d.max(), 0.0)), np.log1p(over.sum()), np.log1p(over.sum() / np.sqrt(len(d))), (over > 0).mean()]
+        return np.array([len(b.compress(data[i : i + step])) - len(a.compress(data[i : i + step])) for i in range(0, len(data), step)] or [0], float)
 
-    return features
+    return differences
 
 
-def fit_logistic(x, y, ridge: float = 1e-2, rounds: int = 50):
-    """Weights (bias last) of a balanced logistic regression by Newton's method."""
+def calibrate(differences: list, y: list[int]) -> tuple[float, tuple[float, ...]]:
+    """(windows' threshold, texts' thresholds by BANDS) from labelled texts.
+
+    Windows: what QUIET of the ordinary texts' windows stay at or below. Texts: the middle of the range with the best
+    mean of both classes' recalls; longer texts never need less than shorter ones. Without both classes no text passes.
+    """
     import numpy as np
 
-    x1, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
-    share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (share * (p - y)) + ridge * 1e-2 * w
-        hess = (x1 * (share * p * (1 - p))[:, None]).T @ x1 + ridge * 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    y = np.array(y)
+    if len(set(y.tolist())) < 2:
+        return 0.0, (float("inf"),) * len(BANDS)
+    quiet = float(np.quantile(np.concatenate([d for d, own in zip(differences, y) if not own]), QUIET))
+    over, n = np.array([np.maximum(d - quiet, 0).sum() for d in differences]), np.array([len(d) for d in differences])
+    out, low = [], 0
+    for high in BANDS:
+        at = (n > low) & (n <= high)
+        bad, good = np.sort(over[at & (y == 1)]), np.sort(over[at & (y == 0)])
+        last = out[-1] if out else 0.5
+        if min(len(bad), len(good)) >= BAND_ROWS:
+            tried = np.unique(np.concatenate(([0.5], bad + 0.5, good + 0.5)))
+            worth = 1 - np.searchsorted(bad, tried) / len(bad) + np.searchsorted(good, tried) / len(good)
+            best = tried[worth >= worth.max() - 1e-9]
+            last = max(last, float(best[0] + best[-1]) / 2)
+        out.append(last)
+        low = high
+    return quiet, tuple(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit the dictionaries and thresholds on labelled rows outside fold 0.
 
-    At most about TRAIN_TOXIC and TRAIN_ORDINARY rows are used, chosen by a hash of the id; they are read in one task.
-    Null ids and labels are left out, of several labels of an id the largest counts. Without rows of both classes
-    every text scores below one half.
+    About TRAIN_TOXIC and TRAIN_ORDINARY rows are used (all, if there are fewer), chosen by a hash of the id; they are
+    read in one task. Null ids and labels are left out, of several labels of an id the largest counts, of several texts
+    of an id the first in order; so repeated rows cannot make the sample larger. Without rows of both classes, as with
+    empty tables, every text scores below one half. Other columns are not read.
     """
-    import numpy as np
-
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(F.crc32(F.col("id").cast("string")) % FOLDS != 0).groupBy("id").agg(F.max("y").alias("y"))
-    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    scale = 1 << 20
-    part = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(scale))
-    most = {1: TRAIN_TOXIC, 0: TRAIN_ORDINARY}
-    chosen = known.where(" or ".join(f"(y = {y} and _part < {int(min(1.0, most[y] / max(n.get(y, 1), 1)) * scale)})" for y in most).replace("_part", f"pmod(xxhash64('train', id), {scale})"))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").withColumn("part", part)
-    sample = sample.select("part", "y", F.coalesce("text", F.lit("")).alias("text"))
+    n = {r["y"]: r["count"] for r in known.where("y in (0, 1)").groupBy("y").count().collect()}
+    hashed = F.xxhash64(F.lit("train"), "id")
+    chosen = known.where(((F.col("y") == 1) & sampled(hashed, TRAIN_TOXIC, n.get(1, 0))) | ((F.col("y") == 0) & sampled(hashed, TRAIN_ORDINARY, n.get(0, 0))))
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text")).select(F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(CALIBRATE)).alias("part"), "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         sets: dict[int, list] = {0: [], 1: []}
         later = []
         for batch in batches:
             for p, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if p % CALIBRATE == 0:
+                if p == 0:
                     later.append((y, text.as_py()))
                 else:
                     sets[y].append(np.unique(codes(text.as_py())))
         toxic, ordinary = train_dictionaries(sets[1], sets[0])
-        features = comparer(toxic, ordinary)
-        x, y = np.array([features(t) for _, t in later]).reshape(-1, 4), np.array([y for y, _ in later])
-        if len(set(y.tolist())) < 2:
-            mean, sd, w = np.zeros(4), np.ones(4), np.array([0.0] * 4 + [-1.0])
-        else:
-            mean, sd = x.mean(0), x.std(0) + 1e-6
-            w = fit_logistic((x - mean) / sd, y)
-        yield pa.RecordBatch.from_pydict({"toxic": [toxic], "ordinary": [ordinary], "weights": [w.tolist()], "means": [mean.tolist()], "scales": [sd.tolist()]})
-
-    row = sample.repartition(1).mapInArrow(run, "toxic binary, ordinary binary, weights array<double>, means array<double>, scales array<double>").first()
+        differences = comparer(toxic, ordinary)
+        quiet, least = calibrate([differences(t) for _, t in later], [y for y, _ in later])
+        yield pa.RecordBatch.from_pydict({"toxic": [toxic], "ordinary": [ordinary], "quiet": [quiet], "least": [list(least)]})
+
+    row = sample.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(run, "toxic binary, ordinary binary, quiet double, least array<double>").first()
     if row is None:
-        return Model(dictionary(), dictionary(), (0.0,) * 4 + (-1.0,), (0.0,) * 4, (1.0,) * 4)
-    return Model(bytes(row["toxic"]), bytes(row["ordinary"]), tuple(row["weights"]), tuple(row["means"]), tuple(row["scales"]))
+        return Model(b"", b"", 0.0, (float("inf"),) * len(BANDS))
+    return Model(bytes(row["toxic"]), bytes(row["ordinary"]), row["quiet"], tuple(row["least"]))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "toxicity") -> DataFrame:
-    """Add column ``into``: probability-like score of every whole text, 0 to 1.
+    """Add column ``into``: score of every whole text, 0 to 1; one half where its bytes over the windows' threshold reach
+    the threshold of texts of its length.
 
-    The score depends on the text alone. Null texts score as empty ones; rows, other columns and repeats pass through.
+    The score depends on the text alone. Null texts score as empty ones, which stay below one half; rows, other columns
+    and repeats pass through; a column of the name ``into`` is replaced.
     """
-    toxic, ordinary, weights, means, scales = model
+    toxic, ordinary, quiet, least = model
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
         import pandas as pd
 
-        features = comparer(toxic, ordinary)
+        differences = comparer(toxic, ordinary)
+
+        def one(text: str | None) -> float:
+            d = differences(text)
+            over, need = np.maximum(d - quiet, 0).sum(), least[next(i for i, high in enumerate(BANDS) if len(d) <= high)]
+            return float(1 - 0.5 ** (over / need)) if np.isfinite(need) else 0.0
+
         for texts in parts:
-            x = np.array([features(t) for t in texts]).reshape(-1, 4)
-            z = (x - np.array(means)) / np.array(scales) @ np.array(weights[:-1]) + weights[-1]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pd.Series([one(t) for t in texts], dtype=float)
 
     return docs.withColumn(into, run(F.col(text_col)))
 
