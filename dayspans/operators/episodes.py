@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from .track import probe_location
 
 MINUTE, DAY = 60_000_000, 86_400_000_000
 
@@ -101,9 +102,10 @@ def dominant_label(episodes: DataFrame, places: DataFrame, keys: list[str], labe
     return g.select(*keys, "start_us", "end_us", F.when(F.col("own") > F.col("other"), label).otherwise("out_of_home").alias("location_type"))
 
 
-def fill_day(stays: DataFrame, keys: list[str]) -> DataFrame:
+def fill_day(stays: DataFrame, keys: list[str], fixes: DataFrame | None = None, minutes: int = 30) -> DataFrame:
     """EP12: a whole day's timeline from its labelled stays (``place``): clipped to the day, the first gap takes the first
-    label, the last gap the last, and a gap between takes the label of the stay before it."""
+    label, the last gap the last, and a gap between what GE18 finds at its start from ``fixes`` (user_id, date, us, near);
+    without fixes it takes the label of the stay before it. ``keys`` are user_id and date."""
     lo = day_us(F.col("date"))
     s = stays.withColumns({"start_us": F.greatest("start_us", lo), "end_us": F.least("end_us", lo + DAY)}).where("end_us > start_us")
     w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
@@ -111,8 +113,13 @@ def fill_day(stays: DataFrame, keys: list[str]) -> DataFrame:
     own = s.select(*keys, "start_us", "end_us", "place", F.lit("stay").alias("kind"))
     before = s.where(F.col("_first") & (F.col("start_us") > lo)).select(*keys, lo.alias("start_us"), F.col("start_us").alias("end_us"), "place", F.lit("gap").alias("kind"))
     stop = F.coalesce("_next", lo + DAY)
-    after = s.where(stop > F.col("end_us")).select(*keys, F.col("end_us").alias("start_us"), stop.alias("end_us"), "place", F.lit("gap").alias("kind"))
-    return own.unionByName(before).unionByName(after)
+    after = s.where(stop > F.col("end_us")).select(*keys, F.col("end_us").alias("start_us"), stop.alias("end_us"), "place", F.lit("gap").alias("kind"), F.col("_next").isNull().alias("_last"))
+    if fixes is not None:
+        inner = after.where("not _last")
+        asked = inner.select(*keys, F.col("start_us").alias("at_us")).distinct()
+        found = probe_location(asked, fixes, minutes).withColumnsRenamed({"at_us": "start_us", "location_type": "_found"})
+        after = after.join(found, [*keys, "start_us"], "left").withColumn("place", F.when(F.col("_last"), F.col("place")).otherwise(F.col("_found"))).drop("_found")
+    return own.unionByName(before).unionByName(after.select(*own.columns))
 
 
 def hourly_default(days: DataFrame, fixes: DataFrame, minutes: int = 30) -> DataFrame:
@@ -140,16 +147,45 @@ def timeline(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out.withColumns({"episode_number": F.row_number().over(w), "since_prev_us": F.col("start_us") - F.lag("start_us").over(w)})
 
 
-def day_statistics(episodes: DataFrame, keys: list[str], types: list[str]) -> DataFrame:
-    """EP16: per key the episodes and minutes of each type."""
+def with_first_overlap(episodes: DataFrame, others: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """EP15: each episode with the ``columns`` of the first of the ``others`` that overlaps it, null if none does."""
+    o = others.select(*keys, F.col("start_us").alias("_s"), F.col("end_us").alias("_e"), F.struct(*columns).alias("_v"))
+    own = [c for c in episodes.columns if c not in columns]
+    j = episodes.select(*own).join(o, keys, "left")
+    hit = (F.col("start_us") < F.col("_e")) & (F.col("_s") < F.col("end_us"))
+    g = j.groupBy(*own).agg(F.min_by("_v", F.when(hit, F.struct("_s", "_e", "_v"))).alias("_v"))
+    return g.select(*own, "_v.*")
+
+
+def day_statistics(episodes: DataFrame, keys: list[str], groups: dict[str, Column]) -> DataFrame:
+    """EP16: per key the episodes and minutes of each named group, such as a type, a transport or a type at a location."""
     us = F.col("end_us") - F.col("start_us")
     out = []
-    for t in types:
-        own = F.col("episode_type") == t
-        out += [F.count_if(own).alias(f"{t}_episodes"), F.round(F.sum(F.when(own, us).otherwise(0)) / MINUTE, 8).alias(f"{t}_minutes")]
+    for name, own in groups.items():
+        own = F.coalesce(own, F.lit(False))
+        out += [F.count_if(own).alias(f"{name}_episodes"), F.round(F.sum(F.when(own, us).otherwise(0)) / MINUTE, 8).alias(f"{name}_minutes")]
     return episodes.groupBy(*keys).agg(*out)
 
 
+def participant_summary(days: DataFrame, key: str, methods: list[str], least: int) -> DataFrame:
+    """EP17: per participant days, valid ones (``n`` of at least ``least``), their share, mean ``n``, and days by ``method``."""
+    valid = F.col("n") >= least
+    by = [F.count_if(F.col("method") == m).alias(f"{m}_days") for m in methods]
+    return days.groupBy(key).agg(F.count("*").alias("days"), F.count_if(valid).alias("valid_days"), F.round(F.avg(F.when(valid, 100.0).otherwise(0.0)), 6).alias("pct_valid"), F.round(F.avg("n"), 6).alias("mean_episodes"), *by)
+
+
+def day_grid(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """EP19: every day of a participant from its first to its last in any source, and which sources have it."""
+    keys = None
+    for name, d in sources.items():
+        own = d.select(key, "date", F.lit(name).alias("source")).distinct()
+        keys = own if keys is None else keys.unionByName(own)
+    span = keys.groupBy(key).agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    grid = span.select(key, F.explode(F.sequence("a", "b")).alias("date"))
+    flags = [F.coalesce(F.max(F.col("source") == name), F.lit(False)).alias(f"has_{name}") for name in sources]
+    return grid.join(keys, [key, "date"], "left").groupBy(key, "date").agg(*flags)
+
+
 def episode_summary(episodes: DataFrame, keys: list[str]) -> DataFrame:
     """EP18: per key and type number, total, mean and median minutes, first start and last end."""
     us = F.col("end_us") - F.col("start_us")

@@ -60,13 +60,15 @@ def two_pass_lookup(df: DataFrame, text: Column, lookup: DataFrame, into: str) -
     last = lambda k: lookup.groupBy(k.alias("_q")).agg(F.max_by("value", "seq").alias("_v"))
     d = df.withColumns({"_a": F.trim(text), "_b": letters_only(text)})
     one, two = last(F.trim("question")), last(letters_only(F.col("question"))).withColumnsRenamed({"_q": "_q2", "_v": "_v2"})
-    j = d.join(F.broadcast(one), F.col("_a") == F.col("_q"), "left").join(F.broadcast(two), F.col("_b") == F.col("_q2"), "left")
+    j = d.join(one, F.col("_a") == F.col("_q"), "left").join(two, F.col("_b") == F.col("_q2"), "left")
     return j.withColumn(into, F.coalesce("_v", "_v2")).drop("_a", "_b", "_q", "_v", "_q2", "_v2")
 
 
 def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """JN11: pairs of distinct short texts whose Levenshtein similarity (six digits) is at least ``least``, above 0.
 
+    An operator of its own: a ratio of matching blocks, as other tools have it, lets other pairs pass the same limit.
+
     Two lengths allow k edits at most. Of k + 1 pieces of the right text one is then unedited, and stands in the left text
     shifted by no more than the edits before and after it allow. Texts meet by lengths and such a piece; no pair is lost.
     """
@@ -101,4 +103,4 @@ def window_join(points: DataFrame, responses: DataFrame, key: str, us: str, lo:
 def update_where(df: DataFrame, updates: DataFrame, keys: list[str], column: str) -> DataFrame:
     """JN14: the new value where there is one, else the old."""
     u = updates.select(*keys, F.col(column).alias("_new"))
-    return df.join(F.broadcast(u), keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+    return df.join(u, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")

@@ -92,7 +92,7 @@ def book(v):
 
 @query("jn9_dictionary_join", f"SELECT event_id, e.scale, e.variable, code FROM v_ema_long e LEFT JOIN {DICT} d ON d.scale = e.scale AND d.variable = e.variable")
 def _(v):
-    return v.ema_long.select("event_id", "scale", "variable").join(F.broadcast(book(v)), ["scale", "variable"], "left")
+    return v.ema_long.select("event_id", "scale", "variable").join(book(v), ["scale", "variable"], "left")
 
 
 @query("jn10_two_pass_lookup", "SELECT event_id, CASE event_type WHEN 'view' THEN 'V' WHEN 'click' THEN 'C' END AS variable FROM events")
@@ -102,13 +102,7 @@ def _(v):
     return jn.two_pass_lookup(v.events.select("event_id", "event_type"), asked, q, "variable").select("event_id", "variable")
 
 
-@query("jn11_similar_texts", "WITH a AS (SELECT DISTINCT p_name AS a FROM part WHERE p_partkey <= 300), b AS (SELECT DISTINCT p_name AS b FROM part WHERE p_partkey > 300 AND p_partkey <= 700), s AS (SELECT a, b, round(1 - levenshtein(a, b) / CAST(greatest(length(a), length(b), 1) AS DOUBLE), 6) AS similarity FROM a, b) SELECT * FROM s WHERE similarity >= 0.8")
-def _(v):
-    p = v.table("part")
-    return jn.similar_texts(p.where("p_partkey <= 300").select("p_name"), p.where("p_partkey > 300 and p_partkey <= 700").select("p_name"), 0.8)
-
-
-@query("jn11_similar_texts_whole", "WITH a AS (SELECT DISTINCT p_name AS a FROM part), s AS (SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / CAST(greatest(length(x.a), length(y.a), 1) AS DOUBLE), 6) AS similarity FROM a x, a y) SELECT * FROM s WHERE similarity >= 0.8")
+@query("jn11_similar_texts", "WITH a AS (SELECT DISTINCT p_name AS a FROM part), s AS (SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / CAST(greatest(length(x.a), length(y.a), 1) AS DOUBLE), 6) AS similarity FROM a x, a y) SELECT * FROM s WHERE similarity >= 0.8")
 def _(v):
     p = v.table("part").select("p_name")
     return jn.similar_texts(p, p, 0.8)
@@ -352,7 +346,7 @@ def _(v):
     return a.intersect(b).withColumn("kind", F.lit("both")).union(a.subtract(b).withColumn("kind", F.lit("demo_only")))
 
 
-@query("se3_unordered_pairs", "SELECT DISTINCT least(a.event_type, b.event_type) AS a, greatest(a.event_type, b.event_type) AS b FROM (SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 30) a JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 30) b ON a.user_id = b.user_id AND a.event_type <> b.event_type")
+@query("se3_unordered_pairs", "SELECT DISTINCT least(a.event_type, b.event_type) AS a, greatest(a.event_type, b.event_type) AS b FROM (SELECT DISTINCT user_id, event_type FROM events) a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.user_id = b.user_id AND a.event_type <> b.event_type")
 def _(v):
     e = v.events.select("user_id", "event_type").distinct()
     j = e.join(e.select("user_id", c("event_type").alias("other")), "user_id").where("event_type <> other")
@@ -458,7 +452,7 @@ def _(v):
 
 @query("qn17_participant_table", f"SELECT e.user_id, e.event_id, e.variable AS item, code FROM v_ema_long e JOIN {DICT} d ON d.scale = e.scale AND d.variable = e.variable WHERE e.scale <> 'S5'")
 def _(v):
-    d = v.ema_long.where("scale <> 'S5'").join(F.broadcast(book(v)), ["scale", "variable"]).withColumnRenamed("variable", "item")
+    d = v.ema_long.where("scale <> 'S5'").join(book(v), ["scale", "variable"]).withColumnRenamed("variable", "item")
     return d.select("user_id", "event_id", "item", "code")
 
 

@@ -129,30 +129,29 @@ def _(v):
     return ep.dominant_label(digital(v), places(v), UD)
 
 
-@query("ep12_fill_day", f"""WITH {PLACES}, s AS (SELECT user_id, date, epoch_us(CAST(date AS TIMESTAMP)) AS lo, start_us, end_us, place FROM plc WHERE end_us > start_us),
-n AS (SELECT *, lead(start_us) OVER w AS nxt, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY user_id, date ORDER BY start_us, end_us))
-SELECT user_id, date, start_us, end_us, place, 'stay' AS kind FROM n UNION ALL SELECT user_id, date, lo, start_us, place, 'gap' FROM n WHERE i = 1 AND start_us > lo
-UNION ALL SELECT user_id, date, end_us, coalesce(nxt, lo + 86400000000), place, 'gap' FROM n WHERE coalesce(nxt, lo + 86400000000) > end_us""")
-def _(v):
-    return ep.fill_day(places(v), UD)
+def near_fixes(v):
+    return points(v).select("user_id", "date", "us", (c("place") == "~Home").alias("near"))
 
 
-def hourly(v, days):
-    return ep.hourly_default(days.select("user_id", "date").distinct(), points(v).select("user_id", "date", "us", (c("place") == "~Home").alias("near")))
+NEAR = "place = '~Home'"
 
 
-@query("ep13_hourly_default", """WITH d AS (SELECT DISTINCT user_id, date FROM v_points WHERE user_id <= 20), h AS (SELECT *, unnest(range(0, 24)) AS hour FROM d),
-j AS (SELECT h.user_id, h.date, h.hour, bool_or(p.place = '~Home') FILTER (WHERE epoch_us(p.ts) >= epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 - 1800000000 AND epoch_us(p.ts) < epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 + 5400000000) AS n FROM h LEFT JOIN v_points p ON p.user_id = h.user_id AND p.date = h.date GROUP BY ALL)
-SELECT user_id, date, CAST(hour AS INT) AS hour, CASE WHEN coalesce(n, false) THEN 'home' ELSE 'out_of_home' END AS location_type FROM j""")
+@query("ep12_fill_day", f"""WITH {PLACES}, s AS (SELECT user_id, date, epoch_us(CAST(date AS TIMESTAMP)) AS lo, start_us, end_us, place FROM plc WHERE end_us > start_us),
+n AS (SELECT *, lead(start_us) OVER w AS nxt, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY user_id, date ORDER BY start_us, end_us)),
+gp AS (SELECT user_id, date, end_us AS a, nxt AS b FROM n WHERE nxt > end_us),
+gj AS (SELECT gp.*, {NEAR} AS near, abs(epoch_us(p.ts) - a) AS away, epoch_us(p.ts) AS us FROM gp LEFT JOIN v_points p ON p.user_id = gp.user_id AND p.date = gp.date),
+gl AS (SELECT user_id, date, a, b, CASE WHEN coalesce(bool_or(near) FILTER (WHERE away <= 120 * 60000000::BIGINT), first(near ORDER BY away, us), false) THEN 'home' ELSE 'out_of_home' END AS place FROM gj GROUP BY user_id, date, a, b)
+SELECT user_id, date, start_us, end_us, place, 'stay' AS kind FROM n UNION ALL SELECT user_id, date, lo, start_us, place, 'gap' FROM n WHERE i = 1 AND start_us > lo
+UNION ALL SELECT user_id, date, a, b, place, 'gap' FROM gl UNION ALL SELECT user_id, date, end_us, lo + 86400000000, place, 'gap' FROM n WHERE nxt IS NULL AND lo + 86400000000 > end_us""")
 def _(v):
-    return hourly(v, v.points.where("user_id <= 20"))
+    return ep.fill_day(places(v), UD, near_fixes(v), 120)
 
 
-@query("ep13_hourly_default_whole", """WITH d AS (SELECT DISTINCT user_id, date FROM v_points), h AS (SELECT *, unnest(range(0, 24)) AS hour FROM d),
+@query("ep13_hourly_default", """WITH d AS (SELECT DISTINCT user_id, date FROM v_points), h AS (SELECT *, unnest(range(0, 24)) AS hour FROM d),
 j AS (SELECT h.user_id, h.date, h.hour, bool_or(p.place = '~Home') FILTER (WHERE epoch_us(p.ts) >= epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 - 1800000000 AND epoch_us(p.ts) < epoch_us(CAST(h.date AS TIMESTAMP)) + h.hour * 3600000000 + 5400000000) AS n FROM h LEFT JOIN v_points p ON p.user_id = h.user_id AND p.date = h.date GROUP BY ALL)
 SELECT user_id, date, CAST(hour AS INT) AS hour, CASE WHEN coalesce(n, false) THEN 'home' ELSE 'out_of_home' END AS location_type FROM j""")
 def _(v):
-    return hourly(v, v.points)
+    return ep.hourly_default(v.points.select("user_id", "date").distinct(), near_fixes(v))
 
 
 @query("ep14_stationary", f"WITH {HOME_SQL} SELECT user_id, date, start_us, end_us, 'stationary' AS movement_state FROM runs WHERE end_us - start_us >= 15 * 60000000")
@@ -167,20 +166,41 @@ def typed(v):
     return ep.timeline({"digital": digital(v), "moving": moving(v)}, UD)
 
 
-@query("ep15_timeline", f"WITH {TIMELINE} SELECT user_id, date, start_us, end_us, episode_type, episode_number, since_prev_us FROM tl")
+# Every type of episode with what it has: digital ones a location, moving and overlapping ones a transport.
+MOBILE = """mt AS (SELECT m.user_id, m.date, m.start_us, m.end_us, CASE WHEN coalesce(sum(CASE WHEN p.travel_mode IN ('AT', 'Walking') THEN 1 ELSE 0 END), 0) > coalesce(sum(CASE WHEN p.travel_mode = 'PT' THEN 1 ELSE 0 END), 0) THEN 'active' WHEN coalesce(sum(CASE WHEN p.travel_mode = 'PT' THEN 1 ELSE 0 END), 0) > 0 THEN 'mechanised' ELSE 'none' END AS transport FROM mov m LEFT JOIN v_points p ON p.user_id = m.user_id AND p.date = m.date AND epoch_us(p.ts) BETWEEN m.start_us AND m.end_us GROUP BY ALL)"""
+LOCATED = """dj AS (SELECT d.user_id, d.date, d.start_us, d.end_us, coalesce(sum(CASE WHEN place = 'home' THEN greatest(least(d.end_us, p.end_us) - greatest(d.start_us, p.start_us), 0) ELSE 0 END), 0) AS own, coalesce(sum(CASE WHEN place <> 'home' THEN greatest(least(d.end_us, p.end_us) - greatest(d.start_us, p.start_us), 0) ELSE 0 END), 0) AS other FROM dig d LEFT JOIN plc p ON d.user_id = p.user_id AND d.date = p.date GROUP BY ALL),
+dl AS (SELECT user_id, date, start_us, end_us, CASE WHEN own > other THEN 'home' ELSE 'out_of_home' END AS location_type FROM dj)"""
+FULL = f"""{DIGITAL}, {PLACES.replace('p AS', 'hp AS', 1).replace('FROM p)', 'FROM hp)', 1).replace('q AS', 'hq AS', 1).replace('FROM q WHERE', 'FROM hq WHERE', 1).replace('r AS (', 'hr AS (', 1).replace('FROM r WHERE', 'FROM hr WHERE', 1).replace('runs AS', 'hruns AS', 1).replace('FROM runs UNION', 'FROM hruns UNION')}, {run_sql(MOVING, 2)}, mov AS (SELECT * FROM runs), {OVERLAP}, {MOBILE}, {LOCATED},
+vt AS (SELECT o.user_id, o.date, o.start_us, o.end_us, first(m.transport ORDER BY m.start_us, m.end_us, m.transport) AS transport FROM (SELECT * FROM ovl WHERE end_us > start_us) o LEFT JOIN mt m ON m.user_id = o.user_id AND m.date = o.date AND o.start_us < m.end_us AND m.start_us < o.end_us GROUP BY o.user_id, o.date, o.start_us, o.end_us),
+ft AS (SELECT *, row_number() OVER w AS episode_number, start_us - lag(start_us) OVER w AS since_prev_us FROM (SELECT user_id, date, start_us, end_us, 'digital' AS episode_type, location_type, NULL AS transport FROM dl UNION ALL SELECT user_id, date, start_us, end_us, 'moving', NULL, transport FROM mt UNION ALL SELECT user_id, date, start_us, end_us, 'overlap', NULL, transport FROM vt) t WINDOW w AS (PARTITION BY user_id, date ORDER BY start_us, end_us, episode_type))"""
+
+
+def full(v):
+    d, m = digital(v), moving(v)
+    m = ep.majority_transport(m, points(v), UD, c("travel_mode").isin("AT", "Walking"), c("travel_mode") == "PT")
+    both = ep.with_first_overlap(ep.intersect_intervals(d, m.drop("transport"), UD), m, UD, ["transport"])
+    return ep.timeline({"digital": ep.dominant_label(d, places(v), UD), "moving": m, "overlap": both}, UD)
+
+
+@query("ep15_timeline", f"WITH {FULL} SELECT user_id, date, start_us, end_us, episode_type, location_type, transport, episode_number, since_prev_us FROM ft")
 def _(v):
-    return typed(v)
+    return full(v)
+
 
+GROUPS = {"digital": "episode_type = 'digital'", "moving": "episode_type = 'moving'", "overlap": "episode_type = 'overlap'", "active": "episode_type = 'moving' and transport = 'active'", "mechanised": "episode_type = 'moving' and transport = 'mechanised'", "overlap_active": "episode_type = 'overlap' and transport = 'active'", "overlap_mechanised": "episode_type = 'overlap' and transport = 'mechanised'", "digital_home": "episode_type = 'digital' and location_type = 'home'", "digital_out_of_home": "episode_type = 'digital' and location_type = 'out_of_home'"}
 
-@query("ep16_day_statistics", f"WITH {TIMELINE} SELECT user_id, date, count(*) FILTER (WHERE episode_type = 'digital') AS digital_episodes, round(sum(CASE WHEN episode_type = 'digital' THEN end_us - start_us ELSE 0 END) / {MIN}, 8) AS digital_minutes, count(*) FILTER (WHERE episode_type = 'moving') AS moving_episodes, round(sum(CASE WHEN episode_type = 'moving' THEN end_us - start_us ELSE 0 END) / {MIN}, 8) AS moving_minutes FROM tl GROUP BY user_id, date")
+
+@query("ep16_day_statistics", f"WITH {FULL} SELECT user_id, date, " + ", ".join(f"count(*) FILTER (WHERE {w}) AS {n}_episodes, round(sum(CASE WHEN {w} THEN end_us - start_us ELSE 0 END) / {MIN}, 8) AS {n}_minutes" for n, w in GROUPS.items()) + " FROM ft GROUP BY user_id, date")
 def _(v):
-    return ep.day_statistics(typed(v), UD, ["digital", "moving"])
+    return ep.day_statistics(full(v), UD, {n: F.expr(w) for n, w in GROUPS.items()})
 
 
-@query("ep17_participant_summary", f"WITH {TIMELINE}, d AS (SELECT user_id, date, count(*) AS n FROM tl GROUP BY user_id, date) SELECT user_id, count(*) AS days, count(*) FILTER (WHERE n >= 2) AS valid_days, round(100.0::DOUBLE * count(*) FILTER (WHERE n >= 2) / count(*), 6) AS pct_valid, round(avg(n), 6) AS mean_episodes FROM d GROUP BY user_id")
+@query("ep17_participant_summary", f"WITH {FULL}, d AS (SELECT user_id, date, count(*) AS n, CASE WHEN bool_or(episode_type = 'overlap') THEN 'overlapping' WHEN count(DISTINCT episode_type) > 1 THEN 'separate' ELSE 'single' END AS method FROM ft GROUP BY user_id, date) SELECT user_id, count(*) AS days, count(*) FILTER (WHERE n >= 2) AS valid_days, round(100.0::DOUBLE * count(*) FILTER (WHERE n >= 2) / count(*), 6) AS pct_valid, round(avg(n), 6) AS mean_episodes, count(*) FILTER (WHERE method = 'overlapping') AS overlapping_days, count(*) FILTER (WHERE method = 'separate') AS separate_days, count(*) FILTER (WHERE method = 'single') AS single_days FROM d GROUP BY user_id")
 def _(v):
-    d = typed(v).groupBy(*UD).agg(F.count("*").alias("n"))
-    return d.groupBy("user_id").agg(F.count("*").alias("days"), F.count_if(c("n") >= 2).alias("valid_days"), F.round(F.avg(F.when(c("n") >= 2, 100.0).otherwise(0.0)), 6).alias("pct_valid"), F.round(F.avg("n"), 6).alias("mean_episodes"))
+    kinds = F.countDistinct("episode_type")
+    method = F.when(F.bool_or(c("episode_type") == "overlap"), "overlapping").when(kinds > 1, "separate").otherwise("single")
+    days = full(v).groupBy(*UD).agg(F.count("*").alias("n"), method.alias("method"))
+    return ep.participant_summary(days, "user_id", ["overlapping", "separate", "single"], 2)
 
 
 @query("ep18_episode_summary", f"WITH {TIMELINE}, m AS (SELECT *, end_us - start_us AS m FROM tl) SELECT user_id, date, episode_type, count(*) AS num_episodes, round(sum(m) / {MIN}, 8) AS total_minutes, round(sum(m) / CAST(count(*) AS DOUBLE) / {MIN}, 10) AS mean_minutes, round(median(m) / {MIN}, 10) AS median_minutes, min(start_us) AS first_us, max(end_us) AS last_us FROM m GROUP BY user_id, date, episode_type")
@@ -194,6 +214,11 @@ def _(v):
     return keys.join(digital(v), UD, "left").groupBy(*UD).agg(F.countDistinct("start_us").alias("n_digital"))
 
 
+@query("ep19_day_grid", f"WITH {BOTH}, k AS (SELECT user_id, date, 'digital' AS s FROM dig UNION SELECT user_id, date, 'moving' FROM mov), g AS (SELECT user_id, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM k GROUP BY user_id) SELECT g.user_id, g.date, coalesce(bool_or(s = 'digital'), false) AS has_digital, coalesce(bool_or(s = 'moving'), false) AS has_moving FROM g LEFT JOIN k ON k.user_id = g.user_id AND k.date = g.date GROUP BY g.user_id, g.date")
+def _(v):
+    return ep.day_grid({"digital": digital(v), "moving": moving(v)}, "user_id")
+
+
 def stress(v):
     return v.stress.withColumn("minute", F.expr("unix_micros(cast(ts as timestamp)) div 60000000"))
 

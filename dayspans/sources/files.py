@@ -14,9 +14,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
 
-def with_entity(df: DataFrame, pattern: str = r"(\d+)", into: str = "entity") -> DataFrame:
-    """SC5: the entity's id from the file's name; hidden files are never read by Spark."""
-    return df.withColumn(into, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+def with_entity(df: DataFrame, pattern: str = r"(\d+)", into: str = "entity", of: str = "file_name") -> DataFrame:
+    """SC5: the entity's id from the file's name, or from its whole path; hidden files are never read by Spark."""
+    return df.withColumn(into, F.regexp_extract(F.col(f"_metadata.{of}"), pattern, 1))
 
 
 def read_csv_skip(spark: SparkSession, path: str, schema: str, head: int = 0, foot: int = 0, sep: str = ",") -> DataFrame:

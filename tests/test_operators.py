@@ -254,7 +254,7 @@ def test_similar_texts_of_all_rows(spark, tmp_path):
     from dayspans.plans import registry
 
     spark.createDataFrame([(1, "small ring"), (900, "small rings"), (901, "tall tree")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {(r["a"], r["b"]) for r in registry.QUERIES["jn11_similar_texts_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["a"], r["b"]) for r in registry.QUERIES["jn11_similar_texts"](spark, str(tmp_path)).collect()}
     assert got == {("small ring", "small ring"), ("small ring", "small rings"), ("small rings", "small ring"), ("small rings", "small rings"), ("tall tree", "tall tree")}
 
 
@@ -278,7 +278,7 @@ def test_hours_and_pairs_of_all_users(spark, tmp_path):
 
     rows = [(i, u, "2024-01-02 10:40:00", e, 1.0, '{"k": 3}') for i, (u, e) in enumerate([(1, "view"), (1, "click"), (900, "view"), (900, "error")])]
     spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
-    hours = registry.QUERIES["ep13_hourly_default_whole"](spark, str(tmp_path)).where("location_type = 'home'").collect()
+    hours = registry.QUERIES["ep13_hourly_default"](spark, str(tmp_path)).where("location_type = 'home'").collect()
     assert {(r["user_id"], r["hour"]) for r in hours} == {(u, h) for u in (1, 900) for h in (10, 11)}
     assert {(r["a"], r["b"]) for r in registry.QUERIES["se3_unordered_pairs"](spark, str(tmp_path)).collect()} == {("click", "view"), ("error", "view")}
 
@@ -289,7 +289,7 @@ def test_skipped_margins_of_many_files(spark, tmp_path):
     from dayspans.plans import registry, scans
 
     spark.range(5000).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit("a").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
-    got = registry.QUERIES["sc3_csv_skip_whole"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["sc3_csv_skip"](spark, str(tmp_path)).collect()
     assert len(got) == 5000 and {r["user_id"] for r in got} == set(range(5000)) and {r["gender_raw"] for r in got} == {"F", "M", "n/a"}
     d = spark.range(300).select(F.col("id").alias("user_id"), F.lit("F").alias("gender_raw"))
     scans.with_margins(d, f"{tmp_path}/txt", 5)
