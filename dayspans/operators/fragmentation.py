@@ -42,6 +42,14 @@ def minutes_by(df: DataFrame, keys: list[str], column: str, values: list[str], m
     return df.groupBy(*keys).agg(*[F.round(F.sum(F.when(F.col(column) == x, minutes).otherwise(0.0)), 8).alias(f"{x}_duration") for x in values])
 
 
+def out_of_home(points: DataFrame, home: DataFrame, keys: list[str]) -> DataFrame:
+    """AG16: minutes from the first point to the last, in home episodes, and the rest. ``points``: us; ``home``: start_us, end_us."""
+    span = points.groupBy(*keys).agg(((F.max("us") - F.min("us")) / 60_000_000).alias("_span"))
+    own = home.groupBy(*keys).agg((F.sum(F.col("end_us") - F.col("start_us")) / 60_000_000).alias("_home"))
+    at_home = F.coalesce("_home", F.lit(0.0))
+    return span.join(own, keys, "left").select(*keys, F.round("_span", 8).alias("observed_minutes"), F.round(at_home, 8).alias("home_minutes"), F.round(F.col("_span") - at_home, 8).alias("out_of_home_minutes"))
+
+
 def wide(df: DataFrame, keys: list[str], types: list[str], metrics: list[str]) -> DataFrame:
     """FR7, AG12: one row per key with every type's metrics under its prefix."""
     out = [F.max(F.when(F.col("type") == t, F.col(m))).alias(f"{t}_{m}") for t in types for m in metrics]

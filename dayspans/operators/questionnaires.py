@@ -69,13 +69,60 @@ def row_mean(*items: Column) -> Column:
     return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
 
 
-def scale_summary(df: DataFrame, key: str) -> DataFrame:
-    """QN14: by scale, and by scale and variable, in one pass."""
-    return df.groupingSets([[key, "scale"], [key, "scale", "variable"]], key, "scale", "variable").agg(F.count("*").alias("n"), F.count("response").alias("n_valid"), F.round(F.avg("response"), 6).alias("mean"), F.round(F.stddev_samp("response"), 6).alias("sd"), F.countDistinct("date").alias("n_days"))
+def canonical_name(name: Column, part: str, canonical: str) -> Column:
+    """QN5: every name that contains ``part`` becomes ``canonical``."""
+    return F.when(name.contains(part), canonical).otherwise(name)
+
 
+def form_labels(name: Column, form: Column, forms: tuple[str, ...], names: dict[str, str]) -> Column:
+    """QN5: names of the ``forms`` (found in the form's text) go through the map, what it lacks becomes null; others stay."""
+    own = form.contains(forms[0])
+    for f in forms[1:]:
+        own = own | form.contains(f)
+    return F.when(own, map_codes(name, names)).otherwise(name)
 
-def completeness_matrix(df: DataFrame, key: str, day: str, what: str, days: range) -> DataFrame:
-    """AG14: per participant the distinct ``what`` of each study day, and their total."""
-    cols = [F.countDistinct(F.when(F.col(day) == d, F.col(what))).alias(f"Day_{d}") for d in days]
-    m = df.groupBy(key).agg(*cols)
+
+def scale_summary(df: DataFrame, key: str) -> DataFrame:
+    """QN14: by scale, and by scale and variable, in one pass. ``df``: response, scored (reversed where due), z, variable, date."""
+    out = [F.count("*").alias("n"), F.count("response").alias("n_valid"), F.countDistinct("variable").alias("n_vars"), F.countDistinct("date").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date")]
+    for x, name in (("response", "raw"), ("scored", "reversed"), ("z", "z")):
+        out += [F.round(F.avg(x), 6).alias(f"{name}_mean"), F.round(F.stddev_samp(x), 6).alias(f"{name}_sd")]
+    return df.groupingSets([[key, "scale"], [key, "scale", "variable"]], key, "scale", "variable").agg(*out)
+
+
+def daily_scales(df: DataFrame, keys: list[str], scales: list[str]) -> DataFrame:
+    """QN15: per day the mean scored and z value of each scale, and the responses behind it."""
+    out = []
+    for s in scales:
+        own = F.col("scale") == s
+        out += [F.round(F.avg(F.when(own, F.col("scored"))), 6).alias(f"{s}_reversed"), F.round(F.avg(F.when(own, F.col("z"))), 6).alias(f"{s}_z"), F.count(F.when(own, F.col("scored"))).alias(f"{s}_n")]
+    return df.groupBy(*keys).agg(*out)
+
+
+def valid_days(first: DataFrame, second: DataFrame, key: str, days: range, least: int = 3) -> DataFrame:
+    """AG15: a day is valid where both matrices together have ``least`` entries or more; per participant a boolean for
+    each day, the valid days and their share of all days, and whether there is any entry."""
+    names = [f"Day_{d}" for d in days]
+    both = first.select(key, *names).unionByName(second.select(key, *names)).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    total = sum((F.when(F.col(n) >= least, 1).otherwise(0) for n in names), F.lit(0))
+    entries = sum((F.col(n) for n in names), F.lit(0))
+    return both.select(key, *[(F.col(n) >= least).alias(f"Valid_{d}") for n, d in zip(names, days)], total.alias("valid_days"), F.round(total * 100.0 / len(names), 6).alias("pct_valid"), (entries > 0).alias("active"))
+
+
+def valid_counts(valid: DataFrame, days: range) -> DataFrame:
+    """AG15: per day the participants for whom it is valid, as a share of all and of those with any entry."""
+    one = valid.agg(F.count("*").alias("n_all"), F.count_if("active").alias("n_active"), *[F.count_if(f"Valid_{d}").alias(f"v{d}") for d in days])
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("day"), F.col(f"v{d}").alias("n_valid")) for d in days])).alias("r")
+    share = lambda of: F.round(F.col("r.n_valid") * 100.0 / F.nullif(F.col(of), F.lit(0)), 6)
+    return one.select("n_all", "n_active", rows).select("r.day", "r.n_valid", share("n_all").alias("pct_all"), share("n_active").alias("pct_active"))
+
+
+def completeness_matrix(df: DataFrame, keys: list[str], day: str, what: str, days: range) -> DataFrame:
+    """AG14: per participant (and scale) the distinct ``what`` of each study day, and their total.
+
+    Distinct per day first, so that one count per day is left to add up.
+    """
+    once = df.where(F.col(what).isNotNull()).select(*keys, F.col(day).alias("_day"), what).distinct().groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
+    cols = [F.coalesce(F.sum(F.when(F.col("_day") == d, F.col("_n"))), F.lit(0)).alias(f"Day_{d}") for d in days]
+    m = df.select(*keys).distinct().join(once, keys, "left").groupBy(*keys).agg(*cols)
     return m.withColumn("Total", sum((F.col(f"Day_{d}") for d in days), F.lit(0)))

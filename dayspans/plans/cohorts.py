@@ -9,6 +9,7 @@ from ..functions import ids, labels, missing, times
 from ..operators import fragmentation as fr
 from ..operators import joins as jn
 from ..operators import questionnaires as qn
+from . import episodes as eps
 from .registry import query
 
 c = F.col
@@ -234,12 +235,21 @@ def _(v):
     return long(v).groupBy("user_id", "date").agg(one("S4"), one("S5"))
 
 
-MATRIX = "SELECT user_id, " + ", ".join(f"count(DISTINCT CASE WHEN day(date) = {d} THEN event_id END) AS \"Day_{d}\"" for d in range(1, 8)) + ", count(DISTINCT CASE WHEN day(date) <= 7 THEN event_id END) AS \"Total\" FROM v_ema_long GROUP BY user_id"
+def matrix_sql(source: str, keys: str, what: str, day: str) -> str:
+    return f"SELECT {keys}, " + ", ".join(f"count(DISTINCT CASE WHEN day({day}) = {d} THEN {what} END) AS \"Day_{d}\"" for d in range(1, 8)) + f", count(DISTINCT CASE WHEN day({day}) <= 7 THEN {what} END) AS \"Total\" FROM {source} GROUP BY {keys}"
+
+
+def study_day(d):
+    """The number of the study day, from its label."""
+    d = d.withColumn("label", F.concat(F.lit("EMA day "), F.day("date").cast("string")))
+    return d.withColumn("day", F.regexp_extract(F.lower("label"), r"ema day (\d+)", 1).cast("int"))
+
+
+MATRIX = matrix_sql("v_ema_long", "user_id", "event_id", "date")
 
 
 def matrix(v):
-    d = v.ema_long.withColumn("label", F.concat(F.lit("EMA day "), F.day("date").cast("string"))).withColumn("day", F.regexp_extract(F.lower("label"), r"ema day (\d+)", 1).cast("int"))
-    return qn.completeness_matrix(d, "user_id", "day", "event_id", range(1, 8))
+    return qn.completeness_matrix(study_day(v.ema_long), ["user_id"], "day", "event_id", range(1, 8))
 
 
 @query("ag14_completeness_matrix", MATRIX)
@@ -247,14 +257,41 @@ def _(v):
     return matrix(v)
 
 
-@query("ag15_valid_days", f"WITH m AS ({MATRIX}) SELECT user_id, " + " + ".join(f"CASE WHEN \"Day_{d}\" >= 3 THEN 1 ELSE 0 END" for d in range(1, 8)) + " AS valid_days FROM m")
+@query("ag14_scale_matrix", "SELECT user_id, scale, " + ", ".join(f"count(DISTINCT CASE WHEN day(date) = {d} THEN variable END) AS \"Day_{d}\"" for d in range(1, 8)) + ", " + " + ".join(f"count(DISTINCT CASE WHEN day(date) = {d} THEN variable END)" for d in range(1, 8)) + " AS \"Total\" FROM v_ema_long GROUP BY user_id, scale")
+def _(v):
+    return qn.completeness_matrix(study_day(v.ema_long), ["user_id", "scale"], "day", "variable", range(1, 8))
+
+
+WIDE_MATRIX = matrix_sql("v_ema_wide", "user_id", "event_id", "response_time")
+VALID = f"""WITH a AS ({MATRIX}), b AS ({WIDE_MATRIX}), m AS (SELECT user_id, {", ".join(f'sum("Day_{d}") AS "Day_{d}"' for d in range(1, 8))} FROM (SELECT * FROM a UNION ALL SELECT * FROM b) t GROUP BY user_id),
+vd AS (SELECT user_id, {", ".join(f'"Day_{d}" >= 3 AS "Valid_{d}"' for d in range(1, 8))}, {" + ".join(f'CASE WHEN "Day_{d}" >= 3 THEN 1 ELSE 0 END' for d in range(1, 8))} AS valid_days, {" + ".join(f'"Day_{d}"' for d in range(1, 8))} > 0 AS active FROM m)"""
+
+
+def valid(v):
+    wide = qn.completeness_matrix(study_day(v.ema_wide.withColumn("date", F.to_date("response_time"))), ["user_id"], "day", "event_id", range(1, 8))
+    return qn.valid_days(matrix(v), wide, "user_id", range(1, 8))
+
+
+@query("ag15_valid_days", VALID + f" SELECT user_id, {', '.join(f'Valid_{d}' for d in range(1, 8))}, valid_days, round(100.0::DOUBLE * valid_days / 7, 6) AS pct_valid, active FROM vd")
+def _(v):
+    return valid(v)
+
+
+@query("ag15_valid_counts", VALID + " " + " UNION ALL ".join(f"SELECT {d} AS day, count(*) FILTER (WHERE Valid_{d}) AS n_valid, round(100.0::DOUBLE * count(*) FILTER (WHERE Valid_{d}) / count(*), 6) AS pct_all, round(100.0::DOUBLE * count(*) FILTER (WHERE Valid_{d}) / count(*) FILTER (WHERE active), 6) AS pct_active FROM vd" for d in range(1, 8)))
+def _(v):
+    return qn.valid_counts(valid(v), range(1, 8))
+
+
+@query("ag16_out_of_home", f"""WITH {eps.HOME_SQL}, s AS (SELECT user_id, date, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0::DOUBLE AS span FROM v_points GROUP BY user_id, date),
+h AS (SELECT user_id, date, sum(end_us - start_us) / 60000000.0::DOUBLE AS home FROM runs GROUP BY user_id, date)
+SELECT s.user_id, s.date, round(span, 8) AS observed_minutes, round(coalesce(home, 0), 8) AS home_minutes, round(span - coalesce(home, 0), 8) AS out_of_home_minutes FROM s LEFT JOIN h ON h.user_id = s.user_id AND h.date = s.date""")
 def _(v):
-    return matrix(v).select("user_id", sum((F.when(c(f"Day_{d}") >= 3, 1).otherwise(0) for d in range(1, 8)), F.lit(0)).alias("valid_days"))
+    return fr.out_of_home(v.points.withColumn("us", times.micros(c("ts"))), eps.at_home(v), ["user_id", "date"])
 
 
-@query("ag16_out_of_home", "SELECT user_id, date, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us, sum(CASE WHEN place = '~Home' THEN 1 ELSE 0 END) AS home_points, sum(CASE WHEN travel_mode IN ('AT', 'Walking') THEN 1 ELSE 0 END) AS active_points FROM v_points GROUP BY user_id, date")
+@query("ag16_transport_minutes", f"WITH {eps.BOTH}, {eps.MOBILE} SELECT user_id, date, round(sum(CASE WHEN transport = 'active' THEN (end_us - start_us) / 60000000.0::DOUBLE ELSE 0 END), 8) AS active_duration, round(sum(CASE WHEN transport = 'mechanised' THEN (end_us - start_us) / 60000000.0::DOUBLE ELSE 0 END), 8) AS mechanised_duration FROM mt GROUP BY user_id, date")
 def _(v):
-    return v.points.groupBy("user_id", "date").agg((times.micros(F.max("ts")) - times.micros(F.min("ts"))).alias("span_us"), F.count_if(c("place") == "~Home").alias("home_points"), F.count_if(c("travel_mode").isin("AT", "Walking")).alias("active_points"))
+    return fr.minutes_by(eps.mobile(v), ["user_id", "date"], "transport", ["active", "mechanised"], eps.minutes())
 
 
 @query("ag17_dedup", "SELECT user_id, date, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date ORDER BY ts, event_id) AS n FROM v_points) t WHERE n = 1")
@@ -378,9 +415,9 @@ def _(v):
     return v.ema_long.select("event_id", qn.map_codes(c("response_raw"), qn.TRAFFIC_5).alias("traffic"), qn.map_codes(c("response_raw"), qn.CALM_4, keep=True).alias("calm"))
 
 
-@query("qn5_canonical_names", "SELECT event_id, CASE WHEN variable LIKE '%pur%' THEN 'PURCHASE' ELSE variable END AS variable FROM v_ema_long")
+@query("qn5_canonical_names", "SELECT event_id, CASE WHEN variable LIKE '%pur%' THEN 'PURCHASE' ELSE variable END AS variable, CASE WHEN scale IN ('S4') THEN CASE variable WHEN 'view' THEN 'LOOK' WHEN 'click' THEN 'PRESS' END ELSE variable END AS label FROM v_ema_long")
 def _(v):
-    return v.ema_long.select("event_id", F.when(c("variable").contains("pur"), "PURCHASE").otherwise(c("variable")).alias("variable"))
+    return v.ema_long.select("event_id", qn.canonical_name(c("variable"), "pur", "PURCHASE").alias("variable"), qn.form_labels(c("variable"), c("scale"), ("S4", "V7"), {"view": "LOOK", "click": "PRESS"}).alias("label"))
 
 
 @query("qn6_changed_counts", "SELECT scale, count(*) FILTER (WHERE regexp_matches(response_raw, '^[0-9]+$') AND response_raw <> '3') AS n_changed, count(*) FILTER (WHERE NOT (regexp_matches(response_raw, '^[0-9]+$') AND response_raw <> '3')) AS n_same FROM v_ema_long GROUP BY scale")
@@ -434,15 +471,28 @@ def _(v):
     return scored(v).groupBy("user_id", "scale").agg(F.count("scored").alias("n_valid"), r6(F.avg("scored"), "mean"))
 
 
-@query("qn14_scale_summary", f"SELECT user_id, scale, variable, count(*) AS n, count(response) AS n_valid, round(avg(response), 6) AS mean, round(stddev_samp(response), 6) AS sd, count(DISTINCT date) AS n_days FROM {LONG} GROUP BY GROUPING SETS ((user_id, scale), (user_id, scale, variable))")
+ZED = f"(SELECT *, CASE WHEN scored IS NULL THEN NULL WHEN coalesce(stddev_samp(scored) OVER w, 0) = 0 THEN 0 ELSE (scored - avg(scored) OVER w) / stddev_samp(scored) OVER w END AS z FROM {SCORED} WINDOW w AS (PARTITION BY user_id, scale))"
+
+
+def zed(v):
+    return qn.zscore(scored(v), "scored", ["user_id", "scale"], "z")
+
+
+@query("qn14_scale_summary", f"SELECT user_id, scale, variable, count(*) AS n, count(response) AS n_valid, count(DISTINCT variable) AS n_vars, count(DISTINCT date) AS n_days, min(date) AS first_date, max(date) AS last_date, " + ", ".join(f"round(avg({x}), 6) AS {n}_mean, round(stddev_samp({x}), 6) AS {n}_sd" for x, n in (("response", "raw"), ("scored", "reversed"), ("z", "z"))) + f" FROM {ZED} GROUP BY GROUPING SETS ((user_id, scale), (user_id, scale, variable))")
 def _(v):
-    return qn.scale_summary(long(v), "user_id")
+    return qn.scale_summary(zed(v), "user_id")
 
 
-@query("qn15_daily_averages", f"SELECT user_id, date, round(avg(scored) FILTER (WHERE scale = 'S4'), 6) AS \"S4\", round(avg(scored) FILTER (WHERE scale = 'S5'), 6) AS \"S5\" FROM {SCORED} GROUP BY user_id, date")
+@query("qn15_daily_averages", "SELECT user_id, date, " + ", ".join(f"round(avg(scored) FILTER (WHERE scale = '{x}'), 6) AS \"{x}_reversed\", round(avg(z) FILTER (WHERE scale = '{x}'), 6) AS \"{x}_z\", count(scored) FILTER (WHERE scale = '{x}') AS \"{x}_n\"" for x in ("S4", "S5")) + f" FROM {ZED} GROUP BY user_id, date")
 def _(v):
-    p = scored(v).groupBy("user_id", "date").pivot("scale", ["S4", "S5"]).agg(F.avg("scored"))
-    return p.select("user_id", "date", r6(c("S4"), "S4"), r6(c("S5"), "S5"))
+    return qn.daily_scales(zed(v), ["user_id", "date"], ["S4", "S5"])
+
+
+@query("qn15_response_counts", f"WITH d AS (SELECT user_id, date, count(scored) AS n_responses FROM {SCORED} GROUP BY user_id, date) SELECT n_responses, count(*) AS n_days, count(DISTINCT user_id) AS n_users, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM d), 6) AS pct_days FROM d GROUP BY n_responses")
+def _(v):
+    d = scored(v).groupBy("user_id", "date").agg(F.count("scored").alias("n_responses"))
+    g = d.groupBy("n_responses").agg(F.count("*").alias("n_days"), F.countDistinct("user_id").alias("n_users"))
+    return g.withColumn("pct_days", F.round(c("n_days") * 100.0 / F.sum("n_days").over(W.partitionBy()), 6))
 
 
 @query("qn16_composite", "SELECT event_id, round((q1 + q2 + q3 + (6 - q4) + (6 - q5) + (6 - q6)) / 6.0::DOUBLE, 6) AS composite FROM v_ema_wide")
@@ -459,39 +509,45 @@ def _(v):
 # Study-level compositions
 
 
-POOL = """a AS (SELECT 'studyA_' || user_id AS participant_id, 'studyA' AS dataset_source, date, (outcome - avg(outcome) OVER ()) / stddev_pop(outcome) OVER () AS mood, total_value AS duration, n_types AS fragments, CASE WHEN isodow(date) - 1 IN (4, 5) THEN 1 ELSE 0 END AS is_weekend FROM v_daily WHERE source = 'studyA'),
-b AS (SELECT 'studyB_' || user_id AS participant_id, 'studyB' AS dataset_source, date, -(outcome - avg(outcome) OVER ()) / stddev_pop(outcome) OVER () AS mood, total_value AS duration, NULL::BIGINT AS fragments, CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend FROM v_daily WHERE source = 'studyB'),
+# Both studies' days with what the common schema takes of each: scores as they are and standardised, demographics, durations.
+POOL = """dm AS (SELECT user_id, CASE gender_raw WHEN 'F' THEN 'female' WHEN 'M' THEN 'male' END AS gender, CASE centre_raw WHEN 'Yes' THEN 'city_center' ELSE 'suburb' END AS location_type, class_name AS class FROM v_demo),
+a AS (SELECT 'studyA_' || user_id AS participant_id, 'studyA' AS dataset_source, date, outcome AS mood_raw, (outcome - avg(outcome) OVER ()) / stddev_pop(outcome) OVER () AS mood, gender, location_type, 'adult' AS age_group, NULL::VARCHAR AS class, total_value AS duration, n_events AS mobility_duration, n_types AS fragments, n_types - total_value AS fragments_delta, CASE WHEN isodow(date) - 1 IN (4, 5) THEN 1 ELSE 0 END AS is_weekend FROM (SELECT * FROM v_daily WHERE source = 'studyA') d LEFT JOIN dm USING (user_id)),
+b AS (SELECT 'studyB_' || user_id AS participant_id, 'studyB' AS dataset_source, date, outcome AS mood_raw, -(outcome - avg(outcome) OVER ()) / stddev_pop(outcome) OVER () AS mood, gender, location_type, 'adolescent' AS age_group, class, total_value AS duration, n_events AS mobility_duration, NULL::BIGINT AS fragments, NULL::DOUBLE AS fragments_delta, CASE WHEN isodow(date) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend FROM (SELECT * FROM v_daily WHERE source = 'studyB') d LEFT JOIN dm USING (user_id)),
 pool AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 
 
-def study(v, name, weekend, sign):
-    d = qn.zscore(v.daily.where(c("source") == name), "outcome", [], "z", ddof=0)
-    return d.select(ids.composite_id(c("source"), c("user_id")).alias("participant_id"), c("source").alias("dataset_source"), "date", (c("z") * sign).alias("mood"), c("total_value").alias("duration"), c("n_types").alias("fragments"), times.is_weekend(c("date"), weekend).alias("is_weekend"))
+def study(v, name, weekend, sign, age_group):
+    demo = v.demo.select("user_id", labels.recode(c("gender_raw"), {"F": "female", "M": "male"}).alias("gender"), labels.recode(c("centre_raw"), {"Yes": "city_center"}, F.lit("suburb")).alias("location_type"), c("class_name").alias("class"))
+    d = qn.zscore(v.daily.where(c("source") == name), "outcome", [], "z", ddof=0).join(demo, "user_id", "left")
+    return d.select(ids.composite_id(c("source"), c("user_id")).alias("participant_id"), c("source").alias("dataset_source"), "date", c("outcome").alias("mood_raw"), (c("z") * sign).alias("mood"), "gender", "location_type", F.lit(age_group).alias("age_group"), "class", c("total_value").alias("duration"), c("n_events").alias("mobility_duration"), c("n_types").alias("fragments"), fr.delta(c("total_value"), c("n_types"), reverse=True).alias("fragments_delta"), times.is_weekend(c("date"), weekend).alias("is_weekend"))
 
 
 def study_a(v):
-    return study(v, "studyA", (4, 5), 1)
+    return study(v, "studyA", (4, 5), 1, "adult").drop("class")
 
 
 def study_b(v):
-    return study(v, "studyB", (5, 6), -1).drop("fragments")
+    return study(v, "studyB", (5, 6), -1, "adolescent").drop("fragments", "fragments_delta")
 
 
 def pooled(v):
     return study_a(v).unionByName(study_b(v), allowMissingColumns=True)
 
 
-@query("po1_study_a", f"WITH {POOL} SELECT participant_id, date, round(mood, 6) AS mood, duration, fragments, is_weekend FROM a")
+COMMON = "participant_id, dataset_source, date, mood_raw, round(mood, 6) AS mood, gender, location_type, age_group, duration, mobility_duration, is_weekend"
+
+
+@query("po1_study_a", f"WITH {POOL} SELECT {COMMON}, fragments, fragments_delta FROM a")
 def _(v):
-    return study_a(v).select("participant_id", "date", r6(c("mood"), "mood"), "duration", "fragments", "is_weekend")
+    return study_a(v).withColumn("mood", F.round("mood", 6))
 
 
-@query("po2_study_b", f"WITH {POOL} SELECT participant_id, date, round(mood, 6) AS mood, duration, is_weekend FROM b")
+@query("po2_study_b", f"WITH {POOL} SELECT {COMMON}, class FROM b")
 def _(v):
-    return study_b(v).select("participant_id", "date", r6(c("mood"), "mood"), "duration", "is_weekend")
+    return study_b(v).withColumn("mood", F.round("mood", 6))
 
 
-@query("po3_pool", f"WITH {POOL} SELECT participant_id, dataset_source, date, round(mood, 6) AS mood, duration, fragments, is_weekend FROM pool")
+@query("po3_pool", f"WITH {POOL} SELECT {COMMON}, fragments, fragments_delta, class FROM pool")
 def _(v):
     return pooled(v).withColumn("mood", F.round("mood", 6))
 
@@ -507,11 +563,29 @@ def _(v):
     return g.where("n > 5")
 
 
-@query("po6_pooled_summary", f"WITH {POOL}, l AS (SELECT 'dataset_source' AS variable, dataset_source AS value, participant_id, fragments FROM pool UNION ALL SELECT 'is_weekend', CAST(is_weekend AS VARCHAR), participant_id, fragments FROM pool) SELECT variable, value, count(*) AS n, count(DISTINCT participant_id) AS participants, round(100.0::DOUBLE * count(fragments) / count(*), 6) AS pct_fragments FROM l GROUP BY variable, value")
+@query("po5_duration_distribution", f"WITH {POOL} SELECT dataset_source, count(duration) AS n, round(avg(duration), 6) AS mean, round(stddev_samp(duration), 6) AS sd, min(duration) AS min, max(duration) AS max, " + ", ".join(f"round(quantile_cont(duration, {q}), 6) AS {n}" for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))) + ", count(*) FILTER (WHERE duration = 0) AS n_zero, count(*) FILTER (WHERE duration > 1440) AS n_over_day FROM pool GROUP BY GROUPING SETS ((dataset_source), ())")
+def _(v):
+    q = lambda p, n: r6(F.percentile("duration", F.lit(p)), n)
+    return pooled(v).groupingSets([["dataset_source"], []], "dataset_source").agg(F.count("duration").alias("n"), r6(F.avg("duration"), "mean"), r6(F.stddev_samp("duration"), "sd"), F.min("duration").alias("min"), F.max("duration").alias("max"), q(0.25, "q25"), q(0.5, "median"), q(0.75, "q75"), F.count_if(c("duration") == 0).alias("n_zero"), F.count_if(c("duration") > 1440).alias("n_over_day"))
+
+
+BREAKDOWN = ("dataset_source", "gender", "location_type", "age_group", "is_weekend")
+
+
+@query("po6_pooled_summary", f"WITH {POOL}, l AS (" + " UNION ALL ".join(f"SELECT '{x}' AS variable, CAST({x} AS VARCHAR) AS value, participant_id, fragments, mood, duration FROM pool" for x in BREAKDOWN) + ") SELECT variable, value, count(*) AS n, count(DISTINCT participant_id) AS participants, round(100.0::DOUBLE * count(fragments) / count(*), 6) AS pct_fragments, round(100.0::DOUBLE * count(mood) / count(*), 6) AS pct_mood, round(avg(duration), 6) AS mean_duration FROM l GROUP BY variable, value")
 def _(v):
     d = pooled(v).withColumn("is_weekend", c("is_weekend").cast("string"))
-    long_ = d.unpivot(["participant_id", "fragments"], ["dataset_source", "is_weekend"], "variable", "value")
-    return long_.groupBy("variable", "value").agg(F.count("*").alias("n"), F.countDistinct("participant_id").alias("participants"), r6(F.count("fragments") * 100.0 / F.count("*"), "pct_fragments"))
+    long_ = d.unpivot(["participant_id", "fragments", "mood", "duration"], list(BREAKDOWN), "variable", "value")
+    share = lambda x: F.count(x) * 100.0 / F.count("*")
+    return long_.groupBy("variable", "value").agg(F.count("*").alias("n"), F.countDistinct("participant_id").alias("participants"), r6(share("fragments"), "pct_fragments"), r6(share("mood"), "pct_mood"), r6(F.avg("duration"), "mean_duration"))
+
+
+@query("po6_delta_signs", f"WITH {POOL} SELECT dataset_source, count(fragments_delta) AS n, " + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (WHERE fragments_delta {o} 0) / nullif(count(fragments_delta), 0), 6) AS pct_{n}" for n, o in (("positive", ">"), ("negative", "<"), ("zero", "="))) + " FROM pool GROUP BY GROUPING SETS ((dataset_source), ())")
+def _(v):
+    n = F.count("fragments_delta")
+    sign = lambda cond, name: r6(F.count_if(cond) * 100.0 / F.nullif(n, F.lit(0)), name)
+    d = c("fragments_delta")
+    return pooled(v).groupingSets([["dataset_source"], []], "dataset_source").agg(n.alias("n"), sign(d > 0, "pct_positive"), sign(d < 0, "pct_negative"), sign(d == 0, "pct_zero"))
 
 
 @query("po7_clean_set", f"WITH {POOL} SELECT participant_id, date, coalesce(fragments, 0) AS fragments, coalesce(fragments, 0) - duration AS delta FROM pool WHERE duration <> 0")
@@ -520,8 +594,8 @@ def _(v):
     return d.select("participant_id", "date", "fragments", fr.delta(c("duration"), c("fragments"), reverse=True).alias("delta"))
 
 
-@query("po8_coverage", "WITH e AS (SELECT DISTINCT user_id, CAST(response_time AS DATE) AS date FROM v_ema_wide), j AS (SELECT coalesce(d.user_id, e.user_id) AS user_id, d.user_id IS NOT NULL AND e.user_id IS NOT NULL AS both_ FROM v_daily d FULL JOIN e ON d.user_id = e.user_id AND d.date = e.date) SELECT gender_raw, class_name, count(*) AS n, round(avg(CASE WHEN both_ THEN 1.0::DOUBLE ELSE 0 END), 6) AS overlap FROM j JOIN v_demo USING (user_id) GROUP BY GROUPING SETS ((gender_raw), (class_name), (gender_raw, class_name))")
+@query("po8_coverage", "WITH e AS (SELECT DISTINCT user_id, CAST(response_time AS DATE) AS date FROM v_ema_wide), j AS (SELECT coalesce(d.user_id, e.user_id) AS user_id, d.user_id IS NOT NULL AND e.user_id IS NOT NULL AS both_ FROM v_daily d FULL JOIN e ON d.user_id = e.user_id AND d.date = e.date) SELECT gender_raw, class_name, count(*) AS n, count(DISTINCT user_id) AS participants, round(count(*) / CAST(count(DISTINCT user_id) AS DOUBLE), 6) AS mean_records, round(avg(CASE WHEN both_ THEN 1.0::DOUBLE ELSE 0 END), 6) AS overlap FROM j JOIN v_demo USING (user_id) GROUP BY GROUPING SETS ((gender_raw), (class_name), (gender_raw, class_name))")
 def _(v):
     e = v.ema_wide.select("user_id", F.to_date("response_time").alias("date")).distinct()
     j = jn.outer_with_side(v.daily.select("user_id", "date"), e, ["user_id", "date"]).join(v.demo, "user_id")
-    return j.groupingSets([["gender_raw"], ["class_name"], ["gender_raw", "class_name"]], "gender_raw", "class_name").agg(F.count("*").alias("n"), r6(F.avg(F.when(c("side") == "both", 1.0).otherwise(0.0)), "overlap"))
+    return j.groupingSets([["gender_raw"], ["class_name"], ["gender_raw", "class_name"]], "gender_raw", "class_name").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("participants"), r6(F.count("*") / F.countDistinct("user_id"), "mean_records"), r6(F.avg(F.when(c("side") == "both", 1.0).otherwise(0.0)), "overlap"))

@@ -175,9 +175,12 @@ vt AS (SELECT o.user_id, o.date, o.start_us, o.end_us, first(m.transport ORDER B
 ft AS (SELECT *, row_number() OVER w AS episode_number, start_us - lag(start_us) OVER w AS since_prev_us FROM (SELECT user_id, date, start_us, end_us, 'digital' AS episode_type, location_type, NULL AS transport FROM dl UNION ALL SELECT user_id, date, start_us, end_us, 'moving', NULL, transport FROM mt UNION ALL SELECT user_id, date, start_us, end_us, 'overlap', NULL, transport FROM vt) t WINDOW w AS (PARTITION BY user_id, date ORDER BY start_us, end_us, episode_type))"""
 
 
+def mobile(v):
+    return ep.majority_transport(moving(v), points(v), UD, c("travel_mode").isin("AT", "Walking"), c("travel_mode") == "PT")
+
+
 def full(v):
-    d, m = digital(v), moving(v)
-    m = ep.majority_transport(m, points(v), UD, c("travel_mode").isin("AT", "Walking"), c("travel_mode") == "PT")
+    d, m = digital(v), mobile(v)
     both = ep.with_first_overlap(ep.intersect_intervals(d, m.drop("transport"), UD), m, UD, ["transport"])
     return ep.timeline({"digital": ep.dominant_label(d, places(v), UD), "moving": m, "overlap": both}, UD)
 
