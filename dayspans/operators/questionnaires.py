@@ -86,7 +86,7 @@ def scale_summary(df: DataFrame, key: str) -> DataFrame:
     """QN14: by scale, and by scale and variable, in one pass. ``df``: response, scored (reversed where due), z, variable, date."""
     out = [F.count("*").alias("n"), F.count("response").alias("n_valid"), F.countDistinct("variable").alias("n_vars"), F.countDistinct("date").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date")]
     for x, name in (("response", "raw"), ("scored", "reversed"), ("z", "z")):
-        out += [F.round(F.avg(x), 6).alias(f"{name}_mean"), F.round(F.stddev_samp(x), 6).alias(f"{name}_sd")]
+        out += [(F.round(F.avg(x), 6) + 0.0).alias(f"{name}_mean"), F.round(F.stddev_samp(x), 6).alias(f"{name}_sd")]
     return df.groupingSets([[key, "scale"], [key, "scale", "variable"]], key, "scale", "variable").agg(*out)
 
 

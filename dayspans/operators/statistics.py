@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Steps of the continued fraction; far more than it needs for statistics in use.
 STEPS = 200
-#: Trial values of the variance ratio in one pass, and passes.
-TRIALS, ROUNDS = 12, 6
+#: Trial values of the variance ratio in one round, rounds, and the log ratio's width at which the search has converged.
+TRIALS, ROUNDS, CONVERGED = 12, 12, 1e-6
 
 
 def log_gamma(x: Column) -> Column:
@@ -92,13 +92,23 @@ def welch(df: DataFrame, keys: list[str], group: str, value: str, min_n: int = 5
     return g.withColumns({"t": diff / F.sqrt(a + b), "df": F.pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n2 - 1)), "d": F.abs(diff) / pooled, "se": F.sqrt(a + b)}).withColumn("p", t_p(F.col("t"), F.col("df")))
 
 
-def t_quantile(p: float, df: float) -> float:
-    """The t that leaves ``1 - p`` above it, by bisection on the same tail (few values, on the driver)."""
-    lo, hi = 0.0, 1e4
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - beta(df / (df + mid * mid), df / 2, 0.5) / 2 < p else (lo, mid)
-    return (lo + hi) / 2
+def t_quantile(p: Column, df: Column) -> Column:
+    """ST4: the t that leaves ``1 - p`` above it, by bisection on the same tail; meant for few rows of results."""
+    first = F.struct(F.lit(0.0).alias("lo"), F.lit(1e4).alias("hi"))
+
+    def step(s, _):
+        mid = (s["lo"] + s["hi"]) / 2
+        low = 1 - t_p(mid, df) / 2 < p
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), first, step, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
+def mean_difference(df: DataFrame, keys: list[str], group: str, value: str, level: float = 0.95, min_n: int = 3) -> DataFrame:
+    """ST4: Welch's test with the difference of the means and its confidence interval."""
+    w = welch(df, keys, group, value, min_n).withColumn("diff", F.col("g1_mean") - F.col("g2_mean"))
+    half = F.col("se") * t_quantile(F.lit((1 + level) / 2), F.col("df"))
+    return w.withColumns({"low": F.col("diff") - half, "high": F.col("diff") + half})
 
 
 def beta(x: float, a: float, b: float) -> float:
@@ -152,93 +162,162 @@ def normal_sums(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = N
     return (d.groupBy(*keys) if keys else d.groupBy()).agg(*agg)
 
 
-def ols(df: DataFrame, y: str, xs: list[str], min_n: int = 10) -> DataFrame:
-    """ST9: least squares from one pass of sums; a row per term with coef, se, t, p, and the model's r2, adj_r2, aic, bic, f.
+def model_sums(df: DataFrame, models: dict[str, tuple[str, list[str]]]) -> dict[str, tuple]:
+    """(X'X, X'y, y'y) of each model's complete rows, all models in one pass: every row goes once to each of its models."""
+    k = max(len(xs) for _, xs in models.values()) + 1
+    value = lambda c: F.col(c).cast("double")
+    one = lambda name, y, xs: F.struct(F.lit(name).alias("model"), value(y).alias("y"), F.array(F.lit(1.0), *map(value, xs), *[F.lit(0.0)] * (k - 1 - len(xs))).alias("x"))
+    long = df.select(F.explode(F.array(*[one(m, y, xs) for m, (y, xs) in models.items()])).alias("m")).select("m.*")
+    long = long.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    x = lambda i: F.col("x")[i]
+    agg = [F.sum(x(i) * x(j)).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(x(i) * F.col("y")).alias(f"y{i}") for i in range(k)] + [F.sum(F.col("y") * F.col("y")).alias("yy")]
+    out = {}
+    for r in long.groupBy("model").agg(*agg).collect():  # a row per model
+        n = len(models[r["model"]][1]) + 1
+        out[r["model"]] = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]), np.array([r[f"y{i}"] for i in range(n)]), r["yy"]
+    return out
 
-    Rows with a null in y or any term are left out; fewer than ``min_n`` rows give no result.
-    """
-    spark = df.sparkSession
-    schema = "term string, coef double, se double, t double, p double, n long, r2 double, adj_r2 double, aic double, bic double, f double"
-    r = normal_sums(df, y, xs).first()
-    k = len(xs) + 1
-    n = r["x0_0"] or 0
+
+OLS = "term string, coef double, se double, t double, p double, n long, r2 double, adj_r2 double, aic double, bic double, f double"
+
+
+def ols_rows(terms: list[str], a: np.ndarray, b: np.ndarray, yy: float, min_n: int) -> list[tuple]:
+    """A row per term of one model, from its sums."""
+    k, n = len(terms), a[0, 0]
     if n < max(min_n, k + 1):
-        return spark.createDataFrame([], schema)
-    a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    b = np.array([r[f"y{i}"] for i in range(k)])
+        return []
     inv = np.linalg.pinv(a)
     coef = inv @ b
-    rss, tss = max(r["yy"] - coef @ b, 0.0), r["yy"] - b[0] ** 2 / n
-    s2 = rss / (n - k)
-    se = np.sqrt(np.maximum(np.diag(inv) * s2, 0))
+    rss, tss = max(yy - coef @ b, 0.0), yy - b[0] ** 2 / n
+    se = np.sqrt(np.maximum(np.diag(inv) * rss / (n - k), 0))
     r2 = 1 - rss / tss if tss > 0 else 0.0
     ll = -n / 2 * (math.log(2 * math.pi) + math.log(max(rss, 1e-300) / n) + 1)
-    f = (r2 / (k - 1)) / ((1 - r2) / (n - k)) if k > 1 and r2 < 1 else None
+    f = float((r2 / (k - 1)) / ((1 - r2) / (n - k))) if k > 1 and r2 < 1 else None
     rows = []
-    for i, term in enumerate(["intercept", *xs]):
-        t = coef[i] / se[i] if se[i] > 0 else None
-        rows.append((term, float(coef[i]), float(se[i]), None if t is None else float(t), None if t is None else float(beta(float((n - k) / (n - k + t * t)), (n - k) / 2, 0.5)), int(n), float(r2), float(1 - (1 - r2) * (n - 1) / (n - k)), float(2 * k - 2 * ll), float(k * math.log(n) - 2 * ll), None if f is None else float(f)))
-    return spark.createDataFrame(rows, schema)
+    for i, term in enumerate(terms):
+        t = float(coef[i] / se[i]) if se[i] > 0 else None
+        rows.append((term, float(coef[i]), float(se[i]), t, None if t is None else tail(t, n - k), int(n), float(r2), float(1 - (1 - r2) * (n - 1) / (n - k)), float(2 * k - 2 * ll), float(k * math.log(n) - 2 * ll), f))
+    return rows
 
 
-def nested_models(df: DataFrame, y: str, steps: list[list[str]]) -> DataFrame:
-    """ST10: the models of growing lists of terms, a block of rows per step."""
-    out = None
-    for i in range(len(steps)):
-        terms = [t for s in steps[: i + 1] for t in s]
-        m = ols(df, y, terms).withColumn("step", F.lit(i + 1))
-        out = m if out is None else out.unionByName(m)
-    return out
+def tail(t: float, df: float) -> float:
+    """Two-sided p of Student's t, of plain numbers."""
+    return float(beta(float(df / (df + t * t)), df / 2, 0.5))
+
+
+def ols(df: DataFrame, y: str, xs: list[str], min_n: int = 10) -> DataFrame:
+    """ST9: least squares from one pass of sums; a row per term with coef, se, t, p, and the model's r2, adj_r2, aic, bic, f.
+
+    Rows with a null in y or any term are left out; fewer than ``min_n`` rows give no result.
+    """
+    found = model_sums(df, {"m": (y, xs)})
+    return df.sparkSession.createDataFrame(ols_rows(["intercept", *xs], *found["m"], min_n) if found else [], OLS)
+
+
+def nested_models(df: DataFrame, outcomes: list[str], predictors: dict[str, list[list[str]]], min_n: int = 10) -> DataFrame:
+    """ST10: for every outcome and predictor the models of growing lists of terms, a block of rows per step.
+
+    ``predictors``: name -> terms that each step adds. All models come from one pass; each leaves out its own incomplete rows.
+    """
+    models = {}
+    for y in outcomes:
+        for name, steps in predictors.items():
+            for i in range(len(steps)):
+                models[f"{y}~{name}~{i + 1}"] = y, [t for s in steps[: i + 1] for t in s]
+    found, rows = model_sums(df, models), []
+    for m, (y, xs) in models.items():
+        if m in found:
+            name, step = m.split("~")[1:]
+            rows += [(y, name, int(step), *r) for r in ols_rows(["intercept", *xs], *found[m], min_n)]
+    return df.sparkSession.createDataFrame(rows, "outcome string, predictor string, step int, " + OLS)
 
 
 def random_intercept(df: DataFrame, y: str, xs: list[str], group: str) -> DataFrame:
     """ST13, ST14: linear mixed model with a random intercept per group, by REML.
 
-    Spark makes each group's sums; the profile in theta = group variance / residual variance needs only those, and each
-    round of trial values is one aggregate over them. A row per term: coef, se, z, p, and the model's variances, icc, ll, aic, bic.
+    Spark makes each group's sums and adds up the groups of one size, for the profile in theta = group variance /
+    residual variance needs no more; the search over theta is arithmetic on those few rows (as many as group sizes). A row
+    per term: coef, se, z, p (normal), p_t (Student's t), and the model's variances, icc, share of variance explained by
+    the fixed part alone (marginal_r2) and with the groups (conditional_r2), ll, aic, bic, n, n_groups, converged.
     """
-    spark = df.sparkSession
-    k = len(xs) + 1
-    g = normal_sums(df, y, xs, [group]).persist()
-
-    def profiles(thetas: list[float]) -> list[tuple]:
-        """(ll, coef, s2, X'V^-1X, n, groups) for V = I + theta J, of all trial values in one aggregate."""
-        n, s, agg = F.col("x0_0"), lambda i: F.col(f"x0_{i}"), [F.sum("x0_0").alias("n"), F.count("*").alias("m")]
-        for t, theta in enumerate(thetas):
-            w = F.lit(theta) / (1 + n * theta)
-            agg += [F.sum(F.col(f"x{i}_{j}") - w * s(i) * s(j)).alias(f"a{t}_{i}_{j}") for i in range(k) for j in range(i, k)]
-            agg += [F.sum(F.col(f"y{i}") - w * s(i) * F.col("y0")).alias(f"b{t}_{i}") for i in range(k)]
-            agg += [F.sum(F.col("yy") - w * F.col("y0") * F.col("y0")).alias(f"c{t}"), F.sum(F.log(1 + n * theta)).alias(f"d{t}")]
-        r, out = g.agg(*agg).first(), []
-        for t in range(len(thetas)):
-            a = np.array([[r[f"a{t}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            b = np.array([r[f"b{t}_{i}"] for i in range(k)])
-            coef = np.linalg.solve(a, b)
-            s2 = max((r[f"c{t}"] - coef @ b) / (r["n"] - k), 1e-300)
-            ll = -0.5 * ((r["n"] - k) * (math.log(2 * math.pi * s2) + 1) + r[f"d{t}"] + np.linalg.slogdet(a)[1])
-            out.append((ll, coef, s2, a, r["n"], r["m"]))
-        return out
-
-    lo, hi, best, theta = -9.0, 5.0, None, 0.0  # the profile has one top: narrow in on it, on the scale of log theta
-    for turn in range(ROUNDS):
-        trial = [lo + (hi - lo) * i / (TRIALS - 1) for i in range(TRIALS)]
-        values = [math.exp(x) for x in trial] + ([0.0] if turn == 0 else [])
-        found = profiles(values)
-        top = max(range(TRIALS), key=lambda i: found[i][0])
-        zero = found[TRIALS] if turn == 0 else zero
-        best, theta = found[top], values[top]
-        lo, hi = trial[max(top - 1, 0)], trial[min(top + 1, TRIALS - 1)]
+    k, s = len(xs) + 1, lambda i: F.col(f"x0_{i}")
+    g = normal_sums(df, y, xs, [group])
+    agg = [F.count("*").alias("m"), F.sum("yy").alias("yy"), F.sum(F.col("y0") * F.col("y0")).alias("q")]
+    agg += [F.sum(f"x{i}_{j}").alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(s(i) * s(j)).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    agg += [F.sum(f"y{i}").alias(f"b{i}") for i in range(k)] + [F.sum(s(i) * F.col("y0")).alias(f"c{i}") for i in range(k)]
+    sizes = g.groupBy(F.col("x0_0").alias("size")).agg(*agg).toPandas().sort_values("size")
+    schema = "term string, coef double, se double, z double, p double, p_t double, group_var double, residual_var double, icc double, marginal_r2 double, conditional_r2 double, ll double, aic double, bic double, n long, n_groups long, converged boolean"
+    square = lambda x: np.stack([[sizes[f"{x}{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(k)] for i in range(k)])
+    if not len(sizes) or (sizes["size"] * sizes["m"]).sum() <= k:
+        return df.sparkSession.createDataFrame([], schema)
+    size, m, a_all, s_all = sizes["size"].to_numpy(float), sizes["m"].to_numpy(float), square("a"), square("s")
+    b_all, c_all = (np.stack([sizes[f"{x}{i}"].to_numpy(float) for i in range(k)]) for x in "bc")
+    n = float((size * m).sum())
+
+    def profile(theta: float) -> tuple:
+        """(ll, coef, s2, X'V^-1X) for V = I + theta J."""
+        w = theta / (1 + size * theta)
+        a, b = (a_all - w * s_all).sum(2), (b_all - w * c_all).sum(1)
+        coef = np.linalg.solve(a, b)
+        s2 = max(((sizes["yy"] - w * sizes["q"]).sum() - coef @ b) / (n - k), 1e-300)
+        return -0.5 * ((n - k) * (math.log(2 * math.pi * s2) + 1) + (m * np.log(1 + size * theta)).sum() + np.linalg.slogdet(a)[1]), coef, s2, a
+
+    lo, hi = -12.0, 8.0  # the profile has one top: narrow in on it, on the scale of log theta
+    for _ in range(ROUNDS):
+        trial = np.linspace(lo, hi, TRIALS)
+        top = int(np.argmax([profile(math.exp(x))[0] for x in trial]))
+        lo, hi, theta = trial[max(top - 1, 0)], trial[min(top + 1, TRIALS - 1)], math.exp(trial[top])
+    best, zero = profile(theta), profile(0.0)
     if zero[0] >= best[0]:
         theta, best = 0.0, zero
-    ll, coef, s2, a, n, m = best
-    g.unpersist()
-    se = np.sqrt(np.diag(np.linalg.inv(a)) * s2)
-    p = k + 2
-    rows = [(t, float(c), float(e), float(c / e), math.erfc(abs(c / e) / math.sqrt(2)), float(theta * s2), float(s2), float(theta / (1 + theta)), float(ll), float(2 * p - 2 * ll), float(p * math.log(n) - 2 * ll), int(n), int(m)) for t, c, e in zip(["intercept", *xs], coef, se)]
-    return spark.createDataFrame(rows, "term string, coef double, se double, z double, p double, group_var double, residual_var double, icc double, ll double, aic double, bic double, n long, n_groups long")
-
-
-def check_standardisation(df: DataFrame, key: str, column: str, tolerance: float = 0.1) -> DataFrame:
-    """ST21: keys of more than one row whose mean is not about 0 or whose deviation is not about 1."""
-    g = df.groupBy(key).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
-    return g.where((F.col("n") > 1) & ((F.abs("mean") > tolerance) | (F.abs(F.col("sd") - 1) > tolerance)))
+    ll, coef, s2, a = best
+    se, groups, p = np.sqrt(np.diag(np.linalg.inv(a)) * s2), int(m.sum()), k + 2
+    plain = a_all.sum(2)
+    fixed = max(float(coef @ plain @ coef / n - (plain[0] @ coef / n) ** 2), 0.0)
+    total = fixed + theta * s2 + s2
+    shared = (float(theta * s2), float(s2), float(theta / (1 + theta)), float(fixed / total), float((fixed + theta * s2) / total), float(ll), float(2 * p - 2 * ll), float(p * math.log(n) - 2 * ll), int(n), groups, bool(theta == 0 or hi - lo < CONVERGED * 10))
+    rows = [(t, float(c), float(e), float(c / e), math.erfc(abs(c / e) / math.sqrt(2)), tail(float(c / e), n - k), *shared) for t, c, e in zip(["intercept", *xs], coef, se)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def within_between(df: DataFrame, x: str, group: str, category: str) -> tuple[DataFrame, list[str]]:
+    """ST12, ST15: the group's mean of x less the grand mean, x less the group's mean, a 0/1 category, and its products with both."""
+    grand = df.agg(F.avg(x).alias("_g"))
+    own = F.avg(x).over(Window.partitionBy(group))
+    d = df.withColumn("_m", own).crossJoin(F.broadcast(grand)).withColumns({f"{x}_between": F.col("_m") - F.col("_g"), f"{x}_within": F.col(x) - F.col("_m")}).drop("_m", "_g")
+    d = d.withColumns({f"{category}_x_between": F.col(category) * F.col(f"{x}_between"), f"{category}_x_within": F.col(category) * F.col(f"{x}_within")})
+    return d, [f"{x}_between", f"{x}_within", category, f"{category}_x_between", f"{category}_x_within"]
+
+
+def article_table(models: dict[str, DataFrame]) -> DataFrame:
+    """ST16: parameters as rows, outcomes as columns: coefficient with stars and (standard error), then the model's measures."""
+    out = None
+    for name, m in models.items():
+        stars = F.when(F.col("p_t") < 0.001, "***").when(F.col("p_t") < 0.01, "**").when(F.col("p_t") < 0.05, "*").otherwise("")
+        terms = m.select("term", F.concat(F.format_string("%.3f", "coef"), stars, F.format_string(" (%.3f)", "se")).alias("value"))
+        measures = ["group_var", "residual_var", "icc", "marginal_r2", "conditional_r2", "ll", "aic", "bic"]
+        fits = m.where("term = 'intercept'").select(F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.format_string("%.3f", x).alias("value")) for x in measures])).alias("f")).select("f.*")
+        own = terms.unionByName(fits).withColumn("outcome", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy(F.col("term").alias("parameter")).pivot("outcome", list(models)).agg(F.first("value"))
+
+
+def model_diagnostics(df: DataFrame, columns: list[str], group: str, r: float = 0.7, least_var: float = 1e-6) -> DataFrame:
+    """ST19: pairs of columns that correlate above ``r`` either way, and columns whose group means hardly vary."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]) if pairs else None
+    means = df.groupBy(group).agg(*[F.avg(x).alias(x) for x in columns]).agg(*[F.var_samp(x).alias(x) for x in columns])
+    low = means.select(F.explode(F.array(*[F.struct(F.lit("between_variance").alias("kind"), F.lit(x).alias("a"), F.lit(None).cast("string").alias("b"), F.col(x).alias("value"), (F.col(x) < least_var).alias("flagged")) for x in columns])).alias("d")).select("d.*")
+    if one is None:
+        return low
+    high = one.select(F.explode(F.array(*[F.struct(F.lit("correlation").alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("value"), (F.abs(f"r{i}") > r).alias("flagged")) for i, (a, b) in enumerate(pairs)])).alias("d")).select("d.*")
+    return high.unionByName(low)
+
+
+def check_standardisation(df: DataFrame, key: str, column: str, tolerance: float = 0.1, population: float = 0.01) -> DataFrame:
+    """ST21: keys of more than one row whose mean is not about 0 or whose deviation is not about 1, and all rows as one key,
+    null, held to the narrower ``population`` limits."""
+    g = df.groupingSets([[key], []], key).agg(F.grouping(key).alias("_all"), F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+    limit = F.when(F.col("_all") == 1, population).otherwise(tolerance)
+    out = g.where((F.col("n") > 1) & ((F.abs("mean") > limit) | (F.abs(F.col("sd") - 1) > limit)))
+    return out.withColumn("level", F.when(F.col("_all") == 1, "population").otherwise("participant")).drop("_all")

@@ -478,7 +478,7 @@ def zed(v):
     return qn.zscore(scored(v), "scored", ["user_id", "scale"], "z")
 
 
-@query("qn14_scale_summary", f"SELECT user_id, scale, variable, count(*) AS n, count(response) AS n_valid, count(DISTINCT variable) AS n_vars, count(DISTINCT date) AS n_days, min(date) AS first_date, max(date) AS last_date, " + ", ".join(f"round(avg({x}), 6) AS {n}_mean, round(stddev_samp({x}), 6) AS {n}_sd" for x, n in (("response", "raw"), ("scored", "reversed"), ("z", "z"))) + f" FROM {ZED} GROUP BY GROUPING SETS ((user_id, scale), (user_id, scale, variable))")
+@query("qn14_scale_summary", f"SELECT user_id, scale, variable, count(*) AS n, count(response) AS n_valid, count(DISTINCT variable) AS n_vars, count(DISTINCT date) AS n_days, min(date) AS first_date, max(date) AS last_date, " + ", ".join(f"round(avg({x}), 6) + 0.0::DOUBLE AS {n}_mean, round(stddev_samp({x}), 6) AS {n}_sd" for x, n in (("response", "raw"), ("scored", "reversed"), ("z", "z"))) + f" FROM {ZED} GROUP BY GROUPING SETS ((user_id, scale), (user_id, scale, variable))")
 def _(v):
     return qn.scale_summary(zed(v), "user_id")
 

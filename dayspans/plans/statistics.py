@@ -1,4 +1,4 @@
-"""Queries of the statistics operators. DuckDB has no tail functions: p-values are tested apart, in tests/."""
+"""Queries of the statistics operators. DuckDB has no tail functions: its p-values integrate the density of t."""
 
 from __future__ import annotations
 
@@ -18,6 +18,12 @@ def r6(x, name):
     return F.round(x, 6).alias(name)
 
 
+def tp(t: str, df: str) -> str:
+    """SQL: two-sided p of Student's t by Simpson's rule."""
+    inside = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs({t}) * i / 2000.0::DOUBLE, 2) / ({df}), -(({df}) + 1) / 2.0::DOUBLE)))"
+    return f"greatest(0.0::DOUBLE, 1 - 2 * abs({t}) / 6000.0::DOUBLE * exp(lgamma((({df}) + 1) / 2.0::DOUBLE) - lgamma(({df}) / 2.0::DOUBLE)) / sqrt(({df}) * pi()) * {inside})"
+
+
 JOINED = "(SELECT d.*, CASE gender_raw WHEN 'F' THEN 'female' WHEN 'M' THEN 'male' END AS gender, centre_raw, class_name FROM v_daily d JOIN v_demo m USING (user_id))"
 
 
@@ -46,7 +52,7 @@ def _(v):
     return st.student(joined(v), [], "gender", "total_value").select(c("g1_n").alias("n1"), c("g2_n").alias("n2"), r6(c("t"), "t"), "df", r6(c("d"), "d"))
 
 
-@query("st1_student_p")
+@query("st1_student_p", f"WITH {groups_sql(JOINED, 'gender', 'total_value')}, t AS (SELECT (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t, CAST(n1 + n2 - 2 AS DOUBLE) AS df FROM tw) SELECT round(t, 6) AS t, round({tp('t', 'df')}, 6) AS p FROM t")
 def _(v):
     return st.student(joined(v), [], "gender", "total_value").select(r6(c("t"), "t"), r6(c("p"), "p"))
 
@@ -66,10 +72,13 @@ def _(v):
 MEANS = f"(SELECT user_id, gender, avg(total_value) AS total_value FROM {JOINED} GROUP BY user_id, gender)"
 
 
-@query("st4_participant_means", f"WITH {groups_sql(MEANS, 'gender', 'total_value')} SELECT {WELCH} FROM tw")
+@query("st4_participant_means", f"""WITH RECURSIVE {groups_sql(MEANS, 'gender', 'total_value')}, w AS (SELECT n1, n2, m1 - m2 AS diff, sqrt(v1 / n1 + v2 / n2) AS se, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df, abs(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM tw),
+nw AS (SELECT 0 AS i, 1.96::DOUBLE AS x, df FROM w UNION ALL SELECT i + 1, x + ({tp('x', 'df')} - 0.05) / (2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + x * x / df, -(df + 1) / 2)), df FROM nw WHERE i < 8)
+SELECT n1, n2, round(diff / se, 6) AS t, round(w.df, 4) AS df, round(d, 6) AS d, round({tp('diff / se', 'w.df')}, 6) AS p, round(diff, 6) AS diff, round(diff - x * se, 5) AS low, round(diff + x * se, 5) AS high FROM w JOIN nw ON nw.i = 8""")
 def _(v):
     means = joined(v).groupBy("user_id", "gender").agg(F.avg("total_value").alias("total_value"))
-    return welch_columns(st.welch(means, [], "gender", "total_value", min_n=3))
+    m = st.mean_difference(means, [], "gender", "total_value")
+    return m.select(c("g1_n").alias("n1"), c("g2_n").alias("n2"), r6(c("t"), "t"), F.round("df", 4).alias("df"), r6(c("d"), "d"), r6(c("p"), "p"), r6(c("diff"), "diff"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 TESTS = f"(SELECT metric || '~' || demo AS test, grp, x FROM (SELECT 'total_value' AS metric, total_value AS x, gender, centre_raw FROM {JOINED} UNION ALL SELECT 'outcome', outcome, gender, centre_raw FROM {JOINED}) m, LATERAL (SELECT 'gender' AS demo, gender AS grp UNION ALL SELECT 'centre', centre_raw) g)"
@@ -99,10 +108,20 @@ def _(v):
     return st.pearson(v.daily, PAIRS).select("a", "b", "n", r6(c("r"), "r"), F.round("t", 5).alias("t"), labels.effect_words(c("r")).alias("effect"))
 
 
-@query("st8_result_summary", f"WITH {CORR} SELECT count(*) AS tests, count(*) FILTER (WHERE abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9605) AS significant, max(round(abs(r), 6)) AS top_r FROM c")
+CATEGORY = "CASE WHEN b = 'outcome' THEN 'outcome' ELSE 'activity' END"
+
+
+@query("st8_result_summary", f"WITH {CORR}, t AS (SELECT *, {CATEGORY} AS category, {tp('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)::DOUBLE')} AS p FROM c) SELECT category, count(*) AS tests, count(*) FILTER (WHERE p < 0.05) AS significant, round(100.0::DOUBLE * count(*) FILTER (WHERE p < 0.05) / count(*), 6) AS pct_significant, max(round(abs(r), 6)) AS top_r FROM t GROUP BY GROUPING SETS ((category), ())")
+def _(v):
+    p = st.pearson(v.daily, PAIRS).withColumn("category", F.expr(CATEGORY))
+    hit = F.count_if(c("p") < 0.05)
+    return p.groupingSets([["category"], []], "category").agg(F.count("*").alias("tests"), hit.alias("significant"), r6(hit * 100.0 / F.count("*"), "pct_significant"), F.max(F.round(F.abs("r"), 6)).alias("top_r"))
+
+
+@query("st8_top_five", f"WITH {CORR} SELECT a, b, round(r, 6) AS r, row_number() OVER (ORDER BY abs(r) DESC, a, b) AS rank FROM c ORDER BY rank LIMIT 5")
 def _(v):
-    p = st.pearson(v.daily, PAIRS)
-    return p.agg(F.count("*").alias("tests"), F.count_if(c("p") < 0.05).alias("significant"), F.max(F.round(F.abs("r"), 6)).alias("top_r"))
+    w = Window.orderBy(F.abs("r").desc(), "a", "b")
+    return st.pearson(v.daily, PAIRS).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("a", "b", r6(c("r"), "r"), "rank")
 
 
 @query("st9_ols", "SELECT round(regr_slope(outcome, total_value), 7) AS coef, round(regr_r2(outcome, total_value), 6) AS r2, count(*) AS n FROM v_daily")
@@ -110,19 +129,42 @@ def _(v):
     return st.ols(v.daily, "outcome", ["total_value"]).where("term = 'total_value'").select(F.round("coef", 7).alias("coef"), r6(c("r2"), "r2"), "n")
 
 
-STEPS = [["total_value"], ["n_events"], ["n_types"]]
+# Per outcome and predictor four steps: the predictor, its control, a place and a gender as 0 and 1.
+OUTCOMES, PREDICTORS = ["outcome", "log_value", "hour", "spread"], {"total_value": "n_events", "n_types": "n_events", "first_hour": "n_types"}
+REG = f"(SELECT d.user_id, outcome, ln(1 + total_value) AS log_value, total_value, n_events, n_types, first_hour, hour, spread, CASE centre_raw WHEN 'Yes' THEN 1 ELSE 0 END AS centre, CASE gender WHEN 'female' THEN 1 WHEN 'male' THEN 0 END AS female FROM {JOINED} d JOIN (SELECT user_id, CAST(ts AS DATE) AS date, CAST(min(hour(ts)) AS DOUBLE) AS first_hour, avg(hour(ts)) AS hour, max(value) - min(value) AS spread FROM events GROUP BY ALL) h ON h.user_id = d.user_id AND h.date = d.date)"
+
+
+def regression(v):
+    h = v.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.min(F.hour("ts")).cast("double").alias("first_hour"), F.avg(F.hour("ts")).alias("hour"), (F.max("value") - F.min("value")).alias("spread"))
+    d = joined(v).join(h, ["user_id", "date"])
+    return d.withColumns({"log_value": F.log(1 + c("total_value")), "centre": (c("centre_raw") == "Yes").cast("int"), "female": F.when(c("gender") == "female", 1).when(c("gender") == "male", 0)})
+
 
+def models(v):
+    return st.nested_models(regression(v), OUTCOMES, {x: [[x], [control], ["centre"], ["female"]] for x, control in PREDICTORS.items()})
 
-@query("st10_nested_models")
+
+# The sweep operator on each model's matrix of cross products (intercept, four terms, outcome): one pivot a turn.
+SWEEP = f"""rg AS {REG},
+md AS (SELECT y_.y AS outcome, x_.x AS predictor, s_.s AS step, CASE y_.y {' '.join(f"WHEN '{y}' THEN CAST({y} AS DOUBLE)" for y in OUTCOMES)} END AS y, CASE x_.x {' '.join(f"WHEN '{x}' THEN CAST({x} AS DOUBLE)" for x in PREDICTORS)} END AS x1, CASE WHEN s_.s >= 2 THEN CASE x_.x {' '.join(f"WHEN '{x}' THEN CAST({k} AS DOUBLE)" for x, k in PREDICTORS.items())} END ELSE 0 END AS x2, CASE WHEN s_.s >= 3 THEN CAST(centre AS DOUBLE) ELSE 0 END AS x3, CASE WHEN s_.s >= 4 THEN CAST(female AS DOUBLE) ELSE 0 END AS x4
+  FROM rg, (SELECT unnest({OUTCOMES}) AS y) y_, (SELECT unnest({list(PREDICTORS)}) AS x) x_, (SELECT unnest([1, 2, 3, 4]) AS s) s_),
+ml AS (SELECT outcome, predictor, step, [1.0::DOUBLE, x1, x2, x3, x4, y] AS z FROM md WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND x4 IS NOT NULL),
+cp AS (SELECT outcome, predictor, step, [{', '.join(f'sum(z[{i + 1}] * z[{j + 1}])' for i in range(6) for j in range(6))}] AS a0 FROM ml GROUP BY outcome, predictor, step),
+sw AS (SELECT outcome, predictor, step, 0 AS p, a0 AS a, a0 FROM cp UNION ALL SELECT outcome, predictor, step, p + 1, list_transform(range(0, 36), lambda i: CASE WHEN i // 6 = p AND i % 6 = p THEN -1 / a[7 * p + 1] WHEN i // 6 = p OR i % 6 = p THEN a[i + 1] / a[7 * p + 1] ELSE a[i + 1] - a[6 * (i // 6) + p + 1] * a[6 * p + i % 6 + 1] / a[7 * p + 1] END), a0 FROM sw WHERE p <= step),
+fn AS (SELECT *, a0[1] AS n, step + 1 AS k, a[36] AS rss, a0[36] - a0[6] * a0[6] / a0[1] AS tss FROM sw WHERE p = step + 1),
+tm AS (SELECT *, unnest(range(0, 5)) AS i FROM fn),
+ls AS (SELECT *, CASE i WHEN 0 THEN 'intercept' WHEN 1 THEN predictor WHEN 2 THEN CASE predictor {' '.join(f"WHEN '{x}' THEN '{k}'" for x, k in PREDICTORS.items())} END WHEN 3 THEN 'centre' ELSE 'female' END AS term, a[6 * i + 6] AS coef, sqrt(-a[7 * i + 1] * rss / (n - k)) AS se FROM tm WHERE i <= step)"""
+
+
+@query("st10_nested_models", f"WITH RECURSIVE {SWEEP} SELECT outcome, predictor, step, term, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 5) AS t, round({tp('coef / se', 'n - k')}, 6) AS p, round(1 - rss / tss, 6) AS r2, round(1 - rss / tss * (n - 1) / (n - k), 6) AS adj_r2, round(2 * k + n * (ln(2 * pi() * rss / n) + 1), 4) AS aic, round(k * ln(n) + n * (ln(2 * pi() * rss / n) + 1), 4) AS bic FROM ls")
 def _(v):
-    m = st.nested_models(v.daily, "outcome", STEPS)
-    return m.select("step", "term", *[r6(c(x), x) for x in ("coef", "se", "t", "p", "r2", "adj_r2")], F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
+    return models(v).select("outcome", "predictor", "step", "term", *[r6(c(x), x) for x in ("coef", "se", "p", "r2", "adj_r2")], F.round("t", 5).alias("t"), F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
 
 
-@query("st11_step_pivot")
+@query("st11_step_pivot", f"WITH RECURSIVE {SWEEP} SELECT outcome, predictor, term, " + ", ".join(f"max(CASE WHEN step = {i} THEN round(coef, 6) END) AS step_{i}" for i in (1, 2, 3, 4)) + " FROM ls WHERE term <> 'intercept' GROUP BY outcome, predictor, term")
 def _(v):
-    m = st.nested_models(v.daily, "outcome", STEPS).where("term <> 'intercept'")
-    return m.groupBy("term").pivot("step", [1, 2, 3]).agg(F.round(F.first("coef"), 6)).withColumnsRenamed({str(i): f"step_{i}" for i in (1, 2, 3)})
+    m = models(v).where("term <> 'intercept'")
+    return m.groupBy("outcome", "predictor", "term").pivot("step", [1, 2, 3, 4]).agg(F.round(F.first("coef"), 6)).withColumnsRenamed({str(i): f"step_{i}" for i in (1, 2, 3, 4)})
 
 
 @query("st12_decomposition", "SELECT user_id, date, round(avg(total_value) OVER (PARTITION BY user_id), 6) AS person_mean, round(total_value - avg(total_value) OVER (PARTITION BY user_id), 6) AS deviation, round(outcome - avg(outcome) OVER (), 6) AS centred FROM v_daily")
@@ -135,7 +177,7 @@ def _(v):
 @query("st13_random_intercept")
 def _(v):
     m = st.random_intercept(v.daily, "outcome", ["total_value"], "user_id")
-    return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se", "z", "p", "group_var", "residual_var", "icc")])
+    return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se", "z", "p", "group_var", "residual_var", "icc")], *[F.round(x, 3).alias(x) for x in ("ll", "aic", "bic")], "n", "n_groups", "converged")
 
 
 @query("st14_icc")
@@ -143,17 +185,26 @@ def _(v):
     return st.random_intercept(v.daily, "outcome", [], "user_id").select(F.round("icc", 6).alias("icc"), "n", "n_groups")
 
 
+def interaction(v, outcome):
+    d, terms = st.within_between(regression(v), "total_value", "user_id", "female")
+    return st.random_intercept(d.where("female is not null"), outcome, terms, "user_id")
+
+
 @query("st15_interaction_model")
 def _(v):
-    d = joined(v).withColumn("female", (c("gender") == "female").cast("int")).withColumn("female_x_value", c("female") * c("total_value"))
-    m = st.random_intercept(d, "outcome", ["total_value", "female", "female_x_value"], "user_id")
-    return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se", "p")], F.round(c("coef") - 1.96 * c("se"), 5).alias("low"), F.round(c("coef") + 1.96 * c("se"), 5).alias("high"))
+    m = interaction(v, "outcome")
+    return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se")], F.round("p_t", 5).alias("p"), F.round(c("coef") - 1.96 * c("se"), 5).alias("low"), F.round(c("coef") + 1.96 * c("se"), 5).alias("high"), *[F.round(x, 5).alias(x) for x in ("marginal_r2", "conditional_r2")])
+
+
+@query("st16_article_table")
+def _(v):
+    return st.article_table({y: interaction(v, y) for y in ("outcome", "hour")})
 
 
 ARTICLE = "g AS (SELECT source, avg(total_value) AS m1, stddev_samp(total_value) AS s1, avg(n_events) AS m2, stddev_samp(n_events) AS s2 FROM v_daily GROUP BY source)"
 
 
-@query("st16_article_table", f"WITH {ARTICLE} SELECT 'total_value' AS parameter, max(CASE WHEN source = 'studyA' THEN printf('%.2f (%.2f)', m1, s1) END) AS \"studyA\", max(CASE WHEN source = 'studyB' THEN printf('%.2f (%.2f)', m1, s1) END) AS \"studyB\" FROM g UNION ALL SELECT 'n_events', max(CASE WHEN source = 'studyA' THEN printf('%.2f (%.2f)', m2, s2) END), max(CASE WHEN source = 'studyB' THEN printf('%.2f (%.2f)', m2, s2) END) FROM g")
+@query("st16_descriptives", f"WITH {ARTICLE} SELECT 'total_value' AS parameter, max(CASE WHEN source = 'studyA' THEN printf('%.2f (%.2f)', m1, s1) END) AS \"studyA\", max(CASE WHEN source = 'studyB' THEN printf('%.2f (%.2f)', m1, s1) END) AS \"studyB\" FROM g UNION ALL SELECT 'n_events', max(CASE WHEN source = 'studyA' THEN printf('%.2f (%.2f)', m2, s2) END), max(CASE WHEN source = 'studyB' THEN printf('%.2f (%.2f)', m2, s2) END) FROM g")
 def _(v):
     d = v.daily.select("source", "total_value", c("n_events").cast("double").alias("n_events")).unpivot(["source"], ["total_value", "n_events"], "parameter", "x")
     return d.groupBy("parameter").pivot("source", ["studyA", "studyB"]).agg(labels.mean_sd(F.avg("x"), F.stddev_samp("x")))
@@ -174,9 +225,12 @@ def _(v):
     return w.select(F.round("b1", 7).alias("ref"), F.round(diff, 7).alias("change"), F.round(diff - 1.96 * se, 7).alias("low"), F.round(diff + 1.96 * se, 7).alias("high"))
 
 
-@query("st19_collinearity", "WITH c AS (SELECT 'total_value' AS a, 'outcome' AS b, corr(total_value, outcome) AS r FROM v_daily UNION ALL SELECT 'total_value', 'n_events', corr(total_value, n_events) FROM v_daily UNION ALL SELECT 'outcome', 'n_events', corr(outcome, n_events) FROM v_daily) SELECT a, b, round(r, 6) AS r FROM c WHERE abs(r) > 0.3")
+COLUMNS = ["total_value", "outcome", "n_events"]
+
+
+@query("st19_collinearity", "WITH c AS (" + " UNION ALL ".join(f"SELECT 'correlation' AS kind, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS value, abs(corr({a}, {b})) > 0.7 AS flagged FROM v_daily" for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1 :]) + "), m AS (SELECT user_id, " + ", ".join(f"avg({x}) AS {x}" for x in COLUMNS) + " FROM v_daily GROUP BY user_id), b AS (" + " UNION ALL ".join(f"SELECT 'between_variance', '{x}', NULL, var_samp({x}), var_samp({x}) < 0.000001 FROM m" for x in COLUMNS) + ") SELECT kind, a, b, round(value, 6) AS value, flagged FROM (SELECT * FROM c UNION ALL SELECT * FROM b) t")
 def _(v):
-    return fr.correlations(v.daily, ["total_value", "outcome", "n_events"]).where(F.abs("r") > 0.3).select("a", "b", "r")
+    return st.model_diagnostics(v.daily, COLUMNS, "user_id").withColumn("value", F.round("value", 6))
 
 
 @query("st20_descriptive_groups", "SELECT round(avg(total_value) FILTER (WHERE source = 'studyA'), 6) AS mean_a, round(avg(total_value) FILTER (WHERE source = 'studyB'), 6) AS mean_b, round(stddev_samp(total_value) FILTER (WHERE source = 'studyA') / stddev_samp(total_value) FILTER (WHERE source = 'studyB'), 6) AS sd_ratio, round(avg(total_value) FILTER (WHERE source = 'studyA') - avg(total_value) FILTER (WHERE source = 'studyB'), 6) AS mean_diff FROM v_daily")
@@ -186,10 +240,13 @@ def _(v):
     return v.daily.agg(r6(F.avg(a), "mean_a"), r6(F.avg(b), "mean_b"), r6(F.stddev_samp(a) / F.stddev_samp(b), "sd_ratio"), r6(F.avg(a) - F.avg(b), "mean_diff"))
 
 
-@query("st21_check_standardisation", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_samp(total_value) OVER () AS z FROM v_daily) SELECT user_id, count(z) AS n, round(avg(z), 6) AS mean, round(stddev_samp(z), 6) AS sd FROM z GROUP BY user_id HAVING count(z) > 1 AND (abs(avg(z)) > 0.1 OR abs(stddev_samp(z) - 1) > 0.1)")
+@query("st21_check_standardisation", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_samp(total_value) OVER () AS z FROM v_daily), g AS (SELECT user_id, 'participant' AS level, count(z) AS n, avg(z) AS mean, stddev_samp(z) AS sd, 0.1 AS lim FROM z GROUP BY user_id UNION ALL SELECT NULL, 'population', count(z), avg(z), stddev_samp(z), 0.01 FROM z UNION ALL SELECT user_id + 1000000000, 'participant', count(x), avg(x), stddev_samp(x), 0.1 FROM (SELECT user_id, total_value / 100 AS x FROM v_daily) r GROUP BY user_id UNION ALL SELECT NULL, 'population', count(x), avg(x), stddev_samp(x), 0.01 FROM (SELECT total_value / 100 AS x FROM v_daily) r) SELECT user_id, level, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM g WHERE n > 1 AND (abs(mean) > lim OR abs(sd - 1) > lim)")
 def _(v):
+    """What is standardised over all rows, and what is not at all (ids above 10^9), of which the population is listed too."""
     z = qn.zscore(v.daily, "total_value", [], "z", ddof=1)
-    return st.check_standardisation(z, "user_id", "z").select("user_id", "n", r6(c("mean"), "mean"), r6(c("sd"), "sd"))
+    raw = v.daily.select((c("user_id") + 1_000_000_000).alias("user_id"), (c("total_value") / 100).alias("z"))
+    found = st.check_standardisation(z, "user_id", "z").unionByName(st.check_standardisation(raw, "user_id", "z"))
+    return found.select("user_id", "level", "n", r6(c("mean"), "mean"), r6(c("sd"), "sd"))
 
 
 @query("st22_two_standardisations", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_pop(total_value) OVER () AS zp, CASE WHEN coalesce(stddev_samp(total_value) OVER w, 0) = 0 THEN 0 ELSE (total_value - avg(total_value) OVER w) / stddev_samp(total_value) OVER w END AS zi FROM v_daily WINDOW w AS (PARTITION BY user_id)) SELECT user_id, round(avg(zp), 6) AS population, abs(avg(zi)) < 0.000001 AS person_is_zero FROM z GROUP BY user_id")
