@@ -1,9 +1,10 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote
-patterns (all documents, but at most as many patterns as the labellers can make) estimates each labeller's accuracy and
-the share of good documents without any true label. The posterior labels then train a linear scorer on hashed features
-of the texts, which scores every document.
+Heuristic labellers vote good, bad or nothing on every document. They overlap: what one of them finds is mostly found by
+another one too, by another statistic. Expectation-maximisation over the counts of vote patterns (all documents, but at
+most as many patterns as the labellers can make) estimates from these agreements how each labeller votes on good and on
+bad documents, and the share of good ones, without any true label. The posterior labels then train a linear scorer on
+hashed features of the texts, which scores every document.
 """
 
 from __future__ import annotations
@@ -15,101 +16,144 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import sampled
+from .jaccard_join import mixed
+
 #: Votes; labellers abstain between their two limits.
 GOOD, BAD, NONE = 1, -1, 0
-#: (name, statistic, bad below, good from, good up to, bad above).
+#: (statistic, bad below, good from, good up to, bad above).
 LABELLERS = (
-    ("words", "n_words", 1, 30, 1e12, 1e13),
-    ("word_length", "mean_word", 1.5, 2.5, 9.0, 14.0),
-    ("upper", "upper_share", -1.0, 0.0, 0.15, 0.5),
-    ("symbols", "symbol_share", -1.0, 0.0, 0.02, 0.08),
-    ("distinct", "distinct_share", 0.25, 0.4, 1.0, 2.0),
-    ("same_next", "same_next_share", -1.0, 0.0, 0.02, 0.2),
-    ("shouting", "shout_share", -1.0, 0.0, 0.02, 0.2),
-    ("pipes", "pipe_share", -1.0, 0.0, 0.02, 0.1),
-    ("repeats", "repeat_share", -1.0, 0.0, 0.2, 0.4),
-    ("lines", "dup_line_share", -1.0, 0.0, 0.2, 0.5),
+    ("n_words", 1, 30, 1e12, 1e13),
+    ("mean_word", 1.5, 2.5, 9.0, 14.0),
+    ("upper_share", -1.0, 0.0, 0.15, 0.5),
+    ("upper_words", -1.0, 0.0, 0.1, 0.4),
+    ("shout_share", -1.0, 0.0, 0.02, 0.2),
+    ("symbol_share", -1.0, 0.0, 0.02, 0.08),
+    ("pipe_share", -1.0, 0.0, 0.02, 0.1),
+    ("letter_share", 0.75, 0.9, 1.0, 2.0),
+    ("odd_words", -1.0, 0.0, 0.1, 0.3),
+    ("distinct_share", 0.25, 0.4, 1.0, 2.0),
+    ("same_next_share", -1.0, 0.0, 0.02, 0.2),
+    ("repeat_share", -1.0, 0.0, 0.2, 0.4),
+    ("dup_line_share", -1.0, 0.0, 0.2, 0.5),
+    ("top_word_share", -1.0, 0.0, 0.15, 0.3),
 )
-#: Hashed features of a text; rows that train the scorer, about, chosen by a hash of the text; rounds of EM and of the fit.
-DIMS, TRAIN_ROWS, EM_ROUNDS, FIT_ROUNDS = 1_024, 8_000, 50, 500
-
-
-def statistics(text: str | None) -> dict[str, float]:
+#: Documents' worth of belief that EM starts from and is pulled to: on a bad document a labeller votes bad this often, on a good one that.
+BELIEF, BAD_ON_BAD, BAD_ON_GOOD, SHARE_GOOD = 2.0, 0.3, 0.02, 0.8
+#: Hashed features of a text; distinct texts that train the scorer, about; rounds of EM and of the fit.
+DIMS, TRAIN_TEXTS, EM_ROUNDS, FIT_ROUNDS = 1_024, 8_000, 200, 250
+
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+SYMBOLS = np.zeros(256, bool)
+SYMBOLS[list(b"#*$%&<>{}~^=|\\@_")] = True
+
+
+class Parts:
+    """A text's bytes, its words as ranges and as hashes, and how often each word, run of four words and line occurs."""
+
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode("utf-8", "surrogatepass")
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.n_of = np.bincount(self.data, minlength=256)
+        edges = np.diff(np.concatenate(([0], (~SPACES[self.data]).view(np.int8), [0])))
+        self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        lower = np.frombuffer(self.raw.lower(), np.uint8).astype(np.uint64) + np.uint64(1)
+        base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(lower * np.cumprod(np.full(len(lower), base)))))
+        back = np.cumprod(np.full(len(lower), inverse))
+        self.words = mixed((sums[self.ends] - sums[self.starts]) * back[self.starts]) if len(self.starts) else np.empty(0, np.uint64)
+        runs = np.zeros(max(len(self.words) - 3, 0), np.uint64)
+        for j in range(4 if len(runs) else 0):
+            runs = mixed(runs ^ self.words[j : j + len(runs)])
+        lines = [hash(x) for x in self.raw.split(b"\n") if x.strip()]
+        self.counts = [np.unique(x, return_counts=True)[1] for x in (self.words, runs, np.array(lines, np.int64))]
+
+    def words_with(self, kind: np.ndarray) -> np.ndarray:
+        """How many bytes of a kind each word has."""
+        upto = np.concatenate(([0], np.cumsum(kind[self.data])))
+        return upto[self.ends] - upto[self.starts]
+
+
+def statistics(p: Parts) -> dict[str, float]:
     """Plain statistics of a whole text that the labellers look at; all are 0 for a text without words."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()
-    n, chars = len(words), len(data)
+    n = len(p.words)
     if not n:
-        return {stat: 0.0 for _, stat, *_ in LABELLERS}
-    lower = [w.lower() for w in words]
-    letters = len(data.translate(None, bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))))
-    upper = len(data.translate(None, bytes(b for b in range(256) if not 65 <= b <= 90)))
-    grams = list(zip(lower, lower[1:], lower[2:], lower[3:]))
-    lines = [x for x in data.split(b"\n") if x.strip()]
+        return {stat: 0.0 for stat, *_ in LABELLERS}
+    upper = np.zeros(256, bool)
+    upper[65:91] = True
+    letters = max(int(p.n_of[65:91].sum() + p.n_of[97:123].sum()), 1)
+    inner = int(p.n_of[~SPACES].sum())
+    size = p.ends - p.starts
+    twice = (p.data[1:] == p.data[:-1]) & ((p.data[1:] == 33) | (p.data[1:] == 63))
+    words, runs, lines = p.counts
     return {
         "n_words": n,
-        "mean_word": len((text or "").translate({9: None, 10: None, 11: None, 12: None, 13: None, 32: None})) / n,
-        "upper_share": upper / max(letters, 1),
-        "symbol_share": (chars - len(data.translate(None, b"#*$%&<>{}~^="))) / chars,
+        "mean_word": (inner - int(p.n_of[128:192].sum())) / n,
+        "upper_share": int(p.n_of[65:91].sum()) / letters,
+        "upper_words": float(((p.words_with(upper) == size) & (size > 1)).mean()),
+        "shout_share": float(twice.sum()) / n,
+        "symbol_share": int(p.n_of[list(b"#*$%&<>{}~^=")].sum()) / len(p.data),
+        "pipe_share": int(p.n_of[124]) / n,
+        "letter_share": int(p.n_of[LETTERS].sum()) / inner,
+        "odd_words": float((p.words_with(SYMBOLS) > 0).mean()),
         # Vocabulary grows slower than a text: looked at over 200 words' worth.
-        "distinct_share": min(1.0, len(set(lower)) / min(n, 200)),
-        "same_next_share": sum(a == b for a, b in zip(lower, lower[1:])) / n,
-        "shout_share": (data.count(b"!!") + data.count(b"??")) / n,
-        "pipe_share": data.count(b"|") / n,
-        "repeat_share": 1 - len(set(grams)) / len(grams) if grams else 0.0,
-        "dup_line_share": 1 - len(set(lines)) / len(lines),
+        "distinct_share": min(1.0, len(words) / min(n, 200)),
+        "same_next_share": float((p.words[1:] == p.words[:-1]).sum()) / n,
+        "repeat_share": 1 - len(runs) / runs.sum() if len(runs) else 0.0,
+        "dup_line_share": 1 - len(lines) / lines.sum(),
+        "top_word_share": float(words.max()) / n if n >= 20 else 0.0,
     }
 
 
 def votes(stats: dict[str, float]) -> list[int]:
     out = []
-    for _, name, low, good_from, good_to, high in LABELLERS:
+    for name, low, good_from, good_to, high in LABELLERS:
         v = stats[name]
         out.append(BAD if v < low or v > high else GOOD if good_from <= v <= good_to else NONE)
     return out
 
 
-def features(text: str | None):
-    """Hashed features: shapes of four characters in a row, and the statistics' ranges."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def features(p: Parts) -> np.ndarray:
+    """Hashed features: shapes of four characters in a row, lengths of words, and how words, runs of four words and lines repeat."""
+    data = p.data
     kind = np.where((data >= 97) & (data <= 122) | (data >= 128), 1, np.where((data >= 65) & (data <= 90), 2, np.where((data >= 48) & (data <= 57), 3, data.astype(np.int64)))).astype(np.int64)
-    out = np.zeros(DIMS)
-    half = DIMS // 2
+    out, half = np.zeros(DIMS, np.float32), DIMS // 2
     if len(kind) >= 4:
         code = ((kind[:-3] * 131 + kind[1:-2]) * 131 + kind[2:-1]) * 131 + kind[3:]
-        n = np.bincount((code * 2654435761 >> 7) % half, minlength=half)
-        out[:half] = np.sqrt(n / len(code))
-    for i, v in enumerate(statistics(text).values()):
-        step = int(np.floor(np.log2(v + 2.0**-10) * 2)) if v >= 0 else -40
-        out[half + (i * 7919 + step * 104729) % half] += 0.7
+        out[:half] = np.sqrt(np.bincount((code * 2654435761 >> 7) % half, minlength=half) / len(code))
+    put = lambda what, values, share: np.add.at(out, half + (what * 7919 + values.astype(np.int64) * 104729) % half, np.sqrt(share).astype(np.float32))
+    if len(p.words):
+        length = np.bincount(np.minimum(p.ends - p.starts, 30))
+        put(1, np.arange(len(length)), length / len(p.words))
+    for what, n in enumerate(p.counts, 2):
+        if len(n):
+            often = np.bincount(np.log2(n).astype(np.int64), weights=n)
+            put(what, np.arange(len(often)), often / n.sum())
+    put(5, np.array([int(np.log2(len(p.words) + 1))]), np.ones(1))
     return out
 
 
 def em(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(share of each class, P(vote | class) as [labeller, class, vote + 1]) from vote patterns and their counts.
+    """(shares of good and bad documents, P(vote | class) as [labeller, class, vote + 1]) from vote patterns and their counts.
 
-    Class 0 is good; a bad document is bad in one of several ways, and every labeller has a class of what it is there
-    to find. All probabilities are estimated, but a labeller keeps voting bad on most of its own class and seldom on good
-    documents, which is what ties the classes to their meaning.
+    Every probability is estimated. The belief that EM starts from, worth BELIEF documents, only says which class is
+    the bad one and keeps probabilities of unseen votes above 0.
     """
     v = np.array([p for p, _ in patterns]).reshape(len(patterns), -1) + 1
     n = np.array([c for _, c in patterns], float)
     k = v.shape[1]
-    table = np.tile(np.array([0.1, 0.2, 0.7]), (k, k + 1, 1))
-    table[:, 0] = (0.01, 0.19, 0.8)
-    table[np.arange(k), np.arange(k) + 1] = (0.9, 0.08, 0.02)
-    share = np.array([0.8, *[0.2 / k] * k])
+    start = np.empty((k, 2, 3))
+    for c, bad in enumerate((BAD_ON_GOOD, BAD_ON_BAD)):
+        start[:, c] = bad, (1 - bad) / 4, (1 - bad) * 3 / 4
+    table, share, balance = start, np.array([SHARE_GOOD, 1 - SHARE_GOOD]), np.array([SHARE_GOOD, 1 - SHARE_GOOD])
     for _ in range(EM_ROUNDS):
         p = posteriors(share, table, v - 1) * n[:, None]
-        share = np.clip(p.sum(0) / n.sum(), 1e-4, 1)
-        share /= share.sum()
-        for j in range(k):
-            for c in range(k + 1):
-                row = (np.bincount(v[:, j], weights=p[:, c], minlength=3) + 0.1) / (p[:, c].sum() + 0.3)
-                low, high = (0.9, 1.0) if c == j + 1 else (0.0, 0.02) if c == 0 else (0.0, 1.0)
-                bad = np.clip(row[0], low, high)
-                rest = max(row[1] + row[2], 1e-9)
-                table[j, c] = np.maximum((bad, row[1] / rest * (1 - bad), row[2] / rest * (1 - bad)), 1e-4)
+        share = (p.sum(0) + BELIEF * balance) / (n.sum() + BELIEF)
+        table = np.array([[np.bincount(v[:, j], weights=p[:, c], minlength=3) + BELIEF * start[j, c] for c in (0, 1)] for j in range(k)])
+        table /= table.sum(2, keepdims=True)
     return share, table
 
 
@@ -122,13 +166,13 @@ def posteriors(share: np.ndarray, table: np.ndarray, v: np.ndarray) -> np.ndarra
 
 def fit(x: np.ndarray, p: np.ndarray, ridge: float = 1e-4, rate: float = 0.5) -> np.ndarray:
     """Weights (bias last) of a logistic regression on soft labels, by accelerated gradient steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = last = np.zeros(x1.shape[1])
+    w = last = np.zeros(x.shape[1] + 1, np.float32)
     for t in range(FIT_ROUNDS):
-        ahead = w + t / (t + 3) * (w - last)
-        grad = x1.T @ (1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30))) - p) / len(x1) + ridge * ahead
-        last, w = w, ahead - rate * grad
-    return w
+        ahead = w + np.float32(t / (t + 3)) * (w - last)
+        miss = 1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -30, 30))) - p
+        grad = np.append(x.T @ miss, miss.sum()) / len(x) + ridge * ahead
+        last, w = w, (ahead - rate * grad).astype(np.float32)
+    return w.astype(float)
 
 
 def voted(docs: DataFrame, text_col: str) -> DataFrame:
@@ -136,32 +180,40 @@ def voted(docs: DataFrame, text_col: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: votes(statistics(t)))
+        return texts.map(lambda t: votes(statistics(Parts(t))))
 
     return docs.withColumn("votes", run(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scorer's weights, shares of the classes, vote table). Uses no labels; EM counts cover all rows, the scorer's fit about TRAIN_ROWS."""
+    """(scorer's weights, shares of good and bad, vote table). Uses no labels.
+
+    EM counts the votes of all rows, so repeated rows count as often as they occur. The scorer fits on about TRAIN_TEXTS
+    distinct texts, chosen by a hash of the text, each counted once however often it occurs: its features are made in
+    parallel and gathered in one task. Null texts are empty ones. An empty table gives weights of 0, that is scores of
+    one half; other columns are not read.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = voted(docs.select(text.alias(text_col)), text_col).groupBy("votes").count().collect()
+    counted = voted(docs.select(text.alias("text")), "text").groupBy("votes").count().collect()
     if not counted:
-        return np.zeros(DIMS + 1), np.ones(1), np.full((len(LABELLERS), 1, 3), 1 / 3)
-    n = sum(r["count"] for r in counted)
+        return np.zeros(DIMS + 1), np.array([SHARE_GOOD, 1 - SHARE_GOOD]), np.full((len(LABELLERS), 2, 3), 1 / 3)
     share, table = em([(tuple(r["votes"]), r["count"]) for r in counted])
-    keep = int(min(1.0, TRAIN_ROWS / n) * (1 << 20))
-    sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < keep)
+    hashed = F.xxhash64(F.lit("fit"), text)
+    n = docs.select(F.approx_count_distinct(hashed, 0.02)).first()[0]
+    sample = docs.where(sampled(hashed, TRAIN_TEXTS, n)).select(text.alias("text")).distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, p = [], []
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for t in batch["text"]:
-                x.append(features(t).astype(np.float32))
-                p.append(posteriors(share, table, np.array([votes(statistics(t))]))[0, 0])
-        if x:
-            yield pd.DataFrame({"w": [fit(np.array(x), np.array(p)).tolist()]})
+            parts = [Parts(t) for t in batch["text"]]
+            good = [posteriors(share, table, np.array([votes(statistics(p))]))[0, 0] for p in parts]
+            yield pd.DataFrame({"x": [features(p).astype(np.float32).tobytes() for p in parts], "p": good})
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [(np.frombuffer(x, np.float32), p) for batch in batches for x, p in zip(batch["x"], batch["p"])]
+        if got:
+            yield pd.DataFrame({"w": [fit(np.array([x for x, _ in got]), np.array([p for _, p in got], np.float32)).tolist()]})
 
-    row = sample.repartition(1).mapInPandas(run, "w array<double>").first()
+    row = sample.mapInPandas(measure, "x binary, p double").repartition(1).sortWithinPartitions("x").mapInPandas(learn, "w array<double>").first()
     return np.array(row["w"]) if row else np.zeros(DIMS + 1), share, table
 
 
@@ -173,7 +225,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", into:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        z = [float(features(t) @ weights[:-1] + weights[-1]) for t in texts]
+        z = np.array([float(features(Parts(t)) @ weights[:-1] + weights[-1]) for t in texts])
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.withColumn(into, run(F.coalesce(F.col(text_col), F.lit(""))))
