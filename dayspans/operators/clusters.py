@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import spread_over, window_join
+
+#: Minutes of one bucket of time, by which intervals meet.
+BUCKET = 1440
+
 
 def density_clusters(df: DataFrame, key: str, minute: Column, eps: int = 5, min_samples: int = 3) -> DataFrame:
     """CL1, CL2: exact DBSCAN in one dimension over the rows given: key, cluster (by time), first and last minute, n.
@@ -31,8 +36,8 @@ def density_clusters(df: DataFrame, key: str, minute: Column, eps: int = 5, min_
 
 def cluster_counts(clusters: DataFrame, rows: DataFrame, key: str, stressed: Column) -> DataFrame:
     """CL1: rows of all kinds in each cluster's time, how many are stressed, and their share in per cent."""
-    r = rows.select(F.col(key).alias("_k"), F.col("minute").alias("_t"), stressed.cast("int").alias("_s"))
-    j = clusters.join(r, (clusters[key] == F.col("_k")) & (F.col("_t") >= F.col("start_minute")) & (F.col("_t") <= F.col("end_minute")))
+    r = rows.select(key, F.col("minute").alias("_t"), stressed.cast("int").alias("_s"))
+    j = window_join(r, clusters.select(key, "cluster", "start_minute", "end_minute"), [key], "_t", "start_minute", "end_minute", BUCKET)
     g = j.groupBy(key, "cluster", "start_minute", "end_minute").agg(F.count("*").alias("n_rows"), F.sum("_s").alias("n_stress"))
     return g.withColumns({"n_other": F.col("n_rows") - F.col("n_stress"), "pct_stress": F.round(F.col("n_stress") * 100.0 / F.col("n_rows"), 6)})
 
@@ -46,20 +51,23 @@ def constant_runs(df: DataFrame, key: str, on: Column, min_minutes: int = 5) ->
     return g.where(F.col("end_minute") - F.col("start_minute") >= min_minutes)
 
 
-def overlaps(other: DataFrame, key: str, strict: bool) -> tuple[DataFrame, Column]:
-    o = other.select(F.col(key).alias("_k"), F.col("start_minute").alias("_s"), F.col("end_minute").alias("_e"))
+def hit_by(df: DataFrame, other: DataFrame, key: str, strict: bool) -> DataFrame:
+    """The distinct intervals of ``df`` that overlap one of ``other``; ``strict`` leaves out those that only touch.
+
+    Both go to the buckets of time that they touch and meet by key and bucket.
+    """
+    own = spread_over(df.select(key, "start_minute", "end_minute").distinct(), "start_minute", "end_minute", BUCKET)
+    o = spread_over(other.select(key, F.col("start_minute").alias("_s"), F.col("end_minute").alias("_e")), "_s", "_e", BUCKET)
     s, e = F.col("start_minute"), F.col("end_minute")
     hit = (s < F.col("_e")) & (F.col("_s") < e) if strict else (s <= F.col("_e")) & (F.col("_s") <= e)
-    return o, (F.col(key) == F.col("_k")) & hit
+    return own.join(o, [key, "_bucket"]).where(hit).select(key, "start_minute", "end_minute").distinct()
 
 
 def without_overlaps(df: DataFrame, other: DataFrame, key: str, min_minutes: int = 0) -> DataFrame:
     """CL4: intervals that overlap none of the others (touching is allowed) and are long enough."""
-    o, cond = overlaps(other, key, True)
-    return df.join(o, cond, "left_anti").where(F.col("end_minute") - F.col("start_minute") >= min_minutes)
+    return df.join(hit_by(df, other, key, True), [key, "start_minute", "end_minute"], "left_anti").where(F.col("end_minute") - F.col("start_minute") >= min_minutes)
 
 
 def with_overlaps(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """CL5: intervals that overlap or touch one of the others."""
-    o, cond = overlaps(other, key, False)
-    return df.join(o, cond, "left_semi")
+    return df.join(hit_by(df, other, key, False), [key, "start_minute", "end_minute"], "left_semi")

@@ -72,11 +72,6 @@ def intersect_intervals(a: DataFrame, b: DataFrame, keys: list[str], min_us: int
     return j.where((F.col("end_us") > F.col("start_us")) & (F.col("end_us") - F.col("start_us") >= min_us))
 
 
-def points_inside(episodes: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """JN16, EP9: every pair of an episode and a point in its closed interval."""
-    return episodes.join(points, keys).where((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("end_us")))
-
-
 def majority_transport(episodes: DataFrame, points: DataFrame, keys: list[str], active: Column, mechanised: Column) -> DataFrame:
     """EP9: active if strictly more points are, else mechanised if any is, else none."""
     us = points.select(*keys, "us", active.cast("int").alias("_a"), mechanised.cast("int").alias("_m"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY = 86_400_000_000
+
 
 def key_coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN1: distinct keys on the left, on the right, and on both sides."""
@@ -95,9 +97,21 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.8) -> Data
     return near.select("a", "b", F.round(ratio, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def window_join(points: DataFrame, responses: DataFrame, key: str, us: str, lo: str, hi: str) -> DataFrame:
-    """JN13: points of the same key from ``lo`` to ``hi``, both included."""
-    return points.join(responses, key).where((F.col(us) >= F.col(lo)) & (F.col(us) <= F.col(hi)))
+def spread_over(df: DataFrame, lo: str, hi: str, size: int, into: str = "_bucket") -> DataFrame:
+    """A row for every bucket of ``size`` that the closed interval from ``lo`` to ``hi`` touches; none if it is empty."""
+    bucket = lambda c: F.floor(F.col(c) / F.lit(size))
+    return df.where(F.col(lo) <= F.col(hi)).withColumn(into, F.explode(F.sequence(bucket(lo), bucket(hi))))
+
+
+def window_join(points: DataFrame, windows: DataFrame, keys: list[str], us: str, lo: str, hi: str, bucket_us: int = DAY) -> DataFrame:
+    """JN13, JN16: points of the same keys from ``lo`` to ``hi``, both included.
+
+    Windows go to the buckets of time that they touch, and points meet them by key and bucket, so no user's whole
+    history meets all of its windows; choose ``bucket_us`` near the windows' usual length.
+    """
+    w = spread_over(windows, lo, hi, bucket_us)
+    p = points.withColumn("_bucket", F.floor(F.col(us) / F.lit(bucket_us)))
+    return p.join(w, [*keys, "_bucket"]).where((F.col(us) >= F.col(lo)) & (F.col(us) <= F.col(hi))).drop("_bucket")
 
 
 def update_where(df: DataFrame, updates: DataFrame, keys: list[str], column: str) -> DataFrame:

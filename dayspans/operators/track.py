@@ -99,50 +99,83 @@ def day_gate(df: DataFrame, min_points: int = 5, min_span_h: float = 1, gap_min:
     return g.select("user_id", "date", "n_points", "span_us", "n_gaps", "median_gap_s", reason.alias("reason"))
 
 
+#: Points that the stay scan looks ahead at first; it doubles them until one lies beyond.
+AHEAD = 16
+
+
 def staypoints(df: DataFrame, keys: list[str], ts: str = "tracked_at", tie: str = "event_id", meters: float = 75, minutes: float = 5, gap_minutes: float = 45) -> DataFrame:
     """GE9: sliding stays. From an anchor on, points within ``meters`` belong together; the first one beyond ends the
     stay, which counts if it lasted long enough and its last step was no gap; that point is the next anchor.
 
-    The next anchor depends on the one before, so each key is scanned in order by one Arrow function; keys (a user's
-    day, or a user) bound its memory. Adds started_us, finished_us, lat, lon (mean of the points), n_points.
+    The next anchor depends on the one before, so rows are sorted by key and time by Spark and scanned in order, in
+    Arrow batches: a task holds one batch and the points since its open anchor, however many points a key has, and
+    distances are taken in growing windows from the anchor on. Adds started_us, finished_us, lat, lon (mean of the
+    points), n_points.
     """
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "started_us", "finished_us", "lat", "lon", "n_points"]
 
-    def scan(key: tuple, table: pa.Table) -> pa.Table:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        t = table.sort_by([("us", "ascending"), ("tie", "ascending")])
-        us, lat, lon = (t.column(c).to_numpy() for c in ("us", "lat", "lon"))
-        rlat, rlon, out, i, n = np.radians(lat), np.radians(lon), [], 0, len(us)
-        while i < n:
-            a = np.sin((rlat[i:] - rlat[i]) / 2) ** 2 + np.cos(rlat[i]) * np.cos(rlat[i:]) * np.sin((rlon[i:] - rlon[i]) / 2) ** 2
-            beyond = np.flatnonzero(2 * EARTH * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) >= meters)
-            if not len(beyond):
-                break
-            j = i + int(beyond[0])
-            if us[j] - us[i] >= minutes * 6e7 and us[j] - us[j - 1] < gap_minutes * 6e7:
-                out.append((us[i], us[j], lat[i:j].mean(), lon[i:j].mean(), j - i))
-            i = j
-        cols = list(zip(*out)) or [()] * 5
-        own = [pa.array([k.as_py()] * len(out), k.type) for k in key]
-        return pa.Table.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int64()]))], names=[*keys, "started_us", "finished_us", "lat", "lon", "n_points"])
-
-    d = df.select(*keys, micros(F.col(ts)).alias("us"), F.col(tie).alias("tie"), "lat", "lon")
-    return d.groupBy(*keys).applyInArrow(scan, f"{fields}, started_us long, finished_us long, lat double, lon double, n_points long")
+        def stays(us, lat, lon, near: int) -> tuple[list, int]:
+            """(stays, open anchor) of points of one key, the first of which is an anchor with ``near`` points known to be close."""
+            rlat, rlon, out, i, n = np.radians(lat), np.radians(lon), [], 0, len(us)
+            while i < n:
+                at, step, j = max(i, near if i == 0 else 0), AHEAD, -1
+                while at < n and j < 0:
+                    p, q = rlat[at : at + step], rlon[at : at + step]
+                    a = np.sin((p - rlat[i]) / 2) ** 2 + np.cos(rlat[i]) * np.cos(p) * np.sin((q - rlon[i]) / 2) ** 2
+                    beyond = np.flatnonzero(2 * EARTH * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) >= meters)
+                    j = at + int(beyond[0]) if len(beyond) else -1
+                    at, step = at + step, step * 2
+                if j < 0:
+                    break
+                if us[j] - us[i] >= minutes * 6e7 and us[j] - us[j - 1] < gap_minutes * 6e7:
+                    out.append((us[i], us[j], lat[i:j].mean(), lon[i:j].mean(), j - i))
+                i = j
+            return out, i
+
+        key, left = None, None
+        for batch in batches:
+            cols = [batch.column(i) for i in range(len(keys))]
+            us, lat, lon = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(3))
+            own = list(zip(*(c.to_pylist() for c in cols)))
+            starts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for a, b in zip(starts, starts[1:]):
+                part, near = (us[a:b], lat[a:b], lon[a:b]), 0
+                if left is not None and key == own[a]:
+                    near = len(left[0])
+                    part = tuple(np.concatenate(x) for x in zip(left, part))
+                key = own[a]
+                out, at = stays(*part, near)
+                left = tuple(x[at:] for x in part)
+                if out:
+                    found = list(zip(*out))
+                    head = [pa.array([k] * len(out), c.type) for k, c in zip(key, cols)]
+                    yield pa.RecordBatch.from_arrays([*head, *(pa.array(x, t) for x, t in zip(found, [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int64()]))], names)
+
+    d = df.select(*keys, micros(F.col(ts)).alias("us"), "lat", "lon", F.col(tie).alias("tie"))
+    return d.repartition(*keys).sortWithinPartitions(*keys, "us", "tie").mapInArrow(scan, f"{fields}, started_us long, finished_us long, lat double, lon double, n_points long")
 
 
 def triplegs(points: DataFrame, stays: DataFrame, gap_minutes: float = 45) -> DataFrame:
-    """GE10: runs of points outside all stays, split where a step is a gap; with length and mean speed (GE11)."""
+    """GE10: runs of points outside all stays, split where a step is a gap; with length and mean speed (GE11).
+
+    A user's stays do not overlap, so a point is inside one if it is before the end of the last that has started: both
+    are put in one order, and nothing is joined.
+    """
     us = micros(F.col("tracked_at"))
-    p = points.withColumn("us", us)
-    s = stays.select(F.col("user_id").alias("_u"), "started_us", "finished_us")
-    out = p.join(s, (F.col("user_id") == F.col("_u")) & (F.col("us") >= F.col("started_us")) & (F.col("us") < F.col("finished_us")), "left_anti")
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    nth = F.row_number().over(w)
-    p_n = p.withColumn("nth", nth).select("event_id", "nth")
-    o = out.join(p_n, "event_id").withColumns({"new": F.coalesce(((F.col("us") - F.lag("us").over(w)) > gap_minutes * 60_000_000) | (F.col("nth") - F.lag("nth").over(w) > 1), F.lit(True)).cast("int"), "dist": haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))})
-    o = o.withColumn("leg", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return o.groupBy("user_id", "leg").agg(F.min("us").alias("started_us"), F.max("us").alias("finished_us"), F.count("*").alias("n_points"), F.sum(F.when(F.col("new") == 0, F.col("dist")).otherwise(0.0)).alias("meters"))
+    p = points.select("user_id", us.alias("us"), F.lit(1).alias("kind"), F.col("event_id").alias("tie"), "lat", "lon", F.lit(None).cast("long").alias("until"))
+    s = stays.select("user_id", F.col("started_us").alias("us"), F.lit(0).alias("kind"), F.lit(None).cast(p.schema["tie"].dataType).alias("tie"), *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon")], F.col("finished_us").alias("until"))
+    w = Window.partitionBy("user_id").orderBy("us", "kind", "tie")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = p.unionByName(s).withColumn("_stay", F.max("until").over(upto)).where("kind = 1")
+    d = d.withColumn("inside", F.coalesce(F.col("us") < F.col("_stay"), F.lit(False)))
+    prev = lambda c: F.lag(c).over(w)
+    d = d.withColumns({"new": F.coalesce(prev("inside") | (F.col("us") - prev("us") > gap_minutes * 60_000_000), F.lit(True)).cast("int"), "dist": haversine(prev("lat"), prev("lon"), F.col("lat"), F.col("lon"))}).where("not inside")
+    d = d.withColumn("leg", F.sum("new").over(upto))
+    return d.groupBy("user_id", "leg").agg(F.min("us").alias("started_us"), F.max("us").alias("finished_us"), F.count("*").alias("n_points"), F.sum(F.when(F.col("new") == 0, F.col("dist")).otherwise(0.0)).alias("meters"))
 
 
 def transport_mode(kmh: Column, slow: float = 15, fast: float = 100) -> Column:
@@ -163,6 +196,21 @@ def trips(stays: DataFrame, activity_minutes: float = 15, gap_minutes: float | N
     return t if gap_minutes is None else t.where(F.col("finished_us") - F.col("started_us") <= gap_minutes * 60_000_000)
 
 
+def trip_ends(trips: DataFrame, home: DataFrame, meters: float = 75) -> DataFrame:
+    """GE15: where trips start and end, home or out; the trip's place is its origin's, else its destination's, and trips at home go.
+
+    ``trips``: user_id, from_lat, from_lon, to_lat, to_lon. An end without coordinates has no type.
+    """
+    j = trips.join(home, "user_id", "left")
+
+    def kind(lat: str, lon: str) -> Column:
+        near = F.coalesce(haversine(F.col(lat), F.col(lon), F.col("home_lat"), F.col("home_lon")) <= meters, F.lit(False))
+        return F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.when(near, "home").otherwise("out_of_home"))
+
+    j = j.withColumns({"origin_type": kind("from_lat", "from_lon"), "destination_type": kind("to_lat", "to_lon")})
+    return j.withColumn("location_type", F.coalesce("origin_type", "destination_type")).where("location_type <> 'home'").drop("home_lat", "home_lon")
+
+
 def trip_modes(legs: DataFrame, keys: list[str]) -> DataFrame:
     """GE13: the modes of a trip's legs, and the one with most time (ties: by name)."""
     per = legs.groupBy(*keys, "mode").agg(F.sum("duration_us").alias("us"))

@@ -120,7 +120,7 @@ def _(v):
 def _(v):
     e = v.ema_wide.select("user_id", c("event_id").alias("response_id"), (F.unix_date(F.to_date("response_time")).cast("long") * 86_400_000_000 + 18_000_000_000).alias("lo"), times.micros(c("response_time")).alias("hi"))
     p = v.points.select("user_id", "event_id", times.micros(c("ts")).alias("us"))
-    return jn.window_join(p, e, "user_id", "us", "lo", "hi").select("response_id", "event_id")
+    return jn.window_join(p, e, ["user_id"], "us", "lo", "hi").select("response_id", "event_id")
 
 
 @query("jn14_keyed_update", f"SELECT event_id, coalesce(code, e.variable) AS variable FROM v_ema_long e LEFT JOIN {DICT} d ON d.scale = e.scale AND d.variable = e.variable")
@@ -141,7 +141,7 @@ def _(v):
 def _(v):
     i = v.screen.where("action like '%ON'").select("user_id", c("event_id").alias("id"), times.micros(c("ts")).alias("lo"), (times.micros(c("ts")) + 14_400_000_000).alias("hi"))
     p = v.points.select("user_id", times.micros(c("ts")).alias("us"))
-    return jn.window_join(p, i, "user_id", "us", "lo", "hi").groupBy(c("id").alias("event_id")).agg(F.count("*").alias("n_points"))
+    return jn.window_join(p, i, ["user_id"], "us", "lo", "hi").groupBy(c("id").alias("event_id")).agg(F.count("*").alias("n_points"))
 
 
 @query("jn17_semi", "SELECT user_id, date, n_events FROM v_daily WHERE user_id IN (SELECT user_id FROM v_ema_wide WHERE q1 = 5)")

@@ -95,7 +95,10 @@ def legs(v):
     return track.triplegs(v.gps, stays(v), 1440)
 
 
-@query("ge10_triplegs")
+@query("ge10_triplegs", f"""WITH {STAYS}, pt AS (SELECT g.user_id, g.event_id, epoch_us(tracked_at) AS us, lat, lon, EXISTS (SELECT 1 FROM stays s WHERE s.user_id = g.user_id AND epoch_us(g.tracked_at) >= s.started_us AND epoch_us(g.tracked_at) < s.finished_us) AS inside FROM v_gps g),
+pn AS (SELECT *, coalesce(lag(inside) OVER w OR us - lag(us) OVER w > 1440 * 60000000::BIGINT, true) AS new, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS dist FROM pt WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+pl AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS leg FROM pn WHERE NOT inside)
+SELECT user_id, leg, min(us) AS started_us, max(us) AS finished_us, count(*) AS n_points, round(sum(CASE WHEN new THEN 0 ELSE dist END), 3) AS meters FROM pl GROUP BY user_id, leg""")
 def _(v):
     return legs(v).select("user_id", "leg", "started_us", "finished_us", "n_points", F.round("meters", 3).alias("meters"))
 
@@ -135,10 +138,13 @@ def home(v):
     return v.gps.groupBy("user_id").agg(F.max("lat").alias("home_lat"), F.max("lon").alias("home_lon"))
 
 
-@query("ge15_trip_ends", f"WITH {HOME}, g AS (SELECT event_id, CASE WHEN {hav('lat', 'lon', 'home_lat', 'home_lon')} <= 2500 THEN 'home' ELSE 'out_of_home' END AS l, lead(CASE WHEN {hav('lat', 'lon', 'home_lat', 'home_lon')} <= 2500 THEN 'home' ELSE 'out_of_home' END) OVER (PARTITION BY user_id ORDER BY tracked_at, event_id) AS d FROM v_gps JOIN home USING (user_id)) SELECT event_id, coalesce(l, d) AS location_type, d AS destination_type FROM g WHERE coalesce(l, d) <> 'home'")
+TRIP_ENDS = "te AS (SELECT * FROM (SELECT user_id, finished_us AS started_us, lead(started_us) OVER w AS finished_us, lat AS from_lat, lon AS from_lon, lead(lat) OVER w AS to_lat, lead(lon) OVER w AS to_lon FROM stays WHERE finished_us - started_us >= 360 * 60000000::BIGINT WINDOW w AS (PARTITION BY user_id ORDER BY started_us)) t WHERE finished_us > started_us)"
+
+
+@query("ge15_trip_ends", f"WITH {STAYS}, {TRIP_ENDS}, {HOME}, k AS (SELECT te.*, CASE WHEN {hav('from_lat', 'from_lon', 'home_lat', 'home_lon')} <= 2500 THEN 'home' ELSE 'out_of_home' END AS origin_type, CASE WHEN {hav('to_lat', 'to_lon', 'home_lat', 'home_lon')} <= 2500 THEN 'home' ELSE 'out_of_home' END AS destination_type FROM te LEFT JOIN home ON home.user_id = te.user_id) SELECT user_id, started_us, finished_us, round(from_lat, 6) AS from_lat, round(from_lon, 6) AS from_lon, origin_type, destination_type, coalesce(origin_type, destination_type) AS location_type FROM k WHERE coalesce(origin_type, destination_type) <> 'home'")
 def _(v):
-    d = track.label_home(v.gps, home(v), 2500).withColumn("destination_type", F.lead("location_type").over(Window.partitionBy("user_id").orderBy("tracked_at", "event_id")))
-    return d.select("event_id", F.coalesce("location_type", "destination_type").alias("location_type"), "destination_type").where("location_type <> 'home'")
+    t = track.trip_ends(track.trips(stays(v), 360), home(v), 2500)
+    return t.select("user_id", "started_us", "finished_us", F.round("from_lat", 6).alias("from_lat"), F.round("from_lon", 6).alias("from_lon"), "origin_type", "destination_type", "location_type")
 
 
 @query("ge16_home_location", f"""WITH {STAYS}, h AS (SELECT *, hour(make_timestamp(started_us)) AS h, finished_us - started_us AS us FROM stays),

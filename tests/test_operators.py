@@ -114,7 +114,9 @@ def test_density_clusters_match_brute_force(spark):
     assert got == {u: brute_dbscan(own, 4, 4) for u, own in xs.items()}
 
 
-def test_staypoints_match_brute_force(spark):
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_staypoints_match_brute_force(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng, rows = random.Random(6), []
     for u in range(4):
         t, lat = 0, 32.0
@@ -134,9 +136,19 @@ def test_staypoints_match_brute_force(spark):
             if own[j][2] - own[i][2] >= 6e8 and own[j][2] - own[j - 1][2] < 7.2e8:
                 want.append((u, own[i][2], own[j][2], j - i))
             i = j
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted(want)
 
 
+def test_window_join_matches_brute_force(spark):
+    rng = random.Random(14)
+    pts = [(rng.randrange(3), i, rng.randrange(1000)) for i in range(200)]
+    wins = [(rng.randrange(3), i, a, a + rng.randrange(-5, 120)) for i, a in enumerate(rng.randrange(1000) for _ in range(60))]
+    p, w = spark.createDataFrame(pts, "k int, i int, us long"), spark.createDataFrame(wins, "k int, j int, lo long, hi long")
+    got = sorted(map(tuple, joins.window_join(p, w, ["k"], "us", "lo", "hi", 50).select("i", "j").collect()))
+    assert got == sorted((i, j) for k, i, t in pts for q, j, a, b in wins if k == q and a <= t <= b)
+
+
 def test_fragmentation_index_bounds(spark):
     rows = [("one", 5.0), ("equal", 3.0), ("equal", 3.0), ("none", 0.0), ("null", None)] + [("trim", 1.0)] * 20 + [("trim", 500.0)]
     d = spark.createDataFrame(rows, "k string, m double")
