@@ -1,10 +1,11 @@
 """Exact top-k inner products, vectors by descending length, with rotated partial sums and Cauchy-Schwarz bounds.
 
 The second-moment matrix of all vectors, summed up in the tasks, gives the rotation (its singular vectors) that puts
-most of every inner product into the first coordinates. Vectors are dealt by descending length into blocks. The longest
-ones give every query a first threshold; then each block meets each block of queries. A block whose longest vector is
-too short is left unread, a vector whose partial sum plus the product of the remaining lengths stays below a query's
-threshold is left out, and the rest are scored exactly in whole numbers.
+most of every inner product into the first coordinates. Vectors are dealt by descending length into blocks of bounded
+bytes. The block of the longest ones gives every query a first threshold. Then each block of queries meets the other
+blocks, several in one task and longest first: a block whose longest vector is too short is not sent, a vector whose
+partial sum plus the product of the remaining lengths stays below a query's threshold is left out, and the rest are
+scored exactly.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ._common import stash
 
-#: Vectors in one block of candidates, about; queries in one block.
-BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: Bytes of the vectors in one block of candidates, and in one block of queries; blocks of candidates that one task takes, about.
+BLOCK_BYTES, QUERY_BYTES, CELL = 1 << 20, 1 << 21, 32
 #: Leading rotated coordinates of the partial sums, as a share of all.
 LEADING = 0.25
 #: Relative slack of the bounds, far above rounding errors of the rotated sums.
@@ -63,62 +64,117 @@ def matrix(column: pa.Array, dims: int):
     return out
 
 
+def pack(ids: pa.Array, x, norm) -> dict:
+    """A block of vectors as one row; numbers of 32 bits where they fit."""
+    import numpy as np
+
+    kind = "<i4" if not len(x) or np.abs(x).max() < 1 << 31 else "<i8"
+    known = ~np.asarray(ids.is_null())
+    return {"n": len(x), "ids": ids.fill_null(0).to_numpy().astype("<i8").tobytes(), "known": known.tobytes(), "kind": kind, "x": x.astype(kind).tobytes(), "longest": float(np.sqrt(norm.max()))}
+
+
+PACKED = "n long, ids binary, known binary, kind string, x binary, longest double"
+
+
+def unpack(row, dims: int) -> tuple:
+    """(ids, known, vectors) of a packed row."""
+    import numpy as np
+
+    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], bool), np.frombuffer(row["x"], row["kind"]).reshape(-1, dims).astype(np.int64)
+
+
 def packed(v: DataFrame, dims: int, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors in the order of the partitions: count, ids, x, longest (length)."""
+    """Blocks of at most ``size`` vectors in the order of the partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        held, count = [], 0
+
+        def blocks(last: bool):
+            nonlocal held, count
+            if not held or not (last or count >= size):
+                return
+            t = pa.Table.from_batches(held).combine_chunks()
+            upto = count if last else count // size * size
+            for i in range(0, upto, size):
+                part = t.slice(i, min(size, upto - i)).to_batches()[0]
+                yield pa.RecordBatch.from_pylist([pack(part.column(0), matrix(part.column(1), dims), part.column(2).to_numpy())])
+            held, count = t.slice(upto).to_batches(), count - upto
 
         for batch in batches:
-            x, norm = matrix(batch.column(1), dims), batch.column(2).to_numpy()
-            ids, known = batch.column(0).fill_null(0).to_numpy(), ~np.asarray(batch.column(0).is_null())
-            for i in range(0, len(x), size):
-                s = slice(i, i + size)
-                yield pa.RecordBatch.from_pydict({"n": [len(x[s])], "ids": [ids[s].astype("<i8").tobytes()], "known": [known[s].tobytes()], "x": [x[s].astype("<i8").tobytes()], "longest": [float(np.sqrt(norm[s].max()))]})
+            held.append(batch)
+            count += len(batch)
+            yield from blocks(False)
+        yield from blocks(True)
 
-    return v.select("vec_id", "x", "norm").mapInArrow(run, "n long, ids binary, known binary, x binary, longest double")
+    return v.select("vec_id", "x", "norm").mapInArrow(run, PACKED)
 
 
-def search(q, q_ids, q_least, c, c_ids, c_known, rotation, k: int) -> Iterator[tuple]:
-    """(query, id, known, score) of the candidates that can be among a query's best ``k``, from one block.
+class Best:
+    """The best ``k`` candidates so far of each query of a block; a query's k-th score is its threshold."""
 
-    Candidates come by descending length; ``q_least`` is the score that a query's k-th best has already. Bounds get a
-    slack above rounding, and a tie with the threshold is kept, so nothing that belongs to a result is lost.
-    """
-    import numpy as np
+    def __init__(self, q, q_ids, rotation, k: int):
+        import numpy as np
+
+        self.q, self.q_ids, self.rotation, self.k = q, q_ids, rotation, k
+        self.lead = max(1, int(q.shape[1] * LEADING))
+        self.rq, self.length = q @ rotation, np.sqrt((q.astype(float) ** 2).sum(1))
+        self.rest = np.sqrt((self.rq[:, self.lead :] ** 2).sum(1))
+        self.least = np.full(len(q), -np.inf)
+        self.found = [np.empty(0, np.int64)] * 5  # row, score, known, id, whether a block that was met here gave it
+
+    def meet(self, c, c_ids, c_known) -> None:
+        """Take in a block of candidates, which come by descending length.
+
+        Bounds get a slack above rounding, and a tie with the threshold is kept, so nothing that belongs to a result is
+        lost. Scores are exact: as doubles while no score can reach 2^53, else as 64-bit numbers.
+        """
+        import numpy as np
+
+        rc, c_len = c @ self.rotation, np.sqrt((c.astype(float) ** 2).sum(1))
+        c_rest = np.sqrt((rc[:, self.lead :] ** 2).sum(1))
+        alive = np.flatnonzero(self.length * c_len.max(initial=0) * (1 + SLACK) >= self.least)
+        if not len(alive) or not len(c):
+            return
+        upper = self.rq[alive, : self.lead] @ rc[:, : self.lead].T + np.outer(self.rest[alive], c_rest)
+        upper += SLACK * (1 + np.outer(self.length[alive], c_len))
+        open_ = upper >= self.least[alive][:, None]
+        open_ &= ~(c_known[None, :] & (c_ids[None, :] == self.q_ids[alive][:, None]))
+        columns = np.flatnonzero(open_.any(0))
+        small = self.length[alive].max() * c_len.max() < 2.0**52
+        kind = float if small else np.int64
+        scores = (self.q[alive].astype(kind) @ c[columns].astype(kind).T).astype(np.int64)
+        rows, cols = np.nonzero(open_[:, columns] & (scores >= self.least[alive][:, None]))
+        self.add(alive[rows], scores[rows, cols], c_known[columns[cols]], c_ids[columns[cols]])
+
+    def add(self, rows, scores, known, ids, new=None) -> None:
+        """Merge candidates into the best: by score, then by id, null ids last."""
+        import numpy as np
 
-    lead = max(1, int(c.shape[1] * LEADING))
-    rq, rc = q @ rotation, c @ rotation
-    q_len, c_len = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((c.astype(float) ** 2).sum(1))
-    q_rest, c_rest = (np.sqrt(np.maximum((r[:, lead:] ** 2).sum(1), 0)) for r in (rq, rc))
-    least = q_least.copy()
-    for at in range(0, len(c), 1024):
-        s = slice(at, at + 1024)
-        alive = np.flatnonzero(q_len * c_len[s].max() * (1 + SLACK) >= least)
-        if not len(alive):
-            break  # lengths descend: no later candidate can reach a threshold
-        upper = rq[alive, :lead] @ rc[s, :lead].T + np.outer(q_rest[alive], c_rest[s])
-        upper += SLACK * (1 + np.outer(q_len[alive], c_len[s]))
-        rows, cols = np.nonzero(upper >= least[alive][:, None])
-        if not len(rows):
-            continue
-        rows = alive[rows]
-        own = c_known[s][cols] & (c_ids[s][cols] == q_ids[rows])
-        rows, cols = rows[~own], cols[~own]
-        scores = np.einsum("ij,ij->i", q[rows], c[s][cols])
-        order = np.lexsort((c_ids[s][cols], ~c_known[s][cols], -scores, rows))
-        rows, cols, scores = rows[order], cols[order], scores[order]
-        first = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1)) if len(rows) else np.empty(0, int)
+        new = np.ones(len(rows), np.int64) if new is None else new
+        merged = [np.concatenate(x) for x in zip(self.found, (rows, scores, known.astype(np.int64), ids, new))]
+        order = np.lexsort((merged[3], -merged[2], -merged[1], merged[0]))
+        merged = [x[order] for x in merged]
+        rows, scores = merged[:2]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
         place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-        for r, col, score in zip(rows[place < k], cols[place < k], scores[place < k]):
-            yield int(q_ids[r]), int(c_ids[s][col]), bool(c_known[s][col]), int(score)
-        full = place == k - 1
-        least[rows[full]] = np.maximum(least[rows[full]], scores[full])
+        keep = place < self.k
+        self.found = [x[keep] for x in merged]
+        full = place == self.k - 1
+        self.least[rows[full]] = scores[full]
+
+    def frame(self) -> dict:
+        """What the blocks met here gave."""
+        rows, scores, known, ids, _ = (x[self.found[4] == 1] for x in self.found)
+        return {"query_id": self.q_ids[rows], "known": known.astype(bool), "vec_id": ids, "score": scores}
+
+
+FOUND = "query_id long, known boolean, vec_id long, score long"
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = found.select("query_id", F.when(F.col("known"), F.col("vec_id")).alias("vec_id"), "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -132,68 +188,68 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     a ValueError.
     """
     import numpy as np
+    import pandas as pd
 
     spark = vectors.sparkSession
     v = stash(prepared(vectors, id_col, vector_col, scale), "topk-vectors")
-    longest = F.coalesce(F.sqrt(F.max("norm")), F.lit(0.0)), F.coalesce(F.sqrt(F.max(F.when(F.col("vec_id") % every == 0, F.col("norm")))), F.lit(0.0))
-    n, dims, most, most_asked = v.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0)), *longest).first()
-    schema = "query_id long, vec_id long, score long"
-    if not n or not dims:
-        return best(spark.createDataFrame([], schema), k).select("query_id", "rank", "vec_id", "score")
+    is_query = F.col("vec_id") % every == 0
+    longest = F.coalesce(F.sqrt(F.max("norm")), F.lit(0.0)), F.coalesce(F.sqrt(F.max(F.when(is_query, F.col("norm")))), F.lit(0.0))
+    n, asked_n, dims, most, most_asked = v.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size("x")), F.lit(0)), *longest).first()
+    if not asked_n or not dims:
+        return best(spark.createDataFrame([], FOUND), k)
     if most * most_asked * (1 + SLACK) >= 2.0**63:
         raise ValueError(f"scores may not fit a long: the longest vector has length {most:.6g}, the longest query {most_asked:.6g}, after scaling by {scale}")
     u, _, _ = np.linalg.svd(moments(v, dims))
     rotation = np.ascontiguousarray(u)
-    parts = max(1, -(-n // BLOCK))
+    size, q_size = (max(1, most_bytes // (8 * dims)) for most_bytes in (BLOCK_BYTES, QUERY_BYTES))
+    parts, q_parts = -(-n // (size * CELL)), -(-asked_n // q_size)
     ordered = v.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    blocks = stash(packed(ordered, dims, BLOCK).withColumn("no", F.monotonically_increasing_id()), "topk-blocks")
-    asked = stash(packed(v.where(F.col("vec_id") % every == 0), dims, QUERY_BLOCK).withColumn("q_no", F.monotonically_increasing_id()), "topk-queries")
+    blocks = stash(packed(ordered, dims, size).withColumn("no", F.monotonically_increasing_id()), "topk-blocks")
+    head = blocks.orderBy(F.desc("longest"), "no").first()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = lambda data: np.frombuffer(data, "<i8").reshape(-1, dims)
+    def first_thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known, c = unpack(head, dims)
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                least = np.full(len(q_ids), -np.inf)
-                if row["least_of"] is not None and len(row["least_of"]):
-                    order = np.argsort(q_ids, kind="stable")
-                    at = np.minimum(np.searchsorted(q_ids[order], row["least_of"]), len(q_ids) - 1)
-                    for i, value in zip(at, row["least"]):
-                        same = q_ids == q_ids[order][i]
-                        least[same] = value
-                got = list(search(whole(row["q_x"]), q_ids, least, whole(row["x"]), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], bool), rotation, k))
-                cols = list(zip(*got)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([i if ok else None for i, ok in zip(cols[1], cols[2])], pa.int64()), pa.array(cols[3], pa.int64())], ["query_id", "vec_id", "score"])
-
-    names = ["q_ids", "q_x", "ids", "known", "x", "least_of", "least"]
-    q = asked.select("q_no", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("longest").alias("q_longest"))
-    q_blocks = asked.select("q_no")
-    head = blocks.orderBy(F.desc("longest"), "no").limit(1)
-    none = [F.lit(None).cast("array<long>").alias("least_of"), F.lit(None).cast("array<long>").alias("least")]
-    # The block of the longest vectors against every block of queries: first thresholds.
-    first = stash(head.join(q).select(*names[:5], *none).mapInArrow(meet, schema), "topk-first")
-    top = best(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    home = asked.select("q_no", "ids").mapInArrow(unpacked, "q_no long, query_id long")
-    least = home.distinct().join(top, "query_id").groupBy("q_no").agg(F.collect_list("query_id").alias("least_of"), F.collect_list("least").alias("least"), F.min("least").alias("lowest"), F.count("*").alias("have"))
-    n_asked = home.groupBy("q_no").agg(F.countDistinct("query_id").alias("all"))
-    bounds = stash(n_asked.join(least, "q_no", "left"), "topk-bounds")
-    # Every further block with every block of queries that its longest vector can still serve.
-    sizes = asked.select("q_no", F.col("longest").alias("q_longest")).join(bounds.select("q_no", "lowest", F.coalesce(F.col("have") < F.col("all"), F.lit(True)).alias("open")), "q_no")
-    rest = blocks.select("no", "longest").join(head.select("no"), "no", "left_anti")
-    pairs = rest.join(sizes, F.col("open") | (F.col("longest") * F.col("q_longest") * (1 + SLACK) >= F.col("lowest"))).select("no", "q_no")
-    met = pairs.join(blocks.select("no", "ids", "known", "x"), "no").join(q.drop("q_longest"), "q_no").join(bounds.select("q_no", "least_of", "least"), "q_no", "left")
-    found = first.unionByName(met.select(*names).repartition(max(parts, spark.sparkContext.defaultParallelism)).mapInArrow(meet, schema))
-    return best(found, k).select("query_id", "rank", "vec_id", "score")
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids of each block of queries."""
-    import numpy as np
+                q_ids, _, q = unpack(row, dims)
+                own = Best(q, q_ids, rotation, k)
+                own.meet(c, ids, known)
+                found = [x.astype("<i8").tobytes() for x in own.found[:4]]
+                yield pa.RecordBatch.from_pylist([row | {"lowest": float(own.least.min(initial=np.inf)), "found": found}])
 
-    for batch in batches:
-        for no, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(ids.as_py(), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), no)), pa.array(own)], ["q_no", "query_id"])
+    def first_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, found in zip(batch.column(0), batch.column(1).to_pylist()):
+                rows, scores, known, ids = (np.frombuffer(x, "<i8") for x in found)
+                yield pa.RecordBatch.from_pydict({"query_id": np.frombuffer(q_ids.as_py(), "<i8")[rows], "known": known.astype(bool), "vec_id": ids, "score": scores})
+
+    asked = packed(v.where(is_query).repartition(q_parts), dims, q_size).mapInArrow(first_thresholds, PACKED + ", lowest double, found array<binary>")
+    asked = stash(asked.withColumn("q_no", F.monotonically_increasing_id()), "topk-queries")
+    queries = asked.select("q_no", F.row_number().over(Window.orderBy("q_no")).alias("nth"), F.col("longest").alias("q_longest"), "lowest")
+    # Every further block with every block of queries that its longest vector can still serve; all but the numbers are sent once a cell.
+    blocks = blocks.where(F.col("no") != head["no"])
+    cells = max(1, -(-n // (size * CELL)))
+    pairs = blocks.select("no", "longest", F.explode(F.sequence(F.lit(1), F.lit(asked.count()))).alias("nth")).join(queries, "nth")
+    pairs = pairs.where(F.col("longest") * F.col("q_longest") * (1 + SLACK) >= F.col("lowest")).select("no", "q_no")
+    met = pairs.join(blocks, "no").withColumn("cell", F.pmod(F.xxhash64("no"), F.lit(cells)))
+    every_cell = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    spread = asked.select(F.col("q_no").alias("asked_no"), "ids", "known", "kind", "x", "found", every_cell.alias("asked_cell"))
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in q.iterrows():
+            q_ids, _, own = unpack(row, dims)
+            b = Best(own, q_ids, rotation, k)
+            known_from = [np.frombuffer(x, "<i8") for x in row["found"]]
+            b.add(*known_from, np.zeros(len(known_from[0]), np.int64))
+            for _, block in c.sort_values("longest", ascending=False).iterrows():
+                ids, known, x = unpack(block, dims)
+                b.meet(x, ids, known)
+            out.append(pd.DataFrame(b.frame()))
+        return pd.concat(out, ignore_index=True)
+
+    more = spread.groupBy("asked_no", "asked_cell").cogroup(met.groupBy("q_no", "cell")).applyInPandas(search, FOUND)
+    return best(asked.select("ids", "found").mapInArrow(first_found, FOUND).unionByName(more), k)
 
 
 def op10_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -448,10 +448,24 @@ def test_warc_round_trip(spark):
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
     assert kinds == Counter({(1, "response", None): 1, (2, "response", None): 1, (3, "revisit", 2): 1, (4, "response", None): 1, (5, "revisit", 4): 1, (7, "response", None): 1, (7, "revisit", 7): 1, (9, "revisit", 7): 1, (None, "response", None): 1, (None, "revisit", None): 1, (11, "response", None): 1})
     keys = [(r["url_key"], r["captured_at"]) for r in got]
-    assert keys == sorted(keys)
+    assert [k for _, k in sorted(zip((r["place"] for r in got), keys))] == sorted(keys) and sorted(r["place"] for r in got) == list(range(len(rows)))
     assert warc.capture_histories(pages.where("false")).count() == 0
 
 
+def test_warc_many_runs_and_ranges(spark, monkeypatch):
+    """Small files and ranges: the merged order is the order of all captures, whatever the ids and the pages' lengths."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 8192)
+    monkeypatch.setattr(warc, "MERGE_ROWS", 20)
+    rng = random.Random(12)
+    rows = [(rng.randrange(-(1 << 62), 1 << 62), f"http://{rng.choice('abc')}.org/{rng.randrange(4)}", "x" * rng.randrange(3000)) for _ in range(150)]
+    rows += [((1 << 63) - 1, "http://a.org/1", "y"), (None, None, None)]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, place int, part int").repartition(7)
+    got = warc.capture_histories(pages).orderBy("place").collect()
+    keys = [(r["url_key"], r["captured_at"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
+    assert keys == sorted(keys) and [r["place"] for r in got] == list(range(len(rows)))
+    assert len({r["run"] for r in got}) > 20 and Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
+
+
 def test_loser_tree():
     rng = random.Random(0)
     for k in range(0, 9):
@@ -511,8 +525,9 @@ def brute_topk(rows, k, every):
 
 @pytest.mark.parametrize("block", [8, 8192])
 def test_topk_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(exact_topk, "BLOCK", block)
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "BLOCK_BYTES", block * 8 * 6)
+    monkeypatch.setattr(exact_topk, "QUERY_BYTES", 3 * 8 * 6)
+    monkeypatch.setattr(exact_topk, "CELL", 2)
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 3])).astype("f4").tolist()) for i in range(60)]
     rows += [(60, None), (61, [1.0, None]), (62, [float("nan")] * 6), (63, [float("inf")] * 6), (64, [1.0, 2.0]), (65, []), (None, [5.0] * 6), (None, [5.0] * 6), (66, rows[3][1]), (67, rows[3][1]), (68, [0.0] * 6)]
