@@ -2,8 +2,9 @@
 
 Records are written by Spark's text writer with the record end of the format (two line ends) as its line separator,
 so an archive file is a plain sequence of WARC records. Each writing task sorts its records by URL key and time: every
-file is a sorted run. Reading gives one index entry per record; a k-way loser-tree merge of the runs, one URL range per
-task, puts the entries in global order.
+file is a sorted run. Reading gives one index entry per record, in the order of its run. The shuffle cuts the runs at
+common range ends and keeps each run's entries in order; a k-way loser-tree merge of the runs, one range per task, puts
+the entries in global order, and the ranges' sizes number them throughout.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from ._common import maybe_broadcast, stash, stash_path
 
 CRLF = "\r\n"
-#: Records in one archive file, at most.
-FILE_RECORDS = 4096
+#: Records and, as long as one record is no larger, bytes of one archive file, at most.
+FILE_RECORDS, FILE_BYTES = 4096, 1 << 26
 #: Index entries that one task merges, about.
 MERGE_ROWS = 200_000
-#: Capture time of page 0, in seconds since 1970; page n follows n seconds later unless a time column is named.
-EPOCH = 1_704_067_200
+#: Without a time column: capture time of page 0, in seconds since 1970, and the seconds that the others' numbers follow it, in turn.
+EPOCH, TURN = 1_704_067_200, 31_536_000
 INDEX = "run string, at long, url string, captured_at string, page_id {id}, record_type string, refers_to {id}, payload_bytes long, payload_digest string"
 
 
@@ -56,8 +57,10 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Of equal payloads of at least ``min_bytes`` the page with the smallest id is a response and the others revisit it.
     Of repeated rows with that same id one is the response. Null html is an empty payload, a null URL an empty one.
+    Capture times come from ``time_col`` (null: EPOCH); without one they are made up from the ids, within one year.
     """
-    at = F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(id_col), F.lit(0)))
+    made = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.pmod(F.col(id_col).cast("string").try_cast("long"), F.lit(TURN)), F.lit(0)))
+    at = F.coalesce(F.col(time_col).cast("timestamp"), F.timestamp_seconds(F.lit(EPOCH))) if time_col else made
     p = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"))
     p = p.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
     copies = stash(first_copies(p.where(F.col("bytes") >= min_bytes).select("digest", "bytes", "page_id")), "warc-copies")
@@ -81,9 +84,14 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 
 def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """Write the pages' records to archive files under ``path``, each file a run sorted by URL key and time."""
+    """Write the pages' records to archive files under ``path``, each file a run sorted by URL key and time.
+
+    The longest page bounds the records of a file, so that a file of very long pages stays near FILE_BYTES.
+    """
+    longest = pages.agg(F.coalesce(F.max(F.octet_length(options.get("html_col", "html"))), F.lit(0)) + 2 * F.coalesce(F.max(F.octet_length(options.get("url_col", "url"))), F.lit(0))).first()[0]
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 1024)))
     runs = records(pages, **options).sortWithinPartitions("url_key", "captured_at", "page_id")
-    runs.select("record").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    runs.select("record").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -165,34 +173,47 @@ class LoserTree:
 
 
 def merge_runs(index: DataFrame, rows: int) -> DataFrame:
-    """The index entries in global order of URL key and time; each partition is one range of that order.
+    """The index entries in global order of URL key, time and id; adds ``place``, an entry's number in that order, from 0.
 
-    Ranges hold about MERGE_ROWS entries, so memory is bounded; a URL with very many captures is spread over several.
-    Adds ``place``: the entry's position in its range.
+    Entries travel to their range sorted by run and place in the run, so each run's part arrives in its own order and
+    the loser tree merges the parts as they are. Ranges hold about MERGE_ROWS entries, so memory is bounded; a URL with
+    very many captures is spread over several.
     """
-    names = index.columns
+    names, order = index.columns, ["url_key", "captured_at", "page_id", "run", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(batches) or [pd.DataFrame(columns=names)], ignore_index=True)
-        if not len(got):
+        held = list(batches)
+        if not sum(map(len, held)):
             return
-        runs = []
-        for _, own in got.groupby("run", sort=False):
-            own = own.sort_values("at")  # the order in the file, which is the run's own order
-            runs.append(list(zip(own["url_key"], own["captured_at"], own["run"], own["at"], own.index)))
-        order = [x[-1] for x in LoserTree(runs)]
-        yield got.loc[order, names].assign(place=range(len(order)))
+        got = pa.Table.from_batches(held).combine_chunks()
+        runs: list[list] = []
+        last = None
+        for i, (key, time, page, name, at) in enumerate(zip(*(got.column(c).to_pylist() for c in order))):
+            if name != last:
+                runs.append([])
+                last = name
+            runs[-1].append((key, time, page is not None, page if page is not None else 0, name, at, i))
+        merged = got.take(pa.array([x[-1] for x in LoserTree(runs)], pa.int64()))
+        n = merged.num_rows
+        merged = merged.append_column("part", pa.array([TaskContext.get().partitionId()] * n, pa.int32())).append_column("nth", pa.array(range(n), pa.int64()))
+        yield from merged.to_batches(max_chunksize=10_000)
 
     parts = max(1, -(-rows // MERGE_ROWS))
-    ranged = index.repartitionByRange(parts, "url_key", "captured_at", "run", "at") if parts > 1 else index.coalesce(1)
-    return ranged.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema) + ", place long")
+    ranged = index.repartitionByRange(parts, *order).sortWithinPartitions("run", "at")
+    merged = stash(ranged.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema) + ", part int, nth long"), "warc-merged")
+    sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return merged.join(maybe_broadcast(starts, parts), "part").withColumn("place", F.col("start") + F.col("nth")).select(*names, "place")
 
 
 def capture_histories(pages: DataFrame, **options) -> DataFrame:
     """Archive the pages, read the archives back, and merge their index runs into capture histories.
 
     Per record: url_key, captured_at, page_id, url, record_type, refers_to, payload_bytes, payload_digest, run, at, place.
-    An empty table gives none; repeated rows are captures of their own. See ``records`` for nulls and ties.
+    An empty table gives none; repeated rows are captures of their own; other columns are not read. A page may be as long
+    as a Spark string; archive files are bounded by bytes, see ``write_archives``. See ``records`` for nulls, ties and times.
     """
     spark = pages.sparkSession
     path = stash_path(spark, "warc")
@@ -203,20 +224,23 @@ def capture_histories(pages: DataFrame, **options) -> DataFrame:
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, read back: length and digest of each payload, and which record it revisits."""
+    """All pages as WARC records, read back and merged: length and digest of each payload, which record it revisits, and its place in the capture histories."""
     found = capture_histories(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "place")
 
 
 #: DuckDB has no base32: each of the 32 characters takes five bits from one or two hex digits.
 OP8_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) || '0' AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:www\\.)?', '') AS rest,
+  strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM pages),
+h AS (SELECT page_id, html, captured_at, rest, regexp_extract(rest, '^[^/:?#]*') AS host FROM p),
+k AS (SELECT page_id, html, captured_at, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || substr(rest, length(host) + 1) AS url_key FROM h),
+d AS (SELECT page_id, url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS place, strlen(html) AS payload_bytes, sha1(html) || '0' AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM k)
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
     (strpos('0123456789abcdef', substr(hex, 1 + (5 * g) // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, 2 + (5 * g) // 4, 1)) - 1
     ) // CAST(pow(2, 3 - (5 * g) % 4) AS BIGINT)) % 32), 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, url_key, captured_at, place
 FROM d
 """
