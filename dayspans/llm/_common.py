@@ -16,6 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a lookup table is broadcast; larger ones go through a shuffled join.
 BROADCAST_ROWS = 50_000
 
+#: A key is hot with more rows than this, and than its share of all rows if one in HOT_KEYS had that many: never more hot keys than that.
+HOT_ROWS, HOT_KEYS = 1_000, 20_000
+
+#: Rows in one bucket of a key, at least.
+LEAST_BUCKET = 256
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
@@ -48,6 +54,19 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join with a table of one row per key that says in ``n_rows`` how many of ``rows`` have it; ``how`` is inner or left.
+
+    Rows of hot keys meet their few keys by broadcast where they are, the others by a shuffle, so that a key with a third
+    of all rows is no task of its own. Both inputs should be stored tables, for they are read twice. Drops ``n_rows``.
+    """
+    hot = table.where(F.col("n_rows") > max(HOT_ROWS, total // HOT_KEYS)).drop("n_rows")
+    if hot.isEmpty():
+        return rows.join(table.drop("n_rows"), key, how)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop("n_rows"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -58,6 +77,24 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until the table has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed_row(df: DataFrame) -> Column:
+    """A row's columns as one struct, beside which an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def buckets(n: str) -> str:
+    """SQL: buckets to deal ``n`` rows of a key to. Their number and their size grow with the root of ``n``."""
+    return f"cast(ceil({n} / greatest({LEAST_BUCKET}D, sqrt({n}))) as bigint)"
+
+
 def sampled(hashed: Column, most: int, n: int) -> Column:
     """Whether a row is among about ``most`` of ``n``, by its 64-bit hash; all are if there are no more. Never none, however many rows."""
     if n <= most:

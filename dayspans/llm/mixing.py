@@ -10,17 +10,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import maybe_broadcast, n_words, running, stash
+from ._common import buckets, maybe_broadcast, n_words, packed_row, running, stash
 
 #: Bits of the schedule's points; a mix has fewer slots than 2 to this power.
 BITS = 40
 #: Leading bits by which slots find their source's interval.
 CELL_BITS = 12
-#: Documents in one bucket of a source's shuffled order, about.
-BUCKET_DOCS = 1024
 
 
 class Mix(NamedTuple):
@@ -45,6 +43,12 @@ def points_below(i: str, u: str, x: str) -> str:
     return "(" + " + ".join(terms) + ")"
 
 
+def order_key(seed: int, doc_id: str, size: str) -> Column:
+    """60 bits of a checksum of seed, id and size: the shuffled order of a source's documents."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string"), F.col(size).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """A row per source: idx, source, n_docs, source_size, target.
 
@@ -77,7 +81,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     spark = docs.sparkSession
     size = n_words(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    sized = sized.select("*", F.xxhash64(F.lit(seed), "doc_id", "size").alias("key"), F.monotonically_increasing_id().alias("row"))
+    sized = sized.select("*", order_key(seed, "doc_id", "size").alias("key"), F.monotonically_increasing_id().alias("row"))
     sized = stash(sized, "mix-sizes")
     sources = stash(targets(sized, weights, share, cap).withColumn("take", F.round("target").cast("long")).withColumn("quota", F.expr(f"(take + {block_words - 1}) div {block_words}")), "mix-sources")
     n_sources, slots = sources.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
@@ -102,7 +106,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     # Positions of the documents in their source's stream.
     own = maybe_broadcast(sources, n_sources)
     placed = sized.where("size > 0").alias("d").join(own.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    placed = placed.select("row", "doc_id", "size", "key", "idx", "take", "source_size", F.expr(f"pmod(key, (n_docs + {BUCKET_DOCS - 1}) div {BUCKET_DOCS})").alias("bucket"))
+    placed = placed.select("row", "doc_id", "size", "key", "idx", "take", "source_size", F.expr(f"pmod(key, {buckets('n_docs')})").alias("bucket"))
     placed = running(placed, ["idx"], "bucket", ["key", "doc_id", "size", "row"], F.col("size"), "at")
     laps = placed.where("take > 0").withColumn("lap", F.explode(F.expr("sequence(0L, (take - 1) div source_size)"))).withColumn("from", F.expr("at + lap * source_size")).where("from < take").withColumn("to", F.expr("least(from + size, take)"))
     pieces = laps.withColumn("rank", F.explode(F.expr(f"sequence(from div {block_words}, (to - 1) div {block_words})")))
@@ -124,21 +128,35 @@ def mixed_documents(docs: DataFrame, *, seed: int = 42, id_col: str = "doc_id",
     """
     m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     # The mix takes a source's stream from its start: some whole laps, then all up to one document. So a row per source
-    # tells each document its copies, and no text is shuffled.
-    place = lambda i, n: F.struct(F.expr(f"pmod(_key, (n_docs + {BUCKET_DOCS - 1}) div {BUCKET_DOCS})").alias("bucket"), F.col("_key").alias("key"), F.col(i).alias("id"), F.col(n).alias("size"))
-    key = lambda i, n: F.xxhash64(F.lit(seed), i, n)
-    laps = m.sources.select(F.col("source").alias("_source"), "n_docs", F.expr("coalesce(try_divide(take - take % source_size, source_size), 0)").cast("int").alias("laps"))
-    d = m.documents.where("copies > 0").withColumn("_key", key("doc_id", "size")).join(laps, F.col("source").eqNullSafe(F.col("_source")))
-    last = d.where("copies > laps").groupBy("_source").agg(F.max(place("doc_id", "size")).alias("last"))
-    per = laps.alias("l").join(last.alias("c"), F.col("l._source").eqNullSafe(F.col("c._source")), "left").select(F.col("l._source").alias("_source"), "n_docs", "laps", "last")
+    # tells each document its copies, and no text is shuffled. Documents travel as one column: no name of theirs can clash.
+    place = F.struct(F.expr(f"pmod(key, {buckets('n_docs')})").alias("bucket"), "key", "doc_id", "size")
+    laps = m.sources.select("source", "n_docs", F.expr("coalesce(try_divide(take - take % source_size, source_size), 0)").cast("int").alias("laps"))
+    d = m.documents.where("copies > 0").withColumn("key", order_key(seed, "doc_id", "size")).alias("d").join(laps.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")))
+    last = d.where("copies > laps").select("d.source", place.alias("at")).groupBy("source").agg(F.max("at").alias("last"))
+    per = laps.alias("l").join(last.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")), "left").select("l.source", "n_docs", "laps", "last")
     per = stash(per, "mix-copies")
-    out = docs.withColumn("_n", n_words(F.col(text_col))).withColumn("_key", key(F.col(id_col), F.col("_n")))
-    out = out.join(maybe_broadcast(per, per.count()), F.col(source_col).eqNullSafe(F.col("_source"))).where("_n > 0")
-    more = F.coalesce(place(id_col, "_n") <= F.col("last"), F.lit(False)).cast("int")
-    return out.withColumn("_all", F.col("laps") + more).where("_all > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _all)"))).select(*docs.columns)
+    out = docs.select(packed_row(docs).alias("own"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).where("size > 0")
+    out = out.withColumn("key", order_key(seed, "doc_id", "size")).alias("d").join(maybe_broadcast(per, per.count()).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    copies = F.col("laps") + F.coalesce(place <= F.col("last"), F.lit(False)).cast("int")
+    return out.select("own", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select("own.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 3, 1, 2: what the mix takes of each."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).documents
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: A source's stream in the order of the buckets; what the mix takes of it is its start, after some whole laps.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+i AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM s),
+w AS (SELECT *, CASE idx % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS most FROM i),
+v AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (ORDER BY most / weight, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM w),
+x AS (SELECT *, max(CASE WHEN water <= most / weight THEN water END) OVER () AS level FROM v),
+t AS (SELECT source, n_docs, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, weight * level) END AS target FROM x),
+k AS (SELECT d.doc_id, d.size, t.*, CAST('0x' || md5(concat_ws(':', '42', d.doc_id, d.size))[1:15] AS BIGINT) AS key, CAST(round(target) AS BIGINT) AS take FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key % CAST(ceil(n_docs / greatest(256.0::DOUBLE, sqrt(n_docs))) AS BIGINT), key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(take // source_size * size + greatest(least(take % source_size - pos, size), 0) AS BIGINT) END AS taken FROM p
+"""

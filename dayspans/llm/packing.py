@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import maybe_broadcast, running, stash
+from ._common import buckets, maybe_broadcast, running, stash
 
 #: Token that ends every document.
 END = 2
-#: Pieces in one bucket of a length's ranks, about.
-BUCKET_PIECES = 1024
 #: Texts with these go through the JSON tokenizer itself: characters on whose class regular expression engines differ.
 UNSURE = r"[\x1c-\x1f\x85\u1680\u180e\u200b\u2028\u2029\u2060\ufeff]"
 
@@ -159,7 +157,7 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, most: int
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     sizes = spark.createDataFrame(list(histogram.items()), "length int, n long")
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    ranked = pieces.join(F.broadcast(sizes), "length").withColumn("key", key).withColumn("bucket", F.expr(f"pmod(key, (n + {BUCKET_PIECES - 1}) div {BUCKET_PIECES})")).drop("n")
+    ranked = pieces.join(F.broadcast(sizes), "length").withColumn("key", key).withColumn("bucket", F.expr(f"pmod(key, {buckets('n')})")).drop("n")
     ranked = running(ranked, ["length"], "bucket", ["key", "doc_id", "piece", "ids_crc32"], F.lit(1), "rank")
     table = places(fill(histogram, most))
     at = spark.createDataFrame(table, "length int, lo long, hi long, per int, bin long, offsets array<int>")
