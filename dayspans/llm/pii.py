@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound
+from ._common import bound, free
 
 #: Kinds in the order that breaks ties of equal starts; the first four are the base kinds and always stay.
 BASE = ("email", "ip", "card", "phone")
@@ -160,7 +160,7 @@ def mask(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The documents with all found spans masked in their texts; columns and rows stay, null texts stay null."""
-    spans = "_pii_spans"
+    spans = free(docs, "pii_spans")
     return detect(docs, text_col=text_col, into=spans).withColumn(text_col, F.when(F.col(text_col).isNotNull(), mask(F.col(text_col), F.col(spans)))).select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free
 from .jaccard_join import mixed
 
 #: (length in bytes up to which a band holds, least and greatest ratio of raw to compressed size). From the quartiles of
@@ -73,7 +74,8 @@ def assess(docs: DataFrame, *, text_col: str = "text", into: str = "rules") -> D
     """Add struct column ``into``: counts, compression, base_failed, kept.
 
     A null text counts as empty: it has no words and fails the base rules. Rows, repeats and other columns pass
-    through; a column of the name ``into`` is replaced. Every count is over the whole text.
+    through; a column of the name ``into`` is replaced; an empty table gives an empty one. Every count is over the whole
+    text, however long; a long one is judged by its whole ratio and by all of its chunks.
     """
 
     @F.pandas_udf(COLUMNS)
@@ -85,9 +87,9 @@ def assess(docs: DataFrame, *, text_col: str = "text", into: str = "rules") -> D
         for texts in parts:
             yield pd.DataFrame([measure(t, compress) for t in texts], columns=names)
 
-    m = run(F.col(text_col))
-    out = docs.withColumn("_measured", m)
-    x = F.col("_measured")
+    measured = free(docs, "measured")
+    out = docs.withColumn(measured, run(F.col(text_col)))
+    x = F.col(measured)
     failed = (x["n_words"] < MIN_WORDS) | (x["n_repeat_words"] * 100 > x["n_words"] * REPEAT_PERCENT)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0))
     band = F.lit(False)
@@ -95,7 +97,7 @@ def assess(docs: DataFrame, *, text_col: str = "text", into: str = "rules") -> D
         band = F.when(size <= upto, x["ratio"].between(low, high)).otherwise(band)
     kept = ~failed & band & (x["chunks_out"] <= OUT_SHARE)
     fields = [x[c.split()[0]].alias(c.split()[0]) for c in COLUMNS.split(", ")]
-    return out.withColumn(into, F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"))).drop("_measured")
+    return out.withColumn(into, F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"))).drop(measured)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
