@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 #: South, north, west and east of the study area.
 BOX = (29.0, 34.0, 33.0, 36.0)
 
@@ -47,8 +49,8 @@ def contains_any(c: Column, patterns: tuple[str, ...]) -> Column:
 
 def high_low(df: DataFrame, column: str, into: str) -> DataFrame:
     """PF11: above the median high, else low; ties are low."""
-    mid = df.agg(F.percentile(column, 0.5).alias("_mid"))
-    return df.crossJoin(F.broadcast(mid)).withColumn(into, F.when(F.col(column) > F.col("_mid"), "high").when(F.col(column).isNotNull(), "low")).drop("_mid")
+    mid = F.lit(exact_percentiles(df, column, [0.5])[0]).cast("double")
+    return df.withColumn(into, F.when(F.col(column) > mid, "high").when(F.col(column).isNotNull(), "low"))
 
 
 def stars(p: Column, trend: bool = False) -> Column:

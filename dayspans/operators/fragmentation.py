@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
+
 
 def fragmentation_index(episodes: DataFrame, keys: list[str], minutes: Column, *, min_episodes: int = 1, max_minutes: float | None = None, trim_sd: float = 3.0, trim_above: int = 2) -> DataFrame:
     """FR1, FR2: per key index, count, total, mean, sd, cv and status.
@@ -63,10 +65,12 @@ def status_rates(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """FR10: valid rows, mean, median, sd, extremes and quartiles, a row per column."""
+    """FR10: valid rows, mean, median, sd, extremes and quartiles, a row per column; all but the quantiles in one pass."""
     long = df.unpivot([], columns, "variable", "value").where("value is not null")
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return long.groupBy("variable").agg(F.count("*").alias("n_valid"), F.round(F.avg("value"), 6).alias("mean"), q(0.5).alias("median"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    quartiles = [(c, *exact_percentiles(df, c, [0.5, 0.25, 0.75])) for c in columns]
+    q = df.sparkSession.createDataFrame(quartiles, "variable string, median double, q25 double, q75 double")
+    g = long.groupBy("variable").agg(F.count("*").alias("n_valid"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return g.join(F.broadcast(q), "variable").select("variable", "n_valid", "mean", F.round("median", 6).alias("median"), "std", "min", "max", F.round("q25", 6).alias("q25"), F.round("q75", 6).alias("q75"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

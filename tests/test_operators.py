@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayspans.functions import ids, labels, missing, times
+from dayspans.functions import ids, labels, missing, quantiles, times
 from dayspans.operators import clusters, episodes, fragmentation, joins, questionnaires, statistics, track
 
 
@@ -314,6 +314,17 @@ def test_skipped_margins_of_many_files(spark, tmp_path):
     assert sorted(int(y.split(";")[0]) for x in written for y in x[6:-1]) == list(range(300))
 
 
+@pytest.mark.parametrize("margin", [2e-4, 0.0, -0.2])
+def test_exact_percentiles(spark, monkeypatch, margin):
+    """With any bracket, even one that misses its rank, the quantiles are those of numpy."""
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
+    rng, shares = random.Random(15), [0.0, 0.05, 0.25, 0.5, 0.731, 1.0]
+    for values in ([3.0], [1.0, 2.0], [rng.choice([1.0, 2.0, 7.0]) for _ in range(500)], [rng.gauss(0, 1) for _ in range(801)]):
+        d = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+        assert quantiles.exact_percentiles(d, "x", shares) == pytest.approx(np.quantile(values, shares).tolist())
+    assert quantiles.exact_percentiles(d.where("false"), "x", [0.5]) == [None]
+
+
 def test_questionnaires(spark):
     assert one(spark, lambda c: questionnaires.reverse_scale(c, 5), "2") == "4" and one(spark, lambda c: questionnaires.reverse_scale(c, 5), "x") == "x"
     assert one(spark, lambda c: questionnaires.map_codes(c, questionnaires.TRAFFIC_4), "5") is None
