@@ -55,9 +55,17 @@ def write_days(df: DataFrame, path: str, by: tuple[str, ...] = ("date",)) -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def read_newer(spark: SparkSession, path: str, schema: str, after: str) -> DataFrame:
-    """SC12: only files that changed after a moment, so that a run takes up what is new."""
-    return spark.read.schema(schema).option("modifiedAfter", after).parquet(path)
+def latest_change(spark: SparkSession, path: str, schema: str) -> str | None:
+    """SC12: when the newest file under a path was written, as ``read_newer`` takes it; None without files."""
+    found = spark.read.schema(schema).parquet(path).select(F.max("_metadata.file_modification_time").cast("string")).first()
+    return found[0] if found else None
+
+
+def read_newer(spark: SparkSession, path: str, schema: str, after: str | None) -> DataFrame:
+    """SC12: only files that changed after a moment, such as the last run's ``latest_change``, so that a run takes up what
+    is new and skips the rest; all files without a moment."""
+    r = spark.read.schema(schema)
+    return (r.option("modifiedAfter", after.replace(" ", "T")) if after else r).parquet(path)
 
 
 def split_rejects(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
