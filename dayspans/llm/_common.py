@@ -26,10 +26,12 @@ LEAST_BUCKET = 256
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    a temporary folder is made, which goes when the driver's Python ends.
+    It is the one named in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one machine, as in tests,
+    a temporary folder is made, which goes when the driver's Python ends; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="dayspans-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)

@@ -31,25 +31,71 @@ CONTAINERS = frozenset("article main section div body td html".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|aside|widget\w*|footer\w*|header|masthead|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|toolbar|login|search|complementary|navigation|contentinfo)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
 TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?![=-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: Names that say what is beside an element or how it looks, not what it is.
+BESIDE = re.compile(r"(?:has|with|without|no|not|is)[-_]", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？;]")
 #: Neighbours on either side that smooth a block's ratios; part of the mean score of a character that a content path needs.
 SMOOTH, THRESHOLD = 1, 0.3
 #: Factor of the score inside article and main elements.
 NAMED = 1.5
-#: Depth to which elements nest.
-DEPTH = 256
 
 
-def nodes(page: str) -> Iterator[tuple]:
-    """(text, stack, block) of every text node in page order.
+class Element:
+    """An open element: its tag and number, and what it has from the elements around it, so that no text walks up the page.
 
-    ``stack`` is a tuple of (tag, number, marked) from the root to the leaf, ``block`` a number that all text of one
-    block has. Unclosed elements end where HTML lets them end; a stray end tag is ignored.
+    ``path``: number of its root-to-leaf path of block elements; ``article``: number of the innermost article element;
+    ``named``: inside an article or main; ``marked``: inside a part that is not article; ``box``: the innermost container.
     """
-    stack: list[tuple] = []
-    block, number, at, raw = 0, 0, 0, None
+
+    __slots__ = ("tag", "number", "path", "article", "named", "marked", "box")
+
+    def __init__(self, tag: str, number: int, up: Element | None, path: int, marked: bool):
+        self.tag, self.number, self.path = tag, number, path
+        self.article = number if tag == "article" else up.article if up else 0
+        self.named = tag in ("article", "main") or bool(up and up.named)
+        self.marked = marked or bool(up and up.marked)
+        around = up.box if up else None
+        self.box = Box(number, tag, around) if tag in CONTAINERS else around
+
+
+class Box:
+    """An element that may contain the article."""
+
+    __slots__ = ("number", "tag", "up", "depth")
+
+    def __init__(self, number: int, tag: str, up: Box | None):
+        self.number, self.tag, self.up, self.depth = number, tag, up, up.depth + 1 if up else 1
+
+
+def is_marked(name: str, token: str) -> bool:
+    """Whether a tag says that its element is not article: by its name, by words in class, id or role, or because it is hidden."""
+    if name in SKIP:
+        return True
+    given = {m.group(1).lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(token, len(name) + 1)}
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or UNSEEN.search(given.get("style", "")):
+        return name not in ("html", "body")
+    if name in ("html", "body", "article", "main"):
+        return False
+    return any(MARKS.search(word) for key in ("class", "id", "role") for word in given.get(key, "").split() if not BESIDE.match(word))
+
+
+def nodes(page: str) -> Iterator[tuple[str, Element | None, int]]:
+    """(text, innermost open element, block) of every text node in page order; ``block`` is a number that all text of one
+    block has. Unclosed elements end where HTML lets them end; a stray end tag is ignored. Elements nest to any depth.
+    """
+    stack: list[Element] = []
+    open_: dict[str, int] = {}
+    paths: dict[tuple[int, str], int] = {}
+    block, number, at = 0, 0, 0
+    top = lambda: stack[-1] if stack else None
+
+    def close(to: int) -> None:
+        for e in stack[to:]:
+            open_[e.tag] -= 1
+        del stack[to:]
+
     for m in TOKEN.finditer(page):
         token = m.group()
         if m.start() < at:
@@ -57,42 +103,44 @@ def nodes(page: str) -> Iterator[tuple]:
         tag = TAG.match(token)
         name = tag.group(1).lower() if tag else ""
         if m.start() > at:
-            yield page[at : m.start()], tuple(stack), block
+            yield page[at : m.start()], top(), block
         at = m.end()
         if not tag:
             continue
         if name not in INLINE:
             block += 1
         if token[1] == "/":
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth >= 0 and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth + 1 :])):
-                del stack[depth:]
+            if open_.get(name):
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name)
+                if not (name in INLINE and any(e.tag not in INLINE for e in stack[depth + 1 :])):
+                    close(depth)
             continue
-        if name not in INLINE:  # a block ends an open paragraph and the inline elements in it
-            low = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in SCOPE), -1)
-            if low >= 0 and stack[low][0] == "p":
-                del stack[low:]
-        for i in range(len(stack) - 1, -1, -1) if name in ENDS else ():
-            if stack[i][0] in ENDS[name]:
-                del stack[i:]
+        if name not in INLINE and open_.get("p"):  # a block ends an open paragraph and the inline elements in it
+            low = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p" or stack[i].tag in SCOPE)
+            if stack[low].tag == "p":
+                close(low)
+        for i in range(len(stack) - 1, -1, -1) if any(open_.get(x) for x in ENDS.get(name, ())) else ():
+            if stack[i].tag in ENDS[name]:
+                close(i)
                 break
-            if stack[i][0] in SCOPE:
+            if stack[i].tag in SCOPE:
                 break
         if name in VOID or token.endswith("/>"):
             if name == "br":
-                yield " ", tuple(stack), block
-            continue
-        if len(stack) >= DEPTH:  # as browsers do: deeper elements count as their parent
+                yield " ", top(), block
             continue
         number += 1
-        marks = " ".join(x for g in NAMES.findall(token) for x in g)
-        marked = name in SKIP or (name not in ("html", "body", "article", "main") and bool(MARKS.search(marks) or HIDDEN.search(token[len(name) + 1 :])))
-        stack.append((name, number, marked))
+        up = top()
+        path = up.path if up else 0
+        if name not in INLINE:
+            path = paths.setdefault((path, name), len(paths) + 1)
+        stack.append(Element(name, number, up, path, is_marked(name, token)))
+        open_[name] = open_.get(name, 0) + 1
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
     if at < len(page):
-        yield page[at:], tuple(stack), block
+        yield page[at:], top(), block
 
 
 def smooth(values: list[float], groups: list[int]) -> list[float]:
@@ -110,13 +158,12 @@ def content_nodes(found: list[tuple]) -> set[int]:
     The texts of one path in one block, such as those around a link, count as one.
     """
     units: list[list] = []
-    for i, (text, stack, block) in enumerate(found):
+    for i, (text, e, block) in enumerate(found):
         if not text.strip():
             continue
-        path = "/".join(x[0] for x in stack if x[0] not in INLINE)
-        article = next((number for tag, number, _ in reversed(stack) if tag == "article"), 0)
+        article, path = (e.article, e.path) if e else (0, 0)
         if not units or units[-1][:3] != [article, path, block]:
-            units.append([article, path, block, 0, 0, [], any(x[0] in ("article", "main") for x in stack)])
+            units.append([article, path, block, 0, 0, [], bool(e and e.named)])
         units[-1][3] += len(text.strip())
         units[-1][4] += len(PUNCTUATION.findall(text))
         units[-1][5].append(i)
@@ -142,20 +189,42 @@ def main_text(page: str | None) -> str:
     and the common ancestor of all content. An article element without content goes wherever it stands. A page without
     text gives an empty text.
     """
-    found = [x for x in nodes(page or "") if not any(marked for _, _, marked in x[1])]
+    found = [x for x in nodes(page or "") if not (x[1] and x[1].marked)]
     chosen = content_nodes(found)
     if not chosen:
         return ""
-    boxes = [[(0, "")] + [(number, tag) for tag, number, _ in stack if tag in CONTAINERS] for _, stack, _ in found]
-    holders = {boxes[i][-1][0] for i in chosen}
-    above = {number for i in chosen for number, _ in boxes[i]}
-    common = set.intersection(*({number for number, _ in boxes[i]} for i in chosen))
-    home = max(common)
+    boxes = [e.box if e else None for _, e, _ in found]
+    holders = {boxes[i] for i in chosen}
+    home = boxes[min(chosen)]
+    above: set[Box | None] = {None}
+    for box in holders:
+        a, b = home, box
+        while a is not b:  # up to the common ancestor
+            if b is None or a is not None and a.depth >= b.depth:
+                a = a.up
+            else:
+                b = b.up
+        home = a
+        while box not in above:
+            above.add(box)
+            box = box.up
+    # Per container: whether it is in the common ancestor, whether it or one around it holds content, and whether every article around it does.
+    known: dict[Box | None, tuple[bool, bool, bool]] = {None: (home is None, None in holders, True)}
+
+    def judged(box: Box | None) -> tuple[bool, bool, bool]:
+        chain = []
+        while box not in known:
+            chain.append(box)
+            box = box.up
+        for x in reversed(chain):
+            inside, held, fine = known[x.up]
+            known[x] = (inside or x is home, held or x in holders, fine and (x.tag != "article" or x in above))
+        return known[chain[0] if chain else box]
+
     blocks: dict[int, list[str]] = {}
     for i, (text, _, block) in enumerate(found):
-        own = [number for number, _ in boxes[i]]
-        held = home in own and (own[-1] in above or any(n in holders for n in own))
-        if i in chosen or held and all(n in above for n, tag in boxes[i] if tag == "article"):
+        inside, held, fine = judged(boxes[i])
+        if i in chosen or inside and fine and (boxes[i] in above or held):
             blocks.setdefault(block, []).append(entities.unescape(text))
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -164,7 +233,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, *, html_col: str = "html", into: str = "text") -> DataFrame:
     """Add column ``into``: the main text of every page, empty for null, empty or contentless html.
 
-    Rows, repeats and other columns pass through; a column of the name ``into`` is replaced. Pages are read whole.
+    Rows, repeats and other columns pass through; a column of the name ``into`` is replaced; an empty table gives an
+    empty one. Pages are read whole, however long or deep.
     """
 
     @F.pandas_udf("string")
