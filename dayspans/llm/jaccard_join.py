@@ -4,10 +4,12 @@
    each n-gram its document frequency, and the lists of two or more go back to their documents.
 2. A document whose n-grams are shared too rarely for any partner is done. The others order their shared n-grams rarest
    first; a partner must share one of the first few (prefix).
-3. Every inverted list of the prefixes links its members to its fullest one, which joins large groups of near copies
-   with as many pairs as members.
-4. Lists whose members are still in several components are searched exactly: T-occurrence search with DivideSkip, in
-   blocks of bounded size, leaving out pairs of one component.
+3. T-occurrence search with DivideSkip decides every pair. First it asks for each inverted list's fullest member among
+   the list's others, which joins large groups of near copies with as many pairs as members.
+4. Lists whose members are still in several components are searched as a whole, in blocks of bounded size. Members are dealt to blocks by their smallest list, and only blocks with a list in common meet,
+   leaving out pairs of one component.
+
+``link_counts`` leaves out step 3 and the components and counts every link by the search alone.
 
 N-grams are compared by 64-bit hashes.
 """
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import maybe_broadcast, stash
+from ._common import free, join_hot, maybe_broadcast, stash
 from .components import components
 
 #: N-grams of one packed chunk of documents, and of one range of hashes, about.
@@ -89,7 +91,7 @@ def unplanes(data: bytes, kind):
 def packer(width: int, parts: int):
     """Arrow batches of (k, text) -> packed inverted lists by range of hashes, and a row with each chunk's documents."""
 
-    def flush(task: int, n: int, keys: list, sets: list) -> Iterator[tuple]:
+    def flush(task: int, n: int, keys: list, sets: list, starts) -> Iterator[tuple]:
         import numpy as np
 
         chunk, sizes = (task << 20) + n, np.array([len(s) for s in sets], np.uint32)
@@ -105,20 +107,21 @@ def packer(width: int, parts: int):
         light[one] = True
         docs[one] = runs[runs >= HEAVY].astype(np.uint32) | np.uint32(1 << 31)
         all_, docs = all_[light], docs[light]
-        cuts = np.append(np.searchsorted(all_, np.array([(p << 64) // parts for p in range(parts)], np.uint64)), len(all_))
-        for p in range(parts):
-            own = all_[cuts[p] : cuts[p + 1]]
-            if len(own):
-                yield p, chunk, planes(np.diff(own, prepend=np.uint64(0))), planes(docs[cuts[p] : cuts[p + 1]]), b""
+        where = np.searchsorted(starts, all_, "right") - 1
+        cuts = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(all_))  # only the ranges that have any
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(where[a]), chunk, planes(np.diff(all_[a:b], prepend=np.uint64(0))), planes(docs[a:b]), b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         from pyspark import TaskContext
 
         task, n, keys, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
+        starts = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
         names = ["part", "chunk", "a", "b", "c"]
 
         def out():
-            rows = list(flush(task, n, keys, sets))
+            rows = list(flush(task, n, keys, sets, starts))
             for i in range(0, len(rows), 256):
                 cols = list(zip(*rows[i : i + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 3)], names)
@@ -194,10 +197,12 @@ def regroup(percent: int):
     return run
 
 
-def occurrence_search(percent: int):
+def occurrence_search(percent: int, every: bool = False, hubs: bool = False):
     """Links between the two blocks of a pair, or within one: DivideSkip over the blocks' inverted lists.
 
     Only one link is kept between two components, and components merge as links are found; pairs within one are skipped.
+    With ``every`` nothing is skipped, and the links are counted: (a, links), each link with the other's ``weight``.
+    With ``hubs`` the second side asks and the first one answers, even if it holds no other.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -207,12 +212,13 @@ def occurrence_search(percent: int):
         n, side = group["n"].to_numpy(np.int64), group["side"].to_numpy()
         sets = [np.sort(np.asarray(s)) for s in group["shared"]]
         c = np.array([len(s) for s in sets])
-        names, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
-        alone = (side == side[0]).all()
+        comp = np.arange(len(sets)) if every else np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
+        weight = group["weight"].to_numpy(np.int64) if every else None
+        alone = not hubs and (side == side[0]).all()
         all_, docs = np.concatenate(sets), np.repeat(np.arange(len(sets)), c)
         order = np.argsort(all_, kind="stable")
         all_, docs = all_[order], docs[order]
-        found = []
+        found, links = [], np.zeros(len(sets), np.int64)
         for x in range(len(sets)):
             others = np.flatnonzero(comp != comp[x])
             fits = np.zeros(len(sets), bool)
@@ -234,15 +240,53 @@ def occurrence_search(percent: int):
             for own in long_:
                 if len(ys):
                     counts = counts + (own[np.minimum(np.searchsorted(own, ys), len(own) - 1)] == ys)
-            for y in ys[counts * (100 + percent) >= percent * (n[ys] + n[x])]:
+            hits = ys[counts * (100 + percent) >= percent * (n[ys] + n[x])]
+            if every:
+                links[x] += weight[hits].sum()
+                links[hits] += weight[x]
+                continue
+            for y in hits:
                 if comp[y] != comp[x]:
                     found.append((group["k"][x], group["k"][y]))
                     comp[comp == comp[y]] = comp[x]
+        if every:
+            return pd.DataFrame({"a": group["k"], "links": links})[links > 0]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
+def searched(lists: DataFrame, s: DataFrame, search, schema: str) -> DataFrame:
+    """The occurrence search over inverted lists (h, k, comp), in blocks that have a list in common.
+
+    Lists that share a component are one cluster, mostly a small one, which is one block. In larger ones a component with
+    more than BLOCK members gets blocks of its own, which never meet each other; the others are dealt by their smallest
+    list, so that members of one list lie in few blocks, and a list with very many is dealt on by key.
+    """
+    low = stash(lists.groupBy("h").agg(F.min("comp").alias("low"), F.count("*").alias("n_rows")), "join-low")
+    bridge = join_hot(lists, low, "h", lists.count()).select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
+    clusters = stash(components(bridge), "join-clusters").select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
+    m = stash(lists.groupBy("k").agg(F.min("h").alias("least"), F.first("comp").alias("comp")).join(clusters, "comp"), "join-least")
+    per_comp = m.groupBy("cluster", "comp").agg(F.count("*").alias("in_comp"))
+    large = stash(per_comp.groupBy("cluster").agg(F.sum("in_comp").alias("in_cluster")).where(F.col("in_cluster") > BLOCK), "join-large")
+    pure = stash(per_comp.where(F.col("in_comp") > BLOCK).select("comp", "in_comp"), "join-pure")
+    m = m.join(maybe_broadcast(large, large.count()), "cluster", "left").join(maybe_broadcast(pure, pure.count()), "comp", "left")
+    cell = F.expr(f"case when in_comp is null then pmod(xxhash64(least), coalesce((in_cluster + {BLOCK - 1}) div {BLOCK}, 1)) else -1 end")
+    m = stash(m.withColumns({"pure": F.when(F.col("in_comp").isNotNull(), F.hex("comp")).otherwise(""), "cell": cell}), "join-cells")
+    per = stash(m.groupBy("cluster", "pure", "cell").agg(F.count("*").alias("in_cell")).where(F.col("in_cell") > BLOCK), "join-full")
+    m = m.join(maybe_broadcast(per, per.count()), ["cluster", "pure", "cell"], "left")
+    no = F.expr(f"pmod(xxhash64(k), coalesce((in_cell + {BLOCK - 1}) div {BLOCK}, 1))")
+    block = F.struct("cluster", F.col("pure").alias("p"), "cell", no.alias("no"))
+    m = stash(m.select("k", "comp", block.alias("block")), "join-members")
+    at = stash(lists.select("h", "k").join(m.select("k", "block"), "k").select("h", "block").distinct(), "join-at")
+    todo = at.join(at.select("h", F.col("block").alias("block2")), "h").where("block <= block2 and not (block.p <> '' and block.p = block2.p)").select("block", "block2").distinct()
+    todo = stash(todo, "join-todo")
+    first = todo.select("block", "block2", F.lit(1).alias("side"), F.col("block").alias("own"))
+    second = todo.where("block <> block2").select("block", "block2", F.lit(2).alias("side"), F.col("block2").alias("own"))
+    asked = first.union(second).join(m.withColumnRenamed("block", "own"), "own").drop("own").join(s, "k")
+    return asked.groupBy("block", "block2").applyInPandas(search, schema)
+
+
 def shared_ngrams(texts: DataFrame, chars: int, width: int, percent: int) -> DataFrame:
     """Per class: k, n (n-grams), shared (its shared n-grams, rarest first; null where too few for any partner)."""
     parts = max(1, -(-chars // (5 * RANGE)))
@@ -256,68 +300,93 @@ def meet_tagged(group: pd.DataFrame) -> pd.DataFrame:
     return meet(group).assign(heavy=group["part"].iloc[0] < 0)[["chunk", "heavy", "a", "b", "c"]]
 
 
-def linked(near: DataFrame, percent: int) -> DataFrame:
-    """(k, root): component of every class with a link; k is a class's key, root the smallest key of its component."""
+def prefixes(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes that can have a partner (k, n, shared, c shared n-grams), and their prefixes (k, n, c, h)."""
     s = near.where("shared is not null").withColumn("c", F.size("shared"))
     need = F.expr(f"cast(ceil({percent} * n / 100) as int)")
-    prefix = stash(s.select("k", "n", "c", F.explode(F.slice("shared", F.lit(1), F.col("c") - need + 1)).alias("h")), "join-prefix")
+    return s, stash(s.select("k", "n", "c", F.explode(F.slice("shared", F.lit(1), F.col("c") - need + 1)).alias("h")), "join-prefix")
+
+
+def linked(near: DataFrame, percent: int) -> DataFrame:
+    """(k, root): component of every class with a link; k is a class's key, root the smallest key of its component."""
+    s, prefix = prefixes(near, percent)
     can = lambda a, b: F.least(f"{a}c", f"{b}c") * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent
     full = F.max_by(F.struct("k", "n", "c"), F.struct(F.col("c") / F.col("n"), "k"))
-    lists = prefix.groupBy("h").agg(F.count("*").alias("members"), full.alias("p")).where("members > 1").select("h", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
-    pairs = prefix.join(lists, "h").where(can("", "p") & (F.col("k") != F.col("pk"))).groupBy(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).agg(F.count("*").alias("lists"))
-    side = lambda c: s.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("shared").alias(f"s{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
-    stars = stash(met.where(F.col("o") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "join-stars")
+    lists = prefix.groupBy("h").agg(F.count("*").alias("n_rows"), full.alias("p")).where("n_rows > 1").select("h", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), "n_rows")
+    lists, total = stash(lists, "join-lists"), prefix.count()
+    pairs = join_hot(prefix, lists, "h", total).where(can("", "p") & (F.col("k") != F.col("pk")))
+    pairs = pairs.groupBy(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).agg(F.min("pk").alias("hub"))
+    pairs = stash(pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("k")), "join-hubs")
+    stars = stash(asked_hubs(pairs, s.select("k", "n", "shared"), percent), "join-stars")
     roots = stash(components(stars), "join-roots")
 
     # Lists that still have members of several components.
-    at = prefix.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("comp", F.coalesce("root", "k"))
-    split = at.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    open_ = stash(at.join(split, "h").select("k", "comp").distinct(), "join-open")
+    at = prefix.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("h", "k", F.coalesce("root", "k").alias("comp"))
+    at = stash(at, "join-comps")
+    split = at.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_rows")).where("low <> high").select("h", "n_rows")
+    open_ = stash(join_hot(at, stash(split, "join-split"), "h", total), "join-open")
+    plain = roots.select(F.col("node").alias("k"), "root")
     if open_.isEmpty():
-        return roots.select(F.col("node").alias("k"), "root")
-    bridge = at.join(split, "h").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = stash(components(bridge), "join-clusters")
-    m = open_.join(clusters.select(F.col("node").alias("comp"), F.col("root").alias("cluster")), "comp").select("k", "comp", "cluster")
-    per_comp = m.groupBy("cluster", "comp").agg(F.count("*").alias("in_comp"))
-    per_cluster = per_comp.groupBy("cluster").agg(F.sum("in_comp").alias("in_cluster"))
-    m = m.join(per_comp, ["cluster", "comp"]).join(per_cluster, "cluster")
-    pure = F.col("in_comp") > BLOCK
-    small = F.expr(f"pmod(xxhash64(comp), (in_cluster + {BLOCK - 1}) div {BLOCK})")
-    own = F.expr(f"pmod(xxhash64(k), (in_comp + {BLOCK - 1}) div {BLOCK})")
-    m = stash(m.select("k", "comp", "cluster", F.when(pure, F.col("comp")).alias("pure"), F.when(pure, own).otherwise(small).alias("no")), "join-members")
-    blocks = m.select("cluster", "pure", "no").distinct().withColumn("block", F.struct(F.coalesce(F.hex("pure"), F.lit("")).alias("p"), "no"))
-    other = blocks.select("cluster", F.col("pure").alias("pure2"), F.col("no").alias("no2"), F.col("block").alias("block2"))
-    todo = blocks.join(other, "cluster").where("block <= block2 and not (pure is not null and pure <=> pure2)")
-    first = todo.select("cluster", "pure", "no", "block", "block2", F.lit(1).alias("side"))
-    second = todo.where("block <> block2").select("cluster", F.col("pure2").alias("pure"), F.col("no2").alias("no"), "block", "block2", F.lit(2).alias("side"))
-    asked = m.alias("m").join(first.union(second).alias("t"), F.expr("m.cluster = t.cluster and m.no = t.no and m.pure <=> t.pure")).select("m.k", "comp", "m.cluster", "block", "block2", "side")
-    asked = asked.join(s.select("k", "n", "shared"), "k")
-    more = asked.groupBy("cluster", "block", "block2").applyInPandas(occurrence_search(percent), "a binary, b binary")
-    more = stash(more, "join-more")
+        return plain
+    more = stash(searched(open_, s.select("k", "n", "shared"), occurrence_search(percent), "a binary, b binary"), "join-more")
     if more.isEmpty():
-        return roots.select(F.col("node").alias("k"), "root")
+        return plain
     every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     return components(every).select(F.col("node").alias("k"), "root")
 
 
-def grouped(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, k (key of its text), n_shingles, root (key of its component), component_id; see ``similarity_join``."""
+def asked_hubs(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of pairs (hub, k): some hubs at a time are the queries, their partners the lists, BLOCK partners in one task at most."""
+    groups = max(1, -(-pairs.count() // BLOCK))
+    p = pairs.withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(groups)))
+    sizes = p.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
+    p = p.join(maybe_broadcast(sizes, groups), "bucket").withColumn("part", F.expr(f"pmod(xxhash64(k), (in_bucket + {BLOCK - 1}) div {BLOCK})"))
+    sides = p.select("bucket", "part", "k", F.lit(1).alias("side")).union(p.select("bucket", "part", F.col("hub"), F.lit(2))).distinct()
+    return sides.withColumn("comp", F.col("k")).join(s, "k").groupBy("bucket", "part").applyInPandas(occurrence_search(percent, hubs=True), "a binary, b binary")
+
+
+def classes_of(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, k, chars), classes of equal texts (k, rep, chars, n_rows), and the classes' shared n-grams."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.octet_length(text).cast("long").alias("chars")), "join-rows")
-    classes = rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("chars").alias("chars"))
-    skip = stash(rows.join(classes.select("k", "rep"), "k").where("doc_id <> rep").select("doc_id", "k").distinct(), "join-skip")
-    chars = classes.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    classes = stash(rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("chars").alias("chars"), F.count("*").alias("n_rows")), "join-classes")
+    chars, total = classes.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    several = classes.where("n_rows > 1").select("k", "rep", "n_rows")
+    skip = stash(join_hot(rows.select("doc_id", "k"), several, "k", total).where("doc_id <> rep").select("doc_id", "k").distinct(), "join-skip")
     texts = docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.col(text_col).alias("text"))
     texts = texts.join(maybe_broadcast(skip, skip.count()), ["doc_id", "k"], "left_anti").select("k", "text")
-    near = stash(shared_ngrams(texts, chars, width, percent), "join-near")
+    return rows, classes, stash(shared_ngrams(texts, chars, width, percent), "join-near")
+
+
+def grouped(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id, k (key of its text), n_shingles, root (key of its component), component_id; see ``similarity_join``."""
+    rows, classes, near = classes_of(docs, width, percent, id_col, text_col)
     roots = linked(near, percent)
-    info = near.select("k", "n").join(classes.select("k", "rep"), "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    info = near.select("k", "n").join(classes.select("k", "rep", "n_rows"), "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     info = stash(info, "join-info")
-    least = info.where("n > 0").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = info.join(least, "root", "left").select("k", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
-    return rows.join(named, "k", "left").select("doc_id", "k", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = stash(info.where("n > 0").groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n_rows")).where("n_rows > 1"), "join-least")
+    named = join_hot(info.withColumnRenamed("n_rows", "copies"), least, "root", info.count(), "left")
+    named = stash(named.select("k", "n", "root", F.when(F.col("n") > 0, F.coalesce("least", "rep")).alias("component_id"), F.col("copies").alias("n_rows")), "join-named")
+    out = join_hot(rows, named, "k", rows.count(), "left")
+    return out.select("doc_id", "k", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link_counts(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id, n_links, how many other rows it links with; copies of its own text count, none is expanded.
+
+    Rows, nulls and texts without words as in ``similarity_join``. Every pair of different texts that share a prefix list
+    is counted by the search itself, so the work of a group of near copies grows with the square of its different texts.
+    """
+    rows, classes, near = classes_of(docs, width, percent, id_col, text_col)
+    s, prefix = prefixes(near, percent)
+    lists = stash(prefix.groupBy("h").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "join-lists")
+    at = stash(join_hot(prefix, lists, "h", prefix.count()).select("h", "k", F.col("k").alias("comp")), "join-open")
+    weighed = s.select("k", "n", "shared").join(classes.select("k", F.col("n_rows").alias("weight")), "k")
+    found = searched(at, weighed, occurrence_search(percent, every=True), "a binary, links long").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
+    per = classes.select("k", "n_rows").join(near.select("k", "n"), "k").join(found, "k", "left")
+    per = stash(per.select("k", F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).otherwise(0).alias("n_links"), "n_rows"), "join-links")
+    return join_hot(rows, per, "k", rows.count(), "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def similarity_join(docs: DataFrame, **options) -> DataFrame:
@@ -335,25 +404,37 @@ def similarity_join(docs: DataFrame, **options) -> DataFrame:
 def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays, wordless ones all do.
 
-    Columns as in ``docs``. Of repeated rows of that id one stays.
+    Columns as in ``docs``. Of repeated rows of that id one stays. A row without an id stays only if all of its component have none.
     """
-    found = stash(grouped(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    found = stash(grouped(docs, id_col=id_col, text_col=text_col, **options).where("n_shingles > 0").select("doc_id", "k", "root"), "groups")
     own = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k")
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("first"))
-    is_first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k").eqNullSafe(F.col("first"))
-    judged = found.where("n_shingles > 0").join(first, "root")
-    leave = stash(judged.where(~is_first).select("doc_id", "k").distinct(), "groups-leave")
-    again = stash(judged.where(is_first).groupBy("doc_id", "k").count().where("count > 1").select("doc_id", "k"), "groups-again")
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    d = docs.withColumn("_k", key)
-    same = lambda other: d[id_col].eqNullSafe(other["doc_id"]) & (d["_k"] == other["k"])
+    first = stash(found.groupBy("root").agg(F.min(own).alias("first"), F.count("*").alias("n_rows")).where("n_rows > 1"), "groups-first")
+    judged = join_hot(found, first, "root", found.count()).withColumn("is_first", own.eqNullSafe(F.col("first")))
+    leave = stash(judged.where("not is_first").select("doc_id", "k").distinct(), "groups-leave")
+    again = stash(judged.where("is_first").groupBy("doc_id", "k").count().where("count > 1").select("doc_id", "k"), "groups-again")
+    k = free(docs, "text_key")
+    d = docs.withColumn(k, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    same = lambda other: d[id_col].eqNullSafe(other["doc_id"]) & (d[k] == other["k"])
     kept = d.join(maybe_broadcast(leave, leave.count()), same(leave), "left_anti")
     if not again.isEmpty():  # repeated rows
         d = kept
-        kept = d.join(again, same(again), "left_anti").unionByName(d.join(again, same(again), "left_semi").dropDuplicates([id_col, "_k"]))
+        kept = d.join(again, same(again), "left_anti").unionByName(d.join(again, same(again), "left_semi").dropDuplicates([id_col, k]))
     return kept.select(*docs.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of 4-word n-grams have a Jaccard similarity of 0.85 or more."""
     return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every pair of documents with a common shingle; components by the smallest id that is reached.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + 3], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .exact_topk import OP10_SQL, op10_exact_topk
 from .html_extraction import op4_html_extraction
-from .jaccard_join import op5_jaccard_join
-from .mixing import op1_mixing
+from .jaccard_join import OP5_SQL, op5_jaccard_join
+from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_packing
 from .pii import op2_pii
 from .quality_classifier import op3_quality_classifier
@@ -14,4 +14,4 @@ from .toxicity import op9_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_pii": op2_pii, "op3_quality_classifier": op3_quality_classifier, "op4_html_extraction": op4_html_extraction, "op5_jaccard_join": op5_jaccard_join, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
-ORACLE: dict[str, str] = {"op8_warc": OP8_SQL, "op10_exact_topk": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op8_warc": OP8_SQL, "op10_exact_topk": OP10_SQL}

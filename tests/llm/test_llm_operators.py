@@ -190,6 +190,24 @@ def test_main_text_is_selected_by_path_ratios(page, lines):
     assert html_extraction.main_text(page).split("\n") == lines
 
 
+@pytest.mark.parametrize(("page", "lines"), [
+    (f"<body><div class='content has-sidebar'>{paragraphs(STORY)}</div><div class='sidebar'><p>Side.</p></div></body>", STORY),
+    (f"<body><div>{paragraphs(STORY)}<p title='a hidden gem'>A hidden gem, it says.</p><div hidden=''><p>Not seen.</p></div><p style='display: none'>Nor this.</p></div></body>", [*STORY, "A hidden gem, it says."]),
+    ("<div>" * 400 + f"<nav>Menu</nav>{paragraphs(STORY)}<div class='related'><p>Read next</p></div>" + "</div>" * 400, STORY),
+    (f"<body><article>{paragraphs(STORY[:1])}</article><article>One.</article><article>{paragraphs(STORY[1:])}</article></body>", [STORY[0], *STORY[1:]]),
+])
+def test_main_text_marks_and_depth(page, lines):
+    assert html_extraction.main_text(page).split("\n") == lines
+
+
+def test_extract_odd_tables(spark):
+    rows = [(1, None, "u", "t", 5), (2, "", "u", "t", 5), (3, f"<p>{STORY[0]}</p>", "u", "t", 5), (3, f"<p>{STORY[0]}</p>", "u", "t", 5), (None, "<p>x</p>", None, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, html string, url string, text string, block int")
+    got = html_extraction.extract(d)
+    assert got.columns == d.columns and Counter((r["page_id"], r["text"], r["block"]) for r in got.collect()) == Counter({(1, "", 5): 1, (2, "", 5): 1, (3, STORY[0], 5): 2, (None, "x", None): 1})
+    assert html_extraction.extract(d.where("false")).count() == 0
+
+
 def test_path_ratios_run_on_pages_with_an_article(monkeypatch):
     seen = []
     run = html_extraction.content_nodes
@@ -198,7 +216,8 @@ def test_path_ratios_run_on_pages_with_an_article(monkeypatch):
 
 
 def test_extract_deep_and_broken_pages():
-    for page in ("<div>" * 5000 + "x", "<p" * 3000, '<p a="' * 300, "<b>x" * 3000, "</div>" * 3000, "<!--" * 1000):
+    assert html_extraction.main_text("<div>" * 5000 + "x") == "x" and html_extraction.main_text("<b>x" * 50_000) == "x" * 50_000
+    for page in ( "<p" * 3000, '<p a="' * 300, "<b>x" * 3000, "</div>" * 3000, "<!--" * 1000):
         html_extraction.main_text(page)
 
 
@@ -252,6 +271,35 @@ def test_similarity_join_matches_brute_force(spark, docs, width, percent):
     assert Counter(map(tuple, got)) == Counter(brute_components(rows, width, percent))
 
 
+def brute_links(rows, width, percent):
+    lower, sets = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        k = min(width, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    same = lambda i, j: sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    return [(d, sum(1 for j in range(len(rows)) if j != i and same(i, j))) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_link_counts_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_copies(random.Random(8), 6, 12) + [(10_000 + i if r[0] is not None else None, r[1]) for i, r in enumerate(odd_rows())]
+    got = jaccard_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, percent=60).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_links(rows, 3, 60)) and any(r["n_links"] > 1 for r in got)
+
+
+def test_hot_texts_meet_by_broadcast(spark, monkeypatch):
+    from dayspans.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_ROWS", 3)
+    rows = near_copies(random.Random(9), 3, 8) + [(500 + i, "one text that very many rows share word by word") for i in range(40)] + [(600 + i, f"one text that very many rows share word by word {i % 2}") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.similarity_join(d, width=2, percent=70).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_components(rows, 2, 70))
+    assert {r["doc_id"] for r in jaccard_join.one_per_group(d, width=2, percent=70).collect()} == {c for _, _, c in brute_components(rows, 2, 70)}
+
+
 def test_exact_search_in_small_blocks(spark, monkeypatch):
     """With tiny blocks and chunks, the same result: heavy lists, block pairs and pure blocks all come into play."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
@@ -328,6 +376,23 @@ def test_quality_rules_match_brute_force(docs, nothing):
     assert quality_rules.assess(nothing).count() == 0
 
 
+def test_quality_rules_verdict_matches_brute_force(spark, docs):
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False)
+    more = spark.read.parquet(f"{DATA}/documents.parquet").select("text")
+    seen = set()
+    for r in quality_rules.assess(docs.select("text").union(more)).collect():
+        data, m = (r["text"] or "").encode(), r["rules"]
+        inside = lambda part: next((low, high) for upto, low, high in quality_rules.BANDS if len(part) <= upto)
+        fits = lambda part: inside(part)[0] <= len(part) / len(c.compress(part)) <= inside(part)[1]
+        chunks = [data[i : i + quality_rules.CHUNK] for i in range(0, len(data), quality_rules.CHUNK)]
+        kept = not m["base_failed"] and fits(data) and sum(not fits(x) for x in chunks) <= quality_rules.OUT_SHARE * len(chunks)
+        assert m["kept"] == kept
+        seen.add((m["base_failed"], kept))
+    assert len(seen) == 3
+
+
 def test_quality_rules_keep_prose(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("quality = 1")
     m = quality_rules.assess(d).select("rules.*").where("not base_failed")
@@ -385,7 +450,7 @@ def files():
 
 def test_both_encoders_agree(spark, files):
     slow, fast = packing.encoder(files[0]), packing.encoder(*files)
-    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()] + [r[1] or "" for r in odd_rows()]
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + [r[1] or "" for r in odd_rows()]
     assert all(np.array_equal(slow(t), fast(t)) for t in texts)
 
 
