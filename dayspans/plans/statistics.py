@@ -240,11 +240,11 @@ def _(v):
     return v.daily.agg(r6(F.avg(a), "mean_a"), r6(F.avg(b), "mean_b"), r6(F.stddev_samp(a) / F.stddev_samp(b), "sd_ratio"), r6(F.avg(a) - F.avg(b), "mean_diff"))
 
 
-@query("st21_check_standardisation", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_samp(total_value) OVER () AS z FROM v_daily), g AS (SELECT user_id, 'participant' AS level, count(z) AS n, avg(z) AS mean, stddev_samp(z) AS sd, 0.1 AS lim FROM z GROUP BY user_id UNION ALL SELECT NULL, 'population', count(z), avg(z), stddev_samp(z), 0.01 FROM z UNION ALL SELECT user_id + 1000000000, 'participant', count(x), avg(x), stddev_samp(x), 0.1 FROM (SELECT user_id, total_value / 100 AS x FROM v_daily) r GROUP BY user_id UNION ALL SELECT NULL, 'population', count(x), avg(x), stddev_samp(x), 0.01 FROM (SELECT total_value / 100 AS x FROM v_daily) r) SELECT user_id, level, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM g WHERE n > 1 AND (abs(mean) > lim OR abs(sd - 1) > lim)")
+@query("st21_check_standardisation", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_samp(total_value) OVER () AS z FROM v_daily), g AS (SELECT user_id, 'participant' AS level, count(z) AS n, avg(z) AS mean, stddev_samp(z) AS sd, 0.1 AS lim FROM z GROUP BY user_id UNION ALL SELECT NULL, 'population', count(z), avg(z), stddev_samp(z), 0.01 FROM z UNION ALL SELECT user_id + 1000000000, 'participant', count(x), avg(x), stddev_samp(x), 0.1 FROM (SELECT user_id, total_value / 97 AS x FROM v_daily) r GROUP BY user_id UNION ALL SELECT NULL, 'population', count(x), avg(x), stddev_samp(x), 0.01 FROM (SELECT total_value / 97 AS x FROM v_daily) r) SELECT user_id, level, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM g WHERE n > 1 AND (abs(mean) > lim OR abs(sd - 1) > lim)")
 def _(v):
     """What is standardised over all rows, and what is not at all (ids above 10^9), of which the population is listed too."""
     z = qn.zscore(v.daily, "total_value", [], "z", ddof=1)
-    raw = v.daily.select((c("user_id") + 1_000_000_000).alias("user_id"), (c("total_value") / 100).alias("z"))
+    raw = v.daily.select((c("user_id") + 1_000_000_000).alias("user_id"), (c("total_value") / 97).alias("z"))
     found = st.check_standardisation(z, "user_id", "z").unionByName(st.check_standardisation(raw, "user_id", "z"))
     return found.select("user_id", "level", "n", r6(c("mean"), "mean"), r6(c("sd"), "sd"))
 
