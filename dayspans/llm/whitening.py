@@ -114,7 +114,7 @@ def leading(a, most: int) -> tuple[list[float], list]:
             except np.linalg.LinAlgError:
                 continue
             if np.isfinite(y).all() and y.any():
-                return y
+                return y / np.abs(y).max()
         return x
 
     def refined(low: float, high: float):
