@@ -29,7 +29,8 @@ def encoder(path: str, ranks: str | None = None):
     """Text -> array of its ids.
 
     ``path`` is the JSON tokenizer. ``ranks`` may name the same vocabulary as a ranks file, whose library gives the
-    same ids several times faster; a test holds both equal over whole tables. Without it the JSON tokenizer does all.
+    same ids several times faster; a test holds both equal over whole tables. Without it the JSON tokenizer does all, and
+    with it those texts that the faster library's pattern cannot get through, such as a million spaces in a row.
     """
     import base64
     import json
@@ -51,7 +52,16 @@ def encoder(path: str, ranks: str | None = None):
     with open(path, encoding="utf-8") as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast, unsure = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special), re.compile(UNSURE)
-    return lambda text: slow(text) if unsure.search(text) else fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+    def encode(text: str):
+        if not unsure.search(text):
+            try:
+                return fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+            except ValueError:  # its regular expression ran out of stack
+                pass
+        return slow(text)
+
+    return encode
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -148,7 +158,7 @@ def places(patterns: list[tuple[list[int], int]]) -> list[tuple]:
 def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, most: int = 1024, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and its ids if they are kept.
 
-    A null or empty text is a document of its end token alone. Repeated rows and repeated or null ids are documents of
+    Texts are tokenised whole, however long, runs of a million equal characters included. A null or empty text is a document of its end token alone. Repeated rows and repeated or null ids are documents of
     their own; which of equal pieces gets which place is arbitrary. An empty table gives no pieces. Other columns are
     not read. The solver sees only the histogram of lengths, ``most`` rows at the most.
     """

@@ -221,6 +221,54 @@ def test_extract_deep_and_broken_pages():
         html_extraction.main_text(page)
 
 
+@pytest.mark.parametrize("page", [
+    "<body><script>for(i=0;i<n;i++){x(i)}</script><article>%s</article></body>",
+    "<body><script>if(a<b){s='it'}</script><article>%s</article></body>",
+    "<style>a<b{}</style><textarea>a<b \"</textarea><div>%s</div>",
+    "<body><article>%s</article><article class='comment'><p>I liked it, really. Great stuff, thank you.</p></article></body>",
+    "<body><article class='related teaser'><p>Another story, read on. It is good.</p></article><main>%s</main></body>",
+    "<body><div class='article-body comments-enabled'>%s</div><div class='comments'><p>First, as ever. Ha, ha.</p></div></body>",
+    "<body><div class='main-side'>%s</div><div class='side'><p>More, to the side. Yes.</p></div></body>",
+    "<body><div class='story share'>%s</div><div class='share'><p>Share it, please. Do.</p></div></body>",
+    "<body><form action='x'><div class='page header'><div>%s</div></div><input></form></body>",
+    "<body><div>%s</div><form><p>Get our letter, free of charge. We send it daily.</p></form></body>",
+    "<article>%s</article><div class='comments'>" + "<p>A reader writes, at length, that all this is known. And so on.</p>" * 60 + "</div>",
+    "<body><div title=it's>%s</div></body>",
+    "<body><p title='never ended>%s</body>",
+    "<!--><div>%s</div><!-- a <b> --!><nav>m</nav>",
+])
+def test_main_text_keeps_the_story(page):
+    assert html_extraction.main_text(page % paragraphs(STORY)) == "\n".join(STORY)
+
+
+@pytest.mark.parametrize("part", ["<a x", '<a x="', "<a x='\" ", "<", "<!--", "<!", "<![CDATA[", "</b>", "</", "<b><div>", "<li></li>", "<p><span>", "<script>", "<div class=ad>"])
+def test_broken_tags_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        began = time.perf_counter()
+        html_extraction.main_text("<ul><li>" + "<center>" * n * (part == "<li></li>") + part * n + '"')
+        took.append(time.perf_counter() - began)
+    assert took[1] < 1 or took[1] < 12 * took[0]
+
+
+def test_path_scores_match_brute_force():
+    rng = random.Random(14)
+    shapes = {"p": "<p>{}</p>", "dp": "<div><p>{}</p></div>", "li": "<ul><li>{}</li></ul>", "sp": "<section><p>{}</p></section>", "d": "<div>{}</div>"}
+    for _ in range(60):
+        units = [(rng.choice(list(shapes)), "".join(rng.choice("abc  .,") for _ in range(rng.randrange(1, 90))).strip() or "x", i) for i in range(rng.randrange(1, 25))]
+        found = list(html_extraction.nodes("".join(shapes[k].format(t) for k, t, _ in units)))
+        assert [t for t, _, _ in found] == [t for _, t, _ in units]
+        per = {k: [(len(t), len(re.findall("[.,]", t))) for x, t, _ in units if x == k] for k in shapes}
+        mean = {k: [sum(c) / len(v) for c in zip(*v)] for k, v in per.items() if v}
+        near = [[units[j][0] for j in (i - 1, i, i + 1) if 0 <= j < len(units)] for i in range(len(units))]
+        fused = [sum(mean[k][0] for k in ks) / len(ks) * (1 + sum(mean[k][1] for k in ks) / len(ks)) for ks in near]
+        score = {k: sum(f for f, u in zip(fused, units) if u[0] == k) / len(per[k]) for k in mean}
+        least = 0.3 * sum(score[u[0]] * len(u[1]) for u in units) / sum(len(u[1]) for u in units)
+        assert html_extraction.content_nodes(found) == {i for i, u in enumerate(units) if score[u[0]] >= least}
+
+
 # 5 Jaccard join
 
 
@@ -454,6 +502,16 @@ def test_both_encoders_agree(spark, files):
     assert all(np.array_equal(slow(t), fast(t)) for t in texts)
 
 
+def test_long_runs_take_the_ids_of_the_tokenizer(spark, files):
+    slow, fast = packing.encoder(files[0]), packing.encoder(*files)
+    runs = ["x" + " " * 1_000_000 + "y", "x" + "\n" * 1_000_000 + "y", "abcdefghij" * 100_000, "word " * 200_000]
+    assert all(np.array_equal(slow(t), fast(t)) for t in runs)
+    got = packing.pack(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), tokenizer=files[0], ranks=files[1], keep_ids=False)
+    want = {(i, len(slow(t)) + 1, zlib.crc32(slow(t)[: (len(slow(t)) + 1 - 1) % 1024 + 1].tobytes())) for i, t in enumerate(runs) if len(slow(t)) % 1024 != 0}
+    found = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.min(F.struct("piece", "ids_crc32"))["ids_crc32"].alias("crc")).collect()
+    assert want <= {(r["doc_id"], r["n"], r["crc"]) for r in found} and len(found) == 4
+
+
 def test_pack_round_trip(docs, nothing, files):
     got = packing.pack(docs, tokenizer=files[0], ranks=files[1], most=64).collect()
     bins = defaultdict(list)
