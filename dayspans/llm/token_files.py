@@ -24,10 +24,19 @@ from ._common import maybe_broadcast, stash_path
 END = 2
 #: Bytes of text in one part, about; bytes of a row group and of a page; documents of a page, at most.
 PART_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 1 << 25, 1 << 23, 1 << 16, 2_000
-#: Words that a worker remembers with their ids, at most; longer ones are not remembered. Rows of one written batch.
-WORDS, LONGEST_WORD, ROWS = 400_000, 64, 2_000
-#: White space that ends a word in every tokenizer of whole words.
-SPACES = re.compile(r"[\t\n\r ]+")
+#: Pieces of words that a worker remembers with their ids, at most; longer ones are not remembered. Rows of one batch.
+PIECES, LONGEST, ROWS = 400_000, 64, 500
+#: Pieces that go through the library in one text.
+CHUNK = 500
+#: Characters that Python takes for white space and the tokenizers do not; white space in a text with one of them.
+ODD, SPACES = re.compile(r"[\x1c-\x1f]"), re.compile(r"[\t\n\r ]+")
+#: Runs of plain letters, single digits and runs of signs are pieces. Words with other characters, an apostrophe or a sign that
+#: starts a special token go through the library by themselves.
+PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ž]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ž0-9!-&(-/:;=-@\[-`{-~]+")
+PLAIN_TEXT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ž0-9!-&(-/:;=-@\[-`{-~\t-\r ]*")
+SPECIAL = "<"
+WORD_END = "</w>"
 
 
 @lru_cache(maxsize=2)
@@ -43,35 +52,70 @@ def tokenizer_at(path: str):
 class WordEncoder:
     """Texts -> their ids as little-endian bytes of 32 bits, each text without the end token.
 
-    For tokenizers that drop white space and never look across it, as those of whole words: a text's ids are those of its
-    words in a row, so each distinct word goes through the library once. ``by_word`` false gives whole texts to the
-    library instead.
+    For tokenizers of whole words, which drop white space, ignore case, take letters, digits and signs apart and mark the
+    end of each such piece in its last id: a text's ids are those of its pieces in a row. So each distinct piece goes
+    through the library once, many in one text, which is cut at the ids that end a piece. ``by_word`` false gives whole
+    texts to the library instead. A test holds both equal.
     """
 
     def __init__(self, path: str, by_word: bool = True):
+        import numpy as np
+
         self.library, self.by_word = tokenizer_at(path), by_word
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        if by_word and not all(t.content.startswith(SPECIAL) for t in self.library.get_added_tokens_decoder().values()):
+            raise ValueError(f"special tokens that do not start with {SPECIAL}: use by_word=False")
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fresh(self, texts: list[str]) -> list[bytes]:
+    def cut(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some pieces, which the library sees as words of one text."""
         import numpy as np
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(pieces):
+            return self.whole(pieces)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def row(self, text: str) -> list[str]:
+        """The pieces of a text, and its words that are not plain."""
+        if PLAIN_TEXT.fullmatch(text):
+            return PIECE.findall(text.lower())
+        words = SPACES.split(text) if ODD.search(text) else text.split()
+        return [p for w in words for p in (PIECE.findall(w.lower()) if PLAIN.fullmatch(w) else (w,))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self.fresh(texts)
-        if len(self.known) > WORDS:
-            self.known = {"": b""}
-        rows = [SPACES.split(t) for t in texts]
-        new = list({w for row in rows for w in row} - self.known.keys())
-        own: dict[str, bytes] = {}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            own.update(zip(part, self.fresh(part)))
-        self.known.update((w, x) for w, x in own.items() if len(w) <= LONGEST_WORD)
-        once = {w: x for w, x in own.items() if len(w) > LONGEST_WORD}
-        known = {**self.known, **once} if once else self.known
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+            return self.whole(texts)
+        if len(self.known) > PIECES:
+            self.known = {}
+        rows = [self.row(t) for t in texts]
+        new = set().union(*rows) - self.known.keys()
+        plain = [p for p in new if PLAIN.fullmatch(p)]
+        other = list(new.difference(plain))
+        found = dict(zip(other, self.whole(other)))
+        for i in range(0, len(plain), CHUNK):
+            found.update(zip(plain[i : i + CHUNK], self.cut(plain[i : i + CHUNK])))
+        once = {p: x for p, x in found.items() if len(p) > LONGEST}
+        self.known.update(found)
+        data = [b"".join(map(self.known.__getitem__, row)) for row in rows]
+        for p in once:
+            del self.known[p]
+        return data
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, by_word: bool) -> WordEncoder:
+    """One encoder per worker, which keeps its pieces from task to task."""
+    return WordEncoder(path, by_word)
 
 
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, by_word: bool = True, part_bytes: int = PART_BYTES, group_bytes: int = GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -94,7 +138,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, by_word: bo
         import numpy as np
         from pyspark import TaskContext
 
-        encode, end, at = WordEncoder(tokenizer, by_word), np.array([END], "<u4").tobytes(), 0
+        encode, end, at = encoder(tokenizer, by_word), np.array([END], "<u4").tobytes(), 0
         part = TaskContext.get().partitionId()
         for whole in batches:
             for first in range(0, len(whole), ROWS):

@@ -216,8 +216,17 @@ def test_token_files_whole_texts_and_none(spark, tmp_path):
 def test_words_are_forgotten_beyond_a_bound(monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(token_files, "WORDS", 20)
-    texts = [" ".join(f"w{i}x{j}" for j in range(15)) for i in range(30)]
+    monkeypatch.setattr(token_files, "PIECES", 20)
+    texts = [" ".join("ab"[j % 2] * j + chr(97 + i % 26) * (i + 1) for j in range(15)) for i in range(30)]
     encode = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     got = [np.frombuffer(x, "<u4").tolist() + [2] for i in range(30) for x in encode(texts[i : i + 1])]
     assert got == whole_ids(texts) and len(encode.known) <= 60
+
+
+def test_pieces_give_the_ids_of_whole_texts(spark):
+    import public_tokenizers
+
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["".join(chr(rng) for rng in random.Random(i).choices([*range(9, 14), *range(28, 128), *range(160, 600), 0x300, 0x3A3, 0x3C2, 0x1E9E, 0x2000, 0x2028, 0xFB01, 0x1F600], k=200)) for i in range(200)]
+    encode = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() + [2] for x in encode(texts)] == whole_ids(texts)
