@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stash
+from ._common import maybe_broadcast, stash
 from ._vectors import LARGEST, largest, matrix, scaled, usable
 
 #: Segments of the bounds, coarse to fine; each divides the next.
@@ -28,7 +28,7 @@ BLOCK_BYTES, ANCHOR_BYTES, CELL, MOST_CELL, CELLS = 1 << 20, 1 << 19, 8, 256, 2_
 #: Relative slack of the bounds, far above the rounding errors of summaries in 32 bits.
 SLACK = 1e-5
 
-PACKED = "part int, rows binary, ids binary, known binary, labels binary, kind string, x binary, means binary, deviations binary"
+PACKED = "part int, no long, rows binary, ids binary, known binary, labels binary, kind string, x binary, means binary, deviations binary"
 BOX = "low_label long, high_label long, low array<double>, high array<double>, deviation array<double>"
 FOUND = "row long, nth int, score long, known boolean, vec_id long"
 
@@ -81,6 +81,18 @@ def unpacked(row, dims: int) -> Side:
     return Side(read("rows", "<i8"), read("ids", "<i8"), read("known", bool), read("labels", "<i8"), read("x", row["kind"]).reshape(-1, padded(dims)).astype(np.int64), fine("means"), fine("deviations"))
 
 
+def merged(sides: list[Side], size: int) -> Iterator[Side]:
+    """The same rows in order, in blocks of about ``size``: short blocks, as of short partitions, are put together."""
+    import numpy as np
+
+    held: list[Side] = []
+    for i, side in enumerate(sides):
+        held.append(side)
+        if i + 1 == len(sides) or sum(len(h.x) for h in held) + len(sides[i + 1].x) > size:
+            yield held[0] if len(held) == 1 else Side(*[np.concatenate(parts) for parts in zip(*held)])
+            held = []
+
+
 def box(side: Side) -> dict:
     """Bounds of a block's labels and of its coarse summaries."""
     m, d = coarser(side.means, side.deviations, SEGMENTS[0])
@@ -97,14 +109,16 @@ def blocks(v: DataFrame, dims: int, size: int, extra: str = "", also=None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        part, held = TaskContext.get().partitionId(), []
+        part, held, made_so_far = TaskContext.get().partitionId(), [], 0
 
         def made(t: pa.Table):
+            nonlocal made_so_far
             b = t.combine_chunks().to_batches()[0]
             x = np.pad(matrix(b.column(3), dims), ((0, 0), (0, padded(dims) - dims)))
             ids = b.column(1)
             side = Side(b.column(0).to_numpy(), ids.fill_null(0).to_numpy(), ~np.asarray(ids.is_null()), b.column(2).to_numpy(), x, *summaries(x, SEGMENTS[-1]))
-            row = {"part": part, **packed_side(side), **box(side), **(also(b) if also else {})}
+            made_so_far += 1
+            row = {"part": part, "no": (part << 32) + made_so_far, **packed_side(side), **box(side), **(also(b) if also else {})}
             whole = pa.RecordBatch.from_pylist([row])
             return whole.set_column(0, "part", whole.column(0).cast(pa.int32()))
 
@@ -206,12 +220,33 @@ class Search:
         return pd.DataFrame({"row": self.q.rows[window // wide], "nth": (window % wide + 1).astype("i4"), "score": score, "known": unknown == 0, "vec_id": ids})
 
 
-def searched(asked: DataFrame, cells: DataFrame, dims: int, k: int, windows: int, same: bool) -> DataFrame:
+def grouped(frame: DataFrame, rows: int) -> dict[int, int]:
+    """Partition of blocks -> its group: neighbours are put together while they have no more than ``rows`` rows.
+
+    As many entries as there are partitions, which ``mine`` bounds.
+    """
+    counts = frame.groupBy("part").agg(F.sum(F.length("known")).alias("n")).orderBy("part").collect()
+    out, group, n = {}, -1, 0
+    for r in counts:
+        if group < 0 or n + r["n"] > rows:
+            group, n = group + 1, 0
+        out[r["part"]], n = group, n + r["n"]
+    return out
+
+
+def in_groups(frame: DataFrame, rows: int) -> DataFrame:
+    """``part`` becomes the number of the group of its partition; ``no`` keeps the order of the blocks."""
+    groups = list(grouped(frame, rows).items())
+    table = frame.sparkSession.createDataFrame(groups, "part int, grouped int")
+    return frame.join(maybe_broadcast(table, len(groups)), "part").withColumn("part", F.col("grouped")).drop("grouped")
+
+
+def searched(asked: DataFrame, cells: DataFrame, dims: int, k: int, windows: int, same: bool, size: int, q_size: int) -> DataFrame:
     """FOUND rows: the best ``k`` rows of every window within each cell. ``asked``: blocks of anchors with low and high (packed 64-bit numbers)."""
     import numpy as np
 
     per = cells.groupBy("part").agg(F.min("low_label").alias("low_label"), F.max("high_label").alias("high_label"), *[F.array(*[f(F.col(c)[i]) for i in range(SEGMENTS[0])]).alias(c) for c, f in (("low", F.min), ("high", F.max), ("deviation", F.max))])
-    boxes = [r.asDict() for r in per.collect()]  # one per cell; their number grows with CELLS at most until cells are MOST_CELL blocks
+    boxes = [r.asDict() for r in per.collect()]  # one per cell: about CELLS, more only when cells have MOST_CELL blocks
 
     def opened(row) -> Search:
         q = unpacked(row, dims)
@@ -238,13 +273,19 @@ def searched(asked: DataFrame, cells: DataFrame, dims: int, k: int, windows: int
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         import pandas as pd
 
-        out, met = [], c.to_dict("records")
-        for row in q.to_dict("records"):
-            s = opened(row)
-            for given in met:
-                s.meet(unpacked(given, dims), given)
+        out = []
+        met = list(merged([unpacked(given, dims) for given in c.sort_values("no").to_dict("records")], size))
+        boxes_met = [box(side) for side in met]
+        blocks_asked = q.sort_values("no").to_dict("records")
+        low, high = (np.concatenate([np.frombuffer(r[c], "<i8").reshape(-1, windows) for r in blocks_asked]) for c in ("lowest", "highest"))
+        at = 0
+        for side in merged([unpacked(r, dims) for r in blocks_asked], q_size):
+            s = Search(side, low[at : at + len(side.x)], high[at : at + len(side.x)], k, same)
+            at += len(side.x)
+            for other, given in zip(met, boxes_met):
+                s.meet(other, given)
             out.append(s.frame())
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(Search(unpacked(q.iloc[0], dims), np.zeros((0, windows)), np.zeros((0, windows)), k, same).frame())
+        return pd.concat(out, ignore_index=True)
 
     kept = asked.drop("low", "high", "deviation", "low_label", "high_label")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
@@ -294,7 +335,8 @@ def mine(vectors: DataFrame, *, positives: int = 5, negatives: int = 3, every: i
     order = ["label", "sign", "vec_id", "row"]
     sorted_by = lambda df, parts: df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     v = v.withColumn("sign", sign)
-    cells = stash(blocks(sorted_by(v, cells_n).select("row", "vec_id", "label", "x"), dims, size), "negatives-cells")
+    ahead = -(-n // cells_n), -(-asked_n // q_parts)  # rows of a cell and of a group of anchors, about
+    cells = in_groups(stash(blocks(sorted_by(v, cells_n).select("row", "vec_id", "label", "x"), dims, size), "negatives-cells"), ahead[0])
 
     def whole(batch: pa.RecordBatch) -> dict:
         import numpy as np
@@ -313,12 +355,12 @@ def mine(vectors: DataFrame, *, positives: int = 5, negatives: int = 3, every: i
 
     bounds = ", lowest binary, highest binary"
     anchors = v.where(is_anchor)
-    asked = stash(blocks(sorted_by(anchors, q_parts).select("row", "vec_id", "label", "x"), dims, q_size, bounds, whole), "negatives-anchors")
-    best = stash(top(searched(asked, cells, dims, positives, 1, True), ["row"], positives).select("row", F.col("rank").alias("nth"), "known", "vec_id", "score"), "negatives-positives")
+    asked = in_groups(stash(blocks(sorted_by(anchors, q_parts).select("row", "vec_id", "label", "x"), dims, q_size, bounds, whole), "negatives-anchors"), ahead[1])
+    best = stash(top(searched(asked, cells, dims, positives, 1, True, size, q_size), ["row"], positives).select("row", F.col("rank").alias("nth"), "known", "vec_id", "score"), "negatives-positives")
     given = best.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "score"))), lambda s: s["score"]).alias("scores"))
     again = sorted_by(anchors.join(given, "row"), q_parts).select("row", "vec_id", "label", "x", "scores")
-    asked = stash(blocks(again, dims, q_size, bounds, windows), "negatives-windows")
-    found = top(searched(asked, cells, dims, negatives, positives, False), ["row", "nth"], negatives)
+    asked = in_groups(stash(blocks(again, dims, q_size, bounds, windows), "negatives-windows"), ahead[1])
+    found = top(searched(asked, cells, dims, negatives, positives, False, size, q_size), ["row", "nth"], negatives)
     id_of = lambda alias: F.when(F.col("known"), F.col("vec_id")).alias(alias)
     pairs = best.select("row", "nth", id_of("positive_id"), F.col("score").alias("positive_score"))
     return found.select("row", "nth", "rank", id_of("negative_id"), F.col("score").alias("negative_score")).join(pairs, ["row", "nth"]).join(anchors.select("row", F.col("vec_id").alias("anchor_id")), "row").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
