@@ -2,11 +2,11 @@
 
 Texts are written as fixed-width codes: every word as four 64-bit hashes, of its first four, five and six bytes and of
 the whole, so that a known insult, or a known stem with a new ending, is worth the same number of bytes in any language.
-zstandard trains a dictionary on the codes that set toxic texts apart, one on those that set ordinary texts apart, and
-one on the codes that both share. Every window of a text is compressed twice, with the toxic and with the ordinary
-dictionary, each beside the shared one, so that the difference of the two lengths shows only what sets the classes
-apart. The bytes by which a text's windows exceed a calibrated threshold are held against a second one, calibrated for
-texts of that many windows on labelled texts that train no dictionary.
+zstandard trains one dictionary on all codes of toxic texts and one on all codes of ordinary texts. Every window of a
+text is compressed with the ordinary dictionary alone and with the toxic one beside it: the difference of the two lengths
+is what toxic texts know of the window that ordinary ones do not. The windows' differences above a calibrated threshold,
+per window of the text, are held against a second threshold. Both come from labelled texts that train no dictionary, and
+so does the choice among a few sizes of the dictionaries.
 """
 
 from __future__ import annotations
@@ -29,25 +29,26 @@ CALIBRATE = 3
 FOLDS = 5
 #: Words of one window; prefixes that have a code of their own.
 WINDOW, PREFIXES = 16, (4, 5, 6)
-#: Bytes of the dictionary of what both classes share, and of each class's own; texts that train the shared one.
-COMMON_BYTES, OWN_BYTES, COMMON_TEXTS = 16_000, 24_000, 1_000
-#: A code sets a class apart if it is in so many of its training texts (at least so many, and this share of them), so many times likelier than in the other's.
-LEAST, LEAST_SHARE, RATIO = 3, 0.004, 30.0
-#: Share of ordinary windows whose lengths differ by no more than the windows' threshold.
-QUIET = 0.999
-#: Windows of a text up to which each of the texts' thresholds holds; rows of a class that calibrate one, at least.
-BANDS, BAND_ROWS = (4, 16, 64, 1 << 62), 5
+#: Bytes of the toxic and of the ordinary dictionary that are tried. The ordinary one is larger: it must know what it may.
+SIZES = ((12_000, 96_000), (16_000, 64_000), (40_000, 400_000))
+#: Bytes of the codes, or of the calibrating texts, that are held of each class; texts beyond that train nothing.
+HELD_BYTES = 1 << 25
+#: Share of ordinary windows whose differences the windows' threshold leaves out; windows that every text has on top of its
+#: own when differences are taken per window, so that a short text needs more than one odd word.
+QUIET, MORE = 0.95, 6
+#: How much a false alarm among ordinary texts weighs against a toxic text that is missed, both as shares of their class.
+ALARM = 3.0
 #: A level that looks a match up at every byte; faster ones skip ahead where nothing matched.
 LEVEL = 6
 
 
 class Model(NamedTuple):
-    """Dictionaries, the windows' threshold, and the texts' thresholds by BANDS."""
+    """Dictionaries, the windows' threshold, and the texts' threshold."""
 
     toxic: bytes
     ordinary: bytes
     quiet: float
-    least: tuple[float, ...]
+    least: float
 
 
 def codes(text: str | None):
@@ -75,50 +76,25 @@ def codes(text: str | None):
     return np.stack(out, axis=1)
 
 
-def trained(texts: list, keep, size: int) -> bytes:
-    """A zstandard dictionary trained on those codes of the texts that are in ``keep``; too few to train on stand as they are."""
+def trained(sets: list, size: int) -> bytes:
+    """A zstandard dictionary trained on texts' code sets; too few to train on stand as they are."""
     import numpy as np
     import zstandard
 
-    own = [t[np.isin(t, keep)] for t in texts]
-    samples = [t.astype("<u8").tobytes() for t in own if len(t)]
+    samples = [t.astype("<u8").tobytes() for t in sets if len(t)]
     try:
         return zstandard.train_dictionary(size, samples, k=8, d=8).as_bytes()
     except zstandard.ZstdError:
-        found = np.unique(np.concatenate([np.empty(0, np.uint64), *own]))
-        return found[: size // 8].astype("<u8").tobytes()
-
-
-def train_dictionaries(toxic: list, ordinary: list) -> tuple[bytes, bytes]:
-    """The dictionaries to compress with, of the two classes, from lists of texts' code sets."""
-    import numpy as np
-
-    def counts(sets):
-        return np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-
-    def rate(values, known, n, texts):
-        at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-        return (np.where(known[at] == values, n[at], 0) + 0.5) / max(texts, 1) if len(known) else np.full(len(values), 0.5 / max(texts, 1))
-
-    def apart(mine, n, texts, other, other_n, other_texts):
-        likelier = n / max(texts, 1) / rate(mine, other, other_n, other_texts)
-        return mine[(n >= LEAST) & (n >= LEAST_SHARE * texts) & (likelier >= RATIO)]
-
-    (tv, tn), (ov, on) = counts(toxic), counts(ordinary)
-    t_own, o_own = apart(tv, tn, len(toxic), ov, on, len(ordinary)), apart(ov, on, len(ordinary), tv, tn, len(toxic))
-    shared = (on >= LEAST) & ~np.isin(ov, t_own) & ~np.isin(ov, o_own)
-    shared = ov[shared][np.argsort(-on[shared], kind="stable")][: COMMON_BYTES // 8]
-    common = trained(ordinary[:COMMON_TEXTS], shared, COMMON_BYTES)
-    return trained(toxic, t_own, OWN_BYTES) + common, trained(ordinary, o_own, OWN_BYTES) + common
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))[: size // 8].astype("<u8").tobytes()
 
 
 def comparer(toxic: bytes, ordinary: bytes):
-    """Text -> per window, the bytes by which the toxic dictionary makes it shorter than the ordinary one."""
+    """Text -> per window, the bytes by which the toxic dictionary beside the ordinary one makes it shorter than that alone."""
     import numpy as np
     import zstandard
 
     make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-    a, b = make(toxic), make(ordinary)
+    a, b = make(toxic + ordinary), make(ordinary)
 
     def differences(text: str | None):
         rows = codes(text)
@@ -128,41 +104,44 @@ def comparer(toxic: bytes, ordinary: bytes):
     return differences
 
 
-def calibrate(differences: list, y: list[int]) -> tuple[float, tuple[float, ...]]:
-    """(windows' threshold, texts' thresholds by BANDS) from labelled texts.
+def distance(differences, quiet: float) -> float:
+    """What the differences have above the windows' threshold, per window."""
+    import numpy as np
 
-    Windows: what QUIET of the ordinary texts' windows stay at or below. Texts: the middle of the range with the best
-    mean of both classes' recalls; longer texts never need less than shorter ones. Without both classes no text passes.
+    return float(np.maximum(differences - quiet, 0).sum()) / (MORE + len(differences))
+
+
+def calibrate(differences: list, y: list[int]) -> tuple[float, float, float]:
+    """(windows' threshold, texts' threshold, worth) from labelled texts.
+
+    Windows: what QUIET of the ordinary texts' windows stay at or below. Texts: the middle of the range of thresholds with
+    the best worth, the share of toxic texts that reach it less ALARM times that of ordinary ones. Without both classes, or
+    where nothing sets them apart, no text passes.
     """
     import numpy as np
 
     y = np.array(y)
     if len(set(y.tolist())) < 2:
-        return 0.0, (float("inf"),) * len(BANDS)
+        return 0.0, float("inf"), 0.0
     quiet = float(np.quantile(np.concatenate([d for d, own in zip(differences, y) if not own]), QUIET))
-    over, n = np.array([np.maximum(d - quiet, 0).sum() for d in differences]), np.array([len(d) for d in differences])
-    out, low = [], 0
-    for high in BANDS:
-        at = (n > low) & (n <= high)
-        bad, good = np.sort(over[at & (y == 1)]), np.sort(over[at & (y == 0)])
-        last = out[-1] if out else 0.5
-        if min(len(bad), len(good)) >= BAND_ROWS:
-            tried = np.unique(np.concatenate(([0.5], bad + 0.5, good + 0.5)))
-            worth = 1 - np.searchsorted(bad, tried) / len(bad) + np.searchsorted(good, tried) / len(good)
-            best = tried[worth >= worth.max() - 1e-9]
-            last = max(last, float(best[0] + best[-1]) / 2)
-        out.append(last)
-        low = high
-    return quiet, tuple(out)
+    found = np.array([distance(d, quiet) for d in differences])
+    bad, good = np.sort(found[y == 1]), np.sort(found[y == 0])
+    tried = np.unique(found)
+    tried = np.append((tried[1:] + tried[:-1]) / 2, tried[-1] + 1)
+    worth = (len(bad) - np.searchsorted(bad, tried)) / len(bad) - ALARM * (len(good) - np.searchsorted(good, tried)) / len(good)
+    best = tried[worth >= worth.max() - 1e-9]
+    if worth.max() <= 0:
+        return quiet, float("inf"), 0.0
+    return quiet, float(best[0] + best[-1]) / 2, float(worth.max())
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit the dictionaries and thresholds on labelled rows outside fold 0.
 
-    About TRAIN_TOXIC and TRAIN_ORDINARY rows are used (all, if there are fewer), chosen by a hash of the id; they are
-    read in one task. Null ids and labels are left out, of several labels of an id the largest counts, of several texts
-    of an id the first in order; so repeated rows cannot make the sample larger. Without rows of both classes, as with
-    empty tables, every text scores below one half. Other columns are not read.
+    About TRAIN_TOXIC and TRAIN_ORDINARY rows are used (all, if there are fewer), chosen by a hash of the id, and of these
+    no more than fit HELD_BYTES per class; they are read in one task. Null ids and labels are left out, of several labels of
+    an id the largest counts, of several texts of an id the first in order; so repeated rows cannot make the sample larger.
+    Without rows of both classes, as with empty tables, every text scores below one half. Other columns are not read.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(F.crc32(F.col("id").cast("string")) % FOLDS != 0).groupBy("id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["count"] for r in known.where("y in (0, 1)").groupBy("y").count().collect()}
@@ -175,27 +154,36 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         import numpy as np
 
         sets: dict[int, list] = {0: [], 1: []}
-        later = []
+        later: list[tuple[int, str]] = []
+        held = {(calibrating, y): 0 for calibrating in (True, False) for y in (0, 1)}
         for batch in batches:
             for p, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = text.as_py() if p == 0 else np.unique(codes(text.as_py()))
+                size = len(own) if p == 0 else own.nbytes
+                if held[p == 0, y] and held[p == 0, y] + size > HELD_BYTES:
+                    continue
+                held[p == 0, y] += size
                 if p == 0:
-                    later.append((y, text.as_py()))
+                    later.append((y, own))
                 else:
-                    sets[y].append(np.unique(codes(text.as_py())))
-        toxic, ordinary = train_dictionaries(sets[1], sets[0])
-        differences = comparer(toxic, ordinary)
-        quiet, least = calibrate([differences(t) for _, t in later], [y for y, _ in later])
-        yield pa.RecordBatch.from_pydict({"toxic": [toxic], "ordinary": [ordinary], "quiet": [quiet], "least": [list(least)]})
-
-    row = sample.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(run, "toxic binary, ordinary binary, quiet double, least array<double>").first()
+                    sets[y].append(own)
+        best, model = -1.0, Model(b"", b"", 0.0, float("inf"))
+        for toxic_size, ordinary_size in SIZES:
+            toxic, ordinary = trained(sets[1], toxic_size), trained(sets[0], ordinary_size)
+            differences = comparer(toxic, ordinary)
+            quiet, least, worth = calibrate([differences(t) for _, t in later], [y for y, _ in later])
+            if worth > best:
+                best, model = worth, Model(toxic, ordinary, quiet, least)
+        yield pa.RecordBatch.from_pylist([model._asdict()])
+
+    row = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text").mapInArrow(run, "toxic binary, ordinary binary, quiet double, least double").first()
     if row is None:
-        return Model(b"", b"", 0.0, (float("inf"),) * len(BANDS))
-    return Model(bytes(row["toxic"]), bytes(row["ordinary"]), row["quiet"], tuple(row["least"]))
+        return Model(b"", b"", 0.0, float("inf"))
+    return Model(bytes(row["toxic"]), bytes(row["ordinary"]), row["quiet"], row["least"])
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "toxicity") -> DataFrame:
-    """Add column ``into``: score of every whole text, 0 to 1; one half where its bytes over the windows' threshold reach
-    the threshold of texts of its length.
+    """Add column ``into``: score of every whole text, 0 to 1; one half where its distance reaches the texts' threshold.
 
     The score depends on the text alone. Null texts score as empty ones, which stay below one half; rows, other columns
     and repeats pass through; a column of the name ``into`` is replaced.
@@ -208,12 +196,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str =
         import pandas as pd
 
         differences = comparer(toxic, ordinary)
-
-        def one(text: str | None) -> float:
-            d = differences(text)
-            over, need = np.maximum(d - quiet, 0).sum(), least[next(i for i, high in enumerate(BANDS) if len(d) <= high)]
-            return float(1 - 0.5 ** (over / need)) if np.isfinite(need) else 0.0
-
+        one = lambda text: float(1 - 0.5 ** (distance(differences(text), quiet) / least)) if np.isfinite(least) else 0.0
         for texts in parts:
             yield pd.Series([one(t) for t in texts], dtype=float)
 

@@ -621,6 +621,41 @@ def test_toxicity_learns_planted_words(spark, nothing):
     assert all(r["toxicity"] < 0.5 for r in toxicity.score(docs.limit(5), flat).collect())
 
 
+def test_toxicity_windows_and_thresholds_match_brute_force():
+    import zstandard
+
+    rng = random.Random(31)
+    plain, bad = [f"wo{i}rd" for i in range(200)], ["idiot", "scumbag"]
+    texts = [" ".join(rng.choice(bad if rng.random() < 0.1 * (i % 2) else plain) for _ in range(rng.randrange(5, 90))) for i in range(300)]
+    sets = [np.unique(toxicity.codes(t)) for t in texts]
+    toxic, ordinary = toxicity.trained(sets[1::2], 4_000), toxicity.trained(sets[::2], 16_000)
+    found = toxicity.comparer(toxic, ordinary)
+    for t in texts[:40]:
+        words, want = t.split(), []
+        for i in range(0, len(words), toxicity.WINDOW):
+            data = b"".join(np.array(c, "<u8").tobytes() for c in toxicity.codes(" ".join(words[i : i + toxicity.WINDOW])))
+            length = lambda d: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(data))  # noqa: B023, E731
+            want.append(length(ordinary) - length(toxic + ordinary))
+        assert found(t).tolist() == want
+    d, y = [found(t) for t in texts], [i % 2 for i in range(300)]
+    quiet, least, worth = toxicity.calibrate(d, y)
+    assert quiet == np.quantile([v for x, own in zip(d, y) if not own for v in x], toxicity.QUIET)
+    excess = [sum(max(v - quiet, 0) for v in x) / (toxicity.MORE + len(x)) for x in d]
+    value = lambda t: sum(e >= t for e, own in zip(excess, y) if own) / 150 - toxicity.ALARM * sum(e >= t for e, own in zip(excess, y) if not own) / 150
+    assert abs(value(least) - worth) < 1e-9 and worth >= max(value(t) for t in excess) - 1e-9 and worth > 0.5
+    assert toxicity.calibrate(d[::2], y[::2])[1] == float("inf")  # one class alone
+    blind = toxicity.comparer(b"", b"")  # without what zstandard learned no text stands out
+    assert not any(blind(t).any() for t in texts)
+
+
+def test_toxicity_holds_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_BYTES", 60_000)
+    rows = [(i, ("idiot " if i % 2 else "") + " ".join(f"w{j * (i + 1)}" for j in range(60))) for i in range(200)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, known)).collect()
+    assert len(got) == 200 and all(0 <= r["toxicity"] <= 1 for r in got)
+
+
 def test_toxicity_odd_rows(spark, docs):
     known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, known)).collect()

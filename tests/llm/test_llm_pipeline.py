@@ -42,6 +42,12 @@ def test_stages_take_odd_and_no_rows(spark):
             docs = stash(stage(spark, docs, DATA), "stage")
 
 
+def test_toxicity_stage_leaves_clashing_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c", 0.9, "kept"), (2, None, None, None)], "doc_id long, text string, toxicity double, _toxicity string")
+    got = corpus_pipeline.toxicity_stage(spark, docs, DATA)
+    assert got.dtypes == docs.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_pipeline_matches_brute_force(spark, tmp_path):
     """The whole run against plain Python: what each stage keeps, masks, repeats and cuts."""
     import hashlib
@@ -78,7 +84,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 
     def toxic(text):
         d = differences(text)
-        return np.maximum(d - model.quiet, 0).sum() >= model.least[next(i for i, b in enumerate(toxicity.BANDS) if len(d) <= b)]
+        return toxicity.distance(d, model.quiet) >= model.least
 
     source = {d[0]: d[3] for d in docs}
     kept = [(i, t) for i, t in rows if not toxic(t)]
