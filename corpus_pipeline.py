@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayspans.llm import jaccard_join, mixing, packing, pii, toxicity
-from dayspans.llm._common import stash
+from dayspans.llm._common import free, stash
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is trained on the labelled ones among all documents."""
     all_docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(all_docs, labels)
-    return toxicity.score(docs, model, into="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    into = free(docs, "toxicity")
+    return toxicity.score(docs, model, into=into).where(F.col(into) < 0.5).select(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
