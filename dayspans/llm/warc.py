@@ -1,8 +1,8 @@
 """WARC archives of raw pages, read back and merged into globally ordered capture histories.
 
 Records are written by Spark's text writer with the record end of the format (two line ends) as its line separator,
-so an archive file is a plain sequence of WARC records. Each writing task sorts its records by URL key and time: every
-file is a sorted run. Reading gives one index entry per record, in the order of its run. The shuffle cuts the runs at
+so an archive file is a plain sequence of WARC records. Each writing task deals its records to files of bounded bytes and
+sorts them by file, URL key and time: every file is a sorted run. Reading gives one index entry per record, in the order of its run. The shuffle cuts the runs at
 common range ends and keeps each run's entries in order; a k-way loser-tree merge of the runs, one range per task, puts
 the entries in global order, and the ranges' sizes number them throughout.
 """
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import maybe_broadcast, stash, stash_path
+from ._common import BROADCAST_ROWS, join_hot, maybe_broadcast, running, stash, stash_path
 
 CRLF = "\r\n"
-#: Records and, as long as one record is no larger, bytes of one archive file, at most.
+#: Records and, unless one record alone is larger, bytes of one archive file, at most.
 FILE_RECORDS, FILE_BYTES = 4096, 1 << 26
 #: Index entries that one task merges, about.
 MERGE_ROWS = 200_000
@@ -42,14 +42,14 @@ def url_key(url: Column) -> Column:
 
 
 def first_copies(payloads: DataFrame) -> DataFrame:
-    """A row per payload that occurs more than once: digest, bytes, the smallest page_id and how many rows have it.
+    """A row per payload that occurs more than once: payload, the smallest page_id, how many rows have it, and the payload.
 
-    ``payloads`` has digest, bytes, page_id. Counts are summed before the shuffle, so a payload that a third of all
+    ``payloads`` has payload and page_id. Counts are summed before the shuffle, so a payload that a third of all
     pages share is no burden to any task. Null ids come last.
     """
-    ids = payloads.groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("n"))
-    per = ids.groupBy("digest", "bytes").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", F.col("n").alias("ties"))).alias("first"))
-    return per.where("n > 1").select("digest", "bytes", F.col("first.page_id").alias("first_id"), F.col("first.ties").alias("ties"))
+    ids = payloads.groupBy("payload", "page_id").agg(F.count("*").alias("n"))
+    per = ids.groupBy("payload").agg(F.sum("n").alias("n_rows"), F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", F.col("n").alias("ties"))).alias("first"))
+    return per.where("n_rows > 1").select("payload", "n_rows", F.col("first.page_id").alias("first_id"), F.col("first.ties").alias("ties"))
 
 
 def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -63,16 +63,20 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     at = F.coalesce(F.col(time_col).cast("timestamp"), F.timestamp_seconds(F.lit(EPOCH))) if time_col else made
     p = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"))
     p = p.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
-    copies = stash(first_copies(p.where(F.col("bytes") >= min_bytes).select("digest", "bytes", "page_id")), "warc-copies")
-    n, ties = copies.agg(F.count("*"), F.max("ties")).first()
-    p = p.join(maybe_broadcast(copies, n), ["digest", "bytes"], "left")
+    p = p.withColumn("payload", F.when(F.col("bytes") >= min_bytes, F.concat_ws("-", "digest", "bytes")))
+    copies = stash(first_copies(p.where("payload is not null").select("payload", "page_id")), "warc-copies")
+    n, total, ties = copies.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0)), F.max("ties")).first()
+    if n <= BROADCAST_ROWS:  # no html is shuffled
+        p = p.join(F.broadcast(copies.drop("n_rows")), "payload", "left")
+    else:
+        p = join_hot(p, copies, "payload", total, "left")
     is_first = F.col("ties").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     p = p.withColumn("revisit", ~is_first)
-    if (ties or 1) > 1:  # repeated rows: number those that share a payload's first id
+    if (ties or 1) > 1:  # repeated rows: the first of those that share a payload's first id, counted task by task
         tied = F.col("ties").isNotNull() & (F.col("ties") > 1) & ~F.col("revisit")
-        one = Window.partitionBy("digest", "bytes").orderBy("url", "captured_at")
-        numbered = p.where(tied).withColumn("revisit", F.row_number().over(one) > 1)
-        p = p.where(~tied).unionByName(numbered)
+        again = stash(p.where(tied).withColumn("bucket", F.spark_partition_id()), "warc-tied")
+        numbered = running(again, ["payload"], "bucket", ["url", "captured_at"], F.lit(1), "before")
+        p = p.where(~tied).unionByName(numbered.withColumn("revisit", F.col("before") > 0).drop("bucket", "before"))
     p = p.withColumn("kind", F.when(F.col("revisit"), "revisit").otherwise("response"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     safe = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -86,12 +90,31 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 def write_archives(pages: DataFrame, path: str, **options) -> None:
     """Write the pages' records to archive files under ``path``, each file a run sorted by URL key and time.
 
-    The longest page bounds the records of a file, so that a file of very long pages stays near FILE_BYTES.
+    A task opens its next file when the records of one reach FILE_RECORDS or their bytes would pass FILE_BYTES; so a very
+    long page takes one file more, and no other file gets shorter for it.
     """
-    longest = pages.agg(F.coalesce(F.max(F.octet_length(options.get("html_col", "html"))), F.lit(0)) + 2 * F.coalesce(F.max(F.octet_length(options.get("url_col", "url"))), F.lit(0))).first()[0]
-    most = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 1024)))
-    runs = records(pages, **options).sortWithinPartitions("url_key", "captured_at", "page_id")
-    runs.select("record").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
+
+    @F.pandas_udf("int")
+    def file_of(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import pandas as pd
+
+        file, n, total, alone = 0, 0, 0, 0
+        for batch in sizes:
+            out = []
+            for size in batch:
+                if size > FILE_BYTES:  # a file of its own, numbered apart, beside the one that is open
+                    alone -= 1
+                    out.append(alone)
+                    continue
+                if n == FILE_RECORDS or n and total + size > FILE_BYTES:
+                    file, n, total = file + 1, 0, 0
+                n, total = n + 1, total + size
+                out.append(file)
+            yield pd.Series(out, dtype="int32")
+
+    runs = records(pages, **options).withColumn("file", file_of(F.octet_length("record")))
+    runs = runs.sortWithinPartitions("file", "url_key", "captured_at", "page_id")
+    runs.select("file", "record").write.partitionBy("file").option("lineSep", CRLF * 2).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:

@@ -589,6 +589,35 @@ def test_warc_many_runs_and_ranges(spark, monkeypatch):
     assert len({r["run"] for r in got}) > 20 and Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
 
 
+def test_a_very_long_page_takes_one_file_more(spark, tmp_path):
+    import os
+
+    files = lambda d: [f for _, _, names in os.walk(d) for f in names if f.startswith("part-")]
+    rows = [(i, f"http://a.org/{i}", f"page {i}") for i in range(400)]
+    frame = lambda r: spark.createDataFrame(r, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(frame(rows), f"{tmp_path}/few")
+    warc.write_archives(frame([*rows, (400, "http://a.org/0", "x" * (65 << 20))]), f"{tmp_path}/long")
+    assert len(files(f"{tmp_path}/few")) == 2 and len(files(f"{tmp_path}/long")) == 3
+    got = warc.read_archives(spark, f"{tmp_path}/long").select("page_id", "payload_bytes").collect()
+    assert Counter(map(tuple, got)) == Counter([(i, len(h)) for i, _, h in rows] + [(400, 65 << 20)])
+
+
+@pytest.mark.parametrize("lookup", [50_000, 0])
+def test_warc_spreads_hot_payloads(spark, monkeypatch, lookup):
+    """Very many copies of one payload, and of one row: the same records whether first ids are broadcast or joined."""
+    from dayspans.llm import _common
+
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", lookup)
+    monkeypatch.setattr(_common, "HOT_ROWS", 50)
+    rows = [(1000 + i, "http://hot.org/", "hot") for i in range(3000)] + [(i, "u", f"cold {i % 40}") for i in range(100)] + [(7, "u", "again")] * 900
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = warc.capture_histories(pages).groupBy("record_type", "refers_to").count().collect()
+    want = Counter({("response", None): 42, ("revisit", 1000): 2999, ("revisit", 7): 2 + 899})
+    want.update({("revisit", i): 1 + (i < 20) for i in range(40) if i != 7})
+    want["revisit", 7] = 899 + 2
+    assert {(r["record_type"], r["refers_to"]): r["count"] for r in got} == dict(want)
+
+
 def test_loser_tree():
     rng = random.Random(0)
     for k in range(0, 9):
