@@ -37,8 +37,8 @@ FOR = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "address", "s
 AGAINST = ("order", "version", "isbn", "serial", "invoice", "sample")
 #: Characters before a span that count as its context; what a word there adds or takes; the score that added kinds need.
 CONTEXT, STEP, LEAST = 48, 0.2, 0.5
-#: Matches in one chunk when positions are summed up.
-CHUNK = 64
+#: Entries of one chunk of a running sum; code points of one block of a text.
+CHUNK, BLOCK = 64, 4096
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
@@ -77,56 +77,87 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def scored(kind: str, text: Column, start: Column) -> Column:
-    near = F.lower(text.substr(F.greatest(start + 1 - CONTEXT, F.lit(1)), F.least(start, F.lit(CONTEXT))))
+def running(values: Column, op, levels: int = 2) -> Column:
+    """Per entry of an array of numbers from 0 on, ``op`` over all entries before it, 0 for the first.
+
+    Sums within chunks, and over chunks of chunks, so that work is linear in the entries up to CHUNK^3 and little more beyond.
+    """
+    zero = F.lit(0)
+
+    def level(v: Column, left: int) -> Column:
+        if not left:
+            return F.transform(v, lambda _, i: F.aggregate(F.slice(v, F.lit(1), i), zero, op))
+
+        def chunked(chunks: Column) -> Column:
+            totals = F.transform(chunks, lambda c: F.aggregate(c, zero, op))
+            inside = lambda c, b: F.transform(c, lambda _, i: F.aggregate(F.slice(c, F.lit(1), i), b, op))
+            return bound(totals, lambda t: bound(level(t, left - 1), lambda before: F.flatten(F.zip_with(chunks, before, inside))))
+
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: F.slice(v, c * CHUNK + 1, CHUNK))
+        return bound(cut, chunked)
+
+    return F.when(F.size(values) > 0, level(values, levels)).otherwise(F.array().cast("array<int>"))
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK code points, for a place in a long text is only found by counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end``, exclusive, of a text in blocks."""
+    a, b = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    apart = F.concat(at(a).substr(start - a * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(parts, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), at(b).substr(F.lit(1), end - b * BLOCK))
+    return F.when(a == b, at(a).substr(start - a * BLOCK + 1, end - start)).otherwise(apart)
+
+
+def scored(kind: str, parts: Column, start: Column) -> Column:
+    near = F.lower(between(parts, F.greatest(start - CONTEXT, F.lit(0)), start))
     has = lambda words: F.when(near.rlike("|".join(words)), STEP).otherwise(0.0)
     return F.round(F.lit(SCORES[kind]) + has(FOR[WITHIN.get(kind, kind)]) - has(AGAINST), 2)
 
 
 def proposed(text: Column, kind: str) -> Column:
-    """Array of the matches of one kind: start, end, value; null if there are none."""
+    """Array of the matches of one kind: start, end, value, and whether they are confirmed; null if there are none."""
     pattern = PATTERNS[kind]
 
     def placed(x):
-        """x: matches, and the pieces between them. Starts are running sums of lengths, summed chunk by chunk."""
+        """x: matches, and the pieces between them, whose lengths add up to the starts."""
         steps = F.zip_with(x["matches"], x["pieces"], lambda m, p: F.coalesce(F.length(m), F.lit(0)) + F.coalesce(F.length(p), F.lit(0)))
-        add = lambda a, v: a + v
-        total = lambda a: F.aggregate(a, F.lit(0), add)
-        chunks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["matches"]) - 1) / CHUNK).cast("int")), lambda c: total(F.slice(s, c * CHUNK + 1, CHUNK)))
+        whole = bound(F.slice(steps, F.lit(1), F.size(x["matches"])), lambda s: running(s, lambda a, v: a + v))
 
-        def one(m, i, s):
-            c = F.floor(i / CHUNK).cast("int")
-            start = total(F.slice(s["chunks"], F.lit(1), c)) + total(F.slice(s["steps"], c * CHUNK + 1, i - c * CHUNK)) + F.length(F.get(x["pieces"], i))
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
+        def one(m, i, before):
+            start = F.get(before, i) + F.length(F.get(x["pieces"], i))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), confirmed(kind, m).alias("fine"))
 
-        return bound(bound(steps, lambda s: F.struct(s.alias("steps"), chunks(s).alias("chunks"))), lambda s: F.transform(x["matches"], lambda m, i: one(m, i, s)))
+        return bound(whole, lambda before: F.transform(x["matches"], lambda m, i: one(m, i, before)))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
     return bound(both, lambda x: F.when(F.size(x["matches"]) > 0, placed(x)))
 
 
-def rated(text: Column, kind: str, found: Column) -> Column:
+def rated(parts: Column, kind: str, found: Column) -> Column:
     """The confirmed ones of the matches, with their scores; added kinds need a least score."""
-    kept = F.filter(found, lambda s: confirmed(kind, s["value"]))
-    spans = F.transform(kept, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].cast("int").alias("end"), F.lit(kind).alias("kind"), scored(kind, text, s["start"]).alias("score")))
+    spans = F.transform(F.filter(found, lambda s: s["fine"]), lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].cast("int").alias("end"), F.lit(kind).alias("kind"), scored(kind, parts, s["start"]).alias("score")))
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST)
 
 
-def kind_spans(text: Column, kind: str) -> Column:
+def kind_spans(text: Column, parts: Column, kind: str) -> Column:
     """Array of the confirmed spans of one kind, and of those inside its failed matches; positions are code points, ends exclusive."""
     none = F.array().cast(f"array<{SPAN}>")
     inner = next((k for k, outer in WITHIN.items() if outer == kind), None)
 
     def inside(s):
         """Spans of the stricter kind inside one failed match, moved to its place in the text."""
-        moved = F.transform(proposed(s["value"], inner), lambda t: F.struct((t["start"] + s["start"]).alias("start"), (t["end"] + s["start"]).alias("end"), t["value"].alias("value")))
-        return F.coalesce(rated(text, inner, moved), none)
+        moved = F.transform(proposed(s["value"], inner), lambda t: F.struct((t["start"] + s["start"]).alias("start"), (t["end"] + s["start"]).alias("end"), t["value"].alias("value"), t["fine"].alias("fine")))
+        return F.coalesce(rated(parts, inner, moved), none)
 
     def both(found):
-        own = rated(text, kind, found)
+        own = rated(parts, kind, found)
         if not inner:
             return own
-        failed = F.filter(found, lambda s: ~confirmed(kind, s["value"]) & (F.length(s["value"]) > 15))
+        failed = F.filter(found, lambda s: ~s["fine"] & (F.length(s["value"]) > 15))
         return F.concat(own, F.flatten(F.transform(failed, inside)))
 
     guard = text.contains("@") if kind == "email" else text.rlike(GUARDS[kind])
@@ -137,24 +168,25 @@ def detect(docs: DataFrame, *, text_col: str = "text", into: str = "pii") -> Dat
     """Add column ``into``: all spans of all kinds, by start, then in order of the kinds.
 
     The column replaces one of the same name; all others pass through unread. A null text counts as empty and has no
-    spans; repeated rows each get theirs; an empty table gives an empty one. Work per text is linear but for the sums
-    over chunks, which are small up to hundreds of thousands of matches in one text.
+    spans; repeated rows each get theirs; an empty table gives an empty one. Work per text is linear in its length and in its
+    matches.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn(into, F.array_sort(F.concat(*[kind_spans(text, k) for k in KINDS if k not in WITHIN])))
+    found = bound(blocks(text), lambda parts: F.concat(*[kind_spans(text, parts, k) for k in KINDS if k not in WITHIN]))
+    return docs.withColumn(into, F.array_sort(found))
 
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with every span, overlapping ones as one, replaced by its kind in angle brackets."""
 
-    def step(acc, s):
-        gap = F.when(s["start"] > acc["at"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]))).otherwise(F.array().cast("array<string>"))
-        fresh = F.struct(F.concat(acc["out"], gap, F.array(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"), s["end"].alias("at"))
-        longer = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when((s["start"] >= acc["at"]), fresh).otherwise(longer)
+    def masked(x):
+        """x: the spans, for each where all before it end, where the last one ends, and the text in blocks."""
+        pieces = F.zip_with(x["spans"], x["before"], lambda s, at: F.when(s["start"] >= at, F.concat(between(x["parts"], at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), between(x["parts"], x["last"], F.length(text)))
 
-    first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["out"], ""), text.substr(a["at"] + 1, F.length(text))))
+    ends = F.transform(spans, lambda s: s["end"])
+    before = bound(ends, lambda e: running(e, lambda a, v: F.greatest(a, v)))
+    done = bound(F.struct(spans.alias("spans"), before.alias("before"), F.array_max(ends).alias("last"), blocks(text).alias("parts")), masked)
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 

@@ -441,6 +441,31 @@ def test_quality_rules_verdict_matches_brute_force(spark, docs):
     assert len(seen) == 3
 
 
+def test_quality_rules_take_their_limits_from_the_corpus(spark):
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25, 200))) for _ in range(1500)]
+    texts += [texts[0]] * 900 + [None, "", "x", "y " * 20_000]  # very many copies of one text count once
+    docs = quality_rules.measured(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("text_hash", F.xxhash64("text")))
+    rows = {r["text"]: r["measures"] for r in docs.collect()}
+    want = []
+    for i, (upto, low, high) in enumerate(quality_rules.BANDS):
+        least = quality_rules.BANDS[i - 1][0] if i else 0
+        own = sorted(round(m["ratio"], 3) for t, m in rows.items() if t and least < m["size"] <= upto)
+        if len(own) >= quality_rules.LEAST_TEXTS:
+            q1, q2, q3 = (next(r for k, r in enumerate(own) if k + 1 >= q * len(own)) for q in (0.25, 0.5, 0.75))
+            width = max(q3 - q1, quality_rules.LEAST_RANGE * q2)
+            low, high = (q1 - quality_rules.BELOW * width if low else 0.0), q3 + quality_rules.ABOVE * width
+        want.append((upto, low, high))
+    got = quality_rules.corpus_bands(docs)
+    assert np.allclose(got, want) and sum(a != b for a, b in zip(got, quality_rules.BANDS)) >= 3
+    verdict = quality_rules.judged(docs, got).select("text", "rules.*").collect()
+    own = [b[0] for b, d in zip(got, quality_rules.BANDS) if b != d]
+    mine = [r["kept"] for r in verdict if not r["base_failed"] and next(b[0] for b in got if len((r["text"] or "").encode()) <= b[0]) in own]
+    assert len(mine) > 2000 and sum(mine) >= 0.99 * len(mine)
+    assert quality_rules.corpus_bands(docs.where("false")) == quality_rules.BANDS
+
+
 def test_quality_rules_keep_prose(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("quality = 1")
     m = quality_rules.assess(d).select("rules.*").where("not base_failed")
