@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss")
@@ -33,6 +33,17 @@ def shift(ts: Column, days: int = 0, hours: int = 0, minutes: int = 0) -> Column
     return ts + F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes))
 
 
+def corrected(df: DataFrame, corrections: DataFrame, keys: list[str], ts: str, since: str, minutes: str) -> DataFrame:
+    """TS5: ``ts`` moved by the minutes of its device's last correction that began at or before it; adds both of its columns.
+
+    ``corrections``: a row per device (``keys``) and period. Times before a device's first correction stay as they are.
+    """
+    from ..operators.joins import last_before
+
+    found = last_before(df, corrections, keys, ts, since, [since, minutes])
+    return found.withColumn(ts, F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(F.col(minutes), F.lit(0)).cast("int")))
+
+
 def clock_24(s: Column) -> Column:
     """TS6: 12-hour to 24-hour clock."""
     return F.date_format(F.try_to_timestamp(s, F.lit("hh:mm:ss a")), "HH:mm:ss")

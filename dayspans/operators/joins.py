@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,64 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.8) -> Data
     return near.select("a", "b", F.round(ratio, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters: the longest common block, and so on left and right of it."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+
+def matching_texts(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+    """JN11: pairs of distinct short texts whose ratio of matching blocks (six digits) is at least ``least``, above 0.
+
+    The blocks are a common subsequence, so two lengths need so many characters in it, and leave so many out on either
+    side. Of one piece more of the right text than are left out in all, one is whole and unbroken in the left text, shifted
+    by no more than what is left out. Texts meet by lengths and such a piece, then by their counts of characters, which
+    bound the ratio from above; only what is left is compared. No pair is lost, and no text meets all others.
+    """
+    n, m, k = F.col("_n"), F.col("_m"), F.col("_k")
+    need = F.ceil(F.lit(least - 1e-6) * (n + m) / 2 - F.lit(1e-9)).cast("int")
+    start = lambda i: F.floor(i * m / (k + 1)).cast("int")
+
+    def pieces(d: DataFrame, own: str, other: str) -> DataFrame:
+        low, high = F.floor(F.col(own) * F.lit(least / (2 - least))).cast("int"), F.ceil(F.col(own) * F.lit((2 - least) / least)).cast("int")
+        d = d.withColumn(other, F.explode(F.sequence(low, high))).withColumn("_need", need).where(F.col("_need") <= F.least(n, m))
+        d = d.withColumn("_k", n + m - 2 * F.col("_need")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+        return d.withColumns({"_from": start(F.col("_i")), "_size": start(F.col("_i") + 1) - start(F.col("_i"))}).where((F.col("_size") > 0) | (m <= k))
+
+    distinct = lambda d, into, size: d.select(F.col(d.columns[0]).alias(into)).where(F.col(into).isNotNull()).distinct().withColumn(size, F.length(into))
+    l, r = pieces(distinct(left, "a", "_n"), "_n", "_m"), pieces(distinct(right, "b", "_m"), "_m", "_n")
+    low, high = F.greatest(F.col("_from") - (m - F.col("_need")), F.lit(0)), F.least(F.col("_from") + (n - F.col("_need")), n - F.col("_size"))
+    l = l.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
+    l = l.withColumn("_piece", F.substring("a", F.col("_at") + 1, F.col("_size")))
+    r = r.withColumn("_piece", F.substring("b", F.col("_from") + 1, F.col("_size")))
+    keys = ["_n", "_m", "_i", "_piece"]
+    near = l.select("a", *keys, "_need").distinct().join(r.select("b", *keys), keys).select("a", "b", "_need").distinct()
+    times = lambda text, letter: F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split("b", "")), F.lit(0), lambda t, x: t + F.when(x == "", 0).otherwise(F.least(times(F.col("a"), x), times(F.col("b"), x))))
+    near = near.where(shared >= F.col("_need"))
+    return near.select("a", "b", F.round(F.pandas_udf(block_ratio, "double")("a", "b"), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def last_before(df: DataFrame, table: DataFrame, keys: list[str], ts: str, start: str, values: list[str], bucket_us: int = DAY) -> DataFrame:
+    """TS5: every row with the ``values`` of the last row of ``table`` of its keys that starts at or before it, null if none does.
+
+    Both sides meet in one window over their union, by keys and bucket of time. What a bucket begins with comes from a
+    window over the buckets' last rows alone; so one key with a third of all rows is spread over its buckets, and there is
+    no range join. Of rows of ``table`` that start at the same time, the one of the greatest values counts.
+    """
+    us, bucket = F.unix_micros(F.col(ts).cast("timestamp")), F.floor(F.col("_us") / F.lit(bucket_us))
+    rows = df.select(F.struct(*df.columns).alias("_row"), *keys, us.alias("_us")).withColumn("_b", bucket)
+    first = table.where(F.col(start).isNotNull()).select(*keys, F.unix_micros(F.col(start).cast("timestamp")).alias("_us"), F.struct(*values).alias("_v"))
+    first = first.groupBy(*keys, "_us").agg(F.max("_v").alias("_v")).withColumn("_b", bucket)
+    ends = first.groupBy(*keys, "_b").agg(F.max_by("_v", "_us").alias("_v"))
+    buckets = rows.select(*keys, "_b").distinct().unionByName(ends, allowMissingColumns=True).groupBy(*keys, "_b").agg(F.max("_v").alias("_v"))
+    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    carried = buckets.select(*keys, "_b", before.alias("_v")).where("_v is not null").withColumn("_us", F.col("_b") * F.lit(bucket_us))
+    both = rows.withColumn("_kind", F.lit(2)).unionByName(first.withColumn("_kind", F.lit(1)), allowMissingColumns=True).unionByName(carried.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_us", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_kind = 2")
+    return found.select("_row.*", "_v.*")
+
+
 def spread_over(df: DataFrame, lo: str, hi: str, size: int, into: str = "_bucket") -> DataFrame:
     """A row for every bucket of ``size`` that the closed interval from ``lo`` to ``hi`` touches; none if it is empty."""
     bucket = lambda c: F.floor(F.col(c) / F.lit(size))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Steps of the continued fraction; far more than it needs for statistics in use.
 STEPS = 200
+#: Levels of a factor, at most.
+LEVELS = 200
 #: Trial values of the variance ratio in one round, rounds, and the log ratio's width at which the search has converged.
 TRIALS, ROUNDS, CONVERGED = 12, 12, 1e-6
 
@@ -214,6 +216,51 @@ def ols(df: DataFrame, y: str, xs: list[str], min_n: int = 10) -> DataFrame:
     return df.sparkSession.createDataFrame(ols_rows(["intercept", *xs], *found["m"], min_n) if found else [], OLS)
 
 
+TESTS = "factor string, df1 double, df2 double, f double, p double"
+
+
+def factor_model(df: DataFrame, y: str, xs: list[str], factors: dict[str, str | None], min_n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """ST9: least squares with categorical terms: the terms' rows as of ``ols``, and an F test per factor and of the whole model.
+
+    A factor's levels are those of the complete rows, in order of their names; each but the reference (the first, if none
+    is given) gets a 0/1 term named factor[level]. A factor of one level adds none. One pass finds the levels, one the
+    cross products of all terms; more than LEVELS levels are an error. The F of a factor tests all its terms at once.
+    """
+    spark, d = df.sparkSession, df.dropna(subset=[y, *xs, *factors])
+    level = lambda f: F.col(f).cast("string")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), level(f).alias("level")) for f in factors]))
+    found = d.select(each.alias("l")).select("l.*").distinct().orderBy("factor", "level").limit(LEVELS * len(factors) + 1).collect() if factors else []
+    levels = {f: [r["level"] for r in found if r["factor"] == f] for f in factors}
+    terms: dict[str, list[str]] = {}
+    for f, reference in factors.items():
+        if len(levels[f]) > LEVELS or len(found) > LEVELS * len(factors):
+            raise ValueError(f"factor {f} has more than {LEVELS} levels")
+        if reference is not None and levels[f] and reference not in levels[f]:
+            raise ValueError(f"factor {f} has no level {reference}")
+        terms[f] = [v for v in levels[f] if v != (reference if reference is not None else levels[f][0])]
+    coded = [(f"{f}[{v}]", (level(f) == v).cast("double")) for f, own in terms.items() for v in own]
+    d = d.select(F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)], *[c.alias(f"t{i}") for i, (_, c) in enumerate(coded)])
+    sums = model_sums(d, {"m": ("y", d.columns[1:])})
+    names = ["intercept", *xs, *[n for n, _ in coded]]
+    rows = ols_rows(names, *sums["m"], min_n) if sums else []
+    if not rows:
+        return spark.createDataFrame([], OLS), spark.createDataFrame([], TESTS)
+    a, b, yy = sums["m"]
+    n, k = a[0, 0], np.linalg.matrix_rank(a)
+    inv = np.linalg.pinv(a)
+    coef = inv @ b
+    s2 = max(yy - coef @ b, 0.0) / (n - k)
+    tests = []
+    for name, own in [*terms.items(), ("model", names[1:])]:
+        at = [names.index(f"{name}[{v}]" if name != "model" else v) for v in own]
+        block = inv[np.ix_(at, at)] if at else np.zeros((0, 0))
+        q = int(np.linalg.matrix_rank(block)) if at else 0
+        if q and s2 > 0:
+            f = float(coef[at] @ np.linalg.pinv(block) @ coef[at] / q / s2)
+            tests.append((name, float(q), float(n - k), f, float(beta((n - k) / (n - k + q * f), (n - k) / 2, q / 2))))
+    return spark.createDataFrame(rows, OLS), spark.createDataFrame(tests, TESTS)
+
+
 def nested_models(df: DataFrame, outcomes: list[str], predictors: dict[str, list[list[str]]], min_n: int = 10) -> DataFrame:
     """ST10: for every outcome and predictor the models of growing lists of terms, a block of rows per step.
 

@@ -207,6 +207,16 @@ def _(v):
     return v.screen.select("event_id", times.shift(c("ts"), 1603, 17, 1).alias("shifted"))
 
 
+# Each user's answers set its device's clock right, from then on: several corrections a device, rows before any of them.
+CORRECTIONS = "(SELECT user_id, response_time AS since, max(q1 * 31 - 60) AS minutes FROM v_ema_wide WHERE event_id % 2 = 0 GROUP BY ALL)"
+
+
+@query("ts5_device_corrections", f"SELECT event_id, s.ts + to_minutes(coalesce(k.minutes, 0)) AS corrected, k.since FROM v_screen s ASOF LEFT JOIN {CORRECTIONS} k ON s.user_id = k.user_id AND s.ts >= k.since")
+def _(v):
+    k = v.ema_wide.where("event_id % 2 = 0").groupBy("user_id", c("response_time").alias("since")).agg(F.max(c("q1") * 31 - 60).alias("minutes"))
+    return times.corrected(v.screen, k, ["user_id"], "ts", "since", "minutes").select("event_id", c("ts").alias("corrected"), "since")
+
+
 @query("ts6_clock_24", "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM v_screen")
 def _(v):
     return v.screen.select("event_id", times.clock_24(F.date_format("ts", "hh:mm:ss a")).alias("clock"))

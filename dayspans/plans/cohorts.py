@@ -9,6 +9,7 @@ from ..functions import ids, labels, missing, times
 from ..operators import fragmentation as fr
 from ..operators import joins as jn
 from ..operators import questionnaires as qn
+from ..operators import schemas
 from . import episodes as eps
 from .registry import query
 
@@ -109,6 +110,20 @@ def _(v):
     return jn.similar_texts(p, p, 0.8)
 
 
+# Matching blocks by recursion on what is left and right of the longest common block (earliest in a, then in b).
+BLOCKS = """a AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b FROM a x, a y WHERE 2 * least(length(x.a), length(y.a)) >= 0.8 * (length(x.a) + length(y.a))),
+seg AS (SELECT a, b, a AS sa, b AS sb, 0 AS k, 0 AS lvl, 0 AS side FROM p UNION ALL
+  SELECT a, b, CASE s WHEN 0 THEN substr(sa, 1, i) ELSE substr(sa, i + len + 1) END, CASE s WHEN 0 THEN substr(sb, 1, strpos(sb, substr(sa, i + 1, len)) - 1) ELSE substr(sb, strpos(sb, substr(sa, i + 1, len)) + len) END, CASE s WHEN 0 THEN len ELSE 0 END, lvl + 1, s
+  FROM (SELECT *, code // 1000 AS len, 999 - code % 1000 AS i FROM (SELECT *, list_max(list_transform(range(0, CAST(length(sa) * length(sa) AS BIGINT)), lambda q: CASE WHEN q // length(sa) + q % length(sa) < length(sa) AND contains(sb, substr(sa, 1 + q % length(sa), 1 + q // length(sa))) THEN (1 + q // length(sa)) * 1000 + 999 - q % length(sa) ELSE 0 END)) AS code FROM seg WHERE sa <> '' AND sb <> '') WHERE code > 0), (SELECT unnest([0, 1]) AS s)),
+s AS (SELECT a, b, round(2 * sum(k) / CAST(length(a) + length(b) AS DOUBLE), 6) AS similarity FROM seg GROUP BY a, b)"""
+
+
+@query("jn11_matching_blocks", f"WITH RECURSIVE {BLOCKS} SELECT a, b, similarity FROM s WHERE similarity >= 0.8")
+def _(v):
+    p = v.table("part").select("p_name")
+    return jn.matching_texts(p, p, 0.8)
+
+
 @query("jn12_metric_joins", "WITH a AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n_on FROM v_screen WHERE action LIKE '%ON' GROUP BY ALL), b AS (SELECT user_id, CAST(response_time AS DATE) AS date, max(q1) AS q1 FROM v_ema_wide GROUP BY ALL) SELECT d.user_id, d.date, n_events, n_on, q1 FROM v_daily d LEFT JOIN a USING (user_id, date) LEFT JOIN b USING (user_id, date)")
 def _(v):
     a = v.screen.where("action like '%ON'").groupBy("user_id", "date").agg(F.count("*").alias("n_on"))
@@ -552,6 +567,74 @@ def _(v):
     return pooled(v).withColumn("mood", F.round("mood", 6))
 
 
+# Both studies in the common schema by a mapping each: two raw scores, and both standardised, by participant or over all.
+COMMON_SCHEMA = "participant_id string, dataset_source string, date date, anxiety_raw double, mood_raw double, anxiety double, mood double, gender string, location_type string, age_group string, class string, duration double, mobility_duration double, fragments double, fragments_delta double, is_weekend int"
+GENDER = {"F": "female", "M": "male"}
+
+
+def mapped(v, name: str, own: dict, sign: int, by: tuple[str, ...]):
+    d = v.daily.where(c("source") == name).withColumn("level", c("total_value") / c("n_events"))
+    d = schemas.standardised(d, {"anxiety": "level", "mood": "outcome"}, by, {"mood": sign})
+    shared = {"participant_id": ids.composite_id(c("source"), c("user_id")), "dataset_source": "source", "date": "date", "anxiety_raw": "level", "mood_raw": "outcome", "anxiety": "anxiety", "mood": "mood", "gender": labels.recode(c("gender_raw"), GENDER, F.lit("other")), "duration": "total_value", "mobility_duration": "n_events"}
+    return schemas.to_schema(d.join(v.demo, "user_id", "left"), COMMON_SCHEMA, {**shared, **own}, required=("participant_id", "anxiety_raw"))
+
+
+def mapped_a(v, by=()):
+    own = {"location_type": labels.recode(c("centre_raw"), {"Yes": "city_center"}, F.lit("suburb")), "age_group": F.lit("adult"), "fragments": "n_types", "fragments_delta": fr.delta(c("total_value"), c("n_types"), reverse=True), "is_weekend": times.is_weekend(c("date"), (4, 5)), "class": "no_such_column"}
+    return mapped(v, "studyA", own, 1, by)
+
+
+def mapped_b(v, by=()):
+    own = {"location_type": F.when(F.coalesce(F.lower(F.trim("centre_raw")), F.lit("")) != "no", "city_center").otherwise("suburb"), "age_group": F.lit("adolescent"), "class": "class_name", "is_weekend": times.is_weekend(c("date"), (5, 6))}
+    return mapped(v, "studyB", own, -1, by)
+
+
+def mapped_sql(by: bool) -> str:
+    z = lambda x: f"CASE WHEN coalesce(stddev_samp({x}) OVER w, 0) = 0 THEN CASE WHEN {x} IS NOT NULL THEN 0 END ELSE ({x} - avg({x}) OVER w) / stddev_samp({x}) OVER w END" if by else f"({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER ()"
+    w = " WINDOW w AS (PARTITION BY user_id)" if by else ""
+    one = lambda name, sign, place, age, cls, frag, delta, days: f"SELECT '{name}_' || user_id AS participant_id, '{name}' AS dataset_source, date, level AS anxiety_raw, outcome AS mood_raw, {z('level')} AS anxiety, {sign} * ({z('outcome')}) AS mood, CASE gender_raw WHEN 'F' THEN 'female' WHEN 'M' THEN 'male' ELSE 'other' END AS gender, {place} AS location_type, '{age}' AS age_group, {cls} AS class, total_value AS duration, CAST(n_events AS DOUBLE) AS mobility_duration, {frag} AS fragments, {delta} AS fragments_delta, CASE WHEN isodow(date) - 1 IN ({days}) THEN 1 ELSE 0 END AS is_weekend FROM (SELECT *, total_value / n_events AS level FROM v_daily WHERE source = '{name}') d LEFT JOIN v_demo USING (user_id){w}"
+    a = one("studyA", 1, "CASE centre_raw WHEN 'Yes' THEN 'city_center' ELSE 'suburb' END", "adult", "CAST(NULL AS VARCHAR)", "CAST(n_types AS DOUBLE)", "n_types - total_value", "4, 5")
+    b = one("studyB", -1, "CASE WHEN coalesce(lower(trim(centre_raw)), '') <> 'no' THEN 'city_center' ELSE 'suburb' END", "adolescent", "class_name", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "5, 6")
+    return f"a AS ({a}), b AS ({b}), pool AS (SELECT * FROM a UNION ALL SELECT * FROM b)"
+
+
+MAPPED = "participant_id, dataset_source, date, round(anxiety_raw, 6) AS anxiety_raw, mood_raw, round(anxiety, 6) AS anxiety, round(mood, 6) AS mood, gender, location_type, age_group, class, duration, mobility_duration, fragments, round(fragments_delta, 6) AS fragments_delta, is_weekend"
+
+
+def rounded(d):
+    return d.withColumns({x: F.round(x, 6) for x in ("anxiety_raw", "anxiety", "mood", "fragments_delta")})
+
+
+@query("po1_mapped_by_participant", f"WITH {mapped_sql(True)} SELECT {MAPPED} FROM a")
+def _(v):
+    return rounded(mapped_a(v, ("user_id",)))
+
+
+@query("po1_mapped_by_population", f"WITH {mapped_sql(False)} SELECT {MAPPED} FROM a")
+def _(v):
+    return rounded(mapped_a(v))
+
+
+@query("po2_mapped_by_participant", f"WITH {mapped_sql(True)} SELECT {MAPPED} FROM b")
+def _(v):
+    return rounded(mapped_b(v, ("user_id",)))
+
+
+@query("po2_mapped_by_population", f"WITH {mapped_sql(False)} SELECT {MAPPED} FROM b")
+def _(v):
+    return rounded(mapped_b(v))
+
+
+@query("po3_pool_by_participant", f"WITH {mapped_sql(True)} SELECT {MAPPED} FROM pool")
+def _(v):
+    return rounded(schemas.pool([mapped_a(v, ("user_id",)), mapped_b(v, ("user_id",))]))
+
+
+@query("po3_pool_by_population", f"WITH {mapped_sql(False)} SELECT {MAPPED} FROM pool")
+def _(v):
+    return rounded(schemas.pool([mapped_a(v), mapped_b(v)]))
+
+
 @query("po4_fragment_stats", f"WITH {POOL} SELECT dataset_source, count(fragments) AS n, round(avg(fragments), 6) AS mean, round(stddev_samp(fragments), 6) AS sd FROM pool GROUP BY GROUPING SETS ((dataset_source), ())")
 def _(v):
     return pooled(v).groupingSets([["dataset_source"], []], "dataset_source").agg(F.count("fragments").alias("n"), r6(F.avg("fragments"), "mean"), r6(F.stddev_samp("fragments"), "sd"))

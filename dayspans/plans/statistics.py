@@ -129,6 +129,29 @@ def _(v):
     return st.ols(v.daily, "outcome", ["total_value"]).where("term = 'total_value'").select(F.round("coef", 7).alias("coef"), r6(c("r2"), "r2"), "n")
 
 
+# Outcome by a value and a factor of three levels, of which F is the reference: the sweep operator on the cross products.
+FACTOR = """fz AS (SELECT [1.0::DOUBLE, CAST(total_value AS DOUBLE), CASE WHEN gender_raw = 'M' THEN 1 ELSE 0 END, CASE WHEN gender_raw = 'n/a' THEN 1 ELSE 0 END, CAST(outcome AS DOUBLE)] AS z FROM v_daily JOIN v_demo USING (user_id) WHERE outcome IS NOT NULL AND total_value IS NOT NULL AND gender_raw IS NOT NULL),
+fs AS (SELECT 0 AS p, [""" + ", ".join(f"sum(z[{i + 1}] * z[{j + 1}])" for i in range(5) for j in range(5)) + """] AS a FROM fz UNION ALL SELECT p + 1, list_transform(range(0, 25), lambda i: CASE WHEN i // 5 = p AND i % 5 = p THEN -1 / a[6 * p + 1] WHEN i // 5 = p OR i % 5 = p THEN a[i + 1] / a[6 * p + 1] ELSE a[i + 1] - a[5 * (i // 5) + p + 1] * a[5 * p + i % 5 + 1] / a[6 * p + 1] END) FROM fs WHERE p < 4),
+ff AS (SELECT max(a) FILTER (WHERE p = 0) AS a0, max(a) FILTER (WHERE p = 2) AS a2, max(a) FILTER (WHERE p = 4) AS a4 FROM fs),
+fm AS (SELECT a0[1] AS n, a4, a4[25] AS rss, a2[25] AS rss2, a0[25] - a0[5] * a0[5] / a0[1] AS tss FROM ff),
+ft AS (SELECT *, unnest(range(0, 4)) AS i FROM fm)"""
+
+
+def factors(v):
+    return st.factor_model(v.daily.join(v.demo, "user_id"), "outcome", ["total_value"], {"gender_raw": "F"})
+
+
+@query("st9_factor_terms", f"WITH RECURSIVE {FACTOR} SELECT ['intercept', 'total_value', 'gender_raw[M]', 'gender_raw[n/a]'][i + 1] AS term, round(a4[5 * i + 5], 6) AS coef, round(sqrt(-a4[6 * i + 1] * rss / (n - 4)), 6) AS se, round(a4[5 * i + 5] / sqrt(-a4[6 * i + 1] * rss / (n - 4)), 5) AS t, CAST(n AS BIGINT) AS n, round(1 - rss / tss, 6) AS r2 FROM ft")
+def _(v):
+    return factors(v)[0].select("term", r6(c("coef"), "coef"), r6(c("se"), "se"), F.round("t", 5).alias("t"), "n", r6(c("r2"), "r2"))
+
+
+@query("st9_factor_tests", f"WITH RECURSIVE {FACTOR}, fq AS (SELECT 'gender_raw' AS factor, 2.0::DOUBLE AS df1, n - 4 AS df2, (rss2 - rss) / 2 / (rss / (n - 4)) AS f FROM fm UNION ALL SELECT 'model', 3, n - 4, (tss - rss) / 3 / (rss / (n - 4)) FROM fm) SELECT factor, df1, df2, round(f, 5) AS f, CASE WHEN df1 = 2 THEN round(pow(1 + 2 * f / df2, -df2 / 2), 6) END AS p FROM fq")
+def _(v):
+    """The p of two degrees of freedom has a closed form, which the SQL takes; the model's, of three, is left out in both."""
+    return factors(v)[1].select("factor", "df1", "df2", F.round("f", 5).alias("f"), F.when(c("df1") == 2, F.round("p", 6)).alias("p"))
+
+
 # Per outcome and predictor four steps: the predictor, its control, a place and a gender as 0 and 1.
 OUTCOMES, PREDICTORS = ["outcome", "log_value", "hour", "spread"], {"total_value": "n_events", "n_types": "n_events", "first_hour": "n_types"}
 REG = f"(SELECT d.user_id, outcome, ln(1 + total_value) AS log_value, total_value, n_events, n_types, first_hour, hour, spread, CASE centre_raw WHEN 'Yes' THEN 1 ELSE 0 END AS centre, CASE gender WHEN 'female' THEN 1 WHEN 'male' THEN 0 END AS female FROM {JOINED} d JOIN (SELECT user_id, CAST(ts AS DATE) AS date, CAST(min(hour(ts)) AS DOUBLE) AS first_hour, avg(hour(ts)) AS hour, max(value) - min(value) AS spread FROM events GROUP BY ALL) h ON h.user_id = d.user_id AND h.date = d.date)"
