@@ -135,6 +135,20 @@ def _(v):
     return files.read_newer(v.spark, path, "event_id long, date date", done).select("date", "event_id")
 
 
+@query("sc12_manifest", "WITH d AS (SELECT event_id, CAST(event_id % 3 AS INTEGER) AS part FROM v_points) SELECT part + 1 AS run, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first, max(event_id) AS last FROM d WHERE part < 2 GROUP BY part UNION ALL SELECT 3, 0, NULL, NULL")
+def _(v):
+    """Two deliveries, each taken up once however close in time, and a run that finds nothing new."""
+    path, manifest, out = place(v, "delivered"), place(v, "manifest"), place(v, "taken")
+    d = v.points.select("event_id", (c("event_id") % 3).cast("int").alias("part"))
+    for run in (1, 2, 3):
+        if run < 3:
+            d.where(c("part") == run - 1).select("event_id").write.mode("append").parquet(path)
+        files.take_up(v.spark, path, manifest, lambda paths: v.spark.read.schema("event_id long").parquet(*paths), lambda x: x.write.mode("overwrite").parquet(f"{out}/run={run}"), str(run))  # noqa: B023
+    taken = v.spark.read.schema("event_id long, run int").parquet(out).groupBy("run").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    runs = v.spark.createDataFrame([(i,) for i in (1, 2, 3)], "run int")
+    return runs.join(taken, "run", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 @query("sc13_rejects", "SELECT event_id, CASE WHEN accuracy > 100 THEN 'rejected' ELSE 'kept' END AS kind FROM v_gps")
 def _(v):
     kept, rejected = files.split_rejects(v.gps, c("accuracy") > 100)
@@ -146,6 +160,16 @@ def _(v):
     return files.quality_counters(v.gps, c("accuracy") <= 100, ["user_id", "date"])
 
 
+@query("sc14_counts_in_flight", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE accuracy <= 100) AS n_kept, round(100.0::DOUBLE * count(*) FILTER (WHERE accuracy <= 100) / count(*), 6) AS pct_kept, count(*) FILTER (WHERE source = 'phone') AS n_phone, count(*) FILTER (WHERE accuracy <= 100) AS n_written FROM v_gps")
+def _(v):
+    path = place(v, "counted")
+    seen = files.write_counted(v.gps.select("event_id", "accuracy", "source"), path, c("accuracy") <= 100, {"n_phone": (c("source") == "phone").cast("long")})
+    row = [(seen["n_rows"], seen["n_kept"], round(seen["pct_kept"], 6), seen["n_phone"])] if seen["n_rows"] else [(0, 0, None, 0)]
+    report = v.spark.createDataFrame(row, "n_rows long, n_kept long, pct_kept double, n_phone long")
+    written = v.spark.read.schema("event_id long").parquet(path).agg(F.count("*").alias("n_written"))
+    return report.crossJoin(F.broadcast(written))
+
+
 @query("sc15_constant_columns", "SELECT 'studyA' AS study, user_id, 'gps' AS kind FROM v_demo")
 def _(v):
     return v.demo.select(F.lit("studyA").alias("study"), "user_id").withColumn("kind", F.lit("gps"))
