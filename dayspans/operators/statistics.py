@@ -327,6 +327,34 @@ def random_intercept(df: DataFrame, y: str, xs: list[str], group: str) -> DataFr
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def anova_icc(df: DataFrame, y: str, group: str) -> DataFrame:
+    """ST14: variance components of groups and rows from the mean squares, and the share of the groups (ICC).
+
+    One row: n, n_groups, n0 (the groups' size that unequal ones amount to), ms_between, ms_within, group_var (0 if
+    negative), residual_var, icc. Two passes of sums: per group, then over all groups; nothing is collected.
+    """
+    g = df.where(F.col(y).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(y).alias("m"), F.avg(y).alias("mean"), F.var_pop(y).alias("var"))
+    m, mean = F.col("m"), F.col("mean")
+    t = g.agg(F.sum("m").alias("n"), F.count("*").alias("n_groups"), F.sum(m * m).alias("mm"), F.sum(m * mean).alias("s"), F.sum(m * mean * mean).alias("ss"), F.sum(m * F.col("var")).alias("within"))
+    n, k = F.col("n"), F.col("n_groups")
+    t = t.where((k > 1) & (n > k)).withColumns({"n0": (n - F.col("mm") / n) / (k - 1), "ms_between": (F.col("ss") - F.col("s") * F.col("s") / n) / (k - 1), "ms_within": F.col("within") / (n - k)})
+    t = t.withColumns({"group_var": F.greatest((F.col("ms_between") - F.col("ms_within")) / F.col("n0"), F.lit(0.0)), "residual_var": F.col("ms_within")})
+    return t.select("n", "n_groups", "n0", "ms_between", "ms_within", "group_var", "residual_var", (F.col("group_var") / (F.col("group_var") + F.col("residual_var"))).alias("icc"))
+
+
+def slope_bands(df: DataFrame, level: str, x: str, y: str, points: int = 20, confidence: float = 0.95, min_n: int = 10) -> DataFrame:
+    """ST17: per level the line of y on x at ``points`` evenly spaced x from its least to its greatest, with the confidence
+    band of the line: fit, low and high, by its standard error there and the t quantile of n - 2."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    g = both.groupBy(level).agg(F.count("*").alias("n"), F.avg(F.col(x).cast("double")).alias("mean"), F.min(F.col(x).cast("double")).alias("lo"), F.max(F.col(x).cast("double")).alias("hi"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy")).where((F.col("n") >= min_n) & (F.col("sxx") > 0))
+    s2 = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2)
+    g = g.withColumns({"s2": s2, "t": t_quantile(F.lit((1 + confidence) / 2), (F.col("n") - 2).cast("double"))})
+    g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    half = F.col("t") * F.sqrt(F.col("s2") * (1 / F.col("n") + F.pow(F.col("x") - F.col("mean"), 2) / F.col("sxx")))
+    fit = F.col("intercept") + F.col("slope") * F.col("x")
+    return g.select(level, "i", "x", fit.alias("fit"), (fit - half).alias("low"), (fit + half).alias("high"))
+
+
 def within_between(df: DataFrame, x: str, group: str, category: str) -> tuple[DataFrame, list[str]]:
     """ST12, ST15: the group's mean of x less the grand mean, x less the group's mean, a 0/1 category, and its products with both."""
     grand = df.agg(F.avg(x).alias("_g"))

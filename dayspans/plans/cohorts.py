@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, labels, missing, times
+from ..functions import ids, labels, missing, quantiles, times
 from ..operators import fragmentation as fr
 from ..operators import joins as jn
 from ..operators import questionnaires as qn
@@ -196,7 +196,8 @@ def _(v):
 
 @query("ag6_quantiles", "SELECT source, round(quantile_cont(total_value, 0.05), 6) AS q05, round(quantile_cont(total_value, 0.5), 6) AS q50, round(quantile_cont(total_value, 0.95), 6) AS q95 FROM v_daily GROUP BY source")
 def _(v):
-    return v.daily.groupBy("source").agg(*[r6(F.percentile("total_value", F.lit(p)), n) for p, n in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))])
+    q = quantiles.group_percentiles(v.daily, ["source"], "total_value", [0.05, 0.5, 0.95], "q")
+    return q.select("source", *[F.round(c("q")[i], 6).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
 
 @query("ag7_mode", "WITH n AS (SELECT user_id, travel_mode, count(*) AS n FROM v_points GROUP BY ALL) SELECT user_id, first(travel_mode ORDER BY n DESC, travel_mode) AS top FROM n GROUP BY user_id")
@@ -648,8 +649,13 @@ def _(v):
 
 @query("po5_duration_distribution", f"WITH {POOL} SELECT dataset_source, count(duration) AS n, round(avg(duration), 6) AS mean, round(stddev_samp(duration), 6) AS sd, min(duration) AS min, max(duration) AS max, " + ", ".join(f"round(quantile_cont(duration, {q}), 6) AS {n}" for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))) + ", count(*) FILTER (WHERE duration = 0) AS n_zero, count(*) FILTER (WHERE duration > 1440) AS n_over_day FROM pool GROUP BY GROUPING SETS ((dataset_source), ())")
 def _(v):
-    q = lambda p, n: r6(F.percentile("duration", F.lit(p)), n)
-    return pooled(v).groupingSets([["dataset_source"], []], "dataset_source").agg(F.count("duration").alias("n"), r6(F.avg("duration"), "mean"), r6(F.stddev_samp("duration"), "sd"), F.min("duration").alias("min"), F.max("duration").alias("max"), q(0.25, "q25"), q(0.5, "median"), q(0.75, "q75"), F.count_if(c("duration") == 0).alias("n_zero"), F.count_if(c("duration") > 1440).alias("n_over_day"))
+    """The quartiles of each study and of the pool, as which every row counts once more, come from brackets and ranks."""
+    d = pooled(v).select("dataset_source", "duration")
+    g = d.groupingSets([["dataset_source"], []], "dataset_source").agg(F.count("duration").alias("n"), r6(F.avg("duration"), "mean"), r6(F.stddev_samp("duration"), "sd"), F.min("duration").alias("min"), F.max("duration").alias("max"), F.count_if(c("duration") == 0).alias("n_zero"), F.count_if(c("duration") > 1440).alias("n_over_day"))
+    both = d.withColumn("dataset_source", F.explode(F.array(c("dataset_source"), F.lit(None))))
+    q = quantiles.group_percentiles(both, ["dataset_source"], "duration", [0.25, 0.5, 0.75], "q").withColumnRenamed("dataset_source", "of")
+    quartiles = [F.round(c("q")[i], 6).alias(n) for i, n in enumerate(("q25", "median", "q75"))]
+    return g.join(q, c("dataset_source").eqNullSafe(c("of")), "left").select("dataset_source", "n", "mean", "sd", "min", "max", *quartiles, "n_zero", "n_over_day")
 
 
 BREAKDOWN = ("dataset_source", "gender", "location_type", "age_group", "is_weekend")

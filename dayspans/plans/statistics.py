@@ -208,6 +208,12 @@ def _(v):
     return st.random_intercept(v.daily, "outcome", [], "user_id").select(F.round("icc", 6).alias("icc"), "n", "n_groups")
 
 
+@query("st14_anova_icc", "WITH g AS (SELECT user_id, count(outcome) AS m, avg(outcome) AS mean, var_pop(outcome) AS var FROM v_daily WHERE outcome IS NOT NULL GROUP BY user_id), t AS (SELECT sum(m) AS n, count(*) AS k, sum(m * m) AS mm, sum(m * mean) AS s, sum(m * mean * mean) AS ss, sum(m * var) AS w FROM g), v AS (SELECT *, (n - mm / n::DOUBLE) / (k - 1) AS n0, (ss - s * s / n) / (k - 1) AS msb, w / (n - k) AS msw FROM t) SELECT CAST(n AS BIGINT) AS n, k AS n_groups, round(n0, 6) AS n0, round(msb, 4) AS ms_between, round(msw, 4) AS ms_within, round(greatest((msb - msw) / n0, 0), 5) AS group_var, round(msw, 4) AS residual_var, round(greatest((msb - msw) / n0, 0) / (greatest((msb - msw) / n0, 0) + msw), 6) AS icc FROM v")
+def _(v):
+    d = st.anova_icc(v.daily, "outcome", "user_id")
+    return d.select("n", "n_groups", r6(c("n0"), "n0"), *[F.round(x, 4).alias(x) for x in ("ms_between", "ms_within", "residual_var")], F.round("group_var", 5).alias("group_var"), r6(c("icc"), "icc"))
+
+
 def interaction(v, outcome):
     d, terms = st.within_between(regression(v), "total_value", "user_id", "female")
     return st.random_intercept(d.where("female is not null"), outcome, terms, "user_id")
@@ -239,6 +245,20 @@ def _(v):
     return s.select("source", "n", F.round("slope", 7).alias("slope"), r6(c("intercept"), "intercept"), F.round("se", 7).alias("se"))
 
 
+# The t quantile by bisection on the integrated density, once per level.
+BANDS = f"""g AS (SELECT source, count(*) AS n, avg(CAST(total_value AS DOUBLE)) AS m, min(CAST(total_value AS DOUBLE)) AS lo, max(CAST(total_value AS DOUBLE)) AS hi, regr_slope(outcome, total_value) AS b, regr_intercept(outcome, total_value) AS a, regr_sxx(outcome, total_value) AS sxx, regr_syy(outcome, total_value) AS syy, regr_sxy(outcome, total_value) AS sxy FROM v_daily WHERE outcome IS NOT NULL GROUP BY source HAVING count(*) >= 10),
+q AS (SELECT source, 0 AS turn, 0.0::DOUBLE AS lt, 100.0::DOUBLE AS ht, (n - 2)::DOUBLE AS df FROM g UNION ALL SELECT source, turn + 1, CASE WHEN p > 0.05 THEN mid ELSE lt END, CASE WHEN p > 0.05 THEN ht ELSE mid END, df FROM (SELECT *, {tp('mid', 'df')} AS p FROM (SELECT *, (lt + ht) / 2 AS mid FROM q)) WHERE turn < 50),
+k AS (SELECT g.*, (lt + ht) / 2 AS t, greatest(syy - b * sxy, 0) / (n - 2) AS s2, unnest(range(0, 20)) AS i FROM g JOIN q USING (source) WHERE turn = 50),
+x AS (SELECT *, lo + (hi - lo) * i / 19 AS x FROM k),
+h AS (SELECT *, a + b * x AS fit, t * sqrt(s2 * (1 / n::DOUBLE + pow(x - m, 2) / sxx)) AS half FROM x)"""
+
+
+@query("st17_slope_bands", f"WITH RECURSIVE {BANDS} SELECT source, CAST(i AS INTEGER) AS i, round(x, 5) AS x, round(fit, 5) AS fit, round(fit - half, 4) AS low, round(fit + half, 4) AS high FROM h")
+def _(v):
+    d = st.slope_bands(v.daily, "source", "total_value", "outcome")
+    return d.select("source", "i", F.round("x", 5).alias("x"), F.round("fit", 5).alias("fit"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
 @query("st18_marginal_effects", "WITH s AS (SELECT source, regr_slope(outcome, total_value) AS b, sqrt((regr_syy(outcome, total_value) - regr_slope(outcome, total_value) * regr_sxy(outcome, total_value)) / (count(*) - 2) / regr_sxx(outcome, total_value)) AS se FROM v_daily GROUP BY source), w AS (SELECT max(b) FILTER (WHERE source = 'studyA') AS b1, max(b) FILTER (WHERE source = 'studyB') AS b2, max(se) FILTER (WHERE source = 'studyA') AS s1, max(se) FILTER (WHERE source = 'studyB') AS s2 FROM s) SELECT round(b1, 7) AS ref, round(b2 - b1, 7) AS change, round(b2 - b1 - 1.96 * sqrt(s1 * s1 + s2 * s2), 7) AS low, round(b2 - b1 + 1.96 * sqrt(s1 * s1 + s2 * s2), 7) AS high FROM w")
 def _(v):
     s = st.simple_slopes(v.daily, "source", "total_value", "outcome")
@@ -263,6 +283,21 @@ def _(v):
     return v.daily.agg(r6(F.avg(a), "mean_a"), r6(F.avg(b), "mean_b"), r6(F.stddev_samp(a) / F.stddev_samp(b), "sd_ratio"), r6(F.avg(a) - F.avg(b), "mean_diff"))
 
 
+AGES = "(SELECT CASE source WHEN 'studyA' THEN 'adult' ELSE 'adolescent' END AS age_group, total_value, outcome, CAST(n_events AS DOUBLE) AS n_events FROM v_daily)"
+
+
+@query("st20_age_groups", f"WITH d AS (SELECT age_group, unnest(['total_value', 'outcome', 'n_events']) AS metric, unnest([total_value, outcome, n_events]) AS x FROM {AGES}), g AS (SELECT metric, count(x) FILTER (WHERE age_group = 'adolescent') AS n_adolescent, count(x) FILTER (WHERE age_group = 'adult') AS n_adult, avg(x) FILTER (WHERE age_group = 'adolescent') AS m1, avg(x) FILTER (WHERE age_group = 'adult') AS m2, stddev_samp(x) FILTER (WHERE age_group = 'adolescent') AS s1, stddev_samp(x) FILTER (WHERE age_group = 'adult') AS s2 FROM d GROUP BY metric) SELECT metric, n_adolescent, n_adult, round(m1, 6) AS mean_adolescent, round(m2, 6) AS mean_adult, round(s1, 6) AS sd_adolescent, round(s2, 6) AS sd_adult, round(m1 - m2, 6) AS mean_diff, round(s1 / s2, 6) AS sd_ratio FROM g")
+def _(v):
+    """n, mean and SD of each measure per age group, their difference and the ratio of the SDs."""
+    d = v.daily.select(F.when(c("source") == "studyA", "adult").otherwise("adolescent").alias("age_group"), c("total_value").cast("double").alias("total_value"), "outcome", c("n_events").cast("double").alias("n_events"))
+    d = d.unpivot(["age_group"], ["total_value", "outcome", "n_events"], "metric", "x")
+    ages = ("adolescent", "adult")
+    own = {a: F.when(c("age_group") == a, c("x")) for a in ages}
+    g = d.groupBy("metric").agg(*[F.count(x).alias(f"n_{a}") for a, x in own.items()], *[F.avg(x).alias(f"mean_{a}") for a, x in own.items()], *[F.stddev_samp(x).alias(f"sd_{a}") for a, x in own.items()])
+    both = r6(c("mean_adolescent") - c("mean_adult"), "mean_diff"), r6(c("sd_adolescent") / c("sd_adult"), "sd_ratio")
+    return g.select("metric", "n_adolescent", "n_adult", *[r6(c(f"{k}_{a}"), f"{k}_{a}") for k in ("mean", "sd") for a in ages], *both)
+
+
 @query("st21_check_standardisation", "WITH z AS (SELECT user_id, (total_value - avg(total_value) OVER ()) / stddev_samp(total_value) OVER () AS z FROM v_daily), g AS (SELECT user_id, 'participant' AS level, count(z) AS n, avg(z) AS mean, stddev_samp(z) AS sd, 0.1 AS lim FROM z GROUP BY user_id UNION ALL SELECT NULL, 'population', count(z), avg(z), stddev_samp(z), 0.01 FROM z UNION ALL SELECT user_id + 1000000000, 'participant', count(x), avg(x), stddev_samp(x), 0.1 FROM (SELECT user_id, total_value / 97 AS x FROM v_daily) r GROUP BY user_id UNION ALL SELECT NULL, 'population', count(x), avg(x), stddev_samp(x), 0.01 FROM (SELECT total_value / 97 AS x FROM v_daily) r) SELECT user_id, level, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM g WHERE n > 1 AND (abs(mean) > lim OR abs(sd - 1) > lim)")
 def _(v):
     """What is standardised over all rows, and what is not at all (ids above 10^9), of which the population is listed too."""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayspans.functions import times
+from dayspans.functions import quantiles, times
 from dayspans.operators import joins, schemas, statistics
 
 
@@ -116,3 +116,48 @@ def test_both_standardisations(spark):
     x = np.array([1.0, 3, 5, 2, 2])
     z = [r["z"] for r in schemas.standardised(d, {"z": "raw"}).collect()]
     assert sorted(round(v, 9) for v in z if v is not None) == sorted(np.round((x - x.mean()) / x.std(), 9)) and z.count(None) == 1
+
+
+@pytest.mark.parametrize(("small", "groups"), [(50_000, 50_000), (100, 50_000), (100, 0)])
+def test_group_percentiles(spark, monkeypatch, small, groups):
+    """Ranks found in brackets or among all values, rows per group broadcast or joined: those of numpy."""
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    monkeypatch.setattr(quantiles, "GROUPS", groups)
+    monkeypatch.setattr(quantiles, "MARGIN", 2e-2)  # wide enough for groups of a hundred values
+    rng = np.random.default_rng(3)
+    own = {"a": rng.normal(size=2000).tolist(), "b": [1.0, 2.0, 2.0], None: np.round(rng.normal(size=900), 1).tolist(), "c": [5.0]}
+    rows = [(k, x) for k, v in own.items() for x in v] + [("a", None), ("d", None), ("b", float("nan"))]
+    shares = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = quantiles.group_percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", shares).collect()
+    assert {r["g"] for r in got} == set(own)
+    for r in got:
+        assert r["quantiles"] == pytest.approx(np.quantile(own[r["g"]], shares).tolist())
+    assert quantiles.group_percentiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", shares).count() == 0
+
+
+def test_anova_icc_agrees_with_reml_on_balanced_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(u + e)) for g, u in enumerate(rng.normal(0, 2, 40)) for e in rng.normal(0, 1, 6)]
+    d = spark.createDataFrame([*rows, (99, None), (None, 1.0)], "g int, y double")
+    a = statistics.anova_icc(d, "y", "g").first()
+    r = statistics.random_intercept(d.dropna(), "y", [], "g").first()
+    assert a["n"] == 240 and a["n_groups"] == 40 and a["n0"] == pytest.approx(6)
+    assert a["icc"] == pytest.approx(r["icc"], abs=1e-5) and a["group_var"] == pytest.approx(r["group_var"], rel=1e-4)
+    uneven = spark.createDataFrame([(g, float(g % 2)) for g in range(9) for _ in range(g % 3 + 1)], "g int, y double")
+    m = np.array([g % 3 + 1 for g in range(9)])
+    assert statistics.anova_icc(uneven, "y", "g").first()["n0"] == pytest.approx((m.sum() - (m**2).sum() / m.sum()) / 8)
+    assert statistics.anova_icc(d.where("g = 1"), "y", "g").count() == 0
+
+
+def test_slope_bands(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 5, 30)
+    y = 1 + 2 * x + rng.normal(size=30)
+    d = spark.createDataFrame([("a", float(p), float(q)) for p, q in zip(x, y)] + [("a", None, 1.0), ("b", 1.0, 1.0)], "g string, x double, y double")
+    got = statistics.slope_bands(d, "g", "x", "y", points=5).orderBy("i").collect()
+    b, a = np.polyfit(x, y, 1)
+    grid = np.linspace(x.min(), x.max(), 5)
+    s2, sxx, t = ((y - a - b * x) ** 2).sum() / 28, ((x - x.mean()) ** 2).sum(), 2.048407141795
+    half = t * np.sqrt(s2 * (1 / 30 + (grid - x.mean()) ** 2 / sxx))
+    assert [r["g"] for r in got] == ["a"] * 5
+    assert np.allclose([r["fit"] for r in got], a + b * grid) and np.allclose([r["high"] for r in got], a + b * grid + half) and np.allclose([r["low"] for r in got], a + b * grid - half)
