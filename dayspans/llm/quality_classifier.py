@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,27 +137,48 @@ def features(p: Parts) -> np.ndarray:
     return out
 
 
-def em(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray]:
+def start_table() -> np.ndarray:
+    """The belief that EM starts from, P(vote | class) as [labeller, class, vote + 1]: it says which class is the bad one."""
+    table = np.empty((len(LABELLERS), 2, 3))
+    for c, bad in enumerate((BAD_ON_GOOD, BAD_ON_BAD)):
+        table[:, c] = bad, (1 - bad) / 4, (1 - bad) * 3 / 4
+    return table
+
+
+def em(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shares of good and bad documents, P(vote | class) as [labeller, class, vote + 1]) from vote patterns and their counts.
 
-    Every probability is estimated. The belief that EM starts from, worth BELIEF documents, only says which class is
-    the bad one and keeps probabilities of unseen votes above 0.
+    Every probability is estimated. The belief that EM starts from, worth BELIEF documents, keeps probabilities of unseen
+    votes above 0.
     """
-    v = np.array([p for p, _ in patterns]).reshape(len(patterns), -1) + 1
-    n = np.array([c for _, c in patterns], float)
-    k = v.shape[1]
-    start = np.empty((k, 2, 3))
-    for c, bad in enumerate((BAD_ON_GOOD, BAD_ON_BAD)):
-        start[:, c] = bad, (1 - bad) / 4, (1 - bad) * 3 / 4
+    start = start_table()
     table, share, balance = start, np.array([SHARE_GOOD, 1 - SHARE_GOOD]), np.array([SHARE_GOOD, 1 - SHARE_GOOD])
     for _ in range(EM_ROUNDS):
-        p = posteriors(share, table, v - 1) * n[:, None]
+        p = posteriors(share, table, v) * n[:, None]
         share = (p.sum(0) + BELIEF * balance) / (n.sum() + BELIEF)
-        table = np.array([[np.bincount(v[:, j], weights=p[:, c], minlength=3) + BELIEF * start[j, c] for c in (0, 1)] for j in range(k)])
+        cells = [[np.bincount(v[:, j] + 1, weights=p[:, c], minlength=3) for c in (0, 1)] for j in range(v.shape[1])]
+        table = np.array(cells) + BELIEF * start
         table /= table.sum(2, keepdims=True)
     return share, table
 
 
+def estimated(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """``em`` over a table of patterns (votes) and their counts (n), in one task: the labellers can make 3^14 patterns and no
+    more, whatever the corpus, each of 14 bytes and a count. None without patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, n = [], []
+        for batch in batches:
+            v.append(batch.column(0).flatten().to_numpy().reshape(len(batch), -1).astype(np.int8))
+            n.append(batch.column(1).to_numpy().astype(float))
+        if sum(map(len, n)):
+            share, table = em(np.concatenate(v), np.concatenate(n))
+            yield pa.RecordBatch.from_pydict({"share": [share.tolist()], "cells": [table.ravel().tolist()]})
+
+    row = patterns.repartition(1).sortWithinPartitions("votes").mapInArrow(run, "share array<double>, cells array<double>").first()
+    return (np.array(row["share"]), np.array(row["cells"]).reshape(len(LABELLERS), 2, 3)) if row else None
+
+
 def posteriors(share: np.ndarray, table: np.ndarray, v: np.ndarray) -> np.ndarray:
     """P(class | votes), a row per pattern."""
     logs = np.log(share) + np.stack([np.log(table[np.arange(v.shape[1]), c, v + 1]).sum(1) for c in range(len(share))], axis=1)
@@ -188,16 +210,17 @@ def voted(docs: DataFrame, text_col: str) -> DataFrame:
 def train(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scorer's weights, shares of good and bad, vote table). Uses no labels.
 
-    EM counts the votes of all rows, so repeated rows count as often as they occur. The scorer fits on about TRAIN_TEXTS
+    EM counts the votes of all rows, so repeated rows count as often as they occur; the patterns of votes, of which
+    there is a bounded number, meet in one task and never on the driver. The scorer fits on about TRAIN_TEXTS
     distinct texts, chosen by a hash of the text, each counted once however often it occurs: its features are made in
     parallel and gathered in one task. Null texts are empty ones. An empty table gives weights of 0, that is scores of
     one half; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = voted(docs.select(text.alias("text")), "text").groupBy("votes").count().collect()
-    if not counted:
+    found = estimated(voted(docs.select(text.alias("text")), "text").groupBy("votes").agg(F.count("*").alias("n")))
+    if found is None:
         return np.zeros(DIMS + 1), np.array([SHARE_GOOD, 1 - SHARE_GOOD]), np.full((len(LABELLERS), 2, 3), 1 / 3)
-    share, table = em([(tuple(r["votes"]), r["count"]) for r in counted])
+    share, table = found
     hashed = F.xxhash64(F.lit("fit"), text)
     n = docs.select(F.approx_count_distinct(hashed, 0.02)).first()[0]
     sample = docs.where(sampled(hashed, TRAIN_TEXTS, n)).select(text.alias("text")).distinct()

@@ -497,6 +497,34 @@ def test_quality_rules_keep_prose_of_every_length(spark):
     assert all(r["n"] < 20 or r["kept"] >= 0.98 * r["n"] for r in m.groupBy("band").agg(F.count("*").alias("n"), F.count_if("rules.kept").alias("kept")).collect())
 
 
+def test_em_matches_brute_force(spark):
+    """Document by document in plain Python, for a few rounds, and by the patterns' table."""
+    import math
+
+    rng = random.Random(51)
+    rows = [[rng.choice([-1, 0, 1]) if rng.random() < 0.3 else (1 if i % 4 else -1) for _ in quality_classifier.LABELLERS] for i in range(120)]
+    start = quality_classifier.start_table()
+    share, table = [quality_classifier.SHARE_GOOD, 1 - quality_classifier.SHARE_GOOD], start
+    balance, b = list(share), quality_classifier.BELIEF
+    for _ in range(quality_classifier.EM_ROUNDS):
+        weight, cells = [0.0, 0.0], np.zeros(start.shape)
+        for v in rows:
+            logs = [math.log(share[c]) + sum(math.log(table[j, c, x + 1]) for j, x in enumerate(v)) for c in (0, 1)]
+            p = [1 / (1 + math.exp(logs[1 - c] - logs[c])) if logs[1 - c] - logs[c] < 700 else 0.0 for c in (0, 1)]
+            for c in (0, 1):
+                weight[c] += p[c]
+                for j, x in enumerate(v):
+                    cells[j, c, x + 1] += p[c]
+        share = [(weight[c] + b * balance[c]) / (len(rows) + b) for c in (0, 1)]
+        table = cells + b * start
+        table = table / table.sum(2, keepdims=True)
+    counted = Counter(map(tuple, rows))
+    frame = spark.createDataFrame([(list(v), n) for v, n in counted.items()], "votes array<int>, n long").repartition(5)
+    got = quality_classifier.estimated(frame)
+    assert np.allclose(got[0], share) and np.allclose(got[1], table) and 0.6 < got[0][0] < 0.9
+    assert quality_classifier.estimated(frame.where("false")) is None
+
+
 def test_quality_classifier_agrees_with_labels(spark, nothing):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000")
     w, share, table = quality_classifier.train(d)
