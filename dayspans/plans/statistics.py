@@ -197,13 +197,37 @@ def _(v):
     return v.daily.crossJoin(F.broadcast(grand)).select("user_id", "date", r6(own, "person_mean"), r6(c("total_value") - own, "deviation"), r6(c("outcome") - c("g"), "centred"))
 
 
-@query("st13_random_intercept")
+def reml_sql(y: str, x: str | None) -> str:
+    """SQL: the restricted likelihood of a random intercept from each group's sums, added up by group size; its top on the
+    same scale of log variance ratio, narrowed in by recursion; then coefficients by the inverse of two by two sums."""
+    x = f"CAST({x} AS DOUBLE)" if x else "0.0::DOUBLE"
+    k = 2 if x != "0.0::DOUBLE" else 1
+    det = "(a00 * a11 - a01 * a01)" if k == 2 else "a00"
+    solved = "(b0 * a11 - b1 * a01) / (a00 * a11 - a01 * a01) AS k0, (a00 * b1 - a01 * b0) / (a00 * a11 - a01 * a01) AS k1" if k == 2 else "b0 / a00 AS k0, 0.0::DOUBLE AS k1"
+    sums = ", ".join(f"sum({p} - theta / (1 + size * theta) * {q}) AS {n}" for p, q, n in (("p00", "s00", "a00"), ("p01", "s01", "a01"), ("p11", "s11", "a11"), ("q0", "c0", "b0"), ("q1", "c1", "b1"), ("yy", "qq", "ry")))
+
+    def fitted(source: str, keys: str) -> str:
+        return f"SELECT *, -0.5 * ((n - {k}) * (ln(2 * pi() * s2) + 1) + lg + ln({det})) AS ll FROM (SELECT *, greatest((ry - k0 * b0 - k1 * b1) / (n - {k}), 1e-300) AS s2 FROM (SELECT *, {solved} FROM (SELECT {keys}, theta, {sums}, sum(g * ln(1 + size * theta)) AS lg, sum(size * g) AS n, sum(g) AS groups FROM {source}, zz GROUP BY {keys}, theta)))"
+
+    trial = "(SELECT turn, lo, hi, lt, i, exp(lo + (hi - lo) * i / 11) AS theta FROM rr, (SELECT unnest(range(0, 12)) AS i) WHERE turn < 12)"
+    return f"""gg AS (SELECT user_id, count(*)::DOUBLE AS m, sum({x}) AS sx, sum({x} * {x}) AS sxx, sum({y}) AS sy, sum({x} * {y}) AS sxy, sum({y} * {y}) AS syy FROM v_daily WHERE {y} IS NOT NULL AND ({x}) IS NOT NULL GROUP BY user_id),
+zz AS (SELECT m AS size, count(*)::DOUBLE AS g, sum(m) AS p00, sum(sx) AS p01, sum(sxx) AS p11, sum(m * m) AS s00, sum(m * sx) AS s01, sum(sx * sx) AS s11, sum(sy) AS q0, sum(sxy) AS q1, sum(m * sy) AS c0, sum(sx * sy) AS c1, sum(syy) AS yy, sum(sy * sy) AS qq FROM gg GROUP BY m),
+rr AS (SELECT 0 AS turn, -12.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, 0.0::DOUBLE AS lt UNION ALL SELECT turn + 1, lo + (hi - lo) * greatest(best - 1, 0) / 11, lo + (hi - lo) * least(best + 1, 11) / 11, lo + (hi - lo) * best / 11 FROM (SELECT turn, lo, hi, arg_max(i, ll) AS best FROM ({fitted(trial, 'turn, lo, hi, lt, i')}) GROUP BY turn, lo, hi)),
+ends AS (SELECT exp(lt) AS theta, 1 AS which, hi - lo AS width FROM rr WHERE turn = 12 UNION ALL SELECT 0, 0, 0 FROM rr WHERE turn = 12),
+fin AS (SELECT *, theta * s2 AS gv, {det} AS det FROM (SELECT *, row_number() OVER (ORDER BY ll DESC, which) AS place FROM ({fitted('ends', 'which, width')})) WHERE place = 1)"""
+
+
+NORMAL_P = "greatest(0.0::DOUBLE, 1 - 2 * abs({z}) / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * i / 2000.0::DOUBLE, 2) / 2))))"
+ST13 = "SELECT term, round(coef, 5) AS coef, round(se, 5) AS se, round(coef / se, 5) AS z, round(" + NORMAL_P.format(z="(coef / se)") + ", 5) AS p, round(gv, 5) AS group_var, round(s2, 5) AS residual_var, round(theta / (1 + theta), 5) AS icc, round(ll, 3) AS ll, round(8 - 2 * ll, 3) AS aic, round(4 * ln(n) - 2 * ll, 3) AS bic, CAST(n AS BIGINT) AS n, CAST(groups AS BIGINT) AS n_groups, which = 0 OR width < 0.00001 AS converged FROM (SELECT *, 'intercept' AS term, k0 AS coef, sqrt(a11 / det * s2) AS se FROM fin UNION ALL SELECT *, 'total_value', k1, sqrt(a00 / det * s2) FROM fin)"
+
+
+@query("st13_random_intercept", f"WITH RECURSIVE {reml_sql('outcome', 'total_value')} {ST13}")
 def _(v):
     m = st.random_intercept(v.daily, "outcome", ["total_value"], "user_id")
     return m.select("term", *[F.round(x, 5).alias(x) for x in ("coef", "se", "z", "p", "group_var", "residual_var", "icc")], *[F.round(x, 3).alias(x) for x in ("ll", "aic", "bic")], "n", "n_groups", "converged")
 
 
-@query("st14_icc")
+@query("st14_icc", f"WITH RECURSIVE {reml_sql('outcome', None)} SELECT round(theta / (1 + theta), 6) AS icc, CAST(n AS BIGINT) AS n, CAST(groups AS BIGINT) AS n_groups FROM fin")
 def _(v):
     return st.random_intercept(v.daily, "outcome", [], "user_id").select(F.round("icc", 6).alias("icc"), "n", "n_groups")
 
