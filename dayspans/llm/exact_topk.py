@@ -2,8 +2,8 @@
 
 The second-moment matrix of all vectors, summed up in the tasks, gives the rotation (its singular vectors) that puts
 most of every inner product into the first coordinates. Vectors are dealt by descending length into blocks of bounded
-bytes. The block of the longest ones gives every query a first threshold. Then each block of queries meets the other
-blocks, several in one task and longest first: a block whose longest vector is too short is not sent, a vector whose
+bytes. The block of the longest ones gives every query a first threshold. Then each block of queries goes to the cells of
+blocks, longest first, whose longest vector is long enough for one of its thresholds; a vector whose
 partial sum plus the product of the remaining lengths stays below a query's threshold is left out, and the rest are
 scored exactly.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stash
+from ._vectors import in_groups
 
 #: Bytes of the vectors in one block of candidates, and in one block of queries; blocks of candidates that one task takes, about.
 BLOCK_BYTES, QUERY_BYTES, CELL = 1 << 20, 1 << 21, 32
@@ -204,7 +205,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     size, q_size = (max(1, most_bytes // (8 * dims)) for most_bytes in (BLOCK_BYTES, QUERY_BYTES))
     parts, q_parts = -(-n // (size * CELL)), -(-asked_n // q_size)
     ordered = v.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    blocks = stash(packed(ordered, dims, size).withColumn("no", F.monotonically_increasing_id()), "topk-blocks")
+    blocks = packed(ordered, dims, size).withColumns({"no": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+    blocks = in_groups(stash(blocks, "topk-blocks"), size * CELL)  # neighbouring partitions of few rows are one cell
     head = blocks.orderBy(F.desc("longest"), "no").first()
 
     def first_thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +227,21 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
 
     asked = packed(v.where(is_query).repartition(q_parts), dims, q_size).mapInArrow(first_thresholds, PACKED + ", lowest double, found array<binary>")
     asked = stash(asked.withColumn("q_no", F.monotonically_increasing_id()), "topk-queries")
-    queries = asked.select("q_no", F.row_number().over(Window.orderBy("q_no")).alias("nth"), F.col("longest").alias("q_longest"), "lowest")
-    # Every further block with every block of queries that its longest vector can still serve; all but the numbers are sent once a cell.
+    # Every block of queries goes to the cells whose longest vector it can still use, and a cell's blocks to those that come.
     blocks = blocks.where(F.col("no") != head["no"])
-    cells = max(1, -(-n // (size * CELL)))
-    pairs = blocks.select("no", "longest", F.explode(F.sequence(F.lit(1), F.lit(asked.count()))).alias("nth")).join(queries, "nth")
-    pairs = pairs.where(F.col("longest") * F.col("q_longest") * (1 + SLACK) >= F.col("lowest")).select("no", "q_no")
-    met = pairs.join(blocks, "no").withColumn("cell", F.pmod(F.xxhash64("no"), F.lit(cells)))
-    every_cell = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
-    spread = asked.select(F.col("q_no").alias("asked_no"), "ids", "known", "kind", "x", "found", every_cell.alias("asked_cell"))
+    reach = {r["part"]: r["longest"] for r in blocks.groupBy("part").agg(F.max("longest").alias("longest")).collect()}  # one per cell
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for i, (longest, lowest) in enumerate(zip(batch.column("longest").to_pylist(), batch.column("lowest").to_pylist())):
+                for cell, most_there in reach.items():
+                    if most_there * longest * (1 + SLACK) >= lowest:
+                        yield from t.slice(i, 1).append_column("cell", pa.array([cell], pa.int32())).to_batches()
+
+    routed = stash(asked.mapInArrow(route, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema) + ", cell int"), "topk-routed")
+    wanted = routed.select(F.col("cell").alias("part"), F.col("q_no").alias("for_q")).distinct()
+    met = blocks.join(wanted, "part").withColumnRenamed("part", "cell")
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -248,7 +256,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
             out.append(pd.DataFrame(b.frame()))
         return pd.concat(out, ignore_index=True)
 
-    more = spread.groupBy("asked_no", "asked_cell").cogroup(met.groupBy("q_no", "cell")).applyInPandas(search, FOUND)
+    more = routed.groupBy("q_no", "cell").cogroup(met.groupBy("for_q", "cell")).applyInPandas(search, FOUND)
     return best(asked.select("ids", "found").mapInArrow(first_found, FOUND).unionByName(more), k)
 
 

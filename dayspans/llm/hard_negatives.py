@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import maybe_broadcast, stash
-from ._vectors import LARGEST, largest, matrix, scaled, usable
+from ._common import stash
+from ._vectors import LARGEST, in_groups, largest, matrix, scaled, usable
 
 #: Segments of the bounds, coarse to fine; each divides the next.
 SEGMENTS = (4, 16)
@@ -220,27 +220,6 @@ class Search:
         return pd.DataFrame({"row": self.q.rows[window // wide], "nth": (window % wide + 1).astype("i4"), "score": score, "known": unknown == 0, "vec_id": ids})
 
 
-def grouped(frame: DataFrame, rows: int) -> dict[int, int]:
-    """Partition of blocks -> its group: neighbours are put together while they have no more than ``rows`` rows.
-
-    As many entries as there are partitions, which ``mine`` bounds.
-    """
-    counts = frame.groupBy("part").agg(F.sum(F.length("known")).alias("n")).orderBy("part").collect()
-    out, group, n = {}, -1, 0
-    for r in counts:
-        if group < 0 or n + r["n"] > rows:
-            group, n = group + 1, 0
-        out[r["part"]], n = group, n + r["n"]
-    return out
-
-
-def in_groups(frame: DataFrame, rows: int) -> DataFrame:
-    """``part`` becomes the number of the group of its partition; ``no`` keeps the order of the blocks."""
-    groups = list(grouped(frame, rows).items())
-    table = frame.sparkSession.createDataFrame(groups, "part int, grouped int")
-    return frame.join(maybe_broadcast(table, len(groups)), "part").withColumn("part", F.col("grouped")).drop("grouped")
-
-
 def searched(asked: DataFrame, cells: DataFrame, dims: int, k: int, windows: int, same: bool, size: int, q_size: int) -> DataFrame:
     """FOUND rows: the best ``k`` rows of every window within each cell. ``asked``: blocks of anchors with low and high (packed 64-bit numbers)."""
     import numpy as np
