@@ -64,9 +64,10 @@ def merge_intervals(df: DataFrame, keys: list[str], gap_us: int = 0) -> DataFram
     return d.groupBy(*keys, "_g").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_merged")).drop("_g")
 
 
-def intersect_intervals(a: DataFrame, b: DataFrame, keys: list[str], min_us: int = 0) -> DataFrame:
-    """EP7, EP8: what intervals of both sides have in common, if longer than nothing and at least ``min_us``."""
-    o = b.select(*keys, F.col("start_us").alias("_s"), F.col("end_us").alias("_e"))
+def intersect_intervals(a: DataFrame, b: DataFrame, keys: list[str], min_us: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """EP7, EP8: what intervals of both sides have in common, if longer than nothing and at least ``min_us``; with the columns
+    of ``a`` and those of ``b`` in ``carry``."""
+    o = b.select(*keys, F.col("start_us").alias("_s"), F.col("end_us").alias("_e"), *carry)
     j = a.join(o, keys).where((F.col("start_us") < F.col("_e")) & (F.col("_s") < F.col("end_us")))
     j = j.withColumns({"start_us": F.greatest("start_us", "_s"), "end_us": F.least("end_us", "_e")}).drop("_s", "_e")
     return j.where((F.col("end_us") > F.col("start_us")) & (F.col("end_us") - F.col("start_us") >= min_us))
@@ -142,16 +143,6 @@ def timeline(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out.withColumns({"episode_number": F.row_number().over(w), "since_prev_us": F.col("start_us") - F.lag("start_us").over(w)})
 
 
-def with_first_overlap(episodes: DataFrame, others: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """EP15: each episode with the ``columns`` of the first of the ``others`` that overlaps it, null if none does."""
-    o = others.select(*keys, F.col("start_us").alias("_s"), F.col("end_us").alias("_e"), F.struct(*columns).alias("_v"))
-    own = [c for c in episodes.columns if c not in columns]
-    j = episodes.select(*own).join(o, keys, "left")
-    hit = (F.col("start_us") < F.col("_e")) & (F.col("_s") < F.col("end_us"))
-    g = j.groupBy(*own).agg(F.min_by("_v", F.when(hit, F.struct("_s", "_e", "_v"))).alias("_v"))
-    return g.select(*own, "_v.*")
-
-
 def day_statistics(episodes: DataFrame, keys: list[str], groups: dict[str, Column]) -> DataFrame:
     """EP16: per key the episodes and minutes of each named group, such as a type, a transport or a type at a location."""
     us = F.col("end_us") - F.col("start_us")

@@ -181,7 +181,8 @@ def mobile(v):
 
 def full(v):
     d, m = digital(v), mobile(v)
-    both = ep.with_first_overlap(ep.intersect_intervals(d, m.drop("transport"), UD), m, UD, ["transport"])
+    # Moving episodes of a day do not overlap each other, so an overlap has the transport of the one that it is part of.
+    both = ep.intersect_intervals(d.select(*UD, "start_us", "end_us"), m, UD, carry=("transport",))
     return ep.timeline({"digital": ep.dominant_label(d, places(v), UD), "moving": m, "overlap": both}, UD)
 
 
