@@ -206,3 +206,20 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
     n = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["rank"] < len(BASE))
     return found.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
+def pii_base_spans(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op2_pii`` that SQL can express: counts and digest of the base kinds."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+#: The base patterns in their plain form; places are sums of the lengths of matches and of what lies between them.
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+LUHN = f"length({DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, CAST(length({DIGITS}) AS BIGINT)), lambda i: CASE WHEN i % 2 = 0 THEN ascii(substr({DIGITS}, length({DIGITS}) - i, 1)) - 48 WHEN ascii(substr({DIGITS}, length({DIGITS}) - i, 1)) > 52 THEN 2 * (ascii(substr({DIGITS}, length({DIGITS}) - i, 1)) - 48) - 9 ELSE 2 * (ascii(substr({DIGITS}, length({DIGITS}) - i, 1)) - 48) END)) % 10 = 0"
+FINE = {"email": "true", "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0", "card": LUHN, "phone": f"length({DIGITS}) BETWEEN 9 AND 15"}
+PII_BASE_SQL = "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), " + ", ".join(
+    f"x{r} AS (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS s FROM t WHERE regexp_matches(text, '{p}')), "
+    f"y{r} AS (SELECT doc_id, '{k}' AS kind, {r} AS rank, v, CAST(coalesce(list_sum(list_transform(s[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS start FROM (SELECT doc_id, m, s, i, m[i] AS v FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x{r})) WHERE {FINE[k]})"
+    for r, (k, p) in enumerate(PLAIN.items())
+) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM y{r}" for r in range(len(PLAIN))) + "), g AS (SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in PLAIN) + ", string_agg(kind || ':' || start || ':' || (start + length(v)), ',' ORDER BY start, rank) AS spans FROM a GROUP BY doc_id) SELECT doc_id, " + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in PLAIN) + ", sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)"
