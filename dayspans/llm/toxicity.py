@@ -32,7 +32,7 @@ WINDOW, PREFIXES = 16, (4, 5, 6)
 #: Bytes of the toxic and of the ordinary dictionary that are tried. The ordinary one is larger: it must know what it may.
 SIZES = ((12_000, 96_000), (16_000, 64_000), (40_000, 400_000))
 #: Bytes of the codes, or of the calibrating texts, that are held of each class; texts beyond that train nothing.
-HELD_BYTES = 1 << 25
+HELD_BYTES = 1 << 24
 #: Share of ordinary windows whose differences the windows' threshold leaves out; windows that every text has on top of its
 #: own when differences are taken per window, so that a short text needs more than one odd word.
 QUIET, MORE = 0.95, 6
