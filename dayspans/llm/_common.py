@@ -19,6 +19,9 @@ BROADCAST_ROWS = 50_000
 #: A key is hot with more rows than this, and than its share of all rows if one in HOT_KEYS had that many: never more hot keys than that.
 HOT_ROWS, HOT_KEYS = 1_000, 20_000
 
+#: Rows that go to Python at a time where they hold whole texts: Spark's own number of 10,000 would be a gigabyte of long ones.
+BATCH_ROWS = 1_000
+
 #: Rows in one bucket of a key, at least.
 LEAST_BUCKET = 256
 
@@ -69,6 +72,13 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str =
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of BATCH_ROWS from now on, unless the session has a number of its own. No result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

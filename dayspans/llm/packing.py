@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buckets, maybe_broadcast, running, stash
+from ._common import bounded_batches, buckets, maybe_broadcast, running, stash
 
 #: Token that ends every document.
 END = 2
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, most: int
     not read. The solver sees only the histogram of lengths, ``most`` rows at the most.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = stash(tokenized(docs, tokenizer, ranks, most, keep_ids, id_col, text_col), "pack-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     sizes = spark.createDataFrame(list(histogram.items()), "length int, n long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sampled
+from ._common import bounded_batches, sampled
 
 #: Labelled rows of each class that are used for training, about.
 TRAIN_TOXIC, TRAIN_ORDINARY = 4_000, 8_000
@@ -143,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     an id the largest counts, of several texts of an id the first in order; so repeated rows cannot make the sample larger.
     Without rows of both classes, as with empty tables, every text scores below one half. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(F.crc32(F.col("id").cast("string")) % FOLDS != 0).groupBy("id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["count"] for r in known.where("y in (0, 1)").groupBy("y").count().collect()}
     hashed = F.xxhash64(F.lit("train"), "id")
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", into: str =
     and repeats pass through; a column of the name ``into`` is replaced.
     """
     toxic, ordinary, quiet, least = model
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -101,7 +101,7 @@ def test_whitening_of_few_or_large_vectors(spark):
     assert len(one) == 4 and all(r["whitened"] is None and r["n"] == 1 and r["deviation"] == 0 and r["explained"] == 0 for r in one)
     line = whitening.whiten(frame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, 0.0])])).collect()
     assert sorted(r["component"] for r in line if r["whitened"] is None) == [2, 2, 2] and line[0]["identity_error"] < 1e-12
-    big = [(i, [float(i * 2**50), float(-(i % 3) * 2**50)]) for i in range(9)]
+    big = [(i, [float(i * 2**46), float(-(i % 3) * 2**46)]) for i in range(9)]  # squares of up to 37 digits
     got = {r["vec_id"]: int(r["deviation"]) for r in whitening.whiten(frame(big), components=1).collect()}
     x = [[int(c) * 256 for c in v] for _, v in big]
     assert got == {i: sum((9 * v[j] - sum(w[j] for w in x)) ** 2 for j in range(2)) for i, v in enumerate(x)}
