@@ -97,14 +97,18 @@ def _(v):
     return v.demo.select("user_id", missing.text_to_bool(text).alias("is_centre"))
 
 
+# What stands for an unknown balance in v_demo; the other sentinels are balances that a customer may have.
+UNKNOWN = (999,)
+
+
 @query("nm6_fill_constant", "SELECT user_id, coalesce(CASE WHEN balance <> 999 THEN balance END, 0) AS balance FROM v_demo")
 def _(v):
-    return missing.sentinels_to_null(v.demo.select("user_id", "balance"), ["balance"]).na.fill(0.0, ["balance"])
+    return missing.sentinels_to_null(v.demo.select("user_id", "balance"), ["balance"], UNKNOWN).na.fill(0.0, ["balance"])
 
 
 @query("nm7_fill_mean", "WITH d AS (SELECT user_id, CASE WHEN balance <> 999 THEN balance END AS balance FROM v_demo) SELECT user_id, round(coalesce(balance, (SELECT avg(balance) FROM d)), 6) AS balance FROM d")
 def _(v):
-    filled = missing.fill_with_mean(missing.sentinels_to_null(v.demo.select("user_id", "balance"), ["balance"]), ["balance"])
+    filled = missing.fill_with_mean(missing.sentinels_to_null(v.demo.select("user_id", "balance"), ["balance"], UNKNOWN), ["balance"])
     return filled.select("user_id", F.round("balance", 6).alias("balance"))
 
 
