@@ -25,3 +25,27 @@ def test_balances_that_look_like_sentinels(spark, tmp_path, name):
     n = len(balance)
     data = put(tmp_path, "customer", c_custkey=pa.array(range(1, n + 1), pa.int64()), c_name=["x"] * n, c_nationkey=pa.array([3] * n, pa.int32()), c_acctbal=pa.array(balance, pa.float64()), c_mktsegment=["BUILDING"] * n)
     assert matches(spark, name, data) == ""
+
+
+def events(folder, rows: list[tuple]) -> str:
+    """An events table of (user, seconds, value) rows, in an order of files that is not that of time."""
+    rows = sorted(rows, key=lambda r: hash((r[1], r[0])))
+    user, at, value = zip(*rows)
+    start = 1_704_067_200_000_000
+    ts = pa.array([start + s * 1_000_000 for s in at], pa.timestamp("us"))
+    return put(folder, "events", event_id=pa.array(range(len(rows)), pa.int64()), ts=ts, user_id=pa.array(user, pa.int64()), event_type=["view"] * len(rows), value=pa.array(value, pa.float64()), props=['{"k": 4}'] * len(rows))
+
+
+def test_points_at_exactly_the_limit_of_deviations(spark, tmp_path):
+    """Four of 29 points off by the same step lie 2.5 deviations from the mean, where the last bit decides."""
+    rows = [(user, 86_400 * i, 40.0 * (3 + user % 7) if (i * 11 + user) % 29 < 4 else 40.0 * (user % 3)) for user in range(400) for i in range(29)]
+    assert matches(spark, "ge5_flag_outliers", events(tmp_path, rows)) == ""
+
+
+def test_points_without_a_latitude_do_not_count(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from dayspans.operators import track
+
+    d = spark.range(12).select(F.lit(1).alias("k"), "id", F.timestamp_seconds(F.col("id") * 86_400).alias("at"), F.when(F.col("id") < 5, 1.0).alias("lat"), F.when(F.col("id") == 0, 9.0).otherwise(1.0).alias("lon"))
+    assert not [r for r in track.flag_outliers(d, ["k"], ["at", "id"], max_z=2.5).collect() if r["is_outlier"]]
