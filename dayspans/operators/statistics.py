@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 STEPS = 200
 #: Levels of a factor, at most.
 LEVELS = 200
+#: Blocks of rows whose sums are taken apart, and rounds at most in which a solution is refined.
+BLOCKS, REFINE = 1024, 6
+#: Share of a term's squares about its mean below which it does not vary, and of correlations' singular values that count as 0.
+STILL, SINGULAR = 1e-14, 1e-12
 #: Trial values of the variance ratio in one round, rounds, and the log ratio's width at which the search has converged.
 TRIALS, ROUNDS, CONVERGED = 12, 12, 1e-6
 
@@ -165,21 +170,58 @@ def normal_sums(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = N
 
 
 def model_sums(df: DataFrame, models: dict[str, tuple[str, list[str]]]) -> dict[str, tuple]:
-    """(X'X, X'y, y'y) of each model's complete rows, all models in one pass: every row goes once to each of its models."""
-    k = max(len(xs) for _, xs in models.values()) + 1
-    value = lambda c: F.col(c).cast("double")
-    one = lambda name, y, xs: F.struct(F.lit(name).alias("model"), value(y).alias("y"), F.array(F.lit(1.0), *map(value, xs), *[F.lit(0.0)] * (k - 1 - len(xs))).alias("x"))
-    long = df.select(F.explode(F.array(*[one(m, y, xs) for m, (y, xs) in models.items()])).alias("m")).select("m.*")
-    long = long.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    x = lambda i: F.col("x")[i]
-    agg = [F.sum(x(i) * x(j)).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(x(i) * F.col("y")).alias(f"y{i}") for i in range(k)] + [F.sum(F.col("y") * F.col("y")).alias("yy")]
+    """(X'X, X'y, y'y) of each model's complete rows, all models in one pass.
+
+    A row goes once to the sums of those that lack the same columns, whatever the number of models; a model adds up those
+    that lack none of its own. Sums are taken per block of rows and then over blocks, which keeps their last digits.
+    """
+    names = ["", *dict.fromkeys(c for y, xs in models.values() for c in (*xs, y))]  # the first is the intercept
+    at = {c: i for i, c in enumerate(names)}
+    pairs = sorted({(min(i, j), max(i, j)) for y, xs in models.values() for own in [[0, *(at[c] for c in (*xs, y))]] for i in own for j in own})
+    d = df.select(F.lit(1.0).alias("v0"), *[F.col(c).cast("double").alias(f"v{at[c]}") for c in names[1:]])
+    there = lambda y, xs: reduce(Column.__and__, [F.col(f"v{at[c]}").isNotNull() for c in (*xs, y)])
+    some = reduce(Column.__or__, [there(y, xs) for y, xs in models.values()])
+    lacks = F.concat(*[F.when(F.col(f"v{i}").isNull(), "1").otherwise("0") for i in range(len(names))])
+    d = d.where(some).withColumns({"lacks": lacks, "block": F.monotonically_increasing_id() % BLOCKS})
+    blocks = d.groupBy("lacks", "block").agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    found = blocks.groupBy("lacks").agg(*[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in pairs]).collect()  # a row per set of absent columns
     out = {}
-    for r in long.groupBy("model").agg(*agg).collect():  # a row per model
-        n = len(models[r["model"]][1]) + 1
-        out[r["model"]] = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]), np.array([r[f"y{i}"] for i in range(n)]), r["yy"]
+    for m, (y, xs) in models.items():
+        own = [0, *(at[c] for c in xs)]
+        rows = [r for r in found if all(r["lacks"][i] == "0" for i in (*own, at[y]))]
+        total = lambda i, j: math.fsum(r[f"s{min(i, j)}_{max(i, j)}"] for r in rows)  # noqa: E731, B023
+        if rows:
+            out[m] = np.array([[total(i, j) for j in own] for i in own]), np.array([total(i, at[y]) for i in own]), total(at[y], at[y])
     return out
 
 
+def solved(a: np.ndarray, b: np.ndarray, yy: float) -> tuple:
+    """(inverse of X'X, coefficients, squares left, squares about the mean), of which the first term is the intercept.
+
+    The sums are centred and scaled in long doubles, and the solution is refined by what it leaves as far as that helps:
+    values far from zero beside their deviations keep their digits. A term that does not vary gets 0, as a doubled one
+    gets its share.
+    """
+    n, wide = a[0, 0], a.astype(np.longdouble)
+    mean, high = wide[0, 1:] / n, np.longdouble(b[0]) / n
+    c, d, tss = wide[1:, 1:] - n * np.outer(mean, mean), b[1:] - n * mean * high, yy - n * high * high
+    varies = np.diag(c) > STILL * np.diag(wide)[1:]
+    scale = np.where(varies, 1 / np.sqrt(np.where(varies, np.diag(c), 1)), 0)
+    c, d = c * np.outer(scale, scale), d * scale
+    inv = np.linalg.pinv(c.astype(float), rcond=SINGULAR, hermitian=True)
+    x, left = np.zeros_like(d), d
+    for _ in range(REFINE):
+        y = x + inv @ left
+        rest = d - c @ y
+        if not np.abs(rest).max(initial=0) < np.abs(left).max(initial=0):
+            break
+        x, left = y, rest
+    own, coef = inv * np.outer(scale, scale), x * scale
+    side = own @ mean
+    whole = np.block([[np.array([[1 / n + mean @ side]]), -side[None, :]], [-side[:, None], own]])
+    return whole.astype(float), np.array([high - mean @ coef, *coef], float), float(max(tss - x @ d, 0)), float(tss)
+
+
 OLS = "term string, coef double, se double, t double, p double, n long, r2 double, adj_r2 double, aic double, bic double, f double"
 
 
@@ -188,9 +230,7 @@ def ols_rows(terms: list[str], a: np.ndarray, b: np.ndarray, yy: float, min_n: i
     k, n = len(terms), a[0, 0]
     if n < max(min_n, k + 1):
         return []
-    inv = np.linalg.pinv(a)
-    coef = inv @ b
-    rss, tss = max(yy - coef @ b, 0.0), yy - b[0] ** 2 / n
+    inv, coef, rss, tss = solved(a, b, yy)
     se = np.sqrt(np.maximum(np.diag(inv) * rss / (n - k), 0))
     r2 = 1 - rss / tss if tss > 0 else 0.0
     ll = -n / 2 * (math.log(2 * math.pi) + math.log(max(rss, 1e-300) / n) + 1)
@@ -247,9 +287,8 @@ def factor_model(df: DataFrame, y: str, xs: list[str], factors: dict[str, str |
         return spark.createDataFrame([], OLS), spark.createDataFrame([], TESTS)
     a, b, yy = sums["m"]
     n, k = a[0, 0], np.linalg.matrix_rank(a)
-    inv = np.linalg.pinv(a)
-    coef = inv @ b
-    s2 = max(yy - coef @ b, 0.0) / (n - k)
+    inv, coef, rss, _ = solved(a, b, yy)
+    s2 = rss / (n - k)
     tests = []
     for name, own in [*terms.items(), ("model", names[1:])]:
         at = [names.index(f"{name}[{v}]" if name != "model" else v) for v in own]

@@ -49,3 +49,44 @@ def test_points_without_a_latitude_do_not_count(spark, tmp_path):
 
     d = spark.range(12).select(F.lit(1).alias("k"), "id", F.timestamp_seconds(F.col("id") * 86_400).alias("at"), F.when(F.col("id") < 5, 1.0).alias("lat"), F.when(F.col("id") == 0, 9.0).otherwise(1.0).alias("lon"))
     assert not [r for r in track.flag_outliers(d, ["k"], ["at", "id"], max_z=2.5).collect() if r["is_outlier"]]
+
+
+def test_least_squares_keep_their_digits(spark):
+    """Values far from zero beside their deviations; against the same sums in fractions."""
+    import math
+    from fractions import Fraction as Q
+
+    from dayspans.operators import statistics as st
+
+    rows = [(10_000.0 + i % 7, 25_000.0 + 3 * (i % 7) + (i * 37 % 101) / 8) for i in range(3000)]
+    n = len(rows)
+    x, y = [[Q(r[k]) for r in rows] for k in (0, 1)]
+    mx, my = sum(x) / n, sum(y) / n
+    sxx, sxy, syy = sum((a - mx) ** 2 for a in x), sum((a - mx) * (b - my) for a, b in zip(x, y)), sum((b - my) ** 2 for b in y)
+    rss = float(syy - sxy * sxy / sxx)
+    got = {r["term"]: r for r in st.ols(spark.createDataFrame(rows, "x double, y double"), "y", ["x"]).collect()}
+    assert got["x"]["coef"] == pytest.approx(float(sxy / sxx), rel=1e-9)
+    assert got["x"]["aic"] == pytest.approx(4 + n * (math.log(2 * math.pi * rss / n) + 1), abs=1e-4)
+    assert got["x"]["r2"] == pytest.approx(float(sxy * sxy / sxx / syy), abs=1e-8)
+
+
+def test_nested_models_leave_out_their_own_incomplete_rows(spark):
+    import numpy as np
+
+    from dayspans.operators import statistics as st
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 4)).round(3)
+    y = (x @ [1.0, -2.0, 0.5, 3.0] + r.normal(size=300)).round(3)
+    data = np.column_stack([y, x])
+    gone = r.random(data.shape) < 0.15
+    rows = [tuple(None if g else float(v) for v, g in zip(a, b)) for a, b in zip(data, gone)]
+    d = spark.createDataFrame([*rows, (None,) * 5, (1.0, None, None, None, None)], "y double, a double, b double, c double, e double")
+    got = st.nested_models(d, ["y", "e"], {"a": [["a"], ["b", "c"]]}).collect()
+    for outcome, at in (("y", 0), ("e", 4)):
+        for step, terms in ((1, [1]), (2, [1, 2, 3])):
+            ok = ~gone[:, [at, *terms]].any(axis=1)
+            want = np.linalg.lstsq(np.column_stack([np.ones(ok.sum()), data[ok][:, terms]]), data[ok][:, at], rcond=None)[0]
+            found = [q for q in got if (q["outcome"], q["step"]) == (outcome, step)]
+            assert [q["n"] for q in found] == [int(ok.sum())] * len(want)
+            assert [q["coef"] for q in found] == pytest.approx(list(want))
