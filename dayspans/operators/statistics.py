@@ -19,6 +19,8 @@ BLOCKS, REFINE = 1024, 6
 STILL, SINGULAR = 1e-14, 1e-12
 #: Trial values of the variance ratio in one round, rounds, and the log ratio's width at which the search has converged.
 TRIALS, ROUNDS, CONVERGED = 12, 12, 1e-6
+#: How far on either side of the best trial its slope is looked at, in log ratio, and halvings between.
+NEAR, HALVINGS = 0.1, 60
 
 
 def log_gamma(x: Column) -> Column:
@@ -348,11 +350,26 @@ def random_intercept(df: DataFrame, y: str, xs: list[str], group: str) -> DataFr
         s2 = max(((sizes["yy"] - w * sizes["q"]).sum() - coef @ b) / (n - k), 1e-300)
         return -0.5 * ((n - k) * (math.log(2 * math.pi * s2) + 1) + (m * np.log(1 + size * theta)).sum() + np.linalg.slogdet(a)[1]), coef, s2, a
 
+    def slope(theta: float) -> float:
+        """Slope of the profile in theta."""
+        _, coef, s2, a = profile(theta)
+        w = 1 / (1 + size * theta) ** 2
+        ds = (w * s_all).sum(2)
+        drop = (w * sizes["q"]).sum() - 2 * coef @ (w * c_all).sum(1) + coef @ ds @ coef  # squares of the groups' sums less the fixed part
+        return 0.5 * (drop / s2 - (m * size / (1 + size * theta)).sum() + np.trace(np.linalg.solve(a, ds)))
+
     lo, hi = -12.0, 8.0  # the profile has one top: narrow in on it, on the scale of log theta
     for _ in range(ROUNDS):
         trial = np.linspace(lo, hi, TRIALS)
         top = int(np.argmax([profile(math.exp(x))[0] for x in trial]))
         lo, hi, theta = trial[max(top - 1, 0)], trial[min(top + 1, TRIALS - 1)], math.exp(trial[top])
+    # near its top the profile is flat within rounding, so the last digits come from where its slope changes sign
+    low, high = max(math.log(theta) - NEAR, -12.0), min(math.log(theta) + NEAR, 8.0)
+    if slope(math.exp(low)) > 0 > slope(math.exp(high)):
+        for _ in range(HALVINGS):
+            mid = (low + high) / 2
+            low, high = (mid, high) if slope(math.exp(mid)) > 0 else (low, mid)
+        theta = math.exp((low + high) / 2)
     best, zero = profile(theta), profile(0.0)
     if zero[0] >= best[0]:
         theta, best = 0.0, zero

@@ -90,3 +90,20 @@ def test_nested_models_leave_out_their_own_incomplete_rows(spark):
             found = [q for q in got if (q["outcome"], q["step"]) == (outcome, step)]
             assert [q["n"] for q in found] == [int(ok.sum())] * len(want)
             assert [q["coef"] for q in found] == pytest.approx(list(want))
+
+
+def test_variance_ratio_of_balanced_groups_to_many_digits(spark):
+    """Equal groups have a closed form: the mean squares' variance components."""
+    import numpy as np
+
+    from dayspans.operators import statistics as st
+
+    r = np.random.default_rng(8)
+    y = np.round(50 + np.repeat(r.normal(size=400), 20) * 4.0 + r.normal(size=8000) * 21, 2)
+    d = spark.createDataFrame([(i // 20, float(v)) for i, v in enumerate(y)], "g int, y double")
+    means = y.reshape(400, 20).mean(axis=1)
+    between, within = 20 * ((means - y.mean()) ** 2).sum() / 399, ((y.reshape(400, 20) - means[:, None]) ** 2).sum() / 7600
+    got = st.random_intercept(d, "y", [], "g").first()
+    assert between > within and got["converged"]
+    assert got["group_var"] == pytest.approx((between - within) / 20, rel=1e-9)
+    assert got["residual_var"] == pytest.approx(within, rel=1e-9)
